@@ -21,7 +21,8 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**63 - 1))) > 2**40:
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if size.rstrip("b").isdigit() and int(size.rstrip("b")) > 64 << 20:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
