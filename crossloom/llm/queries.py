@@ -38,6 +38,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.url_filter(pages, listed)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossloom.llm import near_dedup
+
+    return near_dedup.components(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossloom.llm import warc
 
