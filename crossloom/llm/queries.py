@@ -29,6 +29,17 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, expected_grade, p_good (P(grade >= 1)), p_best (P(grade >= 2)), selected."""
+    from crossloom.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, quality.graded(labels))
+    tail = lambda k: F.coalesce(F.get("tails", F.lit(k - 1)), F.lit(float(not len(model.thresholds) and k == 1)))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "expected_grade", tail(1).alias("p_good"), tail(2).alias("p_best"), (tail(1) >= 0.5).alias("selected"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: canonical URLs that two pages or more have (crawled again and again)."""
     from crossloom.llm import url_filter as u
@@ -64,6 +75,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_resolved(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossloom.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, among=~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossloom.llm import piece_bpe
 
