@@ -5,7 +5,7 @@ compatible if re-merging their parts would not have merged across their border e
 from which no compatible tokenisation exists. So every position fails at most once.
 
 No piece joins a letter to a following space mark, so merges never cross a word's start: each text is cut before every
-run of spaces, and each distinct word is encoded once in a worker (a bounded memo; a miss is only slower). Space runs are
+run of spaces (and after letters, where the pieces allow it), and each distinct word is encoded once in a worker (a bounded memo; a miss is only slower). Space runs are
 the one place where pieces tie in score; they are merged left to right. Both properties are checked when a model is
 loaded; a model without them is refused.
 
@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from crossloom.runtime import prepare
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
+MEMO_PAIRS = 500_000
 SPACE = "▁"
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
 class PieceModel:
@@ -64,6 +66,10 @@ class PieceModel:
         self._build(words, ahocorasick)
         self.memo: dict[str, tuple[int, ...]] = {}
         self.memo_text: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.shown = [None if i in self.byte_of else "" if i in self.control else " ⁇ " if i == self.unknown else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.decimal = [str(i) for i in range(n)]
+        self._cut = self._cutter()
 
     def _build(self, words: list[int], ahocorasick) -> None:
         """Ranks, splits and prefixes of the pieces that merging can make, in the order of merging."""
@@ -87,9 +93,12 @@ class PieceModel:
             self.halves.append(half or (r, r))
         self.piece_id = [self.id_of[p] for p in self.text]
         self.longest_prefix = [next((self.rank[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.rank), -1) for p in self.text]
+        self.size = [len(p) for p in self.text]
+        self.alphabet = frozenset(p for p in self.text if len(p) == 1)
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, r in self.rank.items():
-            self.automaton.add_word(p, (len(p), r))
+            self.automaton.add_word(p, r)
         self.automaton.make_automaton()
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -114,46 +123,43 @@ class PieceModel:
                     if left == limit:
                         return True
 
+    def _fits(self, left: int, right: int) -> bool:
+        """``_compatible`` with a bounded memo: few pairs make up most of all text."""
+        key = left << 20 | right
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= MEMO_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self._compatible(left, right)
+        return known
+
     def _backtrack(self, word: str) -> list[int]:
         """Ranks of a word whose characters all have pieces."""
         n = len(word)
+        size, shorter, fits = self.size, self.longest_prefix, self._fits
         longest = [0] * n
-        size = bytearray(n)
-        long_size: dict[int, int] = {}
-        for end, (k, r) in self.automaton.iter(word):
-            at = end - k + 1
-            if k > 255:
-                if k > long_size.get(at, 0):
-                    long_size[at], longest[at] = k, r
-            elif k > size[at] and at not in long_size:
-                size[at], longest[at] = k, r
+        for end, r in self.automaton.iter(word):  # in the order of ends, so a start's last match is its longest
+            longest[end - size[r] + 1] = r
+        token = longest[0]
+        if size[token] == n:
+            return [token]
         open_ = bytearray(b"\x01") * (n + 1)
-        known: dict[tuple[int, int], bool] = {}
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last = 0, -1
         while True:
-            last = out[-1] if out else -1
-            while token >= 0:
-                if open_[at + len(self.text[token])]:
-                    if last < 0:
-                        break
-                    fits = known.get((last, token))
-                    if fits is None:
-                        fits = known[last, token] = self._compatible(last, token)
-                    if fits:
-                        break
-                token = self.longest_prefix[token]
+            while token >= 0 and not (open_[at + size[token]] and (last < 0 or fits(last, token))):
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += len(self.text[token])
+                at += size[token]
                 if at == n:
                     return out
-                token = longest[at]
+                last, token = token, longest[at]
             else:
                 open_[at] = 0
                 token = out.pop()
-                at -= len(self.text[token])
-                token = self.longest_prefix[token] if not open_[at + len(self.text[token])] else token
+                at -= size[token]
+                last = out[-1] if out else -1
 
     def _space_run(self, n: int) -> list[int]:
         """Ids of n space marks: equal scores merge from the left."""
@@ -193,19 +199,28 @@ class PieceModel:
         return self._space_run(spaces) + ids[1:]
 
     def _known(self, word: str) -> list[int]:
+        piece = self.piece_id
+        if self.alphabet.issuperset(word):
+            return [piece[r] for r in self._backtrack(word)]
         ids: list[int] = []
         start = 0
         for k, c in enumerate(word):
-            if c not in self.rank:
+            if c not in self.alphabet:
                 if k > start:
-                    ids += [self.piece_id[r] for r in self._backtrack(word[start:k])]
+                    ids += [piece[r] for r in self._backtrack(word[start:k])]
                 ids += [self.byte_id[b] for b in c.encode()]
                 start = k + 1
         if start < len(word):
-            ids += [self.piece_id[r] for r in self._backtrack(word[start:])]
+            ids += [piece[r] for r in self._backtrack(word[start:])]
         return ids
 
-    _cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    def _cutter(self) -> re.Pattern:
+        """Texts are cut before each run of space marks and, if no piece has a Latin letter before another character, after
+        each run of Latin letters."""
+        latin = re.compile(f"[{LATIN}][^{LATIN}]")
+        if any(latin.search(p) for p in self.rank):
+            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        return re.compile(f"{SPACE}*[^{SPACE}{LATIN}]*[{LATIN}]+|{SPACE}+[^{SPACE}{LATIN}]*|[^{SPACE}{LATIN}]+")
 
     def words(self, text: str) -> list[str]:
         """The pieces of a text between which nothing merges, with the mark that stands before the first word."""
@@ -228,18 +243,20 @@ class PieceModel:
     def _strings(self, ids) -> str:
         """Text of ids, space marks as spaces: runs of byte pieces are read as UTF-8, each byte that isn't part of a
         character as U+FFFD."""
+        shown = self.shown
+        try:
+            return "".join([shown[i] for i in ids])
+        except TypeError:  # there are byte pieces
+            pass
         out, run = [], bytearray()
         for i in ids:
-            if i in self.byte_of:
+            if shown[i] is None:
                 run.append(self.byte_of[i])
                 continue
             if run:
                 out.append(_utf8(run))
                 run = bytearray()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.control:
-                out.append(self.pieces[i].replace(SPACE, " "))
+            out.append(shown[i])
         if run:
             out.append(_utf8(run))
         return "".join(out)
@@ -249,19 +266,24 @@ class PieceModel:
         first = next((i for i in ids if i not in self.control), None)
         return text[1:] if first is not None and first not in self.byte_of and first != self.unknown and text.startswith(" ") else text
 
+    def _entry(self, w: str) -> tuple[int, str, str]:
+        """A word's part of a digest. The memo has two generations: words in use stay, memory is bounded."""
+        known = self.older.get(w)
+        if known is None:
+            x = self._word(w)
+            decimal = self.decimal
+            known = len(x), ",".join([decimal[i] for i in x]), self._strings(x)
+        if len(self.memo_text) >= MEMO_WORDS:
+            self.older, self.memo_text = self.memo_text, {}
+        if len(w) <= 64:
+            self.memo_text[w] = known
+        return known
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """(count of ids, sha256 of the decimal ids with commas, sha256 of the decoded text)."""
         n, ids, shown = 0, [], []
-        memo = self.memo_text
         for w in self.words(text):
-            known = memo.get(w)
-            if known is None:
-                x = self._word(w)
-                known = len(x), ",".join(map(str, x)), self._strings(x)
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                if len(w) <= 64:
-                    memo[w] = known
+            known = self.memo_text.get(w) or self._entry(w)
             n += known[0]
             ids.append(known[1])
             shown.append(known[2])
