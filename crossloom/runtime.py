@@ -23,7 +23,7 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     if size.rstrip("b").isdigit() and int(size.rstrip("b")) > 64 << 20:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
