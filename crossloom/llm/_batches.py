@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _rng = np.random.default_rng(20240517)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32

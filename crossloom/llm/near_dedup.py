@@ -291,25 +291,26 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFram
     held = materialise(members.join(texts, "rep"), "bundles")
     found = materialise(_confirm(held, size, percent), "confirmed")
     large = held.where(F.col("size") > BLOCK)
-    if not large.limit(1).count():
+    if not large.count():
         return found
-    # Leaders of the blocks' components meet, in blocks again, with other hashes.
+    # A task links members to their component's first one, so leaders are those without such a link. They meet, in blocks again.
+    fresh, leaders = found, large
     for turn in range(2):
-        state = connected_components(found)
-        label = large.join(state, large.rep == state.node, "left").withColumn("c", F.coalesce("component", "rep"))
-        leaders = label.where("c = rep")
+        leaders = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti")
         count = leaders.groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1")
-        if not count.limit(1).count():
+        leaders = materialise(leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") / BLOCK))).drop("leaders"), "leaders")
+        if not leaders.count():
             return found
-        again = leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") / BLOCK)))
-        found = materialise(found.unionByName(_confirm(again, size, percent)), "confirmed")
+        fresh = materialise(_confirm(leaders, size, percent), "confirmed")
+        found = found.unionByName(fresh)
+    left = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1")
+    if not left.count():
+        return found
     # Bundles in several components: all that are outside the largest one meet every block.
     state = connected_components(found)
     label = large.join(state, large.rep == state.node, "left").withColumn("c", F.coalesce("component", "rep"))
     comps = label.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
     main = comps.groupBy("g").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("g", F.col("m.c").alias("main"))
-    if not main.limit(1).count():
-        return found
     label = label.join(main, "g").select("g", "rep", "text", "size", (F.col("c") != F.col("main")).alias("minor"))
     half = BLOCK // 2
     minors = label.where("minor").groupBy("g").agg(F.count(F.lit(1)).alias("minors"))
@@ -337,9 +338,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = materialise(profiles(docs, size), "sets")
     with_id = sets.where("doc_id IS NOT NULL AND d1 IS NOT NULL")
-    classes = with_id.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("chosen").alias("chosen"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    classes = with_id.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     classes = materialise(classes, "classes")
-    state = connected_components(links(docs.where("doc_id IS NOT NULL"), classes, size, percent)).withColumnRenamed("node", "rep")
+    reps = materialise(classes.select("rep", "n").join(with_id.select(F.col("doc_id").alias("rep"), "chosen", "sketch"), "rep"), "representatives")
+    state = connected_components(links(docs.where("doc_id IS NOT NULL"), reps, size, percent)).withColumnRenamed("node", "rep")
     # Only documents whose class has several rows or links need a join; all others are their own component.
     shared = classes.join(state, "rep", "left").where("rows > 1 OR component IS NOT NULL").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     small = sets.select("doc_id", "n_shingles", "d1", "d2")
