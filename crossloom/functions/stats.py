@@ -85,13 +85,18 @@ def norm_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf("double")
-def norm_quantile_udf(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(lambda x: inv(x) if 0 < x < 1 else float("nan"))
+def norm_quantile_udf(p):
+    """Column of normal quantiles, null outside (0, 1)."""
 
+    @F.pandas_udf("double")
+    def quantile(x: pd.Series) -> pd.Series:
+        inv = NormalDist().inv_cdf
+        return x.map(lambda v: inv(v) if 0 < v < 1 else None)
 
-def shapiro_francia(x: np.ndarray) -> tuple[float, float]:
+    return quantile(p)
+
+
+def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     """Shapiro-Wilk's test by Royston's approximation: (W, p) for 3 to 5000 values."""
     x = np.sort(np.asarray(x, float))
     n = len(x)

@@ -517,3 +517,74 @@ def perm_thresholds(spark, d):
 def perm_pvalues(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("trait"), F.col("o_totalprice").alias("maxlod"))
     return scan_results.perm_pvalues(o.groupBy("trait").agg(F.avg("maxlod").alias("lod")), o)
+
+
+# Pairs of loci and models
+
+
+@query()
+def scantwo_hk(spark, d):
+    from crossloom.operators import scan2
+
+    return scan2.scantwo_hk(_bc(spark, d), "price")
+
+
+@query(""", cell AS (SELECT a.marker AS locus1, b.marker AS locus2, a.g AS ga, b.g AS gb, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM g2 a JOIN g2 b ON a.ind = b.ind AND a.marker < b.marker JOIN pheno p ON p.ind = a.ind GROUP BY ALL)
+SELECT locus1, locus2, sum(n) / 2 * log10((sum(q) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s * s / n))) AS lod_full FROM cell GROUP BY locus1, locus2""")
+def scantwo_mr_full(spark, d):
+    from crossloom.operators import scan2
+
+    return scan2.scantwo_mr(_f2(spark, d), "price").select("locus1", "locus2", "lod_full")
+
+
+@query()
+def scantwo_mr(spark, d):
+    from crossloom.operators import scan2
+
+    return scan2.scantwo_mr(_f2(spark, d), "price")
+
+
+@query()
+def summary_scantwo(spark, d):
+    from crossloom.operators import scan2
+
+    return scan2.summary_scantwo(scan2.scantwo_mr(_f2(spark, d), "price"))
+
+
+@query()
+def scantwo_perm(spark, d):
+    from crossloom.operators import scan2
+
+    return scan2.scantwo_perm(_bc(spark, d), "price", 10)
+
+
+@query()
+def fit_qtl(spark, d):
+    from crossloom.operators import qtl
+
+    c = _f2(spark, d)
+    got = qtl.Model(c, "price").fit(qtl.make_qtl(c, ["1", "2"], [10.0, 0.0]), "y~Q1*Q2")
+    return spark.createDataFrame(got["dropone"], "term string, df int, lod double, pvar double, f double, p_chi2 double, p_f double")
+
+
+@query()
+def add_qtl(spark, d):
+    from crossloom.operators import qtl
+
+    c = _f2(spark, d)
+    return spark.createDataFrame(qtl.Model(c, "price").add_qtl(qtl.make_qtl(c, ["1"], [10.0])), "chr string, pos double, locus string, lod double")
+
+
+@query()
+def stepwise_qtl(spark, d):
+    from crossloom.operators import qtl
+
+    best, terms, plod = qtl.Model(_f2(spark, d), "price").stepwise(2, (0.1, 0.2, 0.1), additive_only=True, refine=False)
+    return spark.createDataFrame([(k, *x, qtl.format_formula(terms), plod) for k, x in enumerate(best.loci, 1)], "q int, chr string, pos double, locus string, formula string, plod double")
+
+
+@query()
+def cim(spark, d):
+    from crossloom.operators import qtl
+
+    return qtl.cim(_f2(spark, d), "price", 1)
