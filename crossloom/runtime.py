@@ -13,8 +13,8 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package (also when the driver only changed ``sys.path``) and keep Arrow batches
-    small: a batch of very long texts must fit in a worker. Settings that the session already has stay."""
+    """Let Python workers import this package (also when the driver only changed ``sys.path``), and keep memory outside the
+    heap small: Arrow batches of very long texts must fit in a worker. Settings that the session already has stay."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep) if env.get("PYTHONPATH") else []
     if ROOT not in paths:
@@ -24,6 +24,9 @@ def prepare(spark: SparkSession) -> None:
     size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     if size.rstrip("b").isdigit() and int(size.rstrip("b")) > 64 << 20:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    # Vectored reads of local files go through threads that each keep a native buffer as large as a column chunk.
+    if spark.conf.get("parquet.hadoop.vectored.io.enabled", None) is None:
+        spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
 
 
 def shared_dir(spark: SparkSession) -> str:
