@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     links = materialise(pairs.select(F.explode(both).alias("e")).select("e.u", "e.v").distinct(), "links")
-    tasks = max(6, min(partitions(edges.sparkSession), -(-links.count() // ROWS_PER_TASK)))
+    tasks = max(3, min(partitions(edges.sparkSession), -(-links.count() // ROWS_PER_TASK)))
     labels = materialise(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")).coalesce(tasks), "labels")
     for _ in range(MAX_ROUNDS):
         near = links.join(labels, links.v == labels.node).select("u", "component").coalesce(tasks)
