@@ -147,7 +147,7 @@ def fit_arrays(x: Sparse, toxic: np.ndarray, a: Sparse, b: Sparse, size: int, ri
     return ToxicityModel(p[:size], p[size], float(np.exp(q[0])), float(q[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, among: Column | None = None) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, among: Column | None = None, penalty: float = PENALTY) -> ToxicityModel:
     """Fit on ``labels`` (doc_id, toxic) of ``docs``: at most ``rows`` of them, out of those that fit ``among``."""
     prepare(docs.sparkSession)
     wanted = F.col("toxic").isNotNull() if among is None else F.col("toxic").isNotNull() & among
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, among: Colu
     x = Sparse(np.repeat(np.arange(len(count)), count), flat, np.ones(len(flat), np.float32), len(count))
     other = np.flatnonzero(version == 1)
     plain = np.flatnonzero(version == 0)
-    return fit_arrays(x.take(plain), toxic[plain], x.take(other - 1), x.take(other), 1 << BITS)
+    return fit_arrays(x.take(plain), toxic[plain], x.take(other - 1), x.take(other), 1 << BITS, penalty=penalty)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
