@@ -38,6 +38,10 @@ NODE = 256
 BINS = 128
 SIGMAS = 5.0
 BLOCK = 512
+#: Written tables have a file for so many documents, or two for each core.
+ROWS_PER_TASK = 50_000
+#: So many (id, bundle) rows at most are broadcast to the texts, about 32 MB; beyond that, both sides are shuffled.
+BROADCAST_MEMBERS = 1_000_000
 
 _SEED = mix(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -112,8 +116,8 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """(leaf, rep, deep) for every leaf with two documents or more; deep: too large after the last level."""
+def leaves(reps: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(leaf, rep) for every leaf with two documents or more, and the same for those too large after the last level."""
     tokens = reps.select("rep", "chosen")
     first = [(k // BRANCHES, (k // BRANCHES) * LEVELS * BRANCHES + k % BRANCHES) for k in range(TREES * BRANCHES)]
     nodes = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("chosen", F.lit(at))).alias("node")) for t, at in first))
@@ -121,18 +125,15 @@ def leaves(reps: DataFrame) -> DataFrame:
     out = None
     for depth in range(1, LEVELS + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        held = level.join(sizes, "node")
-        if depth < LEVELS:
-            held = materialise(held, "paths")
-        leaf = held.where(F.col("size") <= NODE) if depth < LEVELS else held
-        leaf = leaf.select(F.col("node").alias("leaf"), "rep", (F.col("size") > NODE).alias("deep"))
+        held = materialise(level.join(sizes, "node").coalesce(tasks), "paths")
+        leaf = held.where(F.col("size") <= NODE).select(F.col("node").alias("leaf"), "rep")
         out = leaf if out is None else out.unionByName(leaf)
-        if depth == LEVELS:
+        big = held.where(F.col("size") > NODE)
+        if depth == LEVELS or not big.count():
             break
-        big = held.where(F.col("size") > NODE).select("node", "tree", "rep").join(tokens, "rep")
         at = (F.col("tree") * LEVELS + depth) * BRANCHES
-        level = big.select("rep", "tree", F.explode(F.array(*(F.xxhash64("node", F.get("chosen", at + k)) for k in range(BRANCHES)))).alias("node")).distinct()
-    return out
+        level = big.select("node", "tree", "rep").join(tokens, "rep").select("rep", "tree", F.explode(F.array(*(F.xxhash64("node", F.get("chosen", at + k)) for k in range(BRANCHES)))).alias("node")).distinct()
+    return out, big.select(F.col("node").alias("leaf"), "rep")
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -195,11 +196,10 @@ def _counts_of(*keys: np.ndarray) -> np.ndarray:
     return np.diff(np.append(at, len(new)))
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """(a, b): a spanning forest of the candidate links of every leaf."""
     spark = reps.sparkSession
-    met = materialise(leaves(reps), "leaves")
-    deep = met.where("deep")
+    met, deep = leaves(reps, tasks)
     stars = deep.join(deep.groupBy("leaf").agg(F.min("rep").alias("a")), "leaf").where("a <> rep").select("a", F.col("rep").alias("b"))
 
     def compare(batches):
@@ -227,7 +227,7 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(rep[label[linked - lo]]), pa.array(rep[linked])], names=["a", "b"])
                 done = upto
 
-    rows = met.where("NOT deep").join(reps.select("rep", "n", "sketch"), "rep").select("leaf", "rep", "n", "sketch")
+    rows = met.join(reps.select("rep", "n", "sketch"), "rep").select("leaf", "rep", "n", "sketch")
     found = rows.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "rep").mapInArrow(compare, "a long, b long")
     return found.unionByName(stars).distinct()
 
@@ -257,7 +257,7 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
-def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(rows: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
     """(a, b) links of each task, given (g, h, rep, text): exhaustive on full sets, a spanning forest goes out."""
 
     def run(batches):
@@ -277,19 +277,20 @@ def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 at += n
 
     n = partitions(rows.sparkSession)
-    return rows.select("g", "h", "rep", "text").repartition(n, "g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, "a long, b long")
+    return rows.select("g", "h", "rep", "text").repartition(n, "g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, "a long, b long").coalesce(tasks)
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
     """(a, b): confirmed links between representatives, a spanning forest of every component."""
-    bundles = connected_components(candidates(reps, percent / 100))
+    bundles = connected_components(candidates(reps, percent / 100, tasks))
     members = bundles.withColumnRenamed("node", "rep").withColumnRenamed("component", "g")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     members = members.join(sizes, "g")
     members = members.withColumn("h", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    held = materialise(members.join(texts, "rep"), "bundles")
-    found = materialise(_confirm(held, size, percent), "confirmed")
+    few = bundles.count() <= BROADCAST_MEMBERS
+    held = materialise(texts.join(F.broadcast(members) if few else members, "rep").coalesce(tasks), "bundles")
+    found = materialise(_confirm(held, size, percent, tasks), "confirmed")
     large = held.where(F.col("size") > BLOCK)
     if not large.count():
         return found
@@ -298,10 +299,10 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFram
     for turn in range(2):
         leaders = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti")
         count = leaders.groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1")
-        leaders = materialise(leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") / BLOCK))).drop("leaders"), "leaders")
+        leaders = materialise(leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") / BLOCK))).drop("leaders").coalesce(tasks), "leaders")
         if not leaders.count():
             return found
-        fresh = materialise(_confirm(leaders, size, percent), "confirmed")
+        fresh = materialise(_confirm(leaders, size, percent, tasks), "confirmed")
         found = found.unionByName(fresh)
     left = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1")
     if not left.count():
@@ -319,7 +320,7 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFram
     as_block = label.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("by") - 1))).withColumn("h", x * F.col("by") + F.col("h"))
     as_minor = label.where("minor").withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1))).withColumn("h", F.col("h") * F.col("by") + y)
     meet = as_block.select("g", "h", "rep", "text").unionByName(as_minor.select("g", "h", "rep", "text")).dropDuplicates(["g", "h", "rep"])
-    return materialise(found.unionByName(_confirm(meet, size, percent)), "confirmed")
+    return materialise(found.unionByName(_confirm(meet, size, percent, tasks)), "confirmed")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -337,11 +338,12 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = materialise(profiles(docs, size), "sets")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-sets.count() // ROWS_PER_TASK))
     with_id = sets.where("doc_id IS NOT NULL AND d1 IS NOT NULL")
     classes = with_id.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    classes = materialise(classes, "classes")
-    reps = materialise(classes.select("rep", "n").join(with_id.select(F.col("doc_id").alias("rep"), "chosen", "sketch"), "rep"), "representatives")
-    state = connected_components(links(docs.where("doc_id IS NOT NULL"), reps, size, percent)).withColumnRenamed("node", "rep")
+    classes = materialise(classes.coalesce(tasks), "classes")
+    reps = materialise(classes.select("rep", "n").join(with_id.select(F.col("doc_id").alias("rep"), "chosen", "sketch"), "rep").coalesce(tasks), "representatives")
+    state = connected_components(links(docs.where("doc_id IS NOT NULL"), reps, size, percent, tasks)).withColumnRenamed("node", "rep")
     # Only documents whose class has several rows or links need a join; all others are their own component.
     shared = classes.join(state, "rep", "left").where("rows > 1 OR component IS NOT NULL").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     small = sets.select("doc_id", "n_shingles", "d1", "d2")
