@@ -588,3 +588,77 @@ def cim(spark, d):
     from crossloom.operators import qtl
 
     return qtl.cim(_f2(spark, d), "price", 1)
+
+
+# Effects, cofactors, orders, simulation
+
+
+@query("SELECT g AS g1, count(*) AS n, avg(y) AS mean, stddev_samp(y) / sqrt(count(*)) AS se FROM g2 JOIN pheno USING (ind) WHERE marker = 'M2' GROUP BY g")
+def effect_plot(spark, d):
+    from crossloom.operators import effects
+
+    return effects.effect_plot(_f2(spark, d), "price", "M2")
+
+
+@query("SELECT a.g AS g1, b.g AS g2, count(*) AS n, avg(y) AS mean, stddev_samp(y) / sqrt(count(*)) AS se FROM g2 a JOIN g2 b USING (ind) JOIN pheno USING (ind) WHERE a.marker = 'M2' AND b.marker = 'M6' GROUP BY ALL")
+def effect_plot_pair(spark, d):
+    from crossloom.operators import effects
+
+    return effects.effect_plot(_f2(spark, d), "price", "M2", "M6")
+
+
+@query()
+def effect_scan(spark, d):
+    from crossloom.operators import effects
+
+    return effects.effect_scan(_f2(spark, d), "price")
+
+
+@query("SELECT marker FROM map WHERE marker IN ('M2', 'M4', 'M6')")
+def mqm_set_cofactors(spark, d):
+    from crossloom.operators import effects
+
+    return effects.mqm_set_cofactors(_f2(spark, d), 2)
+
+
+@query()
+def mqm_scan(spark, d):
+    from crossloom.operators import effects
+
+    return effects.mqm_scan(_f2(spark, d), "price", ["M2", "M6"], step=10.0)[0]
+
+
+@query()
+def mqm_augment(spark, d):
+    from crossloom.operators import effects
+
+    return effects.mqm_augment(_bc(spark, d))
+
+
+@query()
+def scanone_var(spark, d):
+    from crossloom.operators import effects
+
+    return effects.scanone_var(_bc(spark, d), "price", maxit=4)
+
+
+@query()
+def ripple_count(spark, d):
+    from crossloom.operators import effects
+
+    return effects.ripple_count(_bc(spark, d), "1", 4)
+
+
+@query()
+def sim_cross(spark, d):
+    from crossloom.operators import sim
+
+    return sim.sim_cross(sales_map(spark), "f2", 200, [("1", 15.0, 1.0, 0.0)], missing=0.1).geno
+
+
+@query()
+def scan_phylo(spark, d):
+    from crossloom.operators import sim
+
+    crosses = sim.sim_phylo(sales_map(spark), "ABC", "A|BC", ["AB", "AC", "BC"], 60, [("1", 10.0, 1.0)])
+    return sim.summary_phylo(sim.scan_phylo(crosses, sim.all_partitions("ABC")))
