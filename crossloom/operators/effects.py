@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crossloom.functions import chains
 from crossloom.functions.stats import f_quantile, shapiro_wilk
 from crossloom.model import Cross
-from crossloom.operators.hmm import _by_chr, est_map
+from crossloom.operators.hmm import est_map
 from crossloom.operators.linkage import calculate_density, score_missing
 from crossloom.operators.qtl import Model, Qtl
 from crossloom.operators.scan import design, locus_sums
@@ -98,16 +98,17 @@ def mqm_scan(cross: Cross, trait: str, cofactors: list[str] | None = None, signi
 def mqm_augment(cross: Cross, max_per_ind: int = 82, min_prob: float = 0.1, error: float = 1e-4) -> DataFrame:
     """ind, chr, copy, weight, g: complete genotype sequences of each individual and chromosome that are at least ``min_prob`` times as
     likely as its best one, with weights that sum to one."""
-    from crossloom.operators.hmm import codes, sequences, tracks
+    from crossloom.operators.hmm import by_chromosome, sequences, tracks
 
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
+    schema = "ind long, chr string, copy int, weight double, g array<int>"
 
-    def one(name, part):
+    def one(name, b, g):
         track = t[name]
-        emit = chains.emissions(kind[0], codes(part, track), error, track.chrtype)
+        emit = chains.emissions(kind[0], g, error, track.chrtype)
         init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind)
         rows = []
-        for i, ind in enumerate(part["ind"]):
+        for i, ind in enumerate(b.column("ind").to_pylist()):
             paths = [((v,), init[v] * emit[i, 0, v]) for v in range(emit.shape[2])]
             for j in range(1, emit.shape[1]):
                 paths = [((*s, v), p * steps[j - 1][s[-1], v] * emit[i, j, v]) for s, p in paths for v in range(emit.shape[2])]
@@ -117,9 +118,9 @@ def mqm_augment(cross: Cross, max_per_ind: int = 82, min_prob: float = 0.1, erro
             paths = [x for x in paths if x[1] >= min_prob * top][:max_per_ind]
             total = sum(p for _, p in paths)
             rows += [(ind, name, k + 1, p / total, [v + 1 for v in s]) for k, (s, p) in enumerate(paths)]
-        return pd.DataFrame(rows, columns=["ind", "chr", "copy", "weight", "g"])
+        return dict(zip(("ind", "chr", "copy", "weight", "g"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return sequences(cross).mapInPandas(_by_chr(one), "ind long, chr string, copy int, weight double, g array<int>")
+    return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema)
 
 
 def mqm_test_normal(cross: Cross, trait: str, significance: float = 0.05, most: int = 5000) -> bool | None:

@@ -1,16 +1,18 @@
 """Genotype reconstruction along chromosomes.
 
-Genotypes of an individual on a chromosome are one row (one shuffle by individual and chromosome); kernels run over Arrow
-batches of such rows, vectorised over individuals. Maps are metadata and go along with the code."""
+An individual's typed genotypes are one row (one shuffle, by individual); kernels run over Arrow batches of such rows, chromosome
+by chromosome, vectorised over individuals. Maps are metadata and go along with the code."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from crossloom.functions import chains
 from crossloom.functions.maps import grid, locus_name, np_imf, np_mf, np_mf_stahl
@@ -22,7 +24,7 @@ SHORT_END = 5.0
 
 @dataclass(frozen=True)
 class Track:
-    """A chromosome's loci: positions (and male ones), names, index of the marker or -1."""
+    """A chromosome's loci: positions (and male ones), names, index of the marker or -1; its first marker's number in the whole map."""
 
     chrtype: str
     pos: np.ndarray
@@ -30,6 +32,7 @@ class Track:
     names: list
     marker: np.ndarray
     n_markers: int
+    offset: int
 
     def steps(self, cross_: tuple, map_function: str = "haldane", r: np.ndarray | None = None, m: int = 0, p: float = 0.0) -> list[np.ndarray]:
         crosstype, scheme = cross_
@@ -42,7 +45,7 @@ class Track:
 
 def tracks(cross: Cross, step: float = 0.0, off_end: float = 0.0, stepwidth: str = "fixed") -> dict[str, Track]:
     """Loci of each chromosome. A chromosome with one marker gets at least 5 cM on both sides if there is a step."""
-    out = {}
+    out, offset = {}, 0
     rows = cross.map.orderBy("chr", "ord").toPandas()
     for name, m in rows.groupby("chr", sort=False):
         pos = m["pos"].to_numpy(float)
@@ -52,31 +55,63 @@ def tracks(cross: Cross, step: float = 0.0, off_end: float = 0.0, stepwidth: str
         index = np.array([k for _, k in loci])
         male = m["pos_male"].to_numpy(float)
         male = None if np.isnan(male).any() else np.interp(at, pos, male)
-        out[name] = Track(m["chrtype"].iloc[0], at, male, [m["marker"].iloc[k] if k >= 0 else locus_name(name, x) for x, k in loci], index, len(pos))
+        out[name] = Track(m["chrtype"].iloc[0], at, male, [m["marker"].iloc[k] if k >= 0 else locus_name(name, x) for x, k in loci], index, len(pos), offset)
+        offset += len(pos)
     return out
 
 
 def sequences(cross: Cross) -> DataFrame:
-    """ind, chr, at (orders of typed markers), g: a row for every individual and chromosome."""
-    typed = cross.geno.where("g IS NOT NULL").groupBy("ind", "chr").agg(F.collect_list("ord").alias("at"), F.collect_list("g").alias("g"))
-    base = cross.individual.select("ind").join(F.broadcast(cross.map.select("chr").distinct()))
-    return base.join(typed, ["ind", "chr"], "left")
-
-
-def codes(pdf: pd.DataFrame, track: Track) -> np.ndarray:
-    """(individuals, loci) of codes, 0 where nothing is typed."""
-    out = np.zeros((len(pdf), track.n_markers), np.int64)
-    for i, (at, g) in enumerate(zip(pdf["at"], pdf["g"], strict=True)):
-        if at is not None:
-            out[i, np.asarray(at) - 1] = g
-    full = np.zeros((len(pdf), len(track.pos)), np.int64)
+    """ind, m (numbers of typed markers in the map's order), g: a row for every individual."""
+    order = [(r["marker"], k) for k, r in enumerate(cross.map.orderBy("chr", "ord").select("marker").collect())]
+    place = F.broadcast(cross.map.sparkSession.createDataFrame(order, "marker string, m int"))
+    typed = cross.geno.where("g IS NOT NULL").join(place, "marker").groupBy("ind").agg(F.collect_list(F.struct("m", "g")).alias("x"))
+    return cross.individual.select("ind").join(typed, "ind", "left").select("ind", F.coalesce("x.m", F.array().cast("array<int>")).alias("m"), F.coalesce("x.g", F.array().cast("array<int>")).alias("g"))
+
+
+def codes(batch: pa.RecordBatch, track: Track) -> np.ndarray:
+    """(individuals, loci) of codes, 0 where nothing is typed; of rows with columns m and g."""
+    m, g = batch.column("m"), batch.column("g")
+    row = np.repeat(np.arange(len(batch)), pc.list_value_length(m).to_numpy(zero_copy_only=False))
+    m, g = m.flatten().to_numpy(zero_copy_only=False), g.flatten().to_numpy(zero_copy_only=False)
+    own = (m >= track.offset) & (m < track.offset + track.n_markers)
+    typed = np.zeros((len(batch), track.n_markers), np.int64)
+    typed[row[own], m[own] - track.offset] = g[own]
+    full = np.zeros((len(batch), len(track.pos)), np.int64)
     has = track.marker >= 0
-    full[:, has] = out[:, track.marker[has]]
+    full[:, has] = typed[:, track.marker[has]]
     return full
 
 
+def by_chromosome(fn, t: dict[str, Track], schema: str):
+    """For ``mapInArrow``: ``fn(chromosome, batch, codes)`` gives a dict of columns for each batch of sequences."""
+
+    def run(batches):
+        kinds = to_arrow_schema(_parse(schema))
+        for b in batches:
+            if len(b):
+                for name, track in t.items():
+                    out = fn(name, b, codes(b, track))
+                    if out is not None:
+                        yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, k.type) for x, k in ((out[k.name], k) for k in kinds)], schema=kinds)
+
+    return run
+
+
+def _parse(schema: str):
+    from pyspark.sql import types as T
+
+    simple = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+    kind = lambda x: T.ArrayType(simple[x[6:-1]]) if x.startswith("array<") else simple[x]
+    return T.StructType([T.StructField(*((n, kind(k)))) for n, k in (x.split(" ") for x in schema.split(", "))])
+
+
+def lists(x: np.ndarray, kind=None) -> pa.ListArray:
+    """Rows of a matrix as an Arrow list column, without Python objects."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel(), kind))
+
+
 def _by_chr(fn):
-    """A function of (chr, rows of that chromosome) over batches."""
+    """A function of (chr, rows of that chromosome) over batches of a table with a column chr."""
 
     def run(batches):
         for pdf in batches:
@@ -88,10 +123,10 @@ def _by_chr(fn):
     return run
 
 
-def _long(part: pd.DataFrame, name: str, track: Track, values: list, column: str, keep: np.ndarray | None = None) -> pd.DataFrame:
-    n, loci = len(part), len(track.pos)
-    out = pd.DataFrame({"ind": np.repeat(part["ind"].to_numpy(), loci), "chr": name, "locus": np.tile(np.array(track.names, object), n), "ord": np.tile(np.arange(1, loci + 1, dtype=np.int32), n), "pos": np.tile(track.pos, n), column: values})
-    return out if keep is None else out[keep]
+def _long(b: pa.RecordBatch, name: str, track: Track, **columns) -> dict:
+    n, loci = len(b), len(track.pos)
+    names = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(loci, dtype=np.int32), n)), pa.array(track.names)).dictionary_decode()
+    return {"ind": np.repeat(b.column("ind").to_numpy(), loci), "chr": pa.array([name]).take(pa.array(np.zeros(n * loci, np.int32))), "locus": names, "ord": np.tile(np.arange(1, loci + 1, dtype=np.int32), n), "pos": np.tile(track.pos, n), **columns}
 
 
 def calc_genoprob(cross: Cross, step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed") -> DataFrame:
@@ -99,13 +134,13 @@ def calc_genoprob(cross: Cross, step: float = 0.0, off_end: float = 0.0, error:
     prepare(cross.geno.sparkSession)
     t, kind = tracks(cross, step, off_end, stepwidth), (cross.crosstype, cross.scheme)
 
-    def one(name, part):
+    def one(name, b, g):
         track = t[name]
-        emit = chains.emissions(kind[0], codes(part, track), error, track.chrtype)
+        emit = chains.emissions(kind[0], g, error, track.chrtype)
         p = chains.posterior(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function))
-        return _long(part, name, track, list(p.reshape(-1, p.shape[2])), "p")
+        return _long(b, name, track, p=lists(p.reshape(-1, p.shape[2])))
 
-    return sequences(cross).mapInPandas(_by_chr(one), PROB)
+    return sequences(cross).mapInArrow(by_chromosome(one, t, PROB), PROB)
 
 
 def argmax_geno(cross: Cross, step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed") -> DataFrame:
@@ -113,13 +148,15 @@ def argmax_geno(cross: Cross, step: float = 0.0, off_end: float = 0.0, error: fl
     prepare(cross.geno.sparkSession)
     t, kind = tracks(cross, step, off_end, stepwidth), (cross.crosstype, cross.scheme)
 
-    def one(name, part):
+    schema = "ind long, chr string, locus string, ord int, pos double, g int"
+
+    def one(name, b, g):
         track = t[name]
-        emit = chains.emissions(kind[0], codes(part, track), error, track.chrtype)
-        g = chains.viterbi(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function))
-        return _long(part, name, track, g.astype(np.int32).ravel(), "g")
+        emit = chains.emissions(kind[0], g, error, track.chrtype)
+        path = chains.viterbi(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function))
+        return _long(b, name, track, g=path.astype(np.int32).ravel())
 
-    return sequences(cross).mapInPandas(_by_chr(one), "ind long, chr string, locus string, ord int, pos double, g int")
+    return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema)
 
 
 def sim_geno(cross: Cross, n_draws: int = 16, step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed", seed: int = 1) -> DataFrame:
@@ -128,13 +165,15 @@ def sim_geno(cross: Cross, n_draws: int = 16, step: float = 0.0, off_end: float
     t, kind = tracks(cross, step, off_end, stepwidth), (cross.crosstype, cross.scheme)
     number = {c: k for k, c in enumerate(sorted(t))}
 
-    def one(name, part):
+    schema = "ind long, chr string, locus string, ord int, pos double, g array<int>"
+
+    def one(name, b, g):
         track = t[name]
-        emit = chains.emissions(kind[0], codes(part, track), error, track.chrtype)
-        g = chains.sample(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function), n_draws, [(seed, number[name], int(i)) for i in part["ind"]])
-        return _long(part, name, track, list(g.reshape(-1, n_draws).astype(np.int32)), "g")
+        emit = chains.emissions(kind[0], g, error, track.chrtype)
+        x = chains.sample(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function), n_draws, [(seed, number[name], int(i)) for i in b.column("ind").to_numpy()])
+        return _long(b, name, track, g=lists(x.reshape(-1, n_draws), pa.int32()))
 
-    return sequences(cross).mapInPandas(_by_chr(one), "ind long, chr string, locus string, ord int, pos double, g array<int>")
+    return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema)
 
 
 def fill_geno(cross: Cross, method: str = "argmax", error: float = 1e-4, min_prob: float = 0.95, seed: int = 1) -> Cross:
@@ -152,7 +191,7 @@ def fill_geno(cross: Cross, method: str = "argmax", error: float = 1e-4, min_pro
         from pyspark.sql import Window
 
         w = Window.partitionBy("ind", "chr").orderBy("ord")
-        full = sequences(cross).select("ind", "chr").join(F.broadcast(cross.map.select("chr", "marker", "ord")), "chr").join(cross.geno.select("ind", "marker", "g"), ["ind", "marker"], "left")
+        full = cross.individual.select("ind").join(F.broadcast(cross.map.select("chr", "marker", "ord"))).join(cross.geno.select("ind", "marker", "g"), ["ind", "marker"], "left")
         left, right = F.last("g", True).over(w), F.first("g", True).over(w.rowsBetween(0, Window.unboundedFollowing))
         return cross.with_(geno=full.withColumns({"l": left, "r": right}).withColumn("g", F.coalesce("g", F.when(F.col("l") == F.col("r"), F.col("l")))).where("g IS NOT NULL").select(cols))
     return cross.with_(geno=new.select("ind", "chr", F.col("locus").alias("marker"), "ord", F.col("g").cast("int").alias("g")))
@@ -163,27 +202,28 @@ def calc_errorlod(cross: Cross, error: float = 0.01, map_function: str = "haldan
     prepare(cross.geno.sparkSession)
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
 
-    def one(name, part):
+    schema = "ind long, chr string, locus string, errorlod double"
+
+    def one(name, b, g):
         track = t[name]
-        g = codes(part, track)
         init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function)
         sure = chains.emissions(kind[0], g, 1e-12, track.chrtype)
         noisy = chains.emissions(kind[0], g, error, track.chrtype)
-        a, b = chains.forward(sure, init, steps)[0], chains.backward(sure, steps)
+        a, back = chains.forward(sure, init, steps)[0], chains.backward(sure, steps)
         prior = np.empty_like(a)
         prior[:, 0] = init
         for j in range(1, a.shape[1]):
             prior[:, j] = a[:, j - 1] @ steps[j - 1]
-        p = prior * noisy * b
+        p = prior * noisy * back
         p /= p.sum(2, keepdims=True)
         right = (p * (sure > 0.5)).sum(2)
         with np.errstate(divide="ignore"):
             lod = np.log10(np.maximum(1 - right, 0) / np.maximum(right, 1e-300)) + np.log10((1 - error) / error)
         lod = np.where(g > 0, np.maximum(lod, -12), 0.0)
-        out = _long(part, name, track, lod.ravel(), "errorlod", (g > 0).ravel())
-        return out[["ind", "chr", "locus", "errorlod"]]
+        seen = pa.array((g > 0).ravel())
+        return {k: pa.array(x).filter(seen) if isinstance(x, np.ndarray) else x.filter(seen) for k, x in _long(b, name, track, errorlod=lod.ravel()).items()}
 
-    return sequences(cross).mapInPandas(_by_chr(one), "ind long, chr string, locus string, errorlod double").withColumnRenamed("locus", "marker")
+    return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema).withColumnRenamed("locus", "marker")
 
 
 def top_errorlod(errorlod: DataFrame, cutoff: float = 4.0) -> DataFrame:
@@ -193,16 +233,19 @@ def top_errorlod(errorlod: DataFrame, cutoff: float = 4.0) -> DataFrame:
 def _map_sums(seq: DataFrame, t: dict, kind: tuple, r: dict, error: float) -> dict:
     """Expected recombinant share summed over individuals for each interval, count of individuals, log10 likelihood."""
 
-    def one(name, part):
+    schema = "chr string, k int, s double, n long"
+
+    def one(name, b, g):
         track = t[name]
-        emit = chains.emissions(kind[0], codes(part, track), error, track.chrtype)
+        emit = chains.emissions(kind[0], g, error, track.chrtype)
         init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, r=r[name])
         ll = chains.forward(emit, init, steps)[1].sum() / np.log(10)
         pp = chains.pair_posterior(emit, init, steps)
         s = [float((pp[:, j] * chains.crossings(kind[0], r[name][j], pp.shape[2])).sum()) for j in range(pp.shape[1])]
-        return pd.DataFrame({"chr": name, "k": np.arange(len(s) + 1, dtype=np.int32), "s": [*s, ll], "n": len(part)})
+        n = len(s) + 1
+        return {"chr": [name] * n, "k": np.arange(n, dtype=np.int32), "s": [*s, ll], "n": [len(b)] * n}
 
-    rows = seq.mapInPandas(_by_chr(one), "chr string, k int, s double, n long").groupBy("chr", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    rows = seq.mapInArrow(by_chromosome(one, t, schema), schema).groupBy("chr", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
     return {(x["chr"], x["k"]): (x["s"], x["n"]) for x in rows}
 
 
@@ -218,7 +261,7 @@ def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", ma
     for _ in range(maxit):
         if not open_:
             break
-        got = _map_sums(seq.where(F.col("chr").isin(sorted(open_))), t, kind, r, error)
+        got = _map_sums(seq, {c: t[c] for c in open_}, kind, r, error)
         for c in sorted(open_):
             new = np.array([got[c, k][0] / got[c, k][1] for k in range(len(r[c]))])
             new = np.clip(new, tol / 1000, 0.5 - tol / 1000)

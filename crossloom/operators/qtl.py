@@ -12,13 +12,14 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossloom.functions import chains
 from crossloom.functions.stats import chi2_sf, f_sf
 from crossloom.model import Cross
-from crossloom.operators.hmm import Track, tracks
+from crossloom.operators.hmm import Track, codes, lists, tracks
 from crossloom.operators.scan import rss, weighted_average
 from crossloom.operators.scan2 import _chromosomes, people
 from crossloom.runtime import materialise, prepare
@@ -147,21 +148,20 @@ class Model:
             rows = rows.withColumn("z", F.array().cast("array<double>"))
 
         def run(batches):
-            for pdf in batches:
+            for b in batches:
+                if not len(b):
+                    continue
                 if method == "hk":
-                    got = {c: p for c, (p, _) in _chromosomes(pdf, t, kind, error, map_function).items()}
+                    got = [p for p, _ in _chromosomes(b, t, kind, error, map_function).values()]
                 else:
-                    got = {}
+                    got = []
                     for i, c in enumerate(sorted(t)):
-                        from crossloom.operators.hmm import codes
-
-                        part = pd.DataFrame({"at": [x[i]["at"] for x in pdf["chrs"]], "g": [x[i]["g"] for x in pdf["chrs"]]})
-                        emit = chains.emissions(kind[0], codes(part, t[c]), error, t[c].chrtype)
-                        got[c] = chains.sample(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function), n_draws, [(seed, i, int(x)) for x in pdf["ind"]]).astype(float)
-                p = [[got[c][k].ravel() for c in sorted(t)] for k in range(len(pdf))]
-                yield pd.DataFrame({"ind": pdf["ind"], "y": pdf["y"], "z": pdf["z"], "p": p})
+                        emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
+                        got.append(chains.sample(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function), n_draws, [(seed, i, int(x)) for x in b.column("ind").to_numpy()]).astype(float))
+                flat = np.concatenate([x.reshape(len(b), -1) for x in got], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("ind"), b.column("y"), b.column("z"), lists(flat)], names=["ind", "y", "z", "p"])
 
-        self.table = materialise(rows.mapInPandas(run, "ind long, y double, z array<double>, p array<array<double>>"), "model")
+        self.table = materialise(rows.mapInArrow(run, "ind long, y double, z array<double>, p array<double>"), "model")
         m = self.table.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).first()
         self.n, self.rss0 = m["n"], m["q"] - m["s"] ** 2 / m["n"]
 
@@ -179,6 +179,7 @@ class Model:
         names, chrs, draws, hk = self.names, self.chrs, self.n_draws, self.method == "hk"
         order = sorted(terms, key=lambda t: (len(t), sorted(t, key=_number)[0], sorted(t)))
         q_new = f"Q{len(loci) + 1}"
+        cuts = np.cumsum([sizes[c] * (k[x] if hk else draws) for c, x in enumerate(chrs)])[:-1]
 
         def factor(f, p, z, d, extra):
             if f in names:
@@ -192,7 +193,8 @@ class Model:
         def run(batches):
             for pdf in batches:
                 n = len(pdf)
-                p = [np.stack([r[c] for r in pdf["p"]]).reshape(n, sizes[c], -1) for c in range(len(chrs))]
+                flat = np.stack(pdf["p"].to_numpy())
+                p = [x.reshape(n, sizes[c], -1) for c, x in enumerate(np.split(flat, cuts, axis=1))]
                 z, y = np.stack(pdf["z"].to_numpy()).reshape(n, -1), pdf["y"].to_numpy()[:, None]
                 rows = []
                 for s, extra in enumerate(scans):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crossloom.functions import chains
 from crossloom.model import Cross
-from crossloom.operators.hmm import Track, _by_chr, codes, sequences, tracks
+from crossloom.operators.hmm import Track, _by_chr, by_chromosome, lists, sequences, tracks
 from crossloom.runtime import materialise, prepare
 
 _KEY = ["chr", "pos", "ord", "locus", "trait"]
@@ -51,8 +51,8 @@ def scan_binary_mr(cross: Cross, trait: str) -> DataFrame:
 # The table that all other methods read
 
 
-def design(cross: Cross, trait: str, kind: str = "prob", step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed", covar: DataFrame | None = None, names: list[str] | None = None, weights: DataFrame | None = None, n_draws: int = 16, seed: int = 1) -> tuple[DataFrame, dict[str, Track]]:
-    """ind, chr, p (probabilities of all loci, or draws), y, z (covariates in the order of ``names``), w: complete cases only."""
+def design(cross: Cross, trait: str, kind: str = "prob", step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed", covar: DataFrame | None = None, names: list[str] | None = None, weights: DataFrame | None = None, n_draws: int = 16, seed: int = 1, store: bool = True) -> tuple[DataFrame, dict[str, Track]]:
+    """ind, chr, p (probabilities of all loci, or draws), y, z (covariates in the order of ``names``), w: complete cases only. Stored, unless it is read once."""
     spark = cross.geno.sparkSession
     prepare(spark)
     t, ck = tracks(cross, step, off_end, stepwidth), (cross.crosstype, cross.scheme)
@@ -66,20 +66,20 @@ def design(cross: Cross, trait: str, kind: str = "prob", step: float = 0.0, off_
     y = y.join(weights, "ind").select("ind", "y", "z", F.col("w").cast("double")) if weights is not None else y.withColumn("w", F.lit(1.0))
     rows = sequences(cross).join(y, "ind")
 
-    def one(name, part):
+    schema = "ind long, chr string, p array<double>, y double, z array<double>, w double"
+
+    def one(name, b, g):
         track = t[name]
-        emit = chains.emissions(ck[0], codes(part, track), error, track.chrtype)
+        emit = chains.emissions(ck[0], g, error, track.chrtype)
         init, steps = chains.initial(ck[0], track.chrtype, ck[1]), track.steps(ck, map_function)
         if kind == "prob":
             x = chains.posterior(emit, init, steps)
         else:
-            x = chains.sample(emit, init, steps, n_draws, [(seed, number[name], int(i)) for i in part["ind"]]).astype(float)
-        out = part[["ind", "chr"]].copy()
-        out["p"] = list(x.reshape(len(part), -1))
-        return out.assign(y=part["y"], z=part["z"], w=part["w"])
+            x = chains.sample(emit, init, steps, n_draws, [(seed, number[name], int(i)) for i in b.column("ind").to_numpy()]).astype(float)
+        return {"ind": b.column("ind"), "chr": [name] * len(b), "p": lists(x.reshape(len(b), -1)), "y": b.column("y"), "z": b.column("z"), "w": b.column("w")}
 
-    table = rows.mapInPandas(_by_chr(one), "ind long, chr string, p array<double>, y double, z array<double>, w double")
-    return materialise(table, "design"), t
+    table = rows.mapInArrow(by_chromosome(one, t, schema), schema)
+    return (materialise(table, "design") if store else table), t
 
 
 def _arrays(part: pd.DataFrame, loci: int) -> tuple[np.ndarray, ...]:
@@ -139,7 +139,7 @@ def _names(addcovar, intcovar):
 def scan_hk(cross: Cross, trait: str, covar: DataFrame | None = None, addcovar: list[str] | None = None, intcovar: list[str] | None = None, weights: DataFrame | None = None, **grid) -> DataFrame:
     """Regression on genotype probabilities."""
     names = _names(addcovar, intcovar)
-    table, t = design(cross, trait, covar=covar, names=names, weights=weights, **grid)
+    table, t = design(cross, trait, covar=covar, names=names, weights=weights, store=False, **grid)
     add, inter = _covariates(names, addcovar, intcovar)
 
     def gram(_, p, y, z, w):
@@ -170,7 +170,7 @@ def weighted_average(lods: np.ndarray) -> float:
 def scan_imp(cross: Cross, trait: str, n_draws: int = 16, covar: DataFrame | None = None, addcovar: list[str] | None = None, intcovar: list[str] | None = None, seed: int = 1, **grid) -> DataFrame:
     """Multiple imputation."""
     names = _names(addcovar, intcovar)
-    table, t = design(cross, trait, "draws", covar=covar, names=names, n_draws=n_draws, seed=seed, **grid)
+    table, t = design(cross, trait, "draws", covar=covar, names=names, n_draws=n_draws, seed=seed, store=False, **grid)
     add, inter = _covariates(names, addcovar, intcovar)
     states = {c: chains.n_states(cross.crosstype, x.chrtype) for c, x in t.items()}
 
@@ -444,25 +444,26 @@ def scanone_perm(cross: Cross, trait: str, n_perm: int = 100, seed: int = 1, per
 
     The trait's values are broadcast (up to ``BROADCAST_PEOPLE``, 32 MB); a batch's permuted values follow from a keyed permutation of
     their indices, so no replicate is ever shuffled. More individuals go through a join by index instead."""
-    table, t = design(cross, trait, **grid)
-    spark = table.sparkSession
-    chrs = sorted(t)
-    index = materialise(table.where(F.col("chr") == chrs[0]).select("ind", "y").withColumn("i", F.row_number().over(Window.orderBy("ind")) - 1), "index")
+    typed = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).join(cross.individual.select("ind"), "ind", "left_semi")
+    index = materialise(typed.select("ind", "y").withColumn("i", F.row_number().over(Window.orderBy("ind")) - 1), "index")
     n = index.count()
     if n > BROADCAST_PEOPLE:
+        table, t = design(cross, trait, **grid)
         return _perm_by_join(table, t, index, n, n_perm, seed, trait, perm_xsp)
     y = index.orderBy("i").select("y").toPandas()["y"].to_numpy()
-    rows = table.drop("z", "w").join(index.select("ind", "i"), "ind")
+    rows, t = design(cross, trait, weights=index.select("ind", F.col("i").alias("w")), store=False, **grid)  # the weight's place holds the index
+    chrs = sorted(t)
 
     def one(name, part):
         p = np.stack(part["p"].to_numpy()).reshape(len(part), len(t[name].pos), -1)
-        i = part["i"].to_numpy()
+        i = part["w"].to_numpy().astype(np.int64)
         yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
         a, b = np.einsum("nla,nlb->lab", p, p), np.einsum("nla,nr->lar", p, yy)
         return pd.DataFrame({"chr": name, "k": np.arange(p.shape[1], dtype=np.int32), "a": list(a.reshape(len(a), -1)), "b": list(b.reshape(len(b), -1))})
 
     part = rows.mapInPandas(_by_chr(one), "chr string, k int, a array<double>, b array<double>")
     add = lambda c: part.select("chr", "k", F.posexplode(c).alias("j", "v")).groupBy("chr", "k", "j").agg(F.sum("v").alias("v")).groupBy("chr", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias(c))
+    part = materialise(part, "perm-sums")
     sums = add("a").join(add("b"), ["chr", "k"])
     tss = float(((y - y.mean()) ** 2).sum())
     total = float((y * y).sum())

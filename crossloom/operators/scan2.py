@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +21,23 @@ STATS = ("full", "fv1", "int", "add", "av1", "one")
 
 
 def people(cross: Cross, trait: str) -> DataFrame:
-    """ind, y, chrs: array of (chr, at, g)."""
+    """ind, m, g, y: see ``sequences``; individuals with the trait only."""
     y = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).select("ind", "y")
-    return sequences(cross).join(y, "ind").groupBy("ind", "y").agg(F.array_sort(F.collect_list(F.struct("chr", "at", "g"))).alias("chrs"))
+    return sequences(cross).join(y, "ind")
 
 
 def _loci(t: dict[str, Track]) -> list[tuple[str, int]]:
     return [(c, k) for c in sorted(t) for k in range(len(t[c].pos))]
 
 
-def _chromosomes(pdf: pd.DataFrame, t: dict[str, Track], kind: tuple, error: float, map_function: str) -> dict:
+def _chromosomes(b: pa.RecordBatch, t: dict[str, Track], kind: tuple, error: float, map_function: str) -> dict:
     """For each chromosome: posterior probabilities (n, loci, k) and conditional transitions (n, loci - 1, k, k)."""
     out = {}
-    for i, c in enumerate(sorted(t)):
-        part = pd.DataFrame({"at": [x[i]["at"] for x in pdf["chrs"]], "g": [x[i]["g"] for x in pdf["chrs"]]})
-        emit = chains.emissions(kind[0], codes(part, t[c]), error, t[c].chrtype)
+    for c in sorted(t):
+        emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
         init, steps = chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function)
         p = chains.posterior(emit, init, steps)
-        q = chains.pair_posterior(emit, init, steps) if steps else np.zeros((len(pdf), 0, p.shape[2], p.shape[2]))
+        q = chains.pair_posterior(emit, init, steps) if steps else np.zeros((len(b), 0, p.shape[2], p.shape[2]))
         out[c] = p, q / np.maximum(q.sum(3, keepdims=True), 1e-300)
     return out
 
@@ -59,6 +59,13 @@ def joint_designs(got: dict, loci: list, independent: bool = False):
             at += 1
 
 
+def _sums(rows: list, *names: str):
+    """A batch of (pair, k1, arrays...); nothing without rows."""
+    if rows:
+        arrays = [pa.array([r[k + 2] for r in rows], pa.list_(pa.float64())) for k in range(len(names))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *arrays], names=["pair", "k1", *names])
+
+
 def _collapse(k1: int, k2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maps from joint columns to: first locus, second locus, both additively."""
     one, two = np.kron(np.eye(k1), np.ones((k2, 1))), np.kron(np.ones((k1, 1)), np.eye(k2))
@@ -88,16 +95,15 @@ def scantwo_hk(cross: Cross, trait: str, step: float = 0.0, error: float = 1e-4,
     loci = _loci(t)
 
     def run(batches):
-        for pdf in batches:
-            y = pdf["y"].to_numpy()[:, None]
+        for b in batches:
+            y = b.column("y").to_numpy()[:, None]
             rows = []
-            for at, x, k1 in joint_designs(_chromosomes(pdf, t, kind, error, map_function), loci, independent):
+            for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent):
                 z = np.concatenate([x, y, np.ones_like(y)], axis=1)
                 rows.append((at, k1, (z.T @ z).ravel()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["pair", "k1", "s"])
+            yield from _sums(rows, "s")
 
-    part = people(cross, trait).mapInPandas(run, "pair int, k1 int, s array<double>")
+    part = people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>")
     each = part.select("pair", "k1", F.posexplode("s").alias("j", "v")).groupBy("pair", "k1", "j").agg(F.sum("v").alias("v"))
     gram = each.groupBy("pair", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s"))
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
@@ -190,14 +196,12 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
     tss, total = float(((y - y.mean()) ** 2).sum()), float((y * y).sum())
 
     def run(batches):
-        for pdf in batches:
-            i = pdf["i"].to_numpy()
+        for b in batches:
+            i = b.column("i").to_numpy()
             yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
-            rows = [(at, k1, (x.T @ x).ravel(), (x.T @ yy).ravel()) for at, x, k1 in joint_designs(_chromosomes(pdf, t, kind, error, map_function), loci, independent)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["pair", "k1", "a", "b"])
+            yield from _sums([(at, k1, (x.T @ x).ravel(), (x.T @ yy).ravel()) for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent)], "a", "b")
 
-    part = table.drop("y").join(index.select("ind", "i"), "ind").mapInPandas(run, "pair int, k1 int, a array<double>, b array<double>")
+    part = materialise(table.drop("y").join(index.select("ind", "i"), "ind").mapInArrow(run, "pair int, k1 int, a array<double>, b array<double>"), "pair-sums")
     add = lambda c: part.select("pair", "k1", F.posexplode(c).alias("j", "v")).groupBy("pair", "k1", "j").agg(F.sum("v").alias("v")).groupBy("pair", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias(c))
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 

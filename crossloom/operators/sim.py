@@ -239,7 +239,7 @@ def scan_phylo(crosses: dict[str, Cross], partitions: list[str], trait: str = "p
                 take = [*(range(d - 2) if s else []), d - 1, d - 2]
                 full[np.ix_(place, place)] += g[np.ix_(take, take)]
             lod = n / 2 * math.log10(r0 / rss(full, size - 1))
-            rows.append((part, key[0], float(t[key[0]].pos[key[1]]), key[1] + 1, t[key[0]].names[key[1]], max(0.0, lod)))
+            rows.append((part, key[0], float(t[key[0]].pos[key[1]]), key[1] + 1, t[key[0]].names[key[1]], float(max(0.0, lod))))
     return crosses[names[0]].geno.sparkSession.createDataFrame(rows, "partition string, chr string, pos double, ord int, locus string, lod double")
 
 
