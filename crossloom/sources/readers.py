@@ -1,4 +1,4 @@
-"""Readers of cross files: csv family, tidy, MapMaker, Cartographer, Gary, Karl, MapQTL, Map Manager, multi-parent lines.
+"""Readers of cross files: csv family, tidy, code matrices, MapMaker, Cartographer, MapQTL, Map Manager, multi-parent lines.
 
 Wide tables are read by Spark's csv reader and turned long by expressions. Free text formats are read whole (one file is one
 experiment) and parsed once; genotypes become DataFrames from there."""
