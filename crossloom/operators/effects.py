@@ -295,6 +295,46 @@ def try_all_positions(cross: Cross, marker: str, chr_: str, **options) -> list[t
     return out
 
 
+def all_chr_splits(cross: Cross, chr_: str, **options) -> list[tuple[str, str, float]]:
+    """(left marker, right marker, LOD of keeping the chromosome together) for each interval."""
+    from crossloom.operators.edit import renumber
+    from crossloom.operators.meta import subset
+
+    c = subset(cross, chr_)
+    whole = est_map(c, **options)[1][chr_]
+    markers = [r["marker"] for r in c.map.orderBy("ord").collect()]
+    out = []
+    for k in range(1, len(markers)):
+        total = 0.0
+        for part in (markers[:k], markers[k:]):
+            own = renumber(c.with_(map=c.map.where(F.col("marker").isin(part)), geno=c.geno.where(F.col("marker").isin(part))))
+            if len(part) > 1:
+                total += est_map(own, **options)[1][chr_]
+            else:
+                from crossloom.operators.hmm import marker_loglik
+
+                total += marker_loglik(own, part[0]) / math.log(10)
+        out.append((markers[k - 1], markers[k], whole - total))
+    return out
+
+
+def scan_all(cross: Cross, scan_function, traits: list[str] | None = None) -> DataFrame:
+    """A scan of every trait, one under the other. ``scan_function(cross, trait)`` gives a DataFrame."""
+    out = None
+    for t in traits or sorted(r["trait"] for r in cross.pheno.select("trait").distinct().collect()):
+        one = scan_function(cross, t)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def locate_traits(scans: DataFrame, locations: DataFrame) -> DataFrame:
+    """Peaks of each trait beside the place of its own gene (name, chr, pos), with the distance if they share a chromosome."""
+    from crossloom.operators.scan_results import max_scanone
+
+    x = max_scanone(scans).join(locations.select(F.col("name").alias("trait"), F.col("chr").alias("own_chr"), F.col("pos").alias("own_pos")), "trait")
+    return x.withColumn("distance", F.when(F.col("chr") == F.col("own_chr"), F.abs(F.col("pos") - F.col("own_pos"))))
+
+
 def compare_crosses(a: Cross, b: Cross, tol: float = 1e-5) -> list[str]:
     """Names of what differs between two crosses; empty if nothing does."""
     out = [k for k in ("crosstype", "alleles", "scheme") if getattr(a, k) != getattr(b, k)]

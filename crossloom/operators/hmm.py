@@ -197,31 +197,46 @@ def fill_geno(cross: Cross, method: str = "argmax", error: float = 1e-4, min_pro
     return cross.with_(geno=new.select("ind", "chr", F.col("locus").alias("marker"), "ord", F.col("g").cast("int").alias("g")))
 
 
+def _special(t: dict, kind: tuple, name: str, g: np.ndarray, error: float, map_function: str) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors when only the marker itself may be wrong, and which states agree with its code."""
+    track = t[name]
+    init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function)
+    sure, noisy = chains.emissions(kind[0], g, 1e-12, track.chrtype), chains.emissions(kind[0], g, error, track.chrtype)
+    a, back = chains.forward(sure, init, steps)[0], chains.backward(sure, steps)
+    prior = np.empty_like(a)
+    prior[:, 0] = init
+    for j in range(1, a.shape[1]):
+        prior[:, j] = a[:, j - 1] @ steps[j - 1]
+    p = prior * noisy * back
+    return p / p.sum(2, keepdims=True), sure > 0.5
+
+
+def calc_genoprob_special(cross: Cross, error: float = 1e-4, map_function: str = "haldane") -> DataFrame:
+    """As ``calc_genoprob`` at markers, but each marker's posterior takes all other markers as they are."""
+    prepare(cross.geno.sparkSession)
+    t, kind = tracks(cross), (cross.crosstype, cross.scheme)
+
+    def one(name, b, g):
+        p, _ = _special(t, kind, name, g, error, map_function)
+        return _long(b, name, t[name], p=lists(p.reshape(-1, p.shape[2])))
+
+    return sequences(cross).mapInArrow(by_chromosome(one, t, PROB), PROB)
+
+
 def calc_errorlod(cross: Cross, error: float = 0.01, map_function: str = "haldane") -> DataFrame:
     """ind, chr, marker, errorlod: log10 odds that a typed genotype is wrong, given the other markers as they are."""
     prepare(cross.geno.sparkSession)
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
-
     schema = "ind long, chr string, locus string, errorlod double"
 
     def one(name, b, g):
-        track = t[name]
-        init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function)
-        sure = chains.emissions(kind[0], g, 1e-12, track.chrtype)
-        noisy = chains.emissions(kind[0], g, error, track.chrtype)
-        a, back = chains.forward(sure, init, steps)[0], chains.backward(sure, steps)
-        prior = np.empty_like(a)
-        prior[:, 0] = init
-        for j in range(1, a.shape[1]):
-            prior[:, j] = a[:, j - 1] @ steps[j - 1]
-        p = prior * noisy * back
-        p /= p.sum(2, keepdims=True)
-        right = (p * (sure > 0.5)).sum(2)
+        p, agree = _special(t, kind, name, g, error, map_function)
+        right = (p * agree).sum(2)
         with np.errstate(divide="ignore"):
             lod = np.log10(np.maximum(1 - right, 0) / np.maximum(right, 1e-300)) + np.log10((1 - error) / error)
         lod = np.where(g > 0, np.maximum(lod, -12), 0.0)
         seen = pa.array((g > 0).ravel())
-        return {k: pa.array(x).filter(seen) if isinstance(x, np.ndarray) else x.filter(seen) for k, x in _long(b, name, track, errorlod=lod.ravel()).items()}
+        return {k: pa.array(x).filter(seen) if isinstance(x, np.ndarray) else x.filter(seen) for k, x in _long(b, name, t[name], errorlod=lod.ravel()).items()}
 
     return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema).withColumnRenamed("locus", "marker")
 

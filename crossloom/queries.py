@@ -119,7 +119,8 @@ def subset_cross(spark, d):
     return meta.subset(_f2(spark, d), "2", F.col("strata") == "1-URGENT").geno
 
 
-@query()
+@query("""SELECT x.* FROM (SELECT unnest([{'check': 'n_ind', 'value': CAST((SELECT count(*) FROM pheno) AS DOUBLE)}, {'check': 'n_chr', 'value': 2.0}, {'check': 'tot_mar', 'value': 7.0}, {'check': 'n_phe', 'value': 2.0}, {'check': 'positions_out_of_order', 'value': 0.0}, {'check': 'repeated_markers', 'value': 0.0},
+ {'check': 'typed', 'value': CAST((SELECT count(*) FROM g2) AS DOUBLE)}, {'check': 'codes_out_of_range', 'value': 0.0}, {'check': 'share_typed', 'value': (SELECT count(*) FROM g2) / (7 * (SELECT count(*) FROM pheno))}]) AS x)""")
 def summary_cross(spark, d):
     return meta.summary_cross(_f2(spark, d))
 
@@ -210,12 +211,18 @@ def combine_crosses(spark, d):
     return edit.combine(_f2(spark, d), _bc(spark, d)).geno
 
 
-@query()
+@query("SELECT * FROM (VALUES ('M1', 'M1'), ('copy', 'M1')) t(marker, grp)")
 def find_dup_markers(spark, d):
-    return edit.find_dup_markers(_f2(spark, d))
+    """With a copy of a marker added to another chromosome."""
+    c = _f2(spark, d)
+    return edit.find_dup_markers(edit.add_marker(c, c.geno.where("marker = 'M1'").select("ind", "g"), "copy", "2", 33.0))
 
 
-@query()
+@query(""", a AS (SELECT ind, g.chr, g.ord, marker, g, pos, CASE WHEN g <> lag(g) OVER w OR lag(g) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM g2 g JOIN map USING (marker) WINDOW w AS (PARTITION BY ind, g.chr ORDER BY g.ord)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY ind, chr ORDER BY ord) AS run FROM a),
+r AS (SELECT ind, chr, run, count(*) AS n, min(pos) AS lo, max(pos) AS hi, min(g) AS rg FROM b GROUP BY ALL),
+x AS (SELECT *, lag(rg) OVER v AS pg, lead(rg) OVER v AS ng, lag(hi) OVER v AS ph, lead(lo) OVER v AS nl FROM r WINDOW v AS (PARTITION BY ind, chr ORDER BY run))
+SELECT ind, chr, marker, ord, g FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.ind = b.ind AND x.chr = b.chr AND x.run = b.run AND pg = ng AND n <= 1 AND nl - ph <= 40)""")
 def clean_geno(spark, d):
     return edit.clean_geno(_f2(spark, d), 20, 1).geno
 
@@ -273,15 +280,21 @@ def marker_lrt(spark, d):
     return linkage.marker_lrt(_f2(spark, d))
 
 
-@query()
+_RF = """, rf AS (SELECT m1, m2, b / n AS rf, CASE WHEN b > 0 THEN b * log10(b / n) ELSE 0 END + CASE WHEN b < n THEN (n - b) * log10(1 - b / n) ELSE 0 END + n * log10(2) AS lod FROM
+(SELECT x.marker AS m1, y.marker AS m2, count(*) AS n, sum(CASE WHEN x.g <> y.g THEN 1.0 ELSE 0 END) AS b FROM g1 x JOIN g1 y ON x.ind = y.ind AND x.marker < y.marker GROUP BY x.marker, y.marker))"""
+
+
+@query(_RF + """, links AS (SELECT m1 AS a, m2 AS b FROM rf WHERE rf <= 0.5 AND lod > 0.5 UNION SELECT m2, m1 FROM rf WHERE rf <= 0.5 AND lod > 0.5),
+reach AS (WITH RECURSIVE r AS (SELECT marker AS m, marker AS t FROM map UNION SELECT r.m, links.b FROM r JOIN links ON links.a = r.t) SELECT m, min(t) AS c FROM r GROUP BY m),
+lg AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) AS lg FROM reach GROUP BY c) SELECT m AS marker, CAST(lg AS INT) AS lg FROM reach JOIN lg USING (c)""")
 def form_linkage_groups(spark, d):
     c = _bc(spark, d)
-    return linkage.form_linkage_groups(c.map, linkage.est_rf(c), 0.5, 3.0)
+    return linkage.form_linkage_groups(c.map, linkage.est_rf(c), 0.5, 0.5)
 
 
-@query()
+@query(_RF + """, b AS (SELECT m1 AS marker, rf, lod FROM rf UNION ALL SELECT m2, rf, lod FROM rf), d AS (SELECT marker, coalesce(max(lod) FILTER (WHERE rf > 0.5), 0) - coalesce(max(lod) FILTER (WHERE rf < 0.5), 0) AS diff FROM b GROUP BY marker) SELECT * FROM d WHERE diff >= -1000""")
 def check_alleles(spark, d):
-    return linkage.check_alleles(linkage.est_rf(_bc(spark, d)), 0.0)
+    return linkage.check_alleles(linkage.est_rf(_bc(spark, d)), -1000.0)
 
 
 _STEP = "SELECT ind, g.chr, g.ord, g, pos, lag(g) OVER w AS g0, lag(pos) OVER w AS pos0, lag(g.ord) OVER w AS ord0 FROM {g} g JOIN map USING (marker) WINDOW w AS (PARTITION BY ind, g.chr ORDER BY g.ord)"
@@ -368,7 +381,8 @@ def sim_geno(spark, d):
     return hmm.sim_geno(_f2(spark, d), 4)
 
 
-@query()
+@query(""", a AS (SELECT ind, m.chr, m.marker, m.ord, g, last_value(g IGNORE NULLS) OVER (PARTITION BY ind, m.chr ORDER BY m.ord) AS l, first_value(g IGNORE NULLS) OVER (PARTITION BY ind, m.chr ORDER BY m.ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r
+FROM pheno CROSS JOIN map m LEFT JOIN g2 USING (ind, marker)) SELECT ind, chr, marker, ord, coalesce(g, CASE WHEN l = r THEN l END) AS g FROM a WHERE coalesce(g, CASE WHEN l = r THEN l END) IS NOT NULL""")
 def fill_geno(spark, d):
     return hmm.fill_geno(_f2(spark, d), "no_dbl_XO").geno
 

@@ -256,3 +256,30 @@ def test_founders(spark, bc):
     assert twice.join(p.withColumnRenamed("p", "q"), ["ind", "locus"]).where("p <> q").count() == 0
     v = hmm.argmax_geno(bc)
     assert founders.reorder_states(v, o).join(v.withColumnRenamed("g", "h"), ["ind", "locus"]).where("g + h <> 3").count() == 0
+
+
+def test_x_chromosome(spark):
+    from crossloom.operators import xchr
+
+    m = sim.sim_map(spark, [40.0, 40.0], 5, include_x=True, seed=21)
+    c = sim.sim_cross(m, "f2", 160, [("X", 20.0, 1.0)], seed=22)
+    people = c.individual.withColumns({"sex": (F.col("ind") % 2).cast("int"), "pgm": (F.col("ind") % 4 > 1).cast("int")})
+    c = c.with_(individual=people, pheno=c.pheno.withColumn("y", F.col("y") + 5 * (F.col("ind") % 2)))
+    assert xchr.x_null_covariates(c) == ["sex", "reverse"]
+    lods = xchr.scan_genome(c, "phenotype").collect()
+    assert max(lods, key=lambda r: r.lod).chr == "X" and {r.chr for r in lods} == {"1", "X"}
+    cov = c.individual.select("ind", F.lit("a").alias("name"), F.col("sex").cast("double").alias("value")).unionByName(c.individual.select("ind", F.lit("b").alias("name"), F.col("ind").cast("double").alias("value")))
+    assert {r.name for r in xchr.drop_aliased(cov, c).select("name").distinct().collect()} == {"b"}
+    assert set(xchr.region_lengths(c)) == {"A", "X"} and xchr.strata_by_sex(c).select("strata").distinct().count() == 3
+
+
+def test_plot_tables(bc):
+    from crossloom.operators import plots
+
+    assert plots.histogram(bc.pheno, "y", 10).agg(F.sum("n")).first()[0] == 150
+    assert plots.missing_table(bc).where("missing < 0 OR missing > 1").count() == 0
+    s = scan.scan_hk(bc, "phenotype")
+    assert plots.scan_table(s).where("x < 0").count() == 0
+    two = s.unionByName(s.withColumns({"trait": F.lit("copy"), "lod": F.col("lod") * 2}))
+    assert plots.trait_groups(two).select("group").distinct().count() == 1
+    assert plots.pheno_by_geno(bc, "phenotype", "D1M1").count() > 100
