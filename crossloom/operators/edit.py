@@ -291,6 +291,19 @@ def complete_cases(cross: Cross, traits: list[str], covar: DataFrame | None = No
     return ok
 
 
+def form_marker_covar(cross: Cross, loci: list[tuple[str, float]], error: float = 1e-4) -> DataFrame:
+    """ind, name, value: probabilities of all genotypes but the first at the markers nearest to places (chr, pos), as covariates."""
+    from crossloom.operators.hmm import calc_genoprob
+    from crossloom.operators.meta import find_pseudomarker
+
+    spark = cross.map.sparkSession
+    places = spark.createDataFrame([(c, float(x)) for c, x in loci], "chr string, pos double")
+    names = find_pseudomarker(cross.map.select("chr", F.col("marker").alias("locus"), "pos"), places).select("locus").distinct()
+    p = calc_genoprob(cross, error=error).join(F.broadcast(names), "locus", "left_semi")
+    x = p.select("ind", "locus", F.posexplode("p").alias("k", "value")).where("k > 0")
+    return x.select("ind", F.concat_ws(".", "locus", (F.col("k") + 1).cast("string")).alias("name"), "value")
+
+
 def estimate_marker_lod(result: DataFrame) -> DataFrame:
     """Null LODs filled by linear interpolation between their neighbours on the chromosome."""
     at = F.when(F.col("lod").isNotNull(), F.struct("pos", "lod"))

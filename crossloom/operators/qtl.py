@@ -142,8 +142,8 @@ class Model:
         self.chrs = sorted(t)
         rows = people(cross, trait)
         if names:
-            wide = covar.where("value IS NOT NULL").groupBy("ind").pivot("name", names).agg(F.first("value")).dropna()
-            rows = rows.join(wide, "ind").withColumn("z", F.array(*(F.col(f"`{n}`").cast("double") for n in names)))
+            wide = covar.where("value IS NOT NULL").groupBy("ind").pivot("name", names).agg(F.first("value"))
+            rows = rows.join(wide, "ind").withColumn("z", F.array(*(F.col(f"`{n}`").cast("double") for n in names))).where("NOT exists(z, x -> x IS NULL)")
         else:
             rows = rows.withColumn("z", F.array().cast("array<double>"))
 
@@ -169,9 +169,9 @@ class Model:
         c, _, name = locus
         return self.chrs.index(c), self.tracks[c].names.index(name)
 
-    def grams(self, loci: list, terms, scan: list | None = None) -> list[np.ndarray]:
+    def grams(self, loci: list, terms, scan: list | None = None, fold=None) -> list[np.ndarray]:
         """Gram matrices (one for each imputation, or one) of the ones, the terms' columns and the response; for a scan, the loci in it
-        take the last Q in turn and there is a list for each."""
+        take the last Q in turn and there is a list for each. ``fold(x, y)``: other sums of the columns and the response instead."""
         k = {c: chains.n_states(self.crosstype, self.tracks[c].chrtype) for c in self.chrs}
         sizes = [len(self.tracks[c].pos) for c in self.chrs]
         where = [self._index(x) for x in loci]
@@ -205,6 +205,9 @@ class Model:
                             for f in sorted(term, key=_number):
                                 x = (x[:, :, None] * factor(f, p, z, d, extra)[:, None, :]).reshape(n, -1)
                             parts.append(x)
+                        if fold is not None:
+                            rows.append((s, d, fold(np.concatenate(parts, axis=1), y[:, 0])))
+                            continue
                         m = np.concatenate([*parts, y], axis=1)
                         rows.append((s, d, (m.T @ m).ravel()))
                 yield pd.DataFrame(rows, columns=["s", "d", "g"])
@@ -215,7 +218,7 @@ class Model:
         out: list = [[] for _ in scans]
         for r in sorted(rows, key=lambda r: (r["s"], r["d"])):
             e = math.isqrt(len(r["g"]))
-            out[r["s"]].append(np.array(r["g"]).reshape(e, e))
+            out[r["s"]].append(np.array(r["g"]).reshape(e, e) if fold is None else np.array(r["g"]))
         return out if scan is not None else out[0]
 
     def _spans(self, loci, terms, new: tuple | None = None) -> dict[frozenset, range]:
@@ -260,6 +263,35 @@ class Model:
         est = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
         return {"lod": full, "df": df, "n": self.n, "pvar": 100 * (1 - 10 ** (-2 * full / self.n)), "p_chi2": chi2_sf(2 * math.log(10) * full, df) if df else 1.0, "p_f": f_sf((self.rss0 / (self.rss0 * 10 ** (-2 * full / self.n)) - 1) * (self.n - df - 1) / max(1, df), max(1, df), self.n - df - 1), "dropone": sorted(drop), "estimates": est, "formula": format_formula(terms)}
 
+    def fit_binary(self, qtl: Qtl, formula: str | frozenset | None = None, maxit: int = 50, tol: float = 1e-6) -> dict:
+        """LOD of a logistic model on probabilities: each round is one pass that sums weighted equations."""
+        terms = parse_formula(formula) if isinstance(formula, str) else formula if formula is not None else frozenset(frozenset([f"Q{k + 1}"]) for k in range(len(qtl)))
+        q = 1 + sum(map(len, self._spans(qtl.loci, terms).values()))
+        m = self.table.agg(F.avg("y").alias("m")).first()["m"]
+        share = min(max(m, 1e-12), 1 - 1e-12)
+        null = self.n * (share * math.log(share) + (1 - share) * math.log(1 - share))
+        b, last = np.zeros(q), None
+        b[0] = math.log(share / (1 - share))
+        for _ in range(maxit):
+            s = np.array(self._weighted(list(qtl.loci), terms, b))
+            ll = s[-1]
+            if last is not None and abs(ll - last) < tol:
+                break
+            last = ll
+            b = b + np.linalg.lstsq(s[: q * q].reshape(q, q), s[q * q : -1], rcond=1e-10)[0]
+        return {"lod": (ll - null) / math.log(10), "estimates": b, "formula": format_formula(terms)}
+
+    def _weighted(self, loci: list, terms, b: np.ndarray) -> list[float]:
+        """Sums of x'wx, x'(y - mu) and the log likelihood of a logistic model."""
+
+        def fold(x, y):
+            mu = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+            w = np.maximum(mu * (1 - mu), 1e-12)
+            ll = (y * np.log(np.maximum(mu, 1e-300)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-300))).sum()
+            return np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ (y - mu), [ll]])
+
+        return self.grams(loci, terms, None, fold)[0]
+
     def all_loci(self, chrs: list[str] | None = None) -> list:
         return [(c, float(self.tracks[c].pos[k]), self.tracks[c].names[k]) for c in chrs or self.chrs for k in range(len(self.tracks[c].pos))]
 

@@ -59,8 +59,8 @@ def design(cross: Cross, trait: str, kind: str = "prob", step: float = 0.0, off_
     number = {c: k for k, c in enumerate(sorted(t))}
     y = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).select("ind", "y")
     if names:
-        wide = covar.where("value IS NOT NULL AND NOT isnan(value)").groupBy("ind").pivot("name", names).agg(F.first("value")).dropna()
-        y = y.join(wide, "ind").select("ind", "y", F.array(*(F.col(f"`{n}`").cast("double") for n in names)).alias("z"))
+        wide = covar.where("value IS NOT NULL AND NOT isnan(value)").groupBy("ind").pivot("name", names).agg(F.first("value"))
+        y = y.join(wide, "ind").select("ind", "y", F.array(*(F.col(f"`{n}`").cast("double") for n in names)).alias("z")).where("NOT exists(z, x -> x IS NULL)")
     else:
         y = y.withColumn("z", F.array().cast("array<double>"))
     y = y.join(weights, "ind").select("ind", "y", "z", F.col("w").cast("double")) if weights is not None else y.withColumn("w", F.lit(1.0))

@@ -240,3 +240,69 @@ def calc_penalties(perms: DataFrame, alpha: float = 0.05) -> dict[str, float]:
     """main = q(one), heavy = q(int), light = q(fv1) - q(one)."""
     q = {r["stat"]: r["threshold"] for r in scantwo_thresholds(perms, [alpha]).collect()}
     return {"main": q["one"], "heavy": q["int"], "light": q["fv1"] - q["one"]}
+
+
+def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, error: float = 1e-4, map_function: str = "haldane", seed: int = 1) -> DataFrame:
+    """Pairs of loci by multiple imputation: Gram matrices of each draw are summed in one pass and their LODs combined."""
+    from crossloom.operators.scan import weighted_average
+
+    prepare(cross.geno.sparkSession)
+    t, kind = tracks(cross, step), (cross.crosstype, cross.scheme)
+    loci = _loci(t)
+    k = {c: chains.n_states(kind[0], x.chrtype) for c, x in t.items()}
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            got, ids = {}, b.column("ind").to_numpy()
+            for i, c in enumerate(sorted(t)):
+                emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
+                got[c] = chains.sample(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function), n_draws, [(seed, i, int(x)) for x in ids])
+            y = b.column("y").to_numpy()[:, None]
+            rows, at = [], 0
+            for i, (c1, u) in enumerate(loci):
+                for c2, v in loci[i + 1 :]:
+                    for d in range(n_draws):
+                        cell = (got[c1][:, u, d].astype(int) - 1) * k[c2] + got[c2][:, v, d] - 1
+                        z = np.concatenate([(cell[:, None] == np.arange(k[c1] * k[c2])).astype(float), y, np.ones_like(y)], axis=1)
+                        rows.append((at * n_draws + d, k[c1], (z.T @ z).ravel()))
+                    at += 1
+            yield from _sums(rows, "s")
+
+    part = people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>")
+    each = part.select("pair", "k1", F.posexplode("s").alias("j", "v")).groupBy("pair", "k1", "j").agg(F.sum("v").alias("v"))
+    gram = each.groupBy("pair", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s"))
+    whole = gram.groupBy(F.floor(F.col("pair") / n_draws).cast("int").alias("pair"), "k1").agg(F.collect_list("s").alias("s"))
+    pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for pair, k1, ss in zip(pdf["pair"], pdf["k1"], pdf["s"], strict=True):
+                d = math.isqrt(len(ss[0]))
+                lods = np.array([_lods(np.asarray(s).reshape(d, d), k1, (d - 2) // k1) for s in ss])
+                (c1, a), (c2, b) = pairs[pair]
+                out.append((c1, t[c1].pos[a], t[c1].names[a], c2, t[c2].pos[b], t[c2].names[b], trait, *(weighted_average(lods[:, j]) for j in range(4))))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
+
+    return whole.mapInPandas(solve, _SCHEMA)
+
+
+def scantwo_pvalues(summary: DataFrame, perms: DataFrame) -> DataFrame:
+    """Share of replicates that reach each of the five statistics of a summary."""
+    m = perms.groupBy("trait").pivot("stat", list(STATS)).agg(F.collect_list("value"))
+    x = summary.join(F.broadcast(m.withColumnsRenamed({s: f"_{s}" for s in STATS})), "trait")
+    share = lambda s: F.size(F.filter(f"_{s}", lambda v: v >= F.col(s))) / F.size(f"_{s}")
+    return x.withColumns({f"p_{s}": share(s) for s in STATS[:5]}).drop(*(f"_{s}" for s in STATS))
+
+
+def replace_map_pairs(scan: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both axes of a pair scan translated to another map."""
+    from crossloom.operators.edit import interp_positions
+
+    for c, p in (("chr1", "pos1"), ("chr2", "pos2")):
+        at = scan.select(F.col(c).alias("chr"), F.col(p).alias("pos")).distinct()
+        moved = interp_positions(old, new, at).select(F.col("chr").alias(c), F.col("pos").alias(p), "new_pos")
+        scan = scan.join(F.broadcast(moved), [c, p]).withColumn(p, F.col("new_pos")).drop("new_pos")
+    return scan

@@ -283,3 +283,47 @@ def test_plot_tables(bc):
     two = s.unionByName(s.withColumns({"trait": F.lit("copy"), "lod": F.col("lod") * 2}))
     assert plots.trait_groups(two).select("group").distinct().count() == 1
     assert plots.pheno_by_geno(bc, "phenotype", "D1M1").count() > 100
+
+
+def test_permuted_phenotypes(bc):
+    from crossloom.operators import permute
+
+    strata = bc.individual.select("ind", (F.col("ind") % 2).cast("string").alias("strata"))
+    new = permute.permuted(bc, "phenotype", 1, strata=strata)
+    a, b = ({r.ind: r.y for r in c.pheno.collect()} for c in (bc, new))
+    for k in (0, 1):
+        assert sorted(a[i] for i in a if i % 2 == k) == sorted(b[i] for i in b if i % 2 == k)
+    assert a != b
+    reps = permute.permute_scan(bc, "phenotype", lambda c, t: scan.scan_mr(c, [t]), 3)
+    assert permute.replicate_maxima(reps, "phenotype").count() == 3
+    z = [r.y for r in permute.permuted(bc, "phenotype", 1, simulate=True).pheno.collect()]
+    assert abs(np.mean(z)) < 0.4 and 0.7 < np.std(z) < 1.3
+
+
+def test_more_models(bc):
+    b = bc.with_(pheno=bc.pheno.withColumn("y", (F.col("y") > 0).cast("double")))
+    hk = {r.locus: r.lod for r in scan.scan_binary(b, "phenotype", "hk").collect()}
+    m = qtl.Model(b, "phenotype")
+    q = qtl.Qtl((next(x for x in m.all_loci() if x[2] == "D1M3"),))
+    assert abs(m.fit_binary(q)["lod"] - hk["D1M3"]) < 0.01
+    two = {(r.locus1, r.locus2): r for r in scan2.scantwo_imp(bc, "phenotype", 4).collect()}
+    ref = {(r.locus1, r.locus2): r for r in scan2.scantwo_hk(bc, "phenotype").collect()}
+    assert two.keys() == ref.keys() and all(abs(two[k].lod_full - ref[k].lod_full) < 0.4 * ref[k].lod_full + 1 for k in ref)
+    cov = edit.form_marker_covar(bc, [("1", 30.0)])
+    assert cov.count() == 150
+    names = [r.name for r in cov.select("name").distinct().collect()]
+    with_cov = scan.scan_hk(bc, "phenotype", covar=cov, addcovar=names).where("chr = '1'")
+    assert with_cov.agg(F.min("lod")).first()[0] < 0.2
+    p = hmm.calc_genoprob_special(bc)
+    assert p.where(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).count() == 0
+    s = scan2.scantwo_hk(bc, "phenotype")
+    moved = scan2.replace_map_pairs(s, bc.map, edit.shift_map(bc.map, 100.0))
+    assert moved.where("pos1 < 99.9 OR pos2 < 99.9").count() == 0 and moved.count() == s.count()
+    perms = scan2.scantwo_perm(bc, "phenotype", 3)
+    assert scan2.scantwo_pvalues(scan2.summary_scantwo(s), perms).where("p_full BETWEEN 0 AND 1").count() == 3
+    assert effects.scan_all(bc, lambda c, t: scan.scan_mr(c, [t])).count() == 12
+
+
+def test_chromosome_splits(bc):
+    rows = effects.all_chr_splits(bc, "2", tol=1e-3, maxit=15)
+    assert len(rows) == 5 and all(x[2] > 0 for x in rows)
