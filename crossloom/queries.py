@@ -676,3 +676,94 @@ def scan_phylo(spark, d):
 
     crosses = sim.sim_phylo(sales_map(spark), "ABC", "A|BC", ["AB", "AC", "BC"], 60, [("1", 10.0, 1.0)])
     return sim.summary_phylo(sim.scan_phylo(crosses, sim.all_partitions("ABC")))
+
+
+# More scans, permutations of any scan, tables behind plots
+
+
+@query()
+def scantwo_imp(spark, d):
+    from crossloom.operators import scan2
+
+    return scan2.scantwo_imp(_bc(spark, d), "price", 4)
+
+
+@query()
+def scantwo_pvalues(spark, d):
+    from crossloom.operators import scan2
+
+    c = _bc(spark, d)
+    return scan2.scantwo_pvalues(scan2.summary_scantwo(scan2.scantwo_hk(c, "price")), scan2.scantwo_perm(c, "price", 5))
+
+
+@query()
+def fit_qtl_binary(spark, d):
+    from crossloom.operators import qtl
+
+    c = _bc(spark, d)
+    got = qtl.Model(c, "done").fit_binary(qtl.make_qtl(c, ["1", "2"], [10.0, 0.0]))
+    return spark.createDataFrame([(got["formula"], float(got["lod"]))], "formula string, lod double")
+
+
+@query()
+def permute_scan(spark, d):
+    from crossloom.operators import permute
+
+    return permute.replicate_maxima(permute.permute_scan(_f2(spark, d), "price", lambda c, t: scan.scan_mr(c, [t]), 3), "price")
+
+
+@query(_MR.format(g="g2").replace("FROM g2 JOIN pheno USING (ind)", "FROM g2 JOIN pheno USING (ind)") + " SELECT * FROM mr UNION ALL SELECT chr, pos, ord, locus, 'done', lod FROM (" + _MR.format(g="g2").split("mr AS (")[1].rstrip()[:-1].replace("FROM cell c", "FROM (SELECT chr, marker, ord, g, count(*) AS n, sum(b) AS s, sum(b * b) AS q FROM g2 JOIN pheno USING (ind) GROUP BY ALL) c") + ")")
+def scan_all_traits(spark, d):
+    from crossloom.operators import effects
+
+    return effects.scan_all(_f2(spark, d), lambda c, t: scan.scan_mr(c, [t]))
+
+
+@query("SELECT m.chr, m.ord, m.marker, 1 - coalesce(n, 0) / (SELECT count(*) FROM pheno) AS missing FROM map m LEFT JOIN (SELECT marker, count(*) AS n FROM g2 GROUP BY marker) USING (marker)")
+def plot_missing(spark, d):
+    from crossloom.operators import plots
+
+    return plots.missing_table(_f2(spark, d))
+
+
+@query(", r AS (SELECT min(y) AS lo, max(y) AS hi, (max(y) - min(y)) / 20 AS w FROM pheno) SELECT CAST(least(floor((y - lo) / w), 19) AS BIGINT) AS bin, any_value(lo + w * least(floor((y - lo) / w), 19)) AS lo, count(*) AS n FROM pheno, r GROUP BY 1")
+def plot_pheno(spark, d):
+    from crossloom.operators import plots
+
+    return plots.histogram(_f2(spark, d).pheno.where("trait = 'price'"), "y", 20)
+
+
+@query("SELECT g, y FROM g2 JOIN pheno USING (ind) WHERE marker = 'M4'")
+def plot_pheno_by_geno(spark, d):
+    from crossloom.operators import plots
+
+    return plots.pheno_by_geno(_f2(spark, d), "price", "M4")
+
+
+@query("SELECT ind, chr, ord, g FROM g2 WHERE chr = '1'")
+def plot_geno_image(spark, d):
+    from crossloom.operators import plots
+
+    return plots.geno_image(_f2(spark, d), "1")
+
+
+@query(_MR.format(g="g2") + " SELECT *, pos + CASE chr WHEN '2' THEN 30 + 25 ELSE 0 END AS x FROM mr")
+def plot_scan(spark, d):
+    from crossloom.operators import plots
+
+    return plots.scan_table(scan.scan_mr(_f2(spark, d), ["price"]))
+
+
+@query(_RF + " SELECT m1, m2, lod AS value FROM rf UNION ALL SELECT m2, m1, lod FROM rf")
+def pull_rf(spark, d):
+    return meta.pull_rf(linkage.est_rf(_bc(spark, d)), "lod")
+
+
+@query(_BC_PROB + " SELECT ind, chr, locus, pos, 2 AS genotype, round(p2, 8) AS p FROM prob")
+def pull_genoprob(spark, d):
+    return meta.pull_genoprob(hmm.calc_genoprob(_bc(spark, d)), omit_first=True).withColumn("p", F.round("p", 8))
+
+
+@query(_BC_PROB + " SELECT ind, 'M2.2' AS name, round(p2, 8) AS value FROM prob WHERE locus = 'M2'")
+def form_marker_covar(spark, d):
+    return edit.form_marker_covar(_bc(spark, d), [("1", 11.0)]).withColumn("value", F.round("value", 8))
