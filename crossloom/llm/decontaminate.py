@@ -114,3 +114,21 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     found = occurrences(docs.select("doc_id", "text"), benchmark, window)
     gone = materialise(found.where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "contaminated")
     return docs.join(_small(gone), docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left_anti")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows and columns of ``docs``; words inside an occurrence of a window are cut out of ``text``, with what stands between
+    two of them. Texts without occurrence stay as they are."""
+    found = occurrences(docs.select("doc_id", "text"), benchmark, window)
+    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["m"] - 1))))
+    cut = materialise(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), hit.alias("_hit")), "spans")
+    joined = docs.join(_small(cut), docs["doc_id"].eqNullSafe(cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_th"]), "left")
+    words_ = raw_words(F.col("text"))
+    between = F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    gone = lambda i: F.array_contains("_hit", i)
+    each = F.transform(
+        F.sequence(F.lit(0), F.size(words_) - 1),
+        lambda i: F.concat(F.when(gone(i), F.lit("")).otherwise(F.get(words_, i)), F.when(gone(i) & gone(i + 1), F.lit("")).otherwise(F.get(between, i + 1))),
+    )
+    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(each, "")))
+    return joined.withColumn("text", text).select(docs.columns)

@@ -60,3 +60,13 @@ def test_empty_tables_and_removal(spark, odd_docs, none):
     kept = d.remove(odd_docs, b)
     assert kept.columns == odd_docs.columns
     assert kept.count() == d.contamination(odd_docs, b).where("NOT contaminated").count()
+
+
+def test_spans_are_cut_out(spark, odd_docs):
+    b = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "(one) Alpha, BETA; gamma! two. DELTA?"), (2, "alpha beta"), (3, None), (4, ""), (5, "delta delta")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in d.remove_spans(docs, b).collect()}
+    assert got == {1: "(one) ! two. ?", 2: "alpha beta", 3: None, 4: "", 5: ""}
+    out = d.remove_spans(odd_docs, items(spark, odd_docs))
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    assert d.contamination(out.where("doc_id IN (1, 4)"), items(spark, odd_docs).where("item_id < 10")).where("n_hit > 0").count() == 0
