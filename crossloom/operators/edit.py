@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossloom.functions.maps import MAP_FUNCTIONS
 from crossloom.model import Cross
+from crossloom.operators.order import running_total
 
 _G = ["ind", "chr", "marker", "ord", "g"]
 
@@ -217,8 +218,9 @@ def nq_rank(cross: Cross, trait: str) -> Cross:
 
     own = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull())
     values = own.groupBy("y").agg(F.count(F.lit(1)).alias("k"))
-    ranked = values.withColumn("upto", F.sum("k").over(Window.orderBy("y"))).withColumn("rank", F.col("upto") - F.col("k") + (F.col("k") + 1) / 2)
-    ranked = ranked.withColumn("z", norm_quantile_udf((F.col("rank") - 0.5) / F.sum("k").over(Window.partitionBy())))
+    total = values.agg(F.sum("k").alias("n"))
+    ranked = running_total(values, "y", "k", "upto").join(F.broadcast(total)).withColumn("rank", F.col("upto") - F.col("k") + (F.col("k") + 1) / 2)
+    ranked = ranked.withColumn("z", norm_quantile_udf((F.col("rank") - 0.5) / F.col("n")))
     joined = own.join(ranked.select("y", "z"), "y")
     stats = joined.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s"), F.avg("z").alias("mz"), F.stddev_samp("z").alias("sz"))
     new = joined.join(F.broadcast(stats)).select("ind", "trait", ((F.col("z") - F.col("mz")) / F.col("sz") * F.col("s") + F.col("m")).alias("y"))

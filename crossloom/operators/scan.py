@@ -11,12 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossloom.functions import chains
 from crossloom.model import Cross
 from crossloom.operators.hmm import Track, _by_chr, by_chromosome, lists, sequences, tracks
+from crossloom.operators.order import row_numbers, running_total
 from crossloom.runtime import materialise, prepare
 
 _KEY = ["chr", "pos", "ord", "locus", "trait"]
@@ -377,7 +378,7 @@ def scan_2part(cross: Cross, trait: str, spike: float | None = None, maxit: int
 def ranks(y: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ind, rank) with mean ranks for ties, and one row: n, correction for ties. Ranks come from running sums over distinct values."""
     values = y.groupBy("y").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    r = values.withColumn("rank", F.sum("k").over(Window.orderBy("y")) - (F.col("k") - 1) / 2)
+    r = running_total(values, "y", "k", "upto").withColumn("rank", F.col("upto") - (F.col("k") - 1) / 2)
     total = values.agg(F.sum("k").alias("n"), F.sum(F.pow("k", F.lit(3.0)) - F.col("k")).alias("ties"))
     return y.join(r.select("y", "rank"), "y").select("ind", "rank"), total.select("n", (1 - F.col("ties") / (F.pow("n", F.lit(3.0)) - F.col("n"))).alias("correct"))
 
@@ -445,7 +446,7 @@ def scanone_perm(cross: Cross, trait: str, n_perm: int = 100, seed: int = 1, per
     The trait's values are broadcast (up to ``BROADCAST_PEOPLE``, 32 MB); a batch's permuted values follow from a keyed permutation of
     their indices, so no replicate is ever shuffled. More individuals go through a join by index instead."""
     typed = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).join(cross.individual.select("ind"), "ind", "left_semi")
-    index = materialise(typed.select("ind", "y").withColumn("i", F.row_number().over(Window.orderBy("ind")) - 1), "index")
+    index = materialise(row_numbers(typed.select("ind", "y"), "ind", "i"), "index")
     n = index.count()
     if n > BROADCAST_PEOPLE:
         table, t = design(cross, trait, **grid)

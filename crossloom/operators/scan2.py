@@ -7,12 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossloom.functions import chains
 from crossloom.model import Cross
 from crossloom.operators.hmm import Track, codes, sequences, tracks
+from crossloom.operators.order import row_numbers
 from crossloom.operators.scan import BROADCAST_PEOPLE, _feistel, rss
 from crossloom.runtime import materialise, prepare
 
@@ -188,7 +189,7 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
     t, kind = tracks(cross, step), (cross.crosstype, cross.scheme)
     loci = _loci(t)
     table = materialise(people(cross, trait), "people")
-    index = materialise(table.select("ind", "y").withColumn("i", F.row_number().over(Window.orderBy("ind")) - 1), "index")
+    index = materialise(row_numbers(table.select("ind", "y"), "ind", "i"), "index")
     n = index.count()
     if n > BROADCAST_PEOPLE:
         raise ValueError(f"more than {BROADCAST_PEOPLE} individuals: their trait isn't broadcast")

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossloom.functions.maps import np_imf
 from crossloom.model import INDIVIDUAL, MAP, PHENO, Cross
 from crossloom.operators.edit import fix_x_geno, renumber
 from crossloom.operators.meta import get_sex
+from crossloom.operators.order import row_numbers
 
 NA = ("-", "NA", "")
 GENOTYPES = ("A", "H", "B", "D", "C")
@@ -77,7 +78,7 @@ def _phenotypes(wide: DataFrame, names: list[str], na, dec: str = ".") -> DataFr
 def _numbered(df: DataFrame, skip: int) -> DataFrame:
     """Rows after the first ``skip``, numbered from 1 in file order."""
     x = df.withColumn("_k", F.monotonically_increasing_id())
-    return x.withColumn("ind", F.row_number().over(Window.orderBy("_k")).cast("long") - skip).where("ind > 0").drop("_k")
+    return row_numbers(x, "_k", "ind").withColumn("ind", F.col("ind") + 1 - skip).where("ind > 0").drop("_k")
 
 
 def read_csv(spark: SparkSession, path: str, na=NA, genotypes=GENOTYPES, rotate: bool = False, crosstype: str | None = None, sep: str = ",", dec: str = ".") -> Cross:

@@ -327,3 +327,14 @@ def test_more_models(bc):
 def test_chromosome_splits(bc):
     rows = effects.all_chr_splits(bc, "2", tol=1e-3, maxit=15)
     assert len(rows) == 5 and all(x[2] > 0 for x in rows)
+
+
+def test_running_totals(spark):
+    from crossloom.operators import order
+
+    x = spark.range(500).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 5).alias("v"))
+    rows = sorted((r.k, r.v) for r in x.collect())
+    got = {r.k: r.t for r in order.running_total(x, "k", "v", "t").collect()}
+    assert [got[k] for k, _ in rows] == np.cumsum([v for _, v in rows]).tolist()
+    assert {r.k: r.i for r in order.row_numbers(x, "k", "i").collect()} == {k: i for i, (k, _) in enumerate(rows)}
+    assert order.row_numbers(x.where("false"), "k", "i").count() == 0
