@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,57 @@ from pyspark.sql import functions as F
 from crossloom.functions import maps as M
 from crossloom.operators import edit, hmm, linkage, meta, scan, scan_results
 from crossloom.plans.crosswalk import CTE, sales_cross, sales_map
+from crossloom.runtime import prepare
+
+#: Columns of queries with an oracle that depend on the order of sums: both sides round them.
+INEXACT = {
+    "rescale_map": "pos",
+    "convert_map": "pos",
+    "transform_pheno": "y",
+    "map_functions": "haldane kosambi imf_h imf_k imf_cf",
+    "adjust_rf_ri": "self sib sib_x",
+    "geno_table": "chi2",
+    "est_rf_bc": "rf lod",
+    "marker_lrt": "lod",
+    "check_alleles": "diff",
+    "score_missing": "missing",
+    "calc_genoprob_bc": "p1",
+    "info_content": "entropy variance",
+    "scanone_mr": "lod",
+    "scanone_mr_bc": "lod",
+    "scanone_binary_mr": "lod",
+    "scanone_hk_bc": "lod",
+    "scanone_np": "lod",
+    "summary_scanone": "lod",
+    "max_scanone": "lod",
+    "scan_difference": "lod",
+    "perm_thresholds": "threshold",
+    "perm_pvalues": "lod pval",
+    "scantwo_mr_full": "lod_full",
+    "effect_plot": "mean se",
+    "effect_plot_pair": "mean se",
+    "scan_all_traits": "lod",
+    "plot_missing": "missing",
+    "plot_pheno": "lo",
+    "plot_scan": "lod",
+    "pull_rf": "value",
+    "pull_genoprob": "p",
+    "form_marker_covar": "value",
+}
+
+
+def digits(query_: str, column: str) -> int:
+    return 9 if query_ == "rescale_map" else 4 if column.startswith(("lod", "diff", "mean", "se", "threshold", "y", "chi2")) else 6
+
+
+def rounded(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits(name, c)) + 0.0 for c in INEXACT.get(name, "").split()})
+
+
+def rounded_sql(name: str, sql: str) -> str:
+    cols = ", ".join(f'round("{c}", {digits(name, c)}) + 0.0 AS "{c}"' for c in INEXACT.get(name, "").split())
+    return f"SELECT * REPLACE ({cols}) FROM ({sql})" if cols else sql
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,9 +70,16 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None, with_cte: bool = True):
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            df = fn(spark, sf_dir)
+            return df if sql is None else rounded(fn.__name__, df)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
-            ORACLES[fn.__name__] = f"WITH {CTE.strip()}{',' if sql.lstrip()[:1] == ',' else ''} {sql.lstrip().removeprefix(',')}" if with_cte else sql
+            whole = f"WITH {CTE.strip()}{',' if sql.lstrip()[:1] == ',' else ''} {sql.lstrip().removeprefix(',')}" if with_cte else sql
+            ORACLES[fn.__name__] = rounded_sql(fn.__name__, whole)
         return fn
 
     return add
