@@ -200,7 +200,10 @@ def candidates(reps: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """(a, b): a spanning forest of the candidate links of every leaf."""
     spark = reps.sparkSession
     met, deep = leaves(reps, tasks)
-    stars = deep.join(deep.groupBy("leaf").agg(F.min("rep").alias("a")), "leaf").where("a <> rep").select("a", F.col("rep").alias("b"))
+    # A leaf that is still too large may hold a third of all rows: its rows stay where they are, its first document is sent to them.
+    firsts = materialise(deep.groupBy("leaf").agg(F.min("rep").alias("a")).coalesce(tasks), "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_MEMBERS else firsts
+    stars = deep.join(firsts, "leaf").where("a <> rep").select("a", F.col("rep").alias("b"))
 
     def compare(batches):
         for t in _grouped(batches, 1):
@@ -227,8 +230,8 @@ def candidates(reps: DataFrame, threshold: float, tasks: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(rep[label[linked - lo]]), pa.array(rep[linked])], names=["a", "b"])
                 done = upto
 
-    rows = met.join(reps.select("rep", "n", "sketch"), "rep").select("leaf", "rep", "n", "sketch")
-    found = rows.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "rep").mapInArrow(compare, "a long, b long")
+    rows = met.join(reps.select("rep", "n", "sketch"), "rep").select("leaf", "rep", "n", "sketch").coalesce(tasks)
+    found = rows.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "rep").mapInArrow(compare, "a long, b long").coalesce(tasks)
     return found.unionByName(stars).distinct()
 
 
@@ -282,10 +285,10 @@ def _confirm(rows: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
     """(a, b): confirmed links between representatives, a spanning forest of every component."""
-    bundles = connected_components(candidates(reps, percent / 100, tasks))
+    bundles = connected_components(candidates(reps, percent / 100, tasks), first_tasks=tasks)
     members = bundles.withColumnRenamed("node", "rep").withColumnRenamed("component", "g")
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes, "g")
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).coalesce(tasks)
+    members = members.join(sizes, "g").coalesce(tasks)
     members = members.withColumn("h", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
     few = bundles.count() <= BROADCAST_MEMBERS
@@ -297,8 +300,8 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int)
     # A task links members to their component's first one, so leaders are those without such a link. They meet, in blocks again.
     fresh, leaders = found, large
     for turn in range(2):
-        leaders = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti")
-        count = leaders.groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1")
+        leaders = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti").coalesce(tasks)
+        count = leaders.groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1").coalesce(tasks)
         leaders = materialise(leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") / BLOCK))).drop("leaders").coalesce(tasks), "leaders")
         if not leaders.count():
             return found
@@ -343,13 +346,13 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = with_id.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     classes = materialise(classes.coalesce(tasks), "classes")
     reps = materialise(classes.select("rep", "n").join(with_id.select(F.col("doc_id").alias("rep"), "chosen", "sketch"), "rep").coalesce(tasks), "representatives")
-    state = connected_components(links(docs.where("doc_id IS NOT NULL"), reps, size, percent, tasks)).withColumnRenamed("node", "rep")
+    state = connected_components(links(docs.where("doc_id IS NOT NULL"), reps, size, percent, tasks), first_tasks=tasks).withColumnRenamed("node", "rep")
     # Only documents whose class has several rows or links need a join; all others are their own component.
-    shared = classes.join(state, "rep", "left").where("rows > 1 OR component IS NOT NULL").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    shared = classes.join(state, "rep", "left").where("rows > 1 OR component IS NOT NULL").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component")).coalesce(tasks)
     small = sets.select("doc_id", "n_shingles", "d1", "d2")
     joined = small.join(shared, (small.d1 == shared.d1) & (small.d2 == shared.d2) & (small.n_shingles == shared.n), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("doc_id")))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")).coalesce(tasks)
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
