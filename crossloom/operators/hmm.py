@@ -5,6 +5,7 @@ by chromosome, vectorised over individuals. Maps are metadata and go along with
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -266,7 +267,7 @@ def _map_sums(seq: DataFrame, t: dict, kind: tuple, r: dict, error: float) -> di
 
 def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", maxit: int = 4000, tol: float = 1e-6) -> tuple[DataFrame, dict[str, float]]:
     """A new map by EM, and each chromosome's log10 likelihood. A round is one Spark job whose partial sums are one row for each
-    interval and batch; the driver keeps recombination fractions only."""
+    interval and batch; the driver keeps recombination fractions only. A warning names chromosomes that ``maxit`` rounds leave unsettled."""
     spark = cross.geno.sparkSession
     prepare(spark)
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
@@ -284,6 +285,8 @@ def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", ma
             if (np.abs(new - r[c]) <= tol * (np.abs(new) + 100 * tol)).all():
                 open_.discard(c)
             r[c] = new
+    if open_:
+        warnings.warn(f"est_map: not settled after {maxit} rounds: chromosomes {', '.join(sorted(open_))}", stacklevel=2)
     pos = []
     for c, x in t.items():
         rr = r[c]

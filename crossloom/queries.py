@@ -453,7 +453,7 @@ def calc_errorlod(spark, d):
 
 @query()
 def est_map(spark, d):
-    return hmm.est_map(_bc(spark, d), tol=1e-4, maxit=15)[0]
+    return hmm.est_map(_bc(spark, d))[0]
 
 
 @query(_BC_PROB + " SELECT chr, locus, pos, -avg(CASE WHEN p1 > 0 THEN p1 * ln(p1) ELSE 0 END + CASE WHEN p2 > 0 THEN p2 * ln(p2) ELSE 0 END) / ln(2) AS entropy, avg(p2 - p2 * p2) / 0.25 AS variance FROM prob GROUP BY ALL")

@@ -338,3 +338,17 @@ def test_running_totals(spark):
     assert [got[k] for k, _ in rows] == np.cumsum([v for _, v in rows]).tolist()
     assert {r.k: r.i for r in order.row_numbers(x, "k", "i").collect()} == {k: i for i, (k, _) in enumerate(rows)}
     assert order.row_numbers(x.where("false"), "k", "i").count() == 0
+
+
+def test_unsettled_maps_are_reported(bc):
+    with pytest.warns(UserWarning, match="est_map: not settled after 2 rounds: chromosomes 2"):
+        hmm.est_map(meta.subset(bc, "2"), maxit=2)
+
+
+def test_registered_map_is_settled(spark, monkeypatch):
+    """The registered query leaves the operator's rounds and tolerance as they are."""
+    got = []
+    monkeypatch.setattr(core, "_bc", lambda s, d: None)
+    monkeypatch.setattr(hmm, "est_map", lambda cross, **options: [got.append(options)])
+    core.est_map(spark, "")
+    assert got == [{}]
