@@ -1,7 +1,10 @@
 """Whole texts of an Arrow column as bytes in numpy: words, hashes of words, hashes of word windows, without Python loops.
 
-Hashes are sums of random byte values times powers of an odd number, modulo 2^64, so the hash of any slice follows from
-two running sums; a final mix spreads the bits. Batches are cut where they reach ``CHUNK_BYTES``, never inside a text.
+A word's hash takes its lower-cased bytes in lanes of eight: each lane is mixed, by a bijection of 64 bits, with what the lanes
+before it gave, starting from the length. So words of the same length of up to eight bytes never share a hash, and longer ones do so
+with a chance of 2^-64 for each pair, whatever they have in common: a hash isn't a sum over places, which texts of a regular
+structure could cancel out. Words of more than ``LANE_BYTES`` bytes are hashed by xxh3. Batches are cut where they
+reach ``CHUNK_BYTES``, never inside a text.
 """
 
 from __future__ import annotations
@@ -10,29 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 18
-_rng = np.random.default_rng(20240517)
-_LOWER = np.arange(256)
+LANE_BYTES = 128
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
+#: Keep the first 0 to 8 bytes of a lane.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: SPACES: [\x20\x09-\x0D]
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
-_ODD = 0x9E3779B97F4A7C15
-_INV = pow(_ODD, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int, which: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        k = np.full(1 << int(n - 1).bit_length(), (_ODD, _INV)[which], np.uint64)
-        k[0] = 1
-        full = np.cumprod(k, dtype=np.uint64)
-        if n > 1 << 22:
-            return full[:n]
-        _powers[which] = full
-    return _powers[which][:n]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,14 +72,32 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * _power(n, 0), out=sums[1:])
-        self._sums, self._inverse = sums, _power(n + 1, 1)
+        self._bytes = np.zeros(n + 8, np.uint8)
+        np.take(_LOWER, data, out=self._bytes[:n])
+        self._lanes = np.ndarray((n + 1,), "<u8", self._bytes, strides=(1,))
         self.hash = self.slices(self.start, self.end)
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of slices of the lower-cased bytes."""
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        size = end - start
+        h = mix((size.astype(np.uint64) + np.uint64(1)) * _ODD)
+        h = mix(h ^ (self._lanes[start] & _KEEP[np.minimum(size, 8)]))
+        more = np.flatnonzero(size > 8)
+        for at in range(8, LANE_BYTES, 8):
+            if not len(more):
+                break
+            left = size[more] - at
+            h[more] = mix(h[more] ^ (self._lanes[start[more] + at] & _KEEP[np.minimum(left, 8)]))
+            more = more[left > 8]
+        for k in more:
+            h[k] = xxhash.xxh3_64_intdigest(self._bytes[start[k] : end[k]].tobytes())
+        return h
+
+
+def _link(so_far: np.ndarray, h: np.ndarray) -> np.ndarray:
+    x = (so_far ^ h) * _ODD
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +105,18 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     h, m = words.hash, len(words.hash)
     first, count = words.first[:-1], words.count
     full = np.zeros(m, np.uint64)
-    for k in range(size):
-        full[: max(0, m - k)] += h[k:] * np.uint64(pow(_ODD, k + 1, 1 << 64))
+    for k in range(min(size, m)):
+        full[: m - k] = _link(full[: m - k], h[k:])
     at = np.arange(m)
     ok = at + size <= words.first[1:][words.doc]
     doc, out = words.doc[ok], mix(full[ok])
-    for d in np.flatnonzero((count > 0) & (count < size)):
-        short = np.uint64(0)
-        for k, x in enumerate(h[first[d] : first[d] + count[d]]):
-            short = np.uint64((int(short) + int(x) * pow(_ODD, k + 1, 1 << 64)) & (2**64 - 1))
-        doc, out = np.append(doc, d), np.append(out, mix(np.array([short ^ np.uint64(count[d])])))
-    if len(doc) and (np.diff(doc) < 0).any():
+    few = np.flatnonzero((count > 0) & (count < size))
+    if len(few):
+        short = count[few].astype(np.uint64)
+        for k in range(size - 1):
+            on = count[few] > k
+            short[on] = _link(short[on], h[first[few[on]] + k])
+        doc, out = np.append(doc, few), np.append(out, mix(short))
         order = np.argsort(doc, kind="stable")
         doc, out = doc[order], out[order]
     return doc, out

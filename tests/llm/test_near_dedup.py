@@ -63,6 +63,15 @@ def test_large_bundles_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_words_that_a_sum_over_places_would_equate(spark):
+    """Thue-Morse words: any hash that is a polynomial modulo a power of two takes one for the other."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"x {a} y z"), (4, f"x {b} y z")]
+    got = {r.doc_id: r.component_id for r in n.components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_odd_tables(odd_docs, none):
     assert n.components(odd_docs).count() == odd_docs.count()
     assert n.components(none).count() == 0
