@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crossloom.llm._batches import SPACES, Words, chunks, mix
 
 SAMPLE_ROWS = 6_000
+SAMPLE_FEATURES = 30_000_000
 
 
 def sample(labels: DataFrame, rows: int, where: Column | None = None) -> DataFrame:
@@ -60,6 +61,21 @@ def distinct_per_text(doc: np.ndarray, feature: np.ndarray, bits: int) -> tuple[
     return key >> bits, key & ((1 << bits) - 1), count
 
 
+def gathered(features: DataFrame, lists: list[str], most: int = SAMPLE_FEATURES) -> pa.Table:
+    """The fitted rows on the driver, in an order that depends on ids and texts only. ``features`` has ``order`` (hashes), doc_id and
+    list columns; beyond ``most`` list entries in all, rows at the end of the order are left out of the fit."""
+    from crossloom.runtime import materialise
+
+    held = materialise(features, "features")
+    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(0)).cast("long")
+    sizes = held.select("order", "doc_id", size.alias("n")).toPandas()
+    sizes = sizes.sort_values(["order", "doc_id"])
+    if sizes["n"].sum() > most:
+        last = sizes["order"][sizes["n"].cumsum() <= most].max()
+        held = held.where(F.col("order") <= F.lit(int(last)) if last == last else F.lit(False))
+    return held.toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
+
+
 class Sparse:
     """Rows of (feature, value) pairs, for fits on the driver."""
 

@@ -5,12 +5,13 @@ thresholds t_1 < ... < t_K. A document's score gives its expected grade and tail
 a tail probability.
 
 Features are shares of a whole text's words: words, their last three bytes, words that repeat the word before.
-The fit reads ``SAMPLE_ROWS`` labelled rows at most (those with the smallest hash of doc_id); their features go to the
-driver, as hashed pairs. Every document is scored, in numpy batches, with broadcast weights of fixed size.
+The fit reads ``SAMPLE_ROWS`` labelled rows at most (those with the smallest hash of doc_id), and so many of these that they have
+``SAMPLE_FEATURES`` features at most; the features go to the driver, as hashed pairs. Every document is scored, in numpy batches, with broadcast weights of fixed size.
 
 Cases: a null text is an empty one, without features: its score is the one of the thresholds alone. Grades that are null
-are left out of the fit; if there are no grades at all, or one grade only, every document gets that grade (0 without any) with
-certainty. Repeated rows are scored alike; a null doc_id is scored too. Other columns are carried along by ``select``.
+are left out of the fit, and of rows with the same doc_id the smallest text is fitted; if there are no grades at all, or one grade only, every document gets that grade (0 without any) with
+certainty. Repeated rows are scored alike; a null doc_id is scored too. Texts of any length are read whole. An empty table gives
+an empty one. Other columns are carried along; ``score`` replaces those named like its own two, ``select`` keeps all.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossloom.llm._labelled import SAMPLE_ROWS, Sparse, distinct_per_text, minimise, sample, word_features
+from crossloom.llm._columns import kept, unused
+from crossloom.llm._labelled import SAMPLE_ROWS, Sparse, distinct_per_text, gathered, minimise, sample, word_features
 from crossloom.runtime import materialise, prepare
 
 BITS = 16
@@ -108,8 +110,9 @@ def fit(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS, bits: int =
     """Fit on ``grades`` (doc_id, grade) of ``docs``: at most ``rows`` of them."""
     prepare(docs.sparkSession)
     chosen = materialise(sample(grades.where("grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade")), rows), "graded")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = features(known.select("doc_id", "text"), bits).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = features(known.select("doc_id", "text"), bits).join(F.broadcast(chosen), "doc_id")
+    got = gathered(found.withColumn("order", F.xxhash64("doc_id")), ["feature"])
     count = pc.list_value_length(got.column("feature")).to_numpy().astype(np.int64)
     flat = lambda c, t: np.concatenate([np.asarray(k.flatten()) for k in got.column(c).chunks] or [np.zeros(0)]).astype(t)
     x = Sparse(np.repeat(np.arange(len(count)), count), flat("feature", np.int64), flat("value", np.float64), len(count))
@@ -122,10 +125,11 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("quality IS NOT NULL").select("doc_id", F.when(~good, 0).when(toxic, 1).otherwise(2).alias("grade"))
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, and expected_grade and tails (P(grade >= k) for each k from 1)."""
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", names: tuple[str, str] = ("expected_grade", "tails")) -> DataFrame:
+    """All columns of ``docs``, and expected_grade and tails (P(grade >= k) for each k from 1); they replace columns of these names."""
     prepare(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
+    keep = kept(docs, list(names))
+    schema = T.StructType([*(docs.schema.fields[k] for k in keep), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(T.DoubleType()))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -133,15 +137,17 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
         for b in batches:
             t = shared.value.tails(shared.value.scores(b.column(at)))
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * t.shape[1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t.sum(1)), pa.ListArray.from_arrays(ends, pa.array(t.ravel()))], names=[*b.schema.names, "expected_grade", "tails"])
+            cols = [*(b.column(k) for k in keep), pa.array(t.sum(1)), pa.ListArray.from_arrays(ends, pa.array(t.ravel()))]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def select(docs: DataFrame, model: OrdinalModel, grade: int = 1, least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, with P(grade >= ``grade``) of at least ``least``."""
-    tail = F.element_at("tails", grade) if len(model.thresholds) >= grade else F.lit(0.0)
-    return score(docs, model).where(tail >= least).select(docs.columns)
+    names = unused(docs, "expected_grade"), unused(docs, "tails")
+    tail = F.element_at(names[1], grade) if len(model.thresholds) >= grade else F.lit(0.0)
+    return score(docs, model, names=names).where(tail >= least).select(docs.columns)
 
 
 def select_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 """Toxicity classifier with a counterfactual penalty: swapping identity terms must not change a text's score.
 
-A logistic model over distinct hashed words and word beginnings of whole texts, the ``FEATURES`` most telling of them. For each labelled text with identity terms, a second
+A logistic model over distinct hashed words and word beginnings of whole texts. For each labelled text with identity terms, a second
 version swaps each of them for another term of its kind; the fit adds ``PENALTY`` times the squared change of the
 score over such pairs, so neutral mentions of groups don't raise a score. A fifth of the fitted rows is set apart to place
 and scale the decision, since toxic texts are few.
 
-The fit reads ``SAMPLE_ROWS`` labelled rows at most (those with the smallest hash of doc_id); hashed pairs of these go to the
-driver. Every text is scored in numpy batches with broadcast weights of fixed size. Only the text enters a score.
+The fit reads ``SAMPLE_ROWS`` labelled rows at most (those with the smallest hash of doc_id), and so many of these that they have
+``SAMPLE_FEATURES`` features at most; hashed pairs of these go to the driver. Every text is scored in numpy batches with broadcast weights of fixed size. Only the text enters a score.
 
 Cases: a null or empty text has the score of a text without features. Without any label of a class, every score is the share
-of toxic labels (0 without labels). Null labels are left out. Repeated rows are scored alike. Columns other than doc_id and text aren't read.
+of toxic labels (0 without labels); with so few that none is set apart, or one class only, the decision stays where the fit put it. Null labels are left
+out; a doc_id with several labels has the smallest, and of rows with the same doc_id the smallest text is fitted.
+Texts of any length are read whole; repeated rows are scored alike, null doc_ids too; an empty table gives an empty one. Other columns are carried along by ``score``, but
+for those named like its own two.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossloom.llm._labelled import SAMPLE_ROWS, Sparse, distinct_per_text, minimise, sample, word_features
+from crossloom.llm._columns import kept
+from crossloom.llm._labelled import SAMPLE_ROWS, Sparse, distinct_per_text, gathered, minimise, sample, word_features
 from crossloom.runtime import materialise, prepare
 
 BITS = 18
@@ -69,24 +73,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """doc_id, version (0: the text, 1: the swapped text where that differs), feature."""
+    """order (a hash of id and text), doc_id, feature, and other: the features of the swapped text where that differs, else null."""
+
+    def lists(texts):
+        parts = [pa.array([], pa.list_(pa.int32()))]
+        for i, j, doc, feature, _ in word_features(pa.array(texts, pa.large_string()), BITS, KINDS):
+            d, f, _ = distinct_per_text(doc, feature, BITS)
+            parts.append(pa.ListArray.from_arrays(np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32), pa.array(f.astype(np.int32))))
+        return pa.concat_arrays(parts)
 
     def run(batches):
         for b in batches:
-            ids, own = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            other = [(i, s) for i, x in zip(ids, own, strict=True) if (s := swapped(x)) != x]
-            for version, keys, col in ((0, ids, own), (1, [i for i, _ in other], [s for _, s in other])):
-                for i, j, doc, feature, _ in word_features(pa.array(col, pa.large_string()), BITS, KINDS):
-                    d, f, _ = distinct_per_text(doc, feature, BITS)
-                    ends = np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], pa.int64()), pa.array(np.full(j - i, version, np.int32)), pa.ListArray.from_arrays(ends, pa.array(f.astype(np.int32)))], names=["doc_id", "version", "feature"])
+            own = [x or "" for x in b.column(2).to_pylist()]
+            other = [swapped(x) for x in own]
+            changed = np.array([x != y for x, y in zip(own, other, strict=True)], bool)
+            place = pa.array(np.cumsum(changed) - 1, mask=~changed)
+            swaps = lists([y for y, c in zip(other, changed, strict=True) if c]).take(place)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(own), swaps], names=["order", "doc_id", "feature", "other"])
 
-    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, version int, feature array<int>")
+    rows = texts.select(F.xxhash64("doc_id", "text").alias("order"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "order long, doc_id long, feature array<int>, other array<int>")
 
 
 class ToxicityModel:
     def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.bias = (weights * slope).astype(np.float32), bias * slope + shift
+        self.pairs = 0
 
     def scores(self, column: pa.Array) -> np.ndarray:
         parts = [np.zeros(0)]
@@ -133,7 +145,7 @@ def fit_arrays(x: Sparse, toxic: np.ndarray, a: Sparse, b: Sparse, size: int, ri
     p = minimise(value(base.take(train), y[train]), np.append(np.zeros(size), prior), rounds=30)
     test = np.flatnonzero(apart)
     s, t = base.take(test).dot(p[:size]) + p[size], y[test]
-    if t.min() == t.max():
+    if not len(test) or t.min() == t.max():
         return ToxicityModel(p[:size], p[size])
     weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
 
@@ -147,33 +159,40 @@ def fit_arrays(x: Sparse, toxic: np.ndarray, a: Sparse, b: Sparse, size: int, ri
     return ToxicityModel(p[:size], p[size], float(np.exp(q[0])), float(q[1]))
 
 
+def _sparse(lists: pa.ChunkedArray) -> Sparse:
+    count = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    flat = np.concatenate([np.zeros(0), *(np.asarray(k.flatten()) for k in lists.chunks)]).astype(np.int64)
+    return Sparse(np.repeat(np.arange(len(count)), count), flat, np.ones(len(flat), np.float32), len(count))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, among: Column | None = None, penalty: float = PENALTY) -> ToxicityModel:
-    """Fit on ``labels`` (doc_id, toxic) of ``docs``: at most ``rows`` of them, out of those that fit ``among``."""
+    """Fit on ``labels`` (doc_id, toxic) of ``docs``: at most ``rows`` of them, out of those that fit ``among``. The model's ``pairs`` says
+    how many of the fitted texts hold identity terms."""
     prepare(docs.sparkSession)
     wanted = F.col("toxic").isNotNull() if among is None else F.col("toxic").isNotNull() & among
     chosen = materialise(sample(labels.select("doc_id", "toxic"), rows, wanted), "toxic-labels")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
-    got = features(known).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "version").toArrow()
-    version, toxic = got.column("version").to_numpy(), got.column("toxic").to_numpy().astype(np.int64)
-    count = pc.list_value_length(got.column("feature")).to_numpy().astype(np.int64)
-    flat = np.concatenate([np.asarray(k.flatten()) for k in got.column("feature").chunks] or [np.zeros(0)]).astype(np.int64)
-    x = Sparse(np.repeat(np.arange(len(count)), count), flat, np.ones(len(flat), np.float32), len(count))
-    other = np.flatnonzero(version == 1)
-    plain = np.flatnonzero(version == 0)
-    return fit_arrays(x.take(plain), toxic[plain], x.take(other - 1), x.take(other), 1 << BITS, penalty=penalty)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = gathered(features(known).join(F.broadcast(chosen), "doc_id"), ["feature", "other"])
+    toxic = got.column("toxic").to_numpy().astype(np.int64)
+    swapped_rows = got.filter(got.column("other").is_valid())
+    a, b = _sparse(swapped_rows.column("feature")), _sparse(swapped_rows.column("other"))
+    model = fit_arrays(_sparse(got.column("feature")), toxic, a, b, 1 << BITS, penalty=penalty)
+    model.pairs = a.rows
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and score, predicted."""
+    """All columns of ``docs`` and score, predicted, which replace columns of these names."""
     prepare(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    keep = kept(docs, ["score", "predicted"])
+    schema = T.StructType([*(docs.schema.fields[k] for k in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
             s = shared.value.scores(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -91,3 +91,50 @@ def test_no_labels_or_one_class(spark):
     for some in (labels.where("false"), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
         m = toxicity.fit(docs, some)
         assert toxicity.score(docs, m).where("predicted = 1").count() == 0
+
+
+def test_few_labels_and_repeated_ids(spark):
+    docs, labels = labelled(spark)
+    for n in range(1, 7):
+        some = labels.where("doc_id IN (0, 1, 2) AND toxic = 0").limit(n - n // 2).unionByName(labels.where("doc_id IN (2000, 2001, 2002)").limit(n // 2))
+        got = toxicity.score(docs, toxicity.fit(docs, some)).where("score BETWEEN 0 AND 1").count()
+        assert got == docs.count()
+        assert quality.score(docs, quality.fit(docs, quality.graded(some))).count() == docs.count()
+    again = docs.unionByName(docs.where("doc_id < 50").withColumn("text", F.concat(F.lit("zz muslim women "), F.col("text"))))
+    model = toxicity.fit(again, labels)
+    rows = toxicity.features(again).where("other IS NOT NULL").collect()
+    assert len(rows) == 50 and all(2 * len(set(r.feature) & set(r.other)) > len(r.feature) != 0 for r in rows)
+    assert model.pairs == 0  # of each id the smaller text is fitted, and that one has no terms
+
+
+def test_held_out_ranks(spark):
+    """Texts of the given tables that the fit hasn't seen: toxic ones rank above others, good ones above junk."""
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        import pytest
+
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
+    seen = ~toxicity.held_out(F.col("doc_id"))
+
+    def auc(rows):
+        s, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        return (s[y == 1][:, None] > s[y == 0][None, :]).mean() + (s[y == 1][:, None] == s[y == 0][None, :]).mean() / 2
+
+    tox = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, among=seen)).join(labels.where(~seen), "doc_id").where("toxic IS NOT NULL").select("score", "toxic").collect()
+    model = quality.fit(docs, quality.graded(labels.where(seen)))
+    good = quality.score(docs.select("doc_id", "text"), model).join(labels.where(~seen), "doc_id").where("quality IS NOT NULL").select(F.col("tails")[0], "quality").collect()
+    assert auc(tox) > 0.9 and auc(good) > 0.9
+
+
+def test_bounded_features(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    from crossloom.llm import _labelled
+
+    held = quality.features(docs.where("doc_id < 20")).withColumn("order", F.xxhash64("doc_id"))
+    whole = _labelled.gathered(held, ["feature"])
+    most = sum(len(x) for x in whole.column("feature").to_pylist()[:7])
+    assert _labelled.gathered(held, ["feature"], most).to_pylist() == whole.to_pylist()[:7]
+    assert _labelled.gathered(held, ["feature"], 0).num_rows == 0
