@@ -6,15 +6,16 @@ that holds it.
 
 * ``references``: (k1, k2, doc_id), a row for each key and document. ``counts``: (k1, k2, n_docs, keeper), from a
   two-step aggregate, so a line that a third of all documents share is reduced before it is shuffled.
-* ``LineIndex`` keeps both as tables in a folder. Documents are inserted and deleted by batches; only the keys they
-  touch are counted anew, and the shard filters get those keys inserted or deleted that cross ``MIN_DOCS``. Deleting a batch
-  after inserting it restores the state before.
-* A cuckoo filter holds the keys that lose lines. Keys of scanned lines that miss their shard's filter surely stay;
-  possible hits go to an exact join. Filters are broadcast up to ``BROADCAST_BYTES``; beyond that, every
-  key goes to the exact join.
+* ``LineIndex`` keeps both as logs in a folder: each batch of insertions or deletions appends its references (or which documents are gone) and
+  the new counts of the keys that it touches; nothing else is written anew, but for a merge of the logs after ``MERGE_AFTER`` batches.
+  Of the shards' filters those change whose keys cross ``MIN_DOCS``. Deleting a batch after inserting it restores the state before.
+* A cuckoo filter holds the keys that lose lines; about ``SHARD_KEYS`` go to a shard, and shards are dealt anew when they have
+  become twice as full. Keys of scanned lines that miss their shard's filter surely stay; possible hits go to an exact join. Filters are
+  broadcast up to ``BROADCAST_BYTES``; beyond that, every key goes to the exact join.
 
 Cases: a null or empty text is one empty line, which is too short to go. Rows that repeat a doc_id are one document. A
-row without doc_id counts for nothing and keeps its lines. Very long texts and lines are handled whole; counts refer to rows.
+row without doc_id counts for nothing and keeps its lines. Very long texts and lines are handled whole; counts refer to rows. An empty
+table gives an empty one. ``remove`` carries all other columns along, whatever their names; ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crossloom.llm._columns import unused
 from crossloom.runtime import materialise, prepare, scratch
 
 MIN_CHARS = 20
@@ -39,6 +41,7 @@ SLOTS = 4
 SHARD_KEYS = 200_000
 BROADCAST_BYTES = 64 << 20
 KICKS = 500
+MERGE_AFTER = 8
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -47,6 +50,14 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(x.encode().lower()) if len(x) >= min_chars else None  # bytes.lower() changes A-Z only
 
 
+def _rank(sorted_keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of equal keys."""
+    n = len(sorted_keys)
+    new = np.ones(n, bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+
+
 class CuckooFilter:
     """Buckets of four 16-bit marks. A key's mark has two places, each found from the other; inserting moves marks on.
 
@@ -73,37 +84,44 @@ class CuckooFilter:
         a, b, mark = self.places(k1, k2)
         return (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
 
-    def _insert(self, a: int, b: int, mark: int) -> bool:
-        t = self.table
-        for place in (a, b):
-            free = np.flatnonzero(t[place] == 0)
-            if len(free):
-                t[place, free[0]] = mark
-                return True
-        place = a
-        for kick in range(KICKS):
-            slot = (mark + kick) % SLOTS
-            mark, t[place, slot] = int(t[place, slot]), mark
-            place ^= int(self._jump(np.array([mark], np.uint16))[0])
-            free = np.flatnonzero(t[place] == 0)
-            if len(free):
-                t[place, free[0]] = mark
-                return True
-        return False
-
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> bool:
-        """Add distinct keys that aren't in it; False if they don't all fit (then build a larger one)."""
-        a, b, mark = self.places(k1, k2)
-        return all(self._insert(int(x), int(y), int(m)) for x, y, m in zip(a, b, mark, strict=True))
+        """Add distinct keys that aren't in it; False if they don't all fit (then build a larger one). All keys move at once: each
+        takes a free slot in one of its buckets; where there is none, one key of a bucket turns out a mark, which goes on to its other bucket."""
+        at, other, mark = self.places(k1, k2)
+        tried = np.zeros(len(mark), bool)
+        for turn in range(KICKS):
+            if not len(mark):
+                return True
+            order = np.lexsort((mark, at))
+            at, other, mark, tried = at[order], other[order], mark[order], tried[order]
+            rank = _rank(at)
+            free = self.table[at] == 0
+            fits = rank < free.sum(1)
+            slot = ((free.cumsum(1) == (rank + 1)[:, None]) & free).argmax(1)
+            self.table[at[fits], slot[fits]] = mark[fits]
+            at, other, mark, tried = at[~fits], other[~fits], mark[~fits], tried[~fits]
+            out = tried & (_rank(at) == 0)
+            slot = (mark[out].astype(np.int64) + turn) % SLOTS
+            turned_out = self.table[at[out], slot]
+            self.table[at[out], slot] = mark[out]
+            mark[out] = turned_out
+            other[out] = at[out] ^ self._jump(turned_out).astype(np.int64)
+            at, other = other, at
+            tried = np.ones(len(mark), bool)
+        return not len(mark)
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Remove keys that were inserted: one equal mark of each."""
-        for x, y, m in zip(*self.places(k1, k2), strict=True):
-            for place in (int(x), int(y)):
-                at = np.flatnonzero(self.table[place] == m)
-                if len(at):
-                    self.table[place, at[0]] = 0
-                    break
+        at, other, mark = self.places(k1, k2)
+        for _ in range(2):
+            order = np.lexsort((mark, at))
+            at, other, mark = at[order], other[order], mark[order]
+            rank = _rank(at * 65536 + mark)
+            same = self.table[at] == mark[:, None]
+            found = rank < same.sum(1)
+            slot = ((same.cumsum(1) == (rank + 1)[:, None]) & same).argmax(1)
+            self.table[at[found], slot[found]] = 0
+            at, other, mark = other[~found], at[~found], mark[~found]
 
     @classmethod
     def build(cls, k1: np.ndarray, k2: np.ndarray) -> CuckooFilter:
@@ -207,14 +225,17 @@ def _shards_for(n: int) -> int:
     return max(1, -(-n // SHARD_KEYS))
 
 
-def drops(docs: DataFrame, common: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, gone): hashes (16 bytes each) of the keys that a document loses. ``common``: counts of the keys that go."""
+def drops(docs: DataFrame, common: DataFrame, min_chars: int = MIN_CHARS, filters: DataFrame | None = None, shards: int = 0) -> DataFrame:
+    """(doc_id, gone): hashes (16 bytes each) of the keys that a document loses. ``common``: counts of the keys that go; ``filters``: of
+    the ``shards`` shards, where they are kept already."""
     spark = docs.sparkSession
     n = common.count()
     among = None
     if 4 * n <= BROADCAST_BYTES:  # at most four bytes a key at a load of a half
-        shards = _shards_for(n)
-        tables = {r["shard"]: bytes(r["table"]) for r in shard_filters(common, shards).collect()}
+        if filters is None:
+            shards = _shards_for(n)
+            filters = shard_filters(common, shards)
+        tables = {r["shard"]: bytes(r["table"]) for r in filters.collect()}
         among = spark.sparkContext.broadcast(ShardFilters(shards, tables))
     hits = references(docs, min_chars, among).join(common, ["k1", "k2"]).where("doc_id <> keeper")
     return hits.select("doc_id", F.struct("k1", "k2").alias("k")).groupBy("doc_id").agg(F.collect_set("k").alias("gone"))
@@ -233,7 +254,11 @@ def _kept(text: str | None, gone: set[tuple[int, int]], min_chars: int) -> tuple
 
 
 def _applied(docs: DataFrame, gone: DataFrame, fields: list[T.StructField], row, keep: list[str], min_chars: int) -> DataFrame:
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left").select(*docs.columns, F.col("gone").alias("_gone"))
+    # Rows without doc_id lose nothing; they are dealt by their texts, so they don't meet in one task.
+    key, salt, lost = unused(docs, "key"), unused(docs, "salt"), unused(docs, "lost")
+    gone = gone.select(F.col("doc_id").alias(key), F.lit(0).cast("long").alias(salt), F.col("gone").alias(lost))
+    spread = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).otherwise(0)
+    joined = docs.join(gone, (docs["doc_id"] == gone[key]) & (spread == gone[salt]), "left").select(*(docs[c] for c in docs.columns), F.col(lost))
     at = docs.columns.index("text")
     where = [docs.columns.index(c) for c in keep]
     schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
@@ -257,19 +282,19 @@ def common_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return materialise(counts(references(docs, min_chars), min_docs), "common-lines")
 
 
-def report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 for each row."""
+def report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index: LineIndex | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 for each row; counts are those of ``docs``, or of an index."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = drops(docs, common_keys(docs, min_chars, min_docs), min_chars)
+    gone = drops(docs, common_keys(docs, min_chars, min_docs), min_chars) if index is None else index.drops(docs)
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     return _applied(docs, gone, fields, lambda _, kept, n, k: (n, k, hashlib.sha256(kept.encode()).hexdigest()), ["doc_id"], min_chars)
 
 
-def remove(docs: DataFrame, common: DataFrame | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def remove(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index: LineIndex | None = None) -> DataFrame:
     """``docs`` with all columns, ``text`` without the lines that go (a null text stays null); ``n_chars``, if
-    there, follows the text."""
+    there, follows the text. Counts are those of ``docs``, or of an index."""
     plain = docs.select("doc_id", "text")
-    gone = drops(plain, common_keys(plain, min_chars, min_docs) if common is None else common, min_chars)
+    gone = drops(plain, common_keys(plain, min_chars, min_docs), min_chars) if index is None else index.drops(plain)
     keep = [c for c in docs.columns if c != "text"]
     out = _applied(docs, gone, [T.StructField("text", T.StringType())], lambda text, kept, n, k: (None if text is None else kept,), keep, min_chars)
     if "n_chars" in docs.columns:
@@ -278,15 +303,18 @@ def remove(docs: DataFrame, common: DataFrame | None = None, min_chars: int = MI
 
 
 class LineIndex:
-    """Tables of a growing and shrinking set of documents, in folders of the shared store; each change writes new ones."""
+    """Counts and filters of a growing and shrinking set of documents, as tables in a folder of the shared store.
+
+    ``references``: (k1, k2, doc_id, since), ``gone``: (doc_id, upto), ``counts``: (k1, k2, n_docs, keeper, version); numbers of batches tell
+    which rows hold. A reference lives if its document hasn't gone since; of a key's counts the last ones hold, those of 0 documents are none."""
 
-    def __init__(self, spark: SparkSession, where: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = 16):
+    def __init__(self, spark: SparkSession, where: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         prepare(spark)
         self.spark, self.where = spark, where or scratch(spark, "line-index")
-        self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
-        self.version = 0
-        self.refs = spark.createDataFrame([], "k1 long, k2 long, doc_id long")
-        self.table = spark.createDataFrame([], "k1 long, k2 long, n_docs long, keeper long")
+        self.min_chars, self.min_docs = min_chars, min_docs
+        self.version, self.merged, self.shards = 0, 0, 1
+        self._logs: dict[str, list[DataFrame]] = {"references": [], "gone": [], "counts": []}
+        self._empty = {"references": "k1 long, k2 long, doc_id long, since int", "gone": "doc_id long, upto int", "counts": "k1 long, k2 long, n_docs long, keeper long, version int"}
         self.filters = spark.createDataFrame([], "shard long, table binary")
 
     def _store(self, df: DataFrame, name: str) -> DataFrame:
@@ -294,17 +322,49 @@ class LineIndex:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> None:
-        self.version += 1
-        old = self.table
-        self.refs = self._store(refs, "references")
-        new = counts(self.refs.join(touched, ["k1", "k2"], "left_semi"))
-        self.table = self._store(old.join(touched, ["k1", "k2"], "left_anti").unionByName(new), "counts")
+    def _log(self, name: str) -> DataFrame:
+        parts = self._logs[name] or [self.spark.createDataFrame([], self._empty[name])]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def references(self) -> DataFrame:
+        """k1, k2, doc_id of all documents that are in."""
+        rows = self._log("references")
+        if self._logs["gone"]:
+            last = self._log("gone").groupBy("doc_id").agg(F.max("upto").alias("upto"))
+            rows = rows.join(last, "doc_id", "left").where("upto IS NULL OR since > upto")
+        return rows.select("k1", "k2", "doc_id")
+
+    def counts(self) -> DataFrame:
+        """k1, k2, n_docs, keeper of all keys of documents that are in."""
+        rows = self._log("counts")
+        if len(self._logs["counts"]) > 1:
+            rows = rows.groupBy("k1", "k2").agg(F.max_by(F.struct("n_docs", "keeper"), "version").alias("x")).select("k1", "k2", "x.n_docs", "x.keeper")
+        return rows.where("n_docs > 0").select("k1", "k2", "n_docs", "keeper")
+
+    def common(self) -> DataFrame:
+        return self.counts().where(F.col("n_docs") >= self.min_docs)
+
+    def _changed(self, touched: DataFrame | None) -> None:
+        """New counts of the touched keys (None: of all), and what follows for the filters."""
         high = lambda t: t.where(F.col("n_docs") >= self.min_docs).select("k1", "k2")
-        before, after = high(old.join(touched, ["k1", "k2"], "left_semi")), high(self.table.join(touched, ["k1", "k2"], "left_semi"))
-        change = after.join(before, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True)).unionByName(before.join(after, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False)))
-        change = change.withColumn("shard", _shard_column(self.shards))
-        all_keys = high(self.table).withColumn("shard", _shard_column(self.shards))
+        if touched is None:
+            part, before = counts(self.references()), None
+        else:
+            before = materialise(high(self.counts().join(touched, ["k1", "k2"], "left_semi")), "lines-before")
+            now = counts(self.references().join(touched, ["k1", "k2"], "left_semi"))
+            none = touched.join(now, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(0).cast("long").alias("n_docs"), F.lit(None).cast("long").alias("keeper"))
+            part = now.unionByName(none)
+        part = self._store(part.withColumn("version", F.lit(self.version)), "counts")
+        self._logs["counts"].append(part)
+        keys = self.common().count()
+        if before is None or keys > 2 * SHARD_KEYS * self.shards:
+            self.shards = _shards_for(keys)
+            self.filters = self._store(shard_filters(self.common(), self.shards), "filters")
+            return
+        change = high(part).join(before, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True)).unionByName(before.join(high(part), ["k1", "k2"], "left_anti").withColumn("add", F.lit(False)))
 
         def turn(key, held: pd.DataFrame, delta: pd.DataFrame) -> pd.DataFrame:
             f = CuckooFilter.load(held["table"].iloc[0]) if len(held) else CuckooFilter(CuckooFilter.size_for(max(64, 2 * len(delta))))
@@ -313,30 +373,43 @@ class LineIndex:
             fits = f.insert(come["k1"].to_numpy(np.int64), come["k2"].to_numpy(np.int64))
             return pd.DataFrame({"shard": [int(key[0])], "table": [f.dump() if fits else b""]})
 
-        turned = self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(turn, "shard long, table binary")
+        turned = self.filters.groupBy("shard").cogroup(change.withColumn("shard", _shard_column(self.shards)).groupBy("shard")).applyInPandas(turn, "shard long, table binary")
         turned = materialise(turned, "filters")
         full = turned.where(F.octet_length("table") == 0).select("shard")  # these are built anew, from the exact table
-        anew = all_keys.join(full, "shard", "left_semi")
-
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "table": [CuckooFilter.build(pdf["k1"].to_numpy(), pdf["k2"].to_numpy()).dump()]})
-
-        self.filters = self._store(turned.where(F.octet_length("table") > 0).unionByName(anew.groupBy("shard").applyInPandas(build, "shard long, table binary")), "filters")
+        whole = turned.where(F.octet_length("table") > 0)
+        if full.count():
+            anew = self.common().withColumn("shard", _shard_column(self.shards)).join(full, "shard", "left_semi")
+            whole = whole.unionByName(shard_filters(anew, self.shards))
+        self.filters = self._store(whole, "filters")
+
+    def _merge(self) -> None:
+        if self.version - self.merged >= MERGE_AFTER:
+            self.merged = self.version
+            refs = self._store(self.references().withColumn("since", F.lit(self.version)), "references-merged")
+            table = self._store(self.counts().withColumn("version", F.lit(self.version)), "counts-merged")
+            self._logs = {"references": [refs], "gone": [], "counts": [table]}
 
     def insert(self, docs: DataFrame) -> None:
-        """Add documents (a doc_id that is there already gets the union of its keys)."""
-        fresh = materialise(references(docs, self.min_chars).distinct(), "fresh-lines")
-        self._changed(self.refs.unionByName(fresh).distinct(), fresh.select("k1", "k2").distinct())
+        """Add documents (a doc_id that is in already gets the union of its keys)."""
+        first = not self._logs["references"]
+        self.version += 1
+        fresh = self._store(references(docs, self.min_chars).distinct().withColumn("since", F.lit(self.version)), "references")
+        self._logs["references"].append(fresh)
+        self._changed(None if first else fresh.select("k1", "k2").distinct())
+        self._merge()
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents out again, by their doc_id."""
-        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        touched = materialise(self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched-lines")
-        self._changed(self.refs.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), touched)
+        self.version += 1
+        ids = self._store(doc_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("upto", F.lit(self.version)), "gone")
+        touched = materialise(self.references().join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched-lines")
+        self._logs["gone"].append(ids)
+        self._changed(touched)
+        self._merge()
 
-    def common(self) -> DataFrame:
-        return self.table.where(F.col("n_docs") >= self.min_docs)
+    def drops(self, docs: DataFrame) -> DataFrame:
+        return drops(docs, self.common(), self.min_chars, self.filters, self.shards)
 
     def remove(self, docs: DataFrame) -> DataFrame:
         """``docs`` without the lines that go under the index as it stands."""
-        return remove(docs, self.common(), self.min_chars)
+        return remove(docs, self.min_chars, index=self)

@@ -26,6 +26,9 @@ def brute(rows):
 
 def test_report_equals_brute_force(odd_docs, none):
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in n.report(odd_docs).collect()), key=str)
+    index = n.LineIndex(odd_docs.sparkSession)
+    index.insert(odd_docs)
+    assert got == sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in n.report(odd_docs, index=index).collect()), key=str)
     assert got == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert n.report(none).count() == 0
 
@@ -55,17 +58,43 @@ def test_cuckoo_filter():
     assert (n.CuckooFilter.load(f.dump()).table == f.table).all()
 
 
-def test_insertion_and_deletion_are_inverse(spark, docs):
-    index = n.LineIndex(spark, shards=3)
-    first, second = docs.where("doc_id < 80"), docs.where("doc_id >= 80")
+def test_full_filters_ask_for_a_larger_one():
+    rng = np.random.default_rng(3)
+    k = rng.integers(-(2**63), 2**63 - 1, (2, 300))
+    f = n.CuckooFilter(32)
+    assert f.insert(k[0][:100], k[1][:100]) and f.contains(k[0][:100], k[1][:100]).all()
+    assert not f.insert(k[0][100:], k[1][100:])
+    assert n.CuckooFilter.build(k[0], k[1]).contains(k[0], k[1]).all()
+
+
+def test_insertion_and_deletion_are_inverse(spark, docs, monkeypatch):
+    monkeypatch.setattr(n, "SHARD_KEYS", 4)
+    monkeypatch.setattr(n, "MERGE_AFTER", 3)
+    index = n.LineIndex(spark)
+    first, second, third = docs.where("doc_id < 80"), docs.where("doc_id >= 80 AND doc_id < 120"), docs.where("doc_id >= 120")
+    state = lambda d: (sorted(map(str, index.counts().collect())), sorted(map(str, index.references().collect())), sorted(map(str, index.remove(d).collect())))
     index.insert(first)
-    before = sorted(map(str, index.table.collect())), sorted(map(str, index.remove(first).collect()))
+    before = state(first)
     index.insert(second)
+    index.insert(third)
     whole = sorted((r.doc_id, r.text) for r in index.remove(docs).collect())
     assert whole == sorted((r.doc_id, r.text) for r in n.remove(docs).collect())
     filters = {r.shard: n.CuckooFilter.load(bytes(r.table)) for r in index.filters.collect()}
     for r in index.common().collect():
         k1, k2 = np.array([r.k1]), np.array([r.k2])
-        assert filters[int(n.shard_of(k2, 3)[0])].contains(k1, k2).all()
+        assert filters[int(n.shard_of(k2, index.shards)[0])].contains(k1, k2).all()
+    index.delete(third.select("doc_id"))
     index.delete(second.select("doc_id"))
-    assert (sorted(map(str, index.table.collect())), sorted(map(str, index.remove(first).collect()))) == before
+    assert state(first) == before
+    index.insert(second)
+    index.delete(second)
+    assert state(first) == before
+    index.delete(first)
+    assert index.counts().count() == index.references().count() == 0
+
+
+def test_index_of_nothing(spark, none, docs):
+    index = n.LineIndex(spark)
+    index.insert(none)
+    index.delete(none)
+    assert index.remove(docs).count() == docs.count() and n.report(none, index=index).count() == 0
