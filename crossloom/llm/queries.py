@@ -62,17 +62,25 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are put into an index; a part of them (by a hash) is taken out and put in again, as a crawl does it, before lines
+    are dropped from all documents by the index's counts and filters."""
     from crossloom.llm import line_dedup
 
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    again = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(50)) == 0)
+    index = line_dedup.LineIndex(spark)
+    index.insert(docs)
+    index.delete(again)
+    index.insert(again)
+    return line_dedup.report(docs, index=index)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossloom.llm import warc
 
     where = scratch(spark, "warc")
-    warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), where)
-    return warc.read_resolved(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages"), url_col="url"), where)
+    return warc.read_archives(spark, where, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert set(back.values()) == {h or "" for h in html}
 
 
+def test_large_payloads_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    pages = spark.createDataFrame([(k, f"{k} " * (2500 if k % 3 == 0 else 5)) for k in range(30)], "page_id long, html string").coalesce(1)
+    where = str(tmp_path / "w")
+    warc.write_archives(warc.resolve_revisits(pages), where)
+    got = {r.page_id: r.payload for r in warc.read_archives(spark, where).collect()}
+    assert got == {r.page_id: r.html for r in pages.collect()}
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 10
+
+
+def test_parsing_piece_by_piece():
+    import gzip
+
+    record = lambda k: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:{k}>\r\nWARC-Payload-Digest: sha1:A\r\nContent-Length: {len(warc._HTTP) + 5 + k}\r\n\r\n{warc._HTTP}{k}\r\n\r\n{'x' * k}\r\n\r\n".encode()
+    blob = b"".join(gzip.compress(record(k)) for k in range(6, 10))  # a member for each record
+    for piece in (1, 7, 10**6):
+        rows = list(warc._parse(warc._inflated(blob, piece), True))
+        assert [(r[0], r[5], r[6]) for r in rows] == [(k, k, "x" * k) for k in range(6, 10)]
+
+
 def test_warc_least_size_and_empty(spark, tmp_path):
     pages = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "abcd"), (4, "abcd")], "page_id long, html string")
     kinds = {r.page_id: r.record_type for r in warc.resolve_revisits(pages, min_bytes=3).collect()}
