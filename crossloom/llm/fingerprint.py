@@ -6,7 +6,8 @@ a logarithmic scale and a checksum of the codes. Two digests differ by the sum o
 three counts six) plus a bounded term for the lengths; likeness is 1 minus the difference over its bound.
 
 Cases: a null text is an empty one; texts of fewer than three bytes fill no bucket and are told apart by length only. Equal
-texts have equal digests. ``next_texts`` orders by id, then text; a null id comes first; repeated ids are neighbours of each other.
+texts have equal digests; texts of any length are hashed whole. ``in_order`` orders by id, then text; a null id comes first; repeated ids are neighbours of
+each other. An empty table gives an empty one. Other columns are carried along by ``fingerprint`` and ``compare``; what they add replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossloom.llm._batches import chunks, mix
+from crossloom.llm._columns import kept
 from crossloom.runtime import partitions, prepare
 
 BUCKETS = 128
@@ -108,12 +110,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """All columns and ``out``, the digest of each whole text."""
     prepare(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    keep = kept(df, [out])
+    schema = T.StructType([*(df.schema.fields[k] for k in keep), T.StructField(out, T.StringType())])
     at = df.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to_strings(digest_arrays(b.column(at))), pa.string())], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(to_strings(digest_arrays(b.column(at))), pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -121,7 +124,8 @@ def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint")
 def compare(df: DataFrame, a: str, b: str, out: str = "likeness") -> DataFrame:
     """All columns and ``out``, the likeness of two digest columns (null where one of them is)."""
     prepare(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    keep = kept(df, [out])
+    schema = T.StructType([*(df.schema.fields[k] for k in keep), T.StructField(out, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -130,7 +134,7 @@ def compare(df: DataFrame, a: str, b: str, out: str = "likeness") -> DataFrame:
             values: list = [None] * len(x)
             for i, v in zip(both, likeness(from_strings([x[i] for i in both]), from_strings([y[i] for i in both])) if both else (), strict=True):
                 values[i] = float(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(values, pa.float64())], names=schema.names)
 
     df_a, df_b = df.columns.index(a), df.columns.index(b)
     return df.mapInArrow(run, schema)

@@ -38,6 +38,8 @@ NODE = 256
 BINS = 128
 SIGMAS = 5.0
 BLOCK = 512
+#: A block also holds no more shingles than this on average, so a task's sets stay under about 100 MB.
+BLOCK_SHINGLES = 8_000_000
 #: Written tables have a file for so many documents, or two for each core.
 ROWS_PER_TASK = 50_000
 #: So many (id, bundle) rows at most are broadcast to the texts, about 32 MB; beyond that, both sides are shuffled.
@@ -287,11 +289,14 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int)
     """(a, b): confirmed links between representatives, a spanning forest of every component."""
     bundles = connected_components(candidates(reps, percent / 100, tasks), first_tasks=tasks)
     members = bundles.withColumnRenamed("node", "rep").withColumnRenamed("component", "g")
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).coalesce(tasks)
+    few = bundles.count() <= BROADCAST_MEMBERS
+    shingles = reps.select("rep", "n").join(F.broadcast(members) if few else members, "rep").groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    # The size counts as what the shingles would make of it, so long texts come in smaller blocks.
+    whole = F.greatest("size", F.ceil(F.col("shingles") * (BLOCK / BLOCK_SHINGLES)))
+    sizes = shingles.select("g", whole.alias("size"), (whole / F.col("size")).alias("weight")).coalesce(tasks)
     members = members.join(sizes, "g").coalesce(tasks)
     members = members.withColumn("h", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    few = bundles.count() <= BROADCAST_MEMBERS
     held = materialise(texts.join(F.broadcast(members) if few else members, "rep").coalesce(tasks), "bundles")
     found = materialise(_confirm(held, size, percent, tasks), "confirmed")
     large = held.where(F.col("size") > BLOCK)
@@ -302,7 +307,7 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int)
     for turn in range(2):
         leaders = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti").coalesce(tasks)
         count = leaders.groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1").coalesce(tasks)
-        leaders = materialise(leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") / BLOCK))).drop("leaders").coalesce(tasks), "leaders")
+        leaders = materialise(leaders.join(count, "g").withColumn("h", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("leaders") * F.col("weight") / BLOCK))).drop("leaders").coalesce(tasks), "leaders")
         if not leaders.count():
             return found
         fresh = materialise(_confirm(leaders, size, percent, tasks), "confirmed")
@@ -315,10 +320,10 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int)
     label = large.join(state, large.rep == state.node, "left").withColumn("c", F.coalesce("component", "rep"))
     comps = label.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
     main = comps.groupBy("g").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("g", F.col("m.c").alias("main"))
-    label = label.join(main, "g").select("g", "rep", "text", "size", (F.col("c") != F.col("main")).alias("minor"))
+    label = label.join(main, "g").select("g", "rep", "text", "size", "weight", (F.col("c") != F.col("main")).alias("minor"))
     half = BLOCK // 2
     minors = label.where("minor").groupBy("g").agg(F.count(F.lit(1)).alias("minors"))
-    label = label.join(minors, "g").withColumns({"bx": F.ceil(F.col("size") / half), "by": F.ceil(F.col("minors") / half)})
+    label = label.join(minors, "g").withColumns({"bx": F.ceil(F.col("size") / half), "by": F.ceil(F.col("minors") * F.col("weight") / half)})
     x, y = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("bx")), F.pmod(F.xxhash64("rep", F.lit(8)), F.col("by"))
     as_block = label.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("by") - 1))).withColumn("h", x * F.col("by") + F.col("h"))
     as_minor = label.where("minor").withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1))).withColumn("h", F.col("h") * F.col("by") + y)
@@ -350,7 +355,9 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # Only documents whose class has several rows or links need a join; all others are their own component.
     shared = classes.join(state, "rep", "left").where("rows > 1 OR component IS NOT NULL").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component")).coalesce(tasks)
     small = sets.select("doc_id", "n_shingles", "d1", "d2")
-    joined = small.join(shared, (small.d1 == shared.d1) & (small.d2 == shared.d2) & (small.n_shingles == shared.n), "left")
+    full = small.where("d1 IS NOT NULL")  # empty sets have nothing to meet, and would meet in one task
+    joined = full.join(shared, (full.d1 == shared.d1) & (full.d2 == shared.d2) & (full.n_shingles == shared.n), "left").select("doc_id", "n_shingles", "component")
+    joined = joined.unionByName(small.where("d1 IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")).coalesce(tasks)
 

@@ -10,8 +10,8 @@ the one place where pieces tie in score; they are merged left to right. Both pro
 loaded; a model without them is refused.
 
 Cases: a null text is an empty one, and an empty text has no ids. Characters without a piece become byte pieces. Texts may
-be of any length: work and memory grow in proportion. Other columns of the input are carried along. Ties and repeated rows
-need no care: each row is encoded on its own.
+be of any length: work and memory grow in proportion. Other columns of the input are carried along, but for those named like what is
+added: these are replaced. Ties, repeated rows and null ids need no care: each row is encoded on its own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from crossloom.llm._columns import kept
 from crossloom.runtime import prepare
 
 MEMO_WORDS = 250_000
@@ -322,7 +323,8 @@ def model(model_file: str) -> PieceModel:
 
 def _added(df: DataFrame, fields: list[tuple[str, T.DataType]], row, text_col: str) -> DataFrame:
     prepare(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
+    keep = kept(df, [n for n, _ in fields])
+    schema = T.StructType([*(df.schema.fields[k] for k in keep), *(T.StructField(n, t) for n, t in fields)])
     at = df.columns.index(text_col)
 
     def run(batches):
@@ -332,7 +334,7 @@ def _added(df: DataFrame, fields: list[tuple[str, T.DataType]], row, text_col: s
         for b in batches:
             rows = [row(x or "") for x in b.column(at).to_pylist()]
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
