@@ -17,6 +17,7 @@ from crossloom.operators.hmm import est_map
 from crossloom.operators.linkage import calculate_density, score_missing
 from crossloom.operators.qtl import Model, Qtl
 from crossloom.operators.scan import design, locus_sums
+from crossloom.operators.sums import gram
 
 
 def effect_plot(cross: Cross, trait: str, marker1: str, marker2: str | None = None) -> DataFrame:
@@ -33,16 +34,16 @@ def effect_scan(cross: Cross, trait: str, **grid) -> DataFrame:
     """Additive (and dominance) effects at each locus, by regression on probabilities, with standard errors."""
     table, t = design(cross, trait, **grid)
 
-    def gram(_, p, y, z, w):
+    def equations(_, p, y, z, w):
         k = p.shape[2]
         cols = [np.ones((*p.shape[:2], 1)), (p @ (np.arange(k) - (k - 1) / 2))[:, :, None] * (1 if k == 3 else 2 / max(1, k - 1))]
         if k == 3:
             cols.append(p[:, :, [1]])
         x = np.concatenate([*cols, np.broadcast_to(y[:, None, None], (*p.shape[:2], 1))], axis=2)
-        return np.einsum("nla,nlb->lab", x, x).reshape(p.shape[1], -1)
+        return gram(x).reshape(p.shape[1], -1)
 
     rows = []
-    for (c, k), s in locus_sums(table, t, gram).items():
+    for (c, k), s in locus_sums(table, t, equations).items():
         d = math.isqrt(len(s))
         g = s.reshape(d, d)
         inv = np.linalg.pinv(g[:-1, :-1])
@@ -152,9 +153,9 @@ def scanone_var(cross: Cross, trait: str, maxit: int = 25, tol: float = 1e-6, **
                 b, g = mine[name][:, :q], mine[name][:, q:]
                 mu, lv = (x * b[None]).sum(2), np.clip((x * g[None]).sum(2), -50, 50)
                 r2, v = (y[:, None] - mu) ** 2, np.exp(lv)
-                a = np.einsum("nla,nlb,nl->lab", x, x, 1 / v).reshape(len(b), -1)
+                a = gram(x / v[:, :, None], x).reshape(len(b), -1)
                 u = np.einsum("nla,nl->la", x, y[:, None] / v)
-                h = np.einsum("nla,nlb->lab", x, x).reshape(len(b), -1) / 2
+                h = gram(x).reshape(len(b), -1) / 2
                 s = np.einsum("nla,nl->la", x, (r2 / v - 1) / 2)
                 loglik = -0.5 * (math.log(2 * math.pi) + lv + r2 / v).sum(0)
                 return np.concatenate([a, u, h, s, loglik[:, None]], axis=1)

@@ -111,19 +111,6 @@ def lists(x: np.ndarray, kind=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel(), kind))
 
 
-def _by_chr(fn):
-    """A function of (chr, rows of that chromosome) over batches of a table with a column chr."""
-
-    def run(batches):
-        for pdf in batches:
-            for name, part in pdf.groupby("chr", sort=False):
-                out = fn(name, part)
-                if out is not None and len(out):
-                    yield out
-
-    return run
-
-
 def _long(b: pa.RecordBatch, name: str, track: Track, **columns) -> dict:
     n, loci = len(b), len(track.pos)
     names = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(loci, dtype=np.int32), n)), pa.array(track.names)).dictionary_decode()
@@ -261,7 +248,7 @@ def _map_sums(seq: DataFrame, t: dict, kind: tuple, r: dict, error: float) -> di
         n = len(s) + 1
         return {"chr": [name] * n, "k": np.arange(n, dtype=np.int32), "s": [*s, ll], "n": [len(b)] * n}
 
-    rows = seq.mapInArrow(by_chromosome(one, t, schema), schema).groupBy("chr", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    rows = seq.mapInArrow(by_chromosome(one, t, schema), schema).groupBy("chr", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # combined in each task first
     return {(x["chr"], x["k"]): (x["s"], x["n"]) for x in rows}
 
 

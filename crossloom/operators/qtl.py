@@ -22,6 +22,7 @@ from crossloom.model import Cross
 from crossloom.operators.hmm import Track, codes, lists, tracks
 from crossloom.operators.scan import rss, weighted_average
 from crossloom.operators.scan2 import _chromosomes, people
+from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
 
 #: Penalties on the LOD scale (main, heavy, light) at the 5 % level.
@@ -191,12 +192,12 @@ class Model:
             return (x[:, at, d][:, None] == np.arange(2, k[chrs[c]] + 1)).astype(float)
 
         def run(batches):
+            sums = TaskSums()
             for pdf in batches:
                 n = len(pdf)
                 flat = np.stack(pdf["p"].to_numpy())
                 p = [x.reshape(n, sizes[c], -1) for c, x in enumerate(np.split(flat, cuts, axis=1))]
                 z, y = np.stack(pdf["z"].to_numpy()).reshape(n, -1), pdf["y"].to_numpy()[:, None]
-                rows = []
                 for s, extra in enumerate(scans):
                     for d in range(1 if hk else draws):
                         parts = [np.ones((n, 1))]
@@ -206,15 +207,18 @@ class Model:
                                 x = (x[:, :, None] * factor(f, p, z, d, extra)[:, None, :]).reshape(n, -1)
                             parts.append(x)
                         if fold is not None:
-                            rows.append((s, d, fold(np.concatenate(parts, axis=1), y[:, 0])))
+                            sums.add((s, d), fold(np.concatenate(parts, axis=1), y[:, 0]))
                             continue
                         m = np.concatenate([*parts, y], axis=1)
-                        rows.append((s, d, (m.T @ m).ravel()))
-                yield pd.DataFrame(rows, columns=["s", "d", "g"])
+                        sums.add((s, d), m.T @ m)
+                if sums.full:
+                    yield sent(sums)
+            yield sent(sums)
 
-        part = self.table.mapInPandas(run, "s int, d int, g array<double>")
-        each = part.select("s", "d", F.posexplode("g").alias("j", "v")).groupBy("s", "d", "j").agg(F.sum("v").alias("v"))
-        rows = each.groupBy("s", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("g")).collect()
+        def sent(sums):
+            return pd.DataFrame([(s, d, g.ravel()) for s, d, g in sums.rows()], columns=["s", "d", "g"])
+
+        rows = added(self.table.mapInPandas(run, "s int, d int, g array<double>"), ["s", "d"], "g").collect()
         out: list = [[] for _ in scans]
         for r in sorted(rows, key=lambda r: (r["s"], r["d"])):
             e = math.isqrt(len(r["g"]))

@@ -11,13 +11,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossloom.functions import chains
 from crossloom.model import Cross
-from crossloom.operators.hmm import Track, _by_chr, by_chromosome, lists, sequences, tracks
+from crossloom.operators.hmm import Track, by_chromosome, codes, lists, sequences, tracks
 from crossloom.operators.order import row_numbers, running_total
+from crossloom.operators.sums import TaskSums, added, gram
 from crossloom.runtime import materialise, prepare
 
 _KEY = ["chr", "pos", "ord", "locus", "trait"]
@@ -91,14 +93,16 @@ def _arrays(part: pd.DataFrame, loci: int) -> tuple[np.ndarray, ...]:
 def locus_sums(table: DataFrame, t: dict[str, Track], fn) -> dict[tuple[str, int], np.ndarray]:
     """Sums over individuals of ``fn(chr, p, y, z, w)`` (an array with a row for each locus), by chromosome and locus."""
 
-    def one(name, part):
-        s = fn(name, *_arrays(part, len(t[name].pos)))
-        s = s.reshape(len(s), -1)
-        return pd.DataFrame({"chr": name, "k": np.arange(len(s), dtype=np.int32), "s": list(s)})
+    def run(batches):
+        sums = TaskSums()
+        for pdf in batches:
+            for name, part in pdf.groupby("chr", sort=False):
+                s = fn(name, *_arrays(part, len(t[name].pos)))
+                sums.add((name,), s.reshape(len(s), -1))
+        for name, s in sums.rows():
+            yield pd.DataFrame({"chr": name, "k": np.arange(len(s), dtype=np.int32), "s": list(s)})
 
-    part = table.mapInPandas(_by_chr(one), "chr string, k int, s array<double>")
-    each = part.select("chr", "k", F.posexplode("s").alias("j", "v")).groupBy("chr", "k", "j").agg(F.sum("v").alias("v"))
-    rows = each.groupBy("chr", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s")).collect()
+    rows = added(table.mapInPandas(run, "chr string, k int, s array<double>"), ["chr", "k"], "s").collect()
     return {(r["chr"], r["k"]): np.array(r["s"]) for r in rows}
 
 
@@ -143,11 +147,11 @@ def scan_hk(cross: Cross, trait: str, covar: DataFrame | None = None, addcovar:
     table, t = design(cross, trait, covar=covar, names=names, weights=weights, store=False, **grid)
     add, inter = _covariates(names, addcovar, intcovar)
 
-    def gram(_, p, y, z, w):
+    def equations(_, p, y, z, w):
         x = np.concatenate([_columns(p, z, add, inter), np.broadcast_to(y[:, None, None], (*p.shape[:2], 1)), np.ones((*p.shape[:2], 1))], axis=2) * np.sqrt(w)[:, None, None]
-        return np.append(np.einsum("nla,nlb->lab", x, x).reshape(p.shape[1], -1), np.full((p.shape[1], 1), len(y)), axis=1)
+        return np.append(gram(x).reshape(p.shape[1], -1), np.full((p.shape[1], 1), len(y)), axis=1)
 
-    sums = locus_sums(table, t, gram)
+    sums = locus_sums(table, t, equations)
     lods = {}
     for key, s in sums.items():
         n, d = s[-1], math.isqrt(len(s) - 1)
@@ -175,17 +179,17 @@ def scan_imp(cross: Cross, trait: str, n_draws: int = 16, covar: DataFrame | Non
     add, inter = _covariates(names, addcovar, intcovar)
     states = {c: chains.n_states(cross.crosstype, x.chrtype) for c, x in t.items()}
 
-    def gram(name, p, y, z, w):
+    def equations(name, p, y, z, w):
         k, loci = states[name], p.shape[1]
         out = []
         for d in range(n_draws):
             hot = (p[:, :, [d]] == np.arange(1, k + 1)).astype(float)
             x = np.concatenate([_columns(hot, z, add, inter), np.broadcast_to(y[:, None, None], (len(y), loci, 1)), np.ones((len(y), loci, 1))], axis=2)
-            out.append(np.einsum("nla,nlb->lab", x, x).reshape(loci, -1))
+            out.append(gram(x).reshape(loci, -1))
         return np.append(np.concatenate(out, axis=1), np.full((loci, 1), len(y)), axis=1)
 
     lods = {}
-    for key, s in locus_sums(table, t, gram).items():
+    for key, s in locus_sums(table, t, equations).items():
         n, k = s[-1], states[key[0]]
         d = math.isqrt((len(s) - 1) // n_draws)
         each = []
@@ -256,7 +260,7 @@ def scan_ehk(cross: Cross, trait: str, maxit: int = 200, tol: float = 1e-4, **gr
         mean = (p * mu[None]).sum(2)
         var = s2[None] + (p * mu[None] ** 2).sum(2) - mean**2
         k = p.shape[2]
-        a = np.einsum("nla,nlb,nl->lab", p, p, 1 / var)
+        a = gram(p / var[:, :, None], p)
         b = np.einsum("nla,nl->la", p, y[:, None] / var)
         r = (y[:, None] - mean) ** 2
         ll = -0.5 * (np.log(2 * math.pi * var) + r / var).sum(0)
@@ -268,7 +272,7 @@ def scan_ehk(cross: Cross, trait: str, maxit: int = 200, tol: float = 1e-4, **gr
         u, v, n = s[-3:]
         return [*mu, max(1e-12, old[-1] + (u - v) / n)]
 
-    first = locus_sums(table, t, lambda name, p, y, z, w: np.concatenate([np.einsum("nla,nlb->lab", p, p).reshape(p.shape[1], -1), np.einsum("nla,n->la", p, y)], axis=1))
+    first = locus_sums(table, t, lambda name, p, y, z, w: np.concatenate([gram(p).reshape(p.shape[1], -1), np.einsum("nla,n->la", p, y)], axis=1))
     start = {}
     for key, s in first.items():
         k = chains.n_states(cross.crosstype, t[key[0]].chrtype)
@@ -293,7 +297,7 @@ def scan_binary(cross: Cross, trait: str, method: str = "hk", covar: DataFrame |
             x = columns(p, z)
             mu = 1 / (1 + np.exp(-np.clip((x * params[None]).sum(2), -30, 30)))
             v = np.maximum(mu * (1 - mu), 1e-12)
-            a = np.einsum("nla,nlb,nl->lab", x, x, v)
+            a = gram(x * v[:, :, None], x)
             b = np.einsum("nla,nl->la", x, y[:, None] - mu)
             ll = (y[:, None] * np.log(np.maximum(mu, 1e-300)) + (1 - y)[:, None] * np.log(np.maximum(1 - mu, 1e-300))).sum(0)
             return np.concatenate([a.reshape(len(params), -1), b, ll[:, None]], axis=1)
@@ -452,20 +456,28 @@ def scanone_perm(cross: Cross, trait: str, n_perm: int = 100, seed: int = 1, per
         table, t = design(cross, trait, **grid)
         return _perm_by_join(table, t, index, n, n_perm, seed, trait, perm_xsp)
     y = index.orderBy("i").select("y").toPandas()["y"].to_numpy()
-    rows, t = design(cross, trait, weights=index.select("ind", F.col("i").alias("w")), store=False, **grid)  # the weight's place holds the index
+    t, kind = tracks(cross, grid.get("step", 0.0), grid.get("off_end", 0.0), grid.get("stepwidth", "fixed")), (cross.crosstype, cross.scheme)
     chrs = sorted(t)
 
-    def one(name, part):
-        p = np.stack(part["p"].to_numpy()).reshape(len(part), len(t[name].pos), -1)
-        i = part["w"].to_numpy().astype(np.int64)
-        yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
-        a, b = np.einsum("nla,nlb->lab", p, p), np.einsum("nla,nr->lar", p, yy)
-        return pd.DataFrame({"chr": name, "k": np.arange(p.shape[1], dtype=np.int32), "a": list(a.reshape(len(a), -1)), "b": list(b.reshape(len(b), -1))})
-
-    part = rows.mapInPandas(_by_chr(one), "chr string, k int, a array<double>, b array<double>")
-    add = lambda c: part.select("chr", "k", F.posexplode(c).alias("j", "v")).groupBy("chr", "k", "j").agg(F.sum("v").alias("v")).groupBy("chr", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias(c))
-    part = materialise(part, "perm-sums")
-    sums = add("a").join(add("b"), ["chr", "k"])
+    def run(batches):
+        sums = TaskSums()
+        for b in batches:
+            i = b.column("i").to_numpy()
+            yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
+            for c in chrs:
+                emit = chains.emissions(kind[0], codes(b, t[c]), grid.get("error", 1e-4), t[c].chrtype)
+                p = chains.posterior(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, grid.get("map_function", "haldane")))
+                sums.add((c,), gram(p), np.tensordot(p, yy, (0, 0)))
+            if sums.full:
+                yield from out(sums)
+        yield from out(sums)
+
+    def out(sums):
+        for c, a, b in sums.rows():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(a)), pa.array(np.arange(len(a), dtype=np.int32)), lists(a.reshape(len(a), -1)), lists(b.reshape(len(b), -1))], names=["chr", "k", "a", "b"])
+
+    part = sequences(cross).join(index.select("ind", "i"), "ind").mapInArrow(run, "chr string, k int, a array<double>, b array<double>")
+    sums = added(part, ["chr", "k"], "a", "b")
     tss = float(((y - y.mean()) ** 2).sum())
     total = float((y * y).sum())
 
@@ -499,16 +511,22 @@ def _perm_by_join(table, t, index, n, n_perm, seed, trait, perm_xsp):
     long = table.select("ind", "chr", "p").join(mixed, "ind")
 
     def one(batches):
+        sums = TaskSums()
         for pdf in batches:
             for (c, rep), part in pdf.groupby(["chr", "rep"]):
                 p, y = np.stack(part["p"].to_numpy()).reshape(len(part), len(t[c].pos), -1), part["y"].to_numpy()
                 x = np.concatenate([p, np.broadcast_to(y[:, None, None], (*p.shape[:2], 1)), np.ones((*p.shape[:2], 1))], axis=2)
-                g = np.einsum("nla,nlb->lab", x, x)
-                yield pd.DataFrame({"rep": int(rep), "chr": c, "k": np.arange(len(g), dtype=np.int32), "s": list(g.reshape(len(g), -1))})
+                sums.add((int(rep), c), gram(x).reshape(x.shape[1], -1))
+            if sums.full:
+                yield from out(sums)
+        yield from out(sums)
+
+    def out(sums):
+        for rep, c, g in sums.rows():
+            yield pd.DataFrame({"rep": rep, "chr": c, "k": np.arange(len(g), dtype=np.int32), "s": list(g)})
 
     part = long.mapInPandas(one, "rep int, chr string, k int, s array<double>")
-    summed = part.select("rep", "chr", "k", F.posexplode("s").alias("j", "v")).groupBy("rep", "chr", "k", "j").agg(F.sum("v").alias("v"))
-    rows = summed.groupBy("rep", "chr", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s"))
+    rows = added(part, ["rep", "chr", "k"], "s")
 
     @F.pandas_udf("double")
     def lod(s: pd.Series) -> pd.Series:
@@ -524,22 +542,32 @@ def _perm_by_join(table, t, index, n, n_perm, seed, trait, perm_xsp):
 
 
 def scanone_boot(cross: Cross, trait: str, chr_: str, n_boot: int = 100, seed: int = 1, **grid) -> DataFrame:
-    """rep, pos, lod: position of the highest LOD when individuals are drawn with replacement. Draws are Poisson weights keyed
-    by (individual, replicate), so every batch finds its own."""
+    """rep, pos, lod: position of the highest LOD when as many individuals as there are are drawn with replacement. Draws follow from a
+    hash of (seed, replicate, number of the draw), so they don't depend on partitions."""
     table, t = design(cross, trait, **grid)
     table, track = table.where(F.col("chr") == chr_), t[chr_]
+    index = materialise(row_numbers(table.select("ind"), "ind", "i"), "index")
+    n = index.count()
+    draws = index.select("i", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep")).select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.lit(n)).alias("i"))
+    drawn = index.join(draws.groupBy("i").agg(F.collect_list("rep").alias("reps")), "i").select("ind", "reps")
 
     def one(batches):
+        sums = TaskSums()
         for pdf in batches:
             p, y = np.stack(pdf["p"].to_numpy()).reshape(len(pdf), len(track.pos), -1), pdf["y"].to_numpy()
             x = np.concatenate([p, np.broadcast_to(y[:, None, None], (*p.shape[:2], 1)), np.ones((*p.shape[:2], 1))], axis=2)
-            weight = np.stack([np.random.default_rng((seed, int(i))).poisson(1.0, n_boot) for i in pdf["ind"]])
-            for r in range(n_boot):
-                g = np.einsum("nla,nlb,n->lab", x, x, weight[:, r])
-                yield pd.DataFrame({"rep": r + 1, "k": np.arange(len(g), dtype=np.int32), "s": list(g.reshape(len(g), -1))})
-
-    part = table.mapInPandas(one, "rep int, k int, s array<double>")
-    summed = part.select("rep", "k", F.posexplode("s").alias("j", "v")).groupBy("rep", "k", "j").agg(F.sum("v").alias("v")).groupBy("rep", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s"))
+            weight = np.stack([np.bincount(r, minlength=n_boot + 1) for r in pdf["reps"]])
+            for r in range(1, n_boot + 1):
+                sums.add((r,), gram(x * weight[:, r, None, None], x).reshape(x.shape[1], -1))
+            if sums.full:
+                yield from out(sums)
+        yield from out(sums)
+
+    def out(sums):
+        for r, g in sums.rows():
+            yield pd.DataFrame({"rep": r, "k": np.arange(len(g), dtype=np.int32), "s": list(g)})
+
+    summed = added(table.join(drawn, "ind").mapInPandas(one, "rep int, k int, s array<double>"), ["rep", "k"], "s")
     pos = track.pos
 
     @F.pandas_udf("pos double, lod double")

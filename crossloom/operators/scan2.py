@@ -15,6 +15,7 @@ from crossloom.model import Cross
 from crossloom.operators.hmm import Track, codes, sequences, tracks
 from crossloom.operators.order import row_numbers
 from crossloom.operators.scan import BROADCAST_PEOPLE, _feistel, rss
+from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
 
 _SCHEMA = "chr1 string, pos1 double, locus1 string, chr2 string, pos2 double, locus2 string, trait string, lod_full double, lod_add double, lod_one1 double, lod_one2 double"
@@ -60,10 +61,11 @@ def joint_designs(got: dict, loci: list, independent: bool = False):
             at += 1
 
 
-def _sums(rows: list, *names: str):
-    """A batch of (pair, k1, arrays...); nothing without rows."""
+def _sent(sums: TaskSums, *names: str):
+    """What a task has summed, as a batch of (pair, k1, arrays...)."""
+    rows = list(sums.rows())
     if rows:
-        arrays = [pa.array([r[k + 2] for r in rows], pa.list_(pa.float64())) for k in range(len(names))]
+        arrays = [pa.array([r[k + 2].ravel() for r in rows], pa.list_(pa.float64())) for k in range(len(names))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *arrays], names=["pair", "k1", *names])
 
 
@@ -96,17 +98,17 @@ def scantwo_hk(cross: Cross, trait: str, step: float = 0.0, error: float = 1e-4,
     loci = _loci(t)
 
     def run(batches):
+        sums = TaskSums()
         for b in batches:
             y = b.column("y").to_numpy()[:, None]
-            rows = []
             for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent):
                 z = np.concatenate([x, y, np.ones_like(y)], axis=1)
-                rows.append((at, k1, (z.T @ z).ravel()))
-            yield from _sums(rows, "s")
+                sums.add((at, k1), z.T @ z)
+            if sums.full:
+                yield from _sent(sums, "s")
+        yield from _sent(sums, "s")
 
-    part = people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>")
-    each = part.select("pair", "k1", F.posexplode("s").alias("j", "v")).groupBy("pair", "k1", "j").agg(F.sum("v").alias("v"))
-    gram = each.groupBy("pair", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s"))
+    gram = added(people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>"), ["pair", "k1"], "s")
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 
     def solve(batches):
@@ -197,13 +199,17 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
     tss, total = float(((y - y.mean()) ** 2).sum()), float((y * y).sum())
 
     def run(batches):
+        sums = TaskSums()
         for b in batches:
             i = b.column("i").to_numpy()
             yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
-            yield from _sums([(at, k1, (x.T @ x).ravel(), (x.T @ yy).ravel()) for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent)], "a", "b")
+            for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent):
+                sums.add((at, k1), x.T @ x, x.T @ yy)
+            if sums.full:
+                yield from _sent(sums, "a", "b")
+        yield from _sent(sums, "a", "b")
 
-    part = materialise(table.drop("y").join(index.select("ind", "i"), "ind").mapInArrow(run, "pair int, k1 int, a array<double>, b array<double>"), "pair-sums")
-    add = lambda c: part.select("pair", "k1", F.posexplode(c).alias("j", "v")).groupBy("pair", "k1", "j").agg(F.sum("v").alias("v")).groupBy("pair", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias(c))
+    part = table.drop("y").join(index.select("ind", "i"), "ind").mapInArrow(run, "pair int, k1 int, a array<double>, b array<double>")
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 
     def solve(batches):
@@ -219,7 +225,7 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
                     out[name] = np.maximum(0, n / 2 * np.log10(tss / np.maximum(total - fit, 1e-300)))
                 yield pd.DataFrame(out)
 
-    lods = add("a").join(add("b"), ["pair", "k1"]).mapInPandas(solve, "rep int, chr1 string, chr2 string, lod_full double, lod_add double, lod_one1 double, lod_one2 double")
+    lods = added(part, ["pair", "k1"], "a", "b").mapInPandas(solve, "rep int, chr1 string, chr2 string, lod_full double, lod_add double, lod_one1 double, lod_one2 double")
     stats = pair_statistics(lods, ("rep", "chr1", "chr2")).groupBy("rep").agg(*(F.max(s).alias(s) for s in STATS))
     long = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS))).alias("x")
     return stats.select("rep", F.lit(trait).alias("trait"), F.lit("all").alias("region"), long).select("rep", "trait", "region", "x.*")
@@ -253,6 +259,7 @@ def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, e
     k = {c: chains.n_states(kind[0], x.chrtype) for c, x in t.items()}
 
     def run(batches):
+        sums = TaskSums()
         for b in batches:
             if not len(b):
                 continue
@@ -260,20 +267,19 @@ def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, e
             for i, c in enumerate(sorted(t)):
                 emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
                 got[c] = chains.sample(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function), n_draws, [(seed, i, int(x)) for x in ids])
-            y = b.column("y").to_numpy()[:, None]
-            rows, at = [], 0
+            y, at = b.column("y").to_numpy()[:, None], 0
             for i, (c1, u) in enumerate(loci):
                 for c2, v in loci[i + 1 :]:
                     for d in range(n_draws):
                         cell = (got[c1][:, u, d].astype(int) - 1) * k[c2] + got[c2][:, v, d] - 1
                         z = np.concatenate([(cell[:, None] == np.arange(k[c1] * k[c2])).astype(float), y, np.ones_like(y)], axis=1)
-                        rows.append((at * n_draws + d, k[c1], (z.T @ z).ravel()))
+                        sums.add((at * n_draws + d, k[c1]), z.T @ z)
                     at += 1
-            yield from _sums(rows, "s")
+            if sums.full:
+                yield from _sent(sums, "s")
+        yield from _sent(sums, "s")
 
-    part = people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>")
-    each = part.select("pair", "k1", F.posexplode("s").alias("j", "v")).groupBy("pair", "k1", "j").agg(F.sum("v").alias("v"))
-    gram = each.groupBy("pair", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("s"))
+    gram = added(people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>"), ["pair", "k1"], "s")
     whole = gram.groupBy(F.floor(F.col("pair") / n_draws).cast("int").alias("pair"), "k1").agg(F.collect_list("s").alias("s"))
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 

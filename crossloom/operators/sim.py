@@ -214,7 +214,7 @@ def scan_phylo(crosses: dict[str, Cross], partitions: list[str], trait: str = "p
 
             def gram(_, p, y, z, w):
                 x = np.concatenate([p[:, :, 1:], np.broadcast_to(y[:, None, None], (*p.shape[:2], 1)), np.ones((*p.shape[:2], 1))], axis=2)
-                return np.einsum("nla,nlb->lab", x, x).reshape(p.shape[1], -1)
+                return np.matmul(x.transpose(1, 2, 0), x.transpose(1, 0, 2)).reshape(p.shape[1], -1)
 
             sums[c, sign], tables[c] = locus_sums(table, t, gram), t
     t = tables[names[0]]
