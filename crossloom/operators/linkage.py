@@ -177,10 +177,11 @@ def score_missing(cross: Cross) -> DataFrame:
 
 
 def check_distances(map_: DataFrame, cofactors: DataFrame, dist: float = 5) -> DataFrame:
-    """Cofactors (marker) that stay when, from the left, those closer than ``dist`` to the one before are dropped."""
-    c = map_.join(F.broadcast(cofactors.select("marker")), "marker").select("chr", "marker", "pos")
-    w = Window.partitionBy("chr").orderBy("pos")
-    return c.where("true").withColumn("gap", F.col("pos") - F.lag("pos").over(w)).where(F.col("gap").isNull() | (F.col("gap") >= dist)).select("chr", "marker", "pos")
+    """Cofactors (marker) that are at least ``dist`` away from every other one on their chromosome: of a pair that is closer, both go."""
+    c = map_.join(cofactors.select("marker"), "marker").select("chr", "marker", "pos")
+    w = Window.partitionBy("chr").orderBy("pos", "marker")
+    gaps = c.withColumns({"before": F.col("pos") - F.lag("pos").over(w), "after": F.lead("pos").over(w) - F.col("pos")})
+    return gaps.where(F.least(F.coalesce("before", F.lit(float("inf"))), F.coalesce("after", F.lit(float("inf")))) >= dist).select("chr", "marker", "pos")
 
 
 def pick_marker_subset(map_: DataFrame, min_distance: float, weights: DataFrame | None = None) -> DataFrame:

@@ -47,11 +47,42 @@ INEXACT = {
     "pull_rf": "value",
     "pull_genoprob": "p",
     "form_marker_covar": "value",
+    "marker_loglik": "loglik",
+    "est_rf_intercross": "rf lod",
+    "scanone_hk_grid": "lod",
+    "scanone_hk_interactive": "lod",
+    "scanone_hk_additive": "lod",
+    "effect_scan_bc": "a se_a",
+    "scanone_genome_x": "lod",
+    "scantwo_mr_bc": "lod_full lod_add lod_one1 lod_one2",
+    "summary_scantwo_bc": "full fv1 int add av1 one",
+    "condense_scantwo": "full fv1 int add av1 one",
+    "max_scantwo": "lod",
+    "clean_scantwo": "lod_full lod_add lod_one1 lod_one2",
+    "plot_scantwo": "value",
+    "replace_map_pairs": "lod_full",
+    "add_scantwo": "lod_full lod_add",
+    "subset_scantwo": "lod_full lod_add lod_one1 lod_one2",
+    "scantwo_mr_f2": "lod_full lod_add lod_one1",
+    "fit_qtl_dropone": "lod pvar f",
+    "add_qtl_scan": "lod",
+    "add_int": "lod",
+    "cim_one": "lod",
+    "subset_scanone": "lod",
+    "bind_scans": "lod1 lod2",
+    "replace_map_scan": "lod",
+    "estimate_marker_lod": "lod",
+    "perm_thresholds_x": "threshold",
+    "scantwo_thresholds": "threshold",
+    "calc_penalties": "main heavy light",
+    "boot_interval": "lo hi",
+    "morgan_map_function": "r",
 }
 
 
 def digits(query_: str, column: str) -> int:
-    return 9 if query_ == "rescale_map" else 4 if column.startswith(("lod", "diff", "mean", "se", "threshold", "y", "chi2")) else 6
+    rough = ("lod", "diff", "mean", "se", "threshold", "y", "chi2", "full", "fv1", "int", "add", "av1", "one", "main", "heavy", "light", "pvar")
+    return 9 if query_ == "rescale_map" else 4 if column.startswith(rough) or query_ == "plot_scantwo" else 6
 
 
 def rounded(name: str, df: DataFrame) -> DataFrame:
@@ -826,3 +857,6 @@ def pull_genoprob(spark, d):
 @query(_BC_PROB + " SELECT ind, 'M2.2' AS name, round(p2, 8) AS value FROM prob WHERE locus = 'M2'")
 def form_marker_covar(spark, d):
     return edit.form_marker_covar(_bc(spark, d), [("1", 11.0)]).withColumn("value", F.round("value", 8))
+
+
+from crossloom import queries_more as _more  # noqa: E402, F401  (registers its queries)
