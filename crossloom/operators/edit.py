@@ -254,6 +254,15 @@ def convert_2_ril(cross: Cross, kind: str = "riself") -> Cross:
     return cross.with_(geno=g, map=cross.map.withColumn("chrtype", F.lit("A")), crosstype=kind)
 
 
+def convert_2_bcsft(cross: Cross, bc_gen: int = 0, f_gen: int = 0) -> Cross:
+    """To a cross of ``bc_gen`` backcrosses and ``f_gen`` selfings. Codes that it can't have (without selfing: all but 1 and 2) become missing."""
+    if cross.crosstype not in ("bc", "f2", "bcsft"):
+        raise ValueError(f"a cross of type {cross.crosstype} has no generations")
+    if bc_gen + f_gen < 1:
+        raise ValueError("generations are needed")
+    return cross.with_(geno=cross.geno.where(F.col("g").between(1, 5 if f_gen else 2)), crosstype="bcsft", scheme=(bc_gen, f_gen))
+
+
 def fix_x_geno(cross: Cross) -> Cross:
     """X genotypes to codes 1 and 2, by sex and direction of the cross; impossible ones become missing."""
     x = F.broadcast(cross.map.where("chrtype = 'X'").select("marker"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossloom.functions import chains
+from crossloom.functions.maps import np_imf
 from crossloom.functions.stats import f_quantile, shapiro_wilk
 from crossloom.model import Cross
 from crossloom.operators.hmm import est_map
 from crossloom.operators.linkage import calculate_density, score_missing
 from crossloom.operators.qtl import Model, Qtl
 from crossloom.operators.scan import design, locus_sums
-from crossloom.operators.sums import gram
+from crossloom.operators.sums import TaskSums, added, gram
+from crossloom.runtime import materialise, prepare
 
 
 def effect_plot(cross: Cross, trait: str, marker1: str, marker2: str | None = None) -> DataFrame:
@@ -198,54 +201,143 @@ def window_orders(n: int, window: int) -> list[tuple[int, ...]]:
     return out
 
 
-def ripple_count(cross: Cross, chr_: str, window: int = 4) -> DataFrame:
-    """ord (array of old numbers from 1), n_xo: obligate crossovers of each order in a sliding window.
+def _patterns(cross: Cross, chr_: str) -> DataFrame:
+    """a (typed ord and g in order), k: genotype patterns of a chromosome and how many individuals have them."""
+    one = cross.geno.where((F.col("chr") == chr_) & F.col("g").isNotNull()).groupBy("ind").agg(F.array_sort(F.collect_list(F.struct("ord", "g"))).alias("a"))
+    return one.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
 
-    Crossovers are counted between pairs of markers that are neighbours among an individual's typed ones; patterns of genotypes that repeat
-    are counted once with their multiplicity, so individuals are reduced before any order is tried."""
-    n = cross.map.where(F.col("chr") == chr_).count()
-    pattern = cross.geno.where((F.col("chr") == chr_) & F.col("g").isNotNull()).groupBy("ind").agg(F.array_sort(F.collect_list(F.struct("ord", "g"))).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    orders = window_orders(n, min(window, n))
-    f2 = cross.crosstype in ("f2", "bcsft")
+
+def _matrix(pdf: pd.DataFrame, n: int) -> np.ndarray:
+    out = np.zeros((len(pdf), n), np.int64)
+    for row, a in zip(out, pdf["a"], strict=True):
+        for x in a:
+            row[x["ord"] - 1] = x["g"]
+    return out
+
+
+def _order_counts(patterns: DataFrame, n: int, orders: list[tuple[int, ...]], f2: bool) -> DataFrame:
+    """k, n_xo: obligate crossovers between neighbours among the typed markers, for each of the orders (which may leave markers out)."""
     table = np.array(orders)
 
     def run(batches):
+        total = np.zeros(len(orders), np.int64)
         for pdf in batches:
-            total = np.zeros(len(orders), np.int64)
-            for a, k in zip(pdf["a"], pdf["k"], strict=True):
-                g = np.zeros(n, np.int64)
-                for x in a:
-                    g[x["ord"] - 1] = x["g"]
+            for g, k in zip(_matrix(pdf, n), pdf["k"], strict=True):
                 seq = g[table]
                 last, xo = np.zeros(len(orders), np.int64), np.zeros(len(orders), np.int64)
-                for j in range(n):
+                for j in range(table.shape[1]):
                     now = seq[:, j]
                     both = (now > 0) & (last > 0)
                     d = np.where((now <= 3) & (last <= 3), np.abs(now - last), ((now == 4) & (last == 3)) | ((now == 3) & (last == 4)) | ((now == 5) & (last == 1)) | ((now == 1) & (last == 5))) if f2 else (now != last).astype(int)
                     xo += np.where(both, d, 0)
                     last = np.where(now > 0, now, last)
                 total += k * xo
-            yield pd.DataFrame({"k": np.arange(len(orders), dtype=np.int32), "n": total})
+        yield pd.DataFrame({"k": np.arange(len(orders), dtype=np.int32), "n": total})
+
+    return patterns.mapInPandas(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n_xo"))
+
 
-    sums = pattern.mapInPandas(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n_xo"))
+def ripple_count(cross: Cross, chr_: str, window: int = 4) -> DataFrame:
+    """ord (array of old numbers from 1), n_xo: obligate crossovers of each order in a sliding window.
+
+    Crossovers are counted between pairs of markers that are neighbours among an individual's typed ones; patterns of genotypes that repeat
+    are counted once with their multiplicity, so individuals are reduced before any order is tried."""
+    n = cross.map.where(F.col("chr") == chr_).count()
+    orders = window_orders(n, min(window, n))
+    sums = _order_counts(_patterns(cross, chr_), n, orders, cross.crosstype in ("f2", "bcsft"))
     names = cross.geno.sparkSession.createDataFrame([(k, [x + 1 for x in o]) for k, o in enumerate(orders)], "k int, ord array<int>")
     return names.join(sums, "k").select("ord", "n_xo")
 
 
-def order_markers(cross: Cross, chr_: str, window: int = 5) -> list[int]:
-    """A good order of a chromosome's markers: the best of sliding windows, again and again until none is better."""
-    from crossloom.operators.edit import switch_order
+def ripple_lik(cross: Cross, chr_: str, window: int = 4, error: float = 1e-4, map_function: str = "haldane", maxit: int = 4000, tol: float = 1e-6) -> DataFrame:
+    """ord, lod (log10 likelihood over that of the present order), length (cM): each order in a sliding window with a map of its own by EM.
 
-    order = list(range(1, cross.map.where(F.col("chr") == chr_).count() + 1))
-    for _ in range(10):
-        now = switch_order(cross, chr_, order)
-        rows = ripple_count(now, chr_, window).collect()
-        same = list(range(1, len(order) + 1))
-        best = min(rows, key=lambda r: (r["n_xo"], r["ord"] != same, r["ord"]))
-        if best["ord"] == same:
+    A round is one pass over the distinct genotype patterns, for all orders that haven't settled; sums for each order and interval leave a task."""
+    spark = cross.geno.sparkSession
+    prepare(spark)
+    n = cross.map.where(F.col("chr") == chr_).count()
+    orders = window_orders(n, min(window, n))
+    kind = cross.crosstype
+    patterns = materialise(_patterns(cross, chr_), "patterns")
+    r = {k: np.full(n - 1, 0.1) for k in range(len(orders))}
+    ll: dict[int, float] = {}
+    open_ = set(r)
+    for _ in range(maxit):
+        if not open_:
             break
-        order = [order[k - 1] for k in best["ord"]]
-    return order
+        mine = {k: (np.array(orders[k]), r[k]) for k in sorted(open_)}
+
+        def run(batches, mine=mine):
+            sums = TaskSums()
+            for pdf in batches:
+                g, times = _matrix(pdf, n), pdf["k"].to_numpy(float)
+                for k, (order, rr) in mine.items():
+                    emit = chains.emissions(kind, g[:, order], error)
+                    init, steps = chains.initial(kind, "A", cross_scheme), [chains.transition(kind, float(x), None, "A", cross_scheme) for x in rr]
+                    loglik = (chains.forward(emit, init, steps)[1] * times).sum() / math.log(10)
+                    pp = chains.pair_posterior(emit, init, steps)
+                    expected = [float(((pp[:, j] * chains.crossings(kind, rr[j], pp.shape[2])).sum((1, 2)) * times).sum()) for j in range(n - 1)]
+                    sums.add((k,), np.array([*expected, times.sum(), loglik]))
+            yield pd.DataFrame([(k, list(v)) for k, v in sums.rows()], columns=["k", "s"])
+
+        cross_scheme = cross.scheme
+        for x in added(patterns.mapInPandas(run, "k int, s array<double>"), ["k"], "s").collect():
+            k, s = x["k"], np.array(x["s"])
+            new = np.clip(s[:-2] / s[-2], tol / 1000, 0.5 - tol / 1000)
+            ll[k] = float(s[-1])
+            if (np.abs(new - r[k]) <= tol * (np.abs(new) + 100 * tol)).all():
+                open_.discard(k)
+            r[k] = new
+        open_ &= set(ll)
+    if open_:
+        warnings.warn(f"ripple_lik: {len(open_)} orders not settled after {maxit} rounds", stacklevel=2)
+    base = ll.get(orders.index(tuple(range(n))), 0.0)
+    rows = [([x + 1 for x in o], ll.get(k, 0.0) - base, float(np_imf(r[k], map_function).sum())) for k, o in enumerate(orders)]
+    return spark.createDataFrame(rows, "ord array<int>, lod double, length double")
+
+
+def summary_ripple(ripple: DataFrame, best: int = 10) -> DataFrame:
+    """The present order and the best others: fewest crossovers, or highest LOD down to a tenth of a unit below the present order."""
+    same = F.array_sort("ord") == F.col("ord")
+    key = [F.col("n_xo"), F.col("ord")] if "n_xo" in ripple.columns else [F.desc("lod"), F.col("ord")]
+    others = ripple.where(~same).orderBy(*key).limit(best)
+    return ripple.where(same).unionByName(others).withColumn("initial", same)
+
+
+def order_markers(cross: Cross, chr_: str, window: int = 7, ripple: bool = True) -> list[int]:
+    """An order of a chromosome's markers by the fewest obligate crossovers: markers enter one by one, the most typed first, at the best of all
+    places; then the best order of sliding windows is taken again and again until none is better. Up to ``window`` markers are only permuted.
+    Ties go to the earlier place and to the present order."""
+    n = cross.map.where(F.col("chr") == chr_).count()
+    f2 = cross.crosstype in ("f2", "bcsft")
+    if n < 3:
+        return list(range(1, n + 1))
+    patterns = materialise(_patterns(cross, chr_), "patterns")
+
+    def counts(orders):
+        got = {r["k"]: r["n_xo"] for r in _order_counts(patterns, n, orders, f2).collect()}
+        return [got.get(k, 0) for k in range(len(orders))]
+
+    order = tuple(range(n))
+    if n > window or not ripple:
+        typed = {r["ord"]: r["t"] for r in cross.geno.where((F.col("chr") == chr_) & F.col("g").isNotNull()).groupBy("ord").agg(F.count(F.lit(1)).alias("t")).collect()}
+        queue = sorted(range(n), key=lambda k: (-typed.get(k + 1, 0), k))
+        order = tuple(queue[:2])
+        for m in queue[2:]:
+            tries = [(*order[:k], m, *order[k:]) for k in range(len(order), -1, -1)]
+            got = counts(tries)
+            order = tries[int(np.argmin(got))]
+    moving = ripple
+    while moving:
+        tries = [tuple(order[k] for k in o) for o in window_orders(n, min(window, n))]
+        tries.sort(key=lambda o: o != order)
+        got = counts(tries)
+        best = int(np.argmin(got))
+        moving = got[best] < got[0]
+        order = tries[best] if moving else order
+    if order[0] > order[-1]:
+        order = order[::-1]
+    return [k + 1 for k in order]
 
 
 def compare_order(cross: Cross, chr_: str, order: list[int], **options) -> list[tuple[str, float, float]]:

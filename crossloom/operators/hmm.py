@@ -131,6 +131,35 @@ def calc_genoprob(cross: Cross, step: float = 0.0, off_end: float = 0.0, error:
     return sequences(cross).mapInArrow(by_chromosome(one, t, PROB), PROB)
 
 
+def calc_pairprob(cross: Cross, step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed") -> DataFrame:
+    """ind, chr, locus1, locus2, p: joint probabilities of each pair of loci of a chromosome, the second one's genotype running fastest."""
+    prepare(cross.geno.sparkSession)
+    t, kind = tracks(cross, step, off_end, stepwidth), (cross.crosstype, cross.scheme)
+    schema = "ind long, chr string, locus1 string, locus2 string, p array<double>"
+
+    def one(name, b, g):
+        track = t[name]
+        if len(track.pos) < 2:
+            return None
+        emit = chains.emissions(kind[0], g, error, track.chrtype)
+        init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, map_function)
+        joint = chains.pair_posterior(emit, init, steps)
+        onward = joint / np.maximum(joint.sum(3, keepdims=True), 1e-300)
+        parts, first, second = [], [], []
+        for i in range(len(track.pos) - 1):
+            x = joint[:, i]
+            for j in range(i + 1, len(track.pos)):
+                if j > i + 1:
+                    x = np.matmul(x, onward[:, j - 1])
+                parts.append(x.reshape(len(b), -1))
+                first.append(track.names[i])
+                second.append(track.names[j])
+        n, m = len(b), len(parts)
+        return {"ind": np.repeat(b.column("ind").to_numpy(), m), "chr": [name] * (n * m), "locus1": first * n, "locus2": second * n, "p": lists(np.stack(parts, axis=1).reshape(n * m, -1))}
+
+    return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema)
+
+
 def argmax_geno(cross: Cross, step: float = 0.0, off_end: float = 0.0, error: float = 1e-4, map_function: str = "haldane", stepwidth: str = "fixed") -> DataFrame:
     """ind, chr, locus, ord, pos, g: the most likely sequence (ties: the smaller genotype)."""
     prepare(cross.geno.sparkSession)

@@ -24,6 +24,41 @@ def geno_table(cross: Cross) -> DataFrame:
     return x.withColumn("full", full.cast("double")).select("chr", "marker", (F.col("n_ind") - F.col("typed")).alias("n_missing"), *(f"n{c}" for c in codes), F.when(F.col("full") > 0, chi2).alias("chi2"), F.lit(k - 1).alias("df"))
 
 
+def geno_table_em(cross: Cross, tol: float = 1e-6, maxit: int = 1000) -> DataFrame:
+    """marker, aa, ab, bb, stat, p: genotype shares of an intercross by EM where some genotypes are known in part only, and a likelihood
+    ratio against the shares expected."""
+    c = geno_table(cross).select("marker", *(f"n{k}" for k in range(1, 6)))
+    expect = (0.25, 0.5, 0.25)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        from crossloom.functions.stats import chi2_sf
+
+        members = ((0,), (1,), (2,), (0, 1), (1, 2))
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                n, p = np.array(row[1:], float), np.array(expect)
+                loglik = lambda q, n=n: sum(k * math.log(max(1e-300, sum(q[j] for j in s))) for k, s in zip(n, members, strict=True) if k)
+                for _ in range(maxit if n.sum() else 0):
+                    new = np.zeros(3)
+                    for k, s in zip(n, members, strict=True):
+                        for j in s:
+                            new[j] += k * p[j] / max(1e-300, sum(p[i] for i in s))
+                    new /= n.sum()
+                    done = np.abs(new - p).max() < tol
+                    p = new
+                    if done:
+                        break
+                stat = max(0.0, 2 * (loglik(p) - loglik(expect)))
+                out.append((row[0], *map(float, p), stat, chi2_sf(stat, 2)))
+            yield pd.DataFrame(out, columns=["marker", "aa", "ab", "bb", "stat", "p"])
+
+    return c.mapInPandas(run, "marker string, aa double, ab double, bb double, stat double, p double")
+
+
 def _pairs(cross: Cross) -> DataFrame:
     """m1, m2, g1, g2, n: counts over individuals for each pair of markers.
 

@@ -248,3 +248,51 @@ def summary_cross(cross: Cross) -> DataFrame:
     g = cross.geno.agg(F.count("g").alias("typed"), F.sum((~F.col("g").between(1, top)).cast("long")).alias("codes_out_of_range"))
     one = sizes(cross).join(faults).join(g).withColumn("share_typed", F.col("typed") / (F.col("n_ind") * F.col("tot_mar")))
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).cast("double").alias("value")) for c in one.columns))).alias("x")).select("x.*")
+
+
+def subset_map(map_: DataFrame, chr_) -> DataFrame:
+    """Rows of a map, by a selection of chromosomes as in ``match_chr``."""
+    names = [r["chr"] for r in map_.select("chr").distinct().orderBy(*ordered_chr()).collect()]
+    return map_.where(F.col("chr").isin(match_chr(chr_, names)))
+
+
+def get_id(cross: Cross) -> DataFrame:
+    """ind, id: the id column, or the individual's number where there is none."""
+    return cross.individual.select("ind", F.coalesce("id", F.col("ind").cast("string")).alias("id"))
+
+
+def find_pheno(cross: Cross, traits: Iterable[str]) -> DataFrame:
+    """trait, number: places (from 1, by name) of traits among all; null for unknown ones."""
+    spark = cross.map.sparkSession
+    number = phe_names(cross).withColumn("number", F.row_number().over(Window.orderBy("trait")))
+    return spark.createDataFrame([(t,) for t in traits], "trait string").join(number, "trait", "left")
+
+
+def find_marker_index(cross: Cross, markers: DataFrame) -> DataFrame:
+    """marker, number: places (from 1) of markers in the whole map."""
+    number = cross.map.withColumn("number", F.row_number().over(Window.orderBy(*ordered_chr(), "ord"))).select("marker", "number")
+    return markers.select("marker").join(number, "marker", "left")
+
+
+def locate_marker(map_: DataFrame, places: DataFrame, tol: float = 1e-8) -> DataFrame:
+    """chr, pos, marker: the marker at exactly a place, null if there is none (ties: the first by order)."""
+    m = map_.select(F.col("chr").alias("c"), F.col("pos").alias("p"), "ord", "marker")
+    x = places.join(m, (F.col("chr") == F.col("c")) & (F.abs(F.col("pos") - F.col("p")) <= tol), "left")
+    return x.groupBy("chr", "pos").agg(F.min(F.when(F.col("marker").isNotNull(), F.struct("ord", "marker"))).alias("b")).select("chr", "pos", F.col("b.marker").alias("marker"))
+
+
+def describe(table: DataFrame, digits: int = 3, most: int = 100) -> str:
+    """A summary (of a scan, of permutations, of a model) as text: numbers rounded, columns aligned. Tables of over ``most`` rows, which summaries
+    aren't, say how many are left out."""
+    rows = table.limit(most + 1).collect()
+    show = lambda v: "" if v is None else round_text(v, digits) if isinstance(v, float) else str(v)
+    cells = [table.columns, *([show(v) for v in r] for r in rows[:most])]
+    width = [max(len(r[k]) for r in cells) for k in range(len(table.columns))]
+    lines = ["  ".join(v.rjust(w) for v, w in zip(r, width, strict=True)) for r in cells]
+    return "\n".join(lines + ([f"({table.count() - most} more rows)"] if len(rows) > most else []))
+
+
+def round_text(x: float, digits: int = 1) -> str:
+    """A number with exactly so many digits after the point; no negative zero."""
+    text = f"{x:.{digits}f}"
+    return text[1:] if text.startswith("-") and not text.strip("-0.") else text

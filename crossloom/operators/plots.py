@@ -56,6 +56,32 @@ def scan_table(scan: DataFrame, gap: float = 25) -> DataFrame:
     return x_axis(scan, gap)
 
 
+def rf_table(rf: DataFrame, map_: DataFrame, most: float = 12.0) -> DataFrame:
+    """chr1, ord1, chr2, ord2, value for both triangles of a heat map: LODs up to ``most`` above, recombination fractions on the scale of LODs
+    below (0 at a half)."""
+    m = lambda k: map_.select(F.col("marker").alias(f"m{k}"), F.col("chr").alias(f"chr{k}"), F.col("ord").alias(f"ord{k}"))
+    x = rf.join(m(1), "m1").join(m(2), "m2")
+    scaled = F.least(F.lit(most), F.greatest(F.lit(0.0), -4 * (F.log2(F.greatest("rf", F.lit(1e-12))) + 1) / 12 * most))
+    low = x.select("chr1", "ord1", "chr2", "ord2", scaled.alias("value"))
+    return low.unionByName(x.select(F.col("chr2").alias("chr1"), F.col("ord2").alias("ord1"), F.col("chr1").alias("chr2"), F.col("ord1").alias("ord2"), F.least("lod", F.lit(most)).alias("value")))
+
+
+def errorlod_table(errorlod: DataFrame, breaks: tuple[float, ...] = (2.0, 3.0, 4.5)) -> DataFrame:
+    """ind, chr, marker, level: in which class of error LODs a genotype is (0: below all breaks)."""
+    return errorlod.select("ind", "chr", "marker", sum((F.col("errorlod") > b).cast("int") for b in breaks[1:]).alias("rest"), (F.col("errorlod") > breaks[0]).cast("int").alias("one")).select("ind", "chr", "marker", (F.col("one") + F.col("rest")).alias("level"))
+
+
+def cis_trans_table(scans: DataFrame, locations: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """trait, own_chr, own_pos, chr, pos, lod: every locus above the threshold against the place of the trait's own gene (name, chr, pos)."""
+    own = locations.select(F.col("name").alias("trait"), F.col("chr").alias("own_chr"), F.col("pos").alias("own_pos"))
+    return scans.where(F.col("lod") >= threshold).join(own, "trait").select("trait", "own_chr", "own_pos", "chr", "pos", "lod")
+
+
+def directed_table(scan: DataFrame, effects: DataFrame) -> DataFrame:
+    """chr, pos, lod: LODs with the sign of the additive effect at the locus."""
+    return scan.join(effects.select("chr", "locus", "a"), ["chr", "locus"]).select("chr", "pos", (F.col("lod") * F.signum("a")).alias("lod"))
+
+
 def pair_table(scan: DataFrame, lower: str = "lod_full", upper: str = "int") -> DataFrame:
     """Both triangles of a pair scan: full, add, int, fv1 or av1 as value."""
     one = F.greatest("lod_one1", "lod_one2")

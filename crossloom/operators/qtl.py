@@ -86,6 +86,30 @@ def calc_plod(lod: float, terms, penalties=(3.52, 4.28, 2.69)) -> float:
     return lod - sum(n * p for n, p in zip(count_terms(terms), penalties, strict=True))
 
 
+def count_terms_x(terms, on_x: set[str]) -> tuple[int, int, int, int, int, int]:
+    """(mainA, mainX, intH, intL, intAX, intXX), where ``on_x`` names the loci on X: in each component of the graph of interactions, one of
+    those between autosomes is light."""
+    main = [next(iter(t)) for t in terms if len(t) == 1 and re.fullmatch(r"Q\d+", next(iter(t)))]
+    edges = [tuple(t) for t in terms if len(t) == 2 and all(re.fullmatch(r"Q\d+", f) for f in t)]
+    kinds = {e: len(on_x & set(e)) for e in edges}
+    heavy = light = 0
+    seen: set[str] = set()
+    while left := [e for e in edges if not seen & set(e)]:
+        comp = set(left[0])
+        while more := {f for e in edges if comp & set(e) for f in e} - comp:
+            comp |= more
+        both = sum(set(e) <= comp and kinds[e] == 0 for e in edges)
+        light, heavy = light + (both > 0), heavy + max(0, both - 1)
+        seen |= comp
+    x = sum(f in on_x for f in main)
+    return len(main) - x, x, heavy, light, sum(k == 1 for k in kinds.values()), sum(k == 2 for k in kinds.values())
+
+
+def calc_plod_x(lod: float, terms, penalties, on_x: set[str]) -> float:
+    """Penalised LOD with six penalties; an infinite one forbids its terms."""
+    return lod - sum(n * p for n, p in zip(count_terms_x(terms, on_x), penalties, strict=True) if n)
+
+
 # Models
 
 
@@ -172,20 +196,20 @@ class Model:
 
     def grams(self, loci: list, terms, scan: list | None = None, fold=None) -> list[np.ndarray]:
         """Gram matrices (one for each imputation, or one) of the ones, the terms' columns and the response; for a scan, the loci in it
-        take the last Q in turn and there is a list for each. ``fold(x, y)``: other sums of the columns and the response instead."""
+        (or tuples of loci) take the last Q (or the last ones) in turn and there is a list for each. ``fold(x, y)``: other sums of the columns and the response instead."""
         k = {c: chains.n_states(self.crosstype, self.tracks[c].chrtype) for c in self.chrs}
         sizes = [len(self.tracks[c].pos) for c in self.chrs]
         where = [self._index(x) for x in loci]
-        scans = [None] if scan is None else [self._index(x) for x in scan]
+        several = lambda x: x if isinstance(x[0], tuple) else (x,)
+        scans = [{}] if scan is None else [{f"Q{len(loci) + 1 + k}": self._index(y) for k, y in enumerate(several(x))} for x in scan]
         names, chrs, draws, hk = self.names, self.chrs, self.n_draws, self.method == "hk"
         order = sorted(terms, key=lambda t: (len(t), sorted(t, key=_number)[0], sorted(t)))
-        q_new = f"Q{len(loci) + 1}"
         cuts = np.cumsum([sizes[c] * (k[x] if hk else draws) for c, x in enumerate(chrs)])[:-1]
 
         def factor(f, p, z, d, extra):
             if f in names:
                 return z[:, [names.index(f)]]
-            c, at = extra if f == q_new and extra is not None else where[int(f[1:]) - 1]
+            c, at = extra[f] if f in extra else where[int(f[1:]) - 1]
             x = p[c]
             if hk:
                 return x[:, at, 1:]
@@ -344,41 +368,84 @@ class Model:
                 break
         return Qtl(tuple(loci), {"profiles": profiles})
 
-    def stepwise(self, max_qtl: int = 5, penalties=None, additive_only: bool = False, refine: bool = True) -> tuple[Qtl, frozenset, float]:
-        """Forward selection to ``max_qtl`` loci, then backward deletion; the model with the best penalised LOD of all seen."""
-        pen = penalties or PENALTIES["bc" if chains.n_states(self.crosstype) == 2 else "f2"]
-        qtl, terms = Qtl(), frozenset()
-        best = (0.0, qtl, terms)
+    def add_pair(self, qtl: Qtl, terms: frozenset | None = None, chrs: list[str] | None = None) -> list[tuple]:
+        """(chr1, pos1, locus1, chr2, pos2, locus2, lod_full, lod_add) for two more loci everywhere, with and without an interaction of
+        them, over the model without them. All pairs go through in one pass."""
+        base = terms if terms is not None else frozenset(frozenset([f"Q{k + 1}"]) for k in range(len(qtl)))
+        a, b = f"Q{len(qtl) + 1}", f"Q{len(qtl) + 2}"
+        every = base | {frozenset([a]), frozenset([b]), frozenset([a, b])}
+        pairs = list(itertools.combinations(self.all_loci(chrs), 2))
+        null = self.lod(self.grams(list(qtl.loci), base)) if base else 0.0
+        out = []
+        for (x, y), g in zip(pairs, self.grams(list(qtl.loci), every, pairs), strict=True):
+            spans = self._spans([*qtl.loci, x, y], every)
+            plain = sorted(c for t in every - {frozenset([a, b])} for c in spans[t])
+            out.append((*x, *y, self.lod(g) - null, self.lod(g, plain) - null))
+        return out
+
+    def _on_x(self, loci) -> set[str]:
+        return {f"Q{k + 1}" for k, x in enumerate(loci) if self.tracks[x[0]].chrtype == "X"}
+
+    def check_start(self, qtl: Qtl, terms: frozenset) -> None:
+        """A start of a stepwise search must name its loci, each once as a main effect, and no others."""
+        wanted = {f"Q{k + 1}" for k in range(len(qtl))}
+        named = {f for t in terms for f in t}
+        if unknown := named - wanted - set(self.names):
+            raise ValueError(f"unknown factors: {sorted(unknown)}")
+        if unused := wanted - {f for t in terms if len(t) == 1 for f in t}:
+            raise ValueError(f"loci without a main effect: {sorted(unused)}")
+
+    def stepwise(self, max_qtl: int = 5, penalties=None, additive_only: bool = False, refine: bool = True, start: tuple[Qtl, frozenset] | None = None) -> tuple[Qtl, frozenset, float]:
+        """Forward selection to ``max_qtl`` loci, then backward deletion; the model with the best penalised LOD of all seen.
+
+        Three penalties (main, heavy, light), or six for autosomes and X (see ``count_terms_x``). Covariates stay in all models, and LODs
+        are over the model with these alone. ``start``: loci and terms to begin with."""
+        pen = tuple(penalties.values()) if isinstance(penalties, dict) else penalties or PENALTIES["bc" if chains.n_states(self.crosstype) == 2 else "f2"]
+        always = frozenset(frozenset([z]) for z in self.names)
+        null = self.lod(self.grams([], always)) if always else 0.0
+
+        def plod(lod, terms, loci):
+            return calc_plod_x(lod - null, terms, pen, self._on_x(loci)) if len(pen) == 6 else calc_plod(lod - null, terms, pen)
+
+        whole = lambda q, t: self.lod(self.grams(list(q.loci), t)) if t else 0.0
+        qtl, terms = start or (Qtl(), frozenset())
+        self.check_start(qtl, terms)
+        terms = terms | always
+        best = (plod(whole(qtl, terms), terms, qtl.loci), qtl, terms) if len(qtl) else (0.0, qtl, terms)
         while len(qtl) < max_qtl:
             taken = {x[2] for x in qtl.loci}
             free = [x for x in self.all_loci() if x[2] not in taken]
             if not free:
                 break
-            new = f"Q{len(qtl) + 1}"
+            new, now = f"Q{len(qtl) + 1}", whole(qtl, terms)
             tries = []
             for inter in [None, *([] if additive_only else [f"Q{k + 1}" for k in range(len(qtl))])]:
-                got = max(self.add_qtl(qtl, terms, inter, free), key=lambda x: (x[3], -x[1]))
                 t = terms | {frozenset([new])} | ({frozenset([new, inter])} if inter else frozenset())
-                tries.append((calc_plod(got[3], t, pen), got[:3], t))
+                gains = self.add_qtl(qtl, terms, inter, free)
+                for kind in sorted({self.tracks[x[0]].chrtype for x in gains}):  # the best autosomal locus, and the best one on X
+                    got = max((x for x in gains if self.tracks[x[0]].chrtype == kind), key=lambda x: (x[3], -x[1]))
+                    tries.append((plod(now + got[3], t, [*qtl.loci, got[:3]]), got[:3], t))
             if not additive_only:
                 for pair, gain in self.add_int(qtl, terms):
-                    tries.append((calc_plod(gain, terms | {pair}, pen), None, terms | {pair}))
+                    tries.append((plod(now + gain, terms | {pair}, qtl.loci), None, terms | {pair}))
             _, locus, terms = max(tries, key=lambda x: x[0])
             if locus is not None:
                 qtl = Qtl((*qtl.loci, locus))
             if refine and len(qtl) > 1:
                 qtl = self.refine(qtl, terms, 2)
-            score = calc_plod(self.fit(qtl, terms)["lod"], terms, pen)
+            score = plod(whole(qtl, terms), terms, qtl.loci)
             if score > best[0]:
                 best = (score, qtl, terms)
-        while len(qtl) > 1 or len(terms) > 1:
+        while len(qtl):
             weakest = None
             grams, spans = self.grams(list(qtl.loci), terms), self._spans(qtl.loci, terms)
-            for term in terms:
+            for term in terms - always:
                 if any(term < t for t in terms):
                     continue
                 rest = terms - {term}
-                s = calc_plod(self.lod(grams, sorted(c for t in rest for c in spans[t])), rest, pen)
+                names = {f"Q{k + 1}" for k in range(len(qtl))} & {f for t in rest for f in t}
+                s = self.lod(grams, sorted(c for t in rest for c in spans[t])) - null
+                s = calc_plod_x(s, rest, pen, self._on_x(qtl.loci) & names) if len(pen) == 6 else calc_plod(s, rest, pen)
                 if weakest is None or s > weakest[0]:
                     weakest = (s, term, rest)
             s, term, terms = weakest
@@ -388,21 +455,16 @@ class Model:
                 qtl = drop_from_qtl(qtl, k)
             if refine and len(qtl):
                 qtl = self.refine(qtl, terms, 2)
-                s = calc_plod(self.fit(qtl, terms)["lod"], terms, pen)
+                s = plod(whole(qtl, terms), terms, qtl.loci)
             if s > best[0]:
                 best = (s, qtl, terms)
-            if not len(qtl):
-                break
         return best[1], best[2], best[0]
 
     def scan_qtl(self, positions: list[list[tuple]], terms: frozenset | None = None) -> list[tuple]:
-        """LODs over the grid of several loci: ``positions`` has a list of loci for each Q."""
+        """LODs over the grid of several loci: ``positions`` has a list of loci for each Q. One pass for the whole grid."""
         terms = terms or frozenset(frozenset([f"Q{k + 1}"]) for k in range(len(positions)))
-        out = []
-        for head in itertools.product(*positions[:-1]):
-            for x, g in zip(positions[-1], self.grams(list(head), terms, positions[-1]), strict=True):
-                out.append((*head, x, self.lod(g)))
-        return out
+        places = list(itertools.product(*positions))
+        return [(*x, self.lod(g)) for x, g in zip(places, self.grams([], terms, places), strict=True)]
 
 
 def cim(cross: Cross, trait: str, n_marcovar: int = 3, window: float = 10.0) -> DataFrame:

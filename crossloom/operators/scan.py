@@ -8,6 +8,7 @@ of all loci travel with the code."""
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -201,7 +202,7 @@ def scan_imp(cross: Cross, trait: str, n_draws: int = 16, covar: DataFrame | Non
 
 
 def _iterate(table, t, start: dict, sums, update, maxit: int, tol: float) -> tuple[dict, dict]:
-    """Repeat passes until each locus settles. ``sums(params of a chromosome)(p, y, z, w)`` gives sums, the last column a log
+    """Repeat passes until each locus settles; a warning says how many don't. ``sums(params of a chromosome)(p, y, z, w)`` gives sums, the last column a log
     likelihood (natural); ``update(key, params, sums)`` gives new parameters."""
     params, ll, open_ = dict(start), {}, set(start)
     for _ in range(maxit):
@@ -215,6 +216,8 @@ def _iterate(table, t, start: dict, sums, update, maxit: int, tol: float) -> tup
             if key in ll and abs(got[key][-1] - ll[key]) < tol:
                 open_.discard(key)
             params[key], ll[key] = new, got[key][-1]
+    if open_:
+        warnings.warn(f"scan: {len(open_)} of {len(start)} loci not settled after {maxit} rounds", stacklevel=3)
     return params, ll
 
 
@@ -444,101 +447,124 @@ def _feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 BROADCAST_PEOPLE = 4_000_000
 
 
-def scanone_perm(cross: Cross, trait: str, n_perm: int = 100, seed: int = 1, perm_xsp: bool = False, **grid) -> DataFrame:
-    """rep, trait, region (A or X; all), maxlod: permutations of the regression scan, all replicates in one pass.
+class Dealing:
+    """Keyed permutations of 0..n-1, within strata that follow each other (one stratum of all without any)."""
 
-    The trait's values are broadcast (up to ``BROADCAST_PEOPLE``, 32 MB); a batch's permuted values follow from a keyed permutation of
-    their indices, so no replicate is ever shuffled. More individuals go through a join by index instead."""
-    typed = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).join(cross.individual.select("ind"), "ind", "left_semi")
-    index = materialise(row_numbers(typed.select("ind", "y"), "ind", "i"), "index")
-    n = index.count()
-    if n > BROADCAST_PEOPLE:
-        table, t = design(cross, trait, **grid)
-        return _perm_by_join(table, t, index, n, n_perm, seed, trait, perm_xsp)
-    y = index.orderBy("i").select("y").toPandas()["y"].to_numpy()
-    t, kind = tracks(cross, grid.get("step", 0.0), grid.get("off_end", 0.0), grid.get("stepwidth", "fixed")), (cross.crosstype, cross.scheme)
-    chrs = sorted(t)
+    def __init__(self, sizes: list[int], seed: int):
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        self.sizes, self.seed = np.array(sizes, np.int64), seed
 
-    def run(batches):
-        sums = TaskSums()
-        for b in batches:
-            i = b.column("i").to_numpy()
-            yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
-            for c in chrs:
-                emit = chains.emissions(kind[0], codes(b, t[c]), grid.get("error", 1e-4), t[c].chrtype)
-                p = chains.posterior(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, grid.get("map_function", "haldane")))
-                sums.add((c,), gram(p), np.tensordot(p, yy, (0, 0)))
-            if sums.full:
-                yield from out(sums)
-        yield from out(sums)
-
-    def out(sums):
-        for c, a, b in sums.rows():
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(a)), pa.array(np.arange(len(a), dtype=np.int32)), lists(a.reshape(len(a), -1)), lists(b.reshape(len(b), -1))], names=["chr", "k", "a", "b"])
+    def __call__(self, i: np.ndarray, rep: int) -> np.ndarray:
+        own = np.searchsorted(self.starts, i, "right") - 1
+        out = np.empty(len(i), np.int64)
+        for s in np.unique(own):
+            k = own == s
+            out[k] = self.starts[s] + _feistel(i[k] - self.starts[s], int(self.sizes[s]), self.seed * 1_000_003 + rep)
+        return out
 
-    part = sequences(cross).join(index.select("ind", "i"), "ind").mapInArrow(run, "chr string, k int, a array<double>, b array<double>")
-    sums = added(part, ["chr", "k"], "a", "b")
-    tss = float(((y - y.mean()) ** 2).sum())
-    total = float((y * y).sum())
 
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for c, a, b in zip(pdf["chr"], pdf["a"], pdf["b"], strict=True):
-                q = math.isqrt(len(a))
-                b = np.asarray(b).reshape(q, n_perm)
-                fit = (b * np.linalg.lstsq(np.asarray(a).reshape(q, q), b, rcond=1e-12)[0]).sum(0)
-                lod = n / 2 * np.log10(tss / np.maximum(total - fit, 1e-300))
-                out.append(pd.DataFrame({"rep": np.arange(1, n_perm + 1), "chr": c, "lod": np.maximum(lod, 0)}))
-            yield pd.concat(out)
+def numbered(people: DataFrame, strata: DataFrame | None, seed: int) -> tuple[DataFrame, Dealing]:
+    """``people`` (ind and others) with numbers i from 0, by stratum (ind, strata) and individual, and how to deal them anew."""
+    x = people.join(strata.select("ind", F.col("strata").cast("string").alias("_s")), "ind") if strata is not None else people.withColumn("_s", F.lit(""))
+    index = materialise(row_numbers(x.withColumn("_o", F.struct("_s", "ind")), "_o", "i").drop("_o"), "index")
+    sizes = [r["k"] for r in index.groupBy("_s").agg(F.count(F.lit(1)).alias("k")).orderBy("_s").collect()]
+    return index.drop("_s"), Dealing(sizes, seed)
 
-    lods = sums.mapInPandas(solve, "rep int, chr string, lod double")
-    kind = F.when(F.col("chr").isin([c for c in chrs if t[c].chrtype == "X"]), "X").otherwise("A") if perm_xsp else F.lit("all")
-    return lods.groupBy("rep", kind.alias("region")).agg(F.max("lod").alias("maxlod")).select("rep", F.lit(trait).alias("trait"), "region", "maxlod")
 
+def redealt(index: DataFrame, deal: Dealing, n_perm: int) -> DataFrame:
+    """ind, rep and all other columns of ``index`` but i: each replicate's values, by a join of numbers."""
 
-def _perm_by_join(table, t, index, n, n_perm, seed, trait, perm_xsp):
     @F.pandas_udf("long")
     def place(i: pd.Series, rep: pd.Series) -> pd.Series:
         out = np.empty(len(i), np.int64)
         for r in rep.unique():
             own = (rep == r).to_numpy()
-            out[own] = _feistel(i[own].to_numpy(), n, seed * 1_000_003 + int(r) - 1)
+            out[own] = deal(i[own].to_numpy(), int(r) - 1)
         return pd.Series(out)
 
-    reps = index.select("ind", "i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("j", place("i", "rep"))
-    mixed = reps.join(index.select(F.col("i").alias("j"), "y"), "j").select("ind", "rep", "y")
-    long = table.select("ind", "chr", "p").join(mixed, "ind")
+    to = index.select("ind", "i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("j", place("i", "rep")).drop("i")
+    return to.join(index.drop("ind").withColumnRenamed("i", "j"), "j").drop("j")
 
-    def one(batches):
+
+def scanone_perm(cross: Cross, trait: str, n_perm: int = 100, seed: int = 1, perm_xsp: bool = False, strata: DataFrame | None = None, covar: DataFrame | None = None, addcovar: list[str] | None = None, **grid) -> DataFrame:
+    """rep, trait, region (A or X; all), maxlod: permutations of the regression scan, all replicates in one pass. Covariates go with the trait;
+    ``strata`` (ind, strata): phenotypes are dealt within these.
+
+    The trait's values are broadcast (up to ``BROADCAST_PEOPLE``, 32 MB); a batch's permuted values follow from a keyed permutation of
+    their indices, so no replicate is ever shuffled. More individuals go through a join by index instead."""
+    spark, names = cross.geno.sparkSession, addcovar or []
+    prepare(spark)
+    own = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).join(cross.individual.select("ind"), "ind", "left_semi").select("ind", "y")
+    if names:
+        wide = covar.where("value IS NOT NULL AND NOT isnan(value)").groupBy("ind").pivot("name", names).agg(F.first("value"))
+        own = own.join(wide, "ind").select("ind", "y", F.array(*(F.col(f"`{x}`").cast("double") for x in names)).alias("z")).where("NOT exists(z, x -> x IS NULL)")
+    else:
+        own = own.withColumn("z", F.array().cast("array<double>"))
+    index, deal = numbered(own, strata, seed)
+    n, q = index.count(), len(names)
+    t, kind = tracks(cross, grid.get("step", 0.0), grid.get("off_end", 0.0), grid.get("stepwidth", "fixed")), (cross.crosstype, cross.scheme)
+    chrs = sorted(t)
+    error, map_function = grid.get("error", 1e-4), grid.get("map_function", "haldane")
+    small = n <= BROADCAST_PEOPLE
+    values = None
+    if small:
+        got = index.orderBy("i").select("y", "z").toPandas()
+        values = np.column_stack([got["y"].to_numpy(float), np.stack(got["z"].to_numpy()).reshape(n, q) if n else np.zeros((0, q))])
+    columns = F.array(F.lit(1.0), *(F.get("z", F.lit(k)) for k in range(q)), F.col("y"))
+    pairs = [(a, b) for a in range(q + 2) for b in range(q + 2)]
+    flat = index.select(columns.alias("x")).agg(*(F.sum(F.get("x", F.lit(a)) * F.get("x", F.lit(b))).alias(f"s{a}_{b}") for a, b in pairs)).first()
+    fixed = np.array([flat[f"s{a}_{b}"] or 0.0 for a, b in pairs]).reshape(q + 2, q + 2)  # ones, covariates, trait
+    null = rss(fixed, q + 1) if n else 0.0
+
+    def posteriors(b):
+        for c in chrs:
+            emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
+            yield c, chains.posterior(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function))
+
+    def out(sums):
+        for c, a, b in sums.rows():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(a)), pa.array(np.arange(len(a), dtype=np.int32)), lists(a.reshape(len(a), -1)), lists(b.reshape(len(b), -1))], names=["chr", "k", "a", "b"])
+
+    def run(batches):
         sums = TaskSums()
-        for pdf in batches:
-            for (c, rep), part in pdf.groupby(["chr", "rep"]):
-                p, y = np.stack(part["p"].to_numpy()).reshape(len(part), len(t[c].pos), -1), part["y"].to_numpy()
-                x = np.concatenate([p, np.broadcast_to(y[:, None, None], (*p.shape[:2], 1)), np.ones((*p.shape[:2], 1))], axis=2)
-                sums.add((int(rep), c), gram(x).reshape(x.shape[1], -1))
+        for b in batches:
+            if small:
+                i = b.column("i").to_numpy()
+                yy = np.stack([values[deal(i, r)] for r in range(n_perm)], axis=1).reshape(len(i), -1)
+            else:  # rows of single replicates
+                rep = b.column("rep").to_numpy() - 1
+                yy = np.zeros((len(rep), n_perm, q + 1))
+                yy[np.arange(len(rep)), rep, 0] = b.column("y").to_numpy()
+                yy[np.arange(len(rep)), rep, 1:] = np.array(b.column("z").to_pylist()).reshape(len(rep), q)
+                yy = yy.reshape(len(rep), -1)
+            for c, p in posteriors(b):
+                a = gram(p) if small else gram(p[b.column("rep").to_numpy() == 1])
+                sums.add((c,), a, np.tensordot(p, yy, (0, 0)))
             if sums.full:
                 yield from out(sums)
         yield from out(sums)
 
-    def out(sums):
-        for rep, c, g in sums.rows():
-            yield pd.DataFrame({"rep": rep, "chr": c, "k": np.arange(len(g), dtype=np.int32), "s": list(g)})
-
-    part = long.mapInPandas(one, "rep int, chr string, k int, s array<double>")
-    rows = added(part, ["rep", "chr", "k"], "s")
+    rows = sequences(cross).join(index.select("ind", "i") if small else redealt(index, deal, n_perm), "ind")
+    sums = added(rows.mapInArrow(run, "chr string, k int, a array<double>, b array<double>"), ["chr", "k"], "a", "b")
 
-    @F.pandas_udf("double")
-    def lod(s: pd.Series) -> pd.Series:
-        out = []
-        for x in s:
-            d = math.isqrt(len(x))
-            g = np.asarray(x).reshape(d, d)
-            out.append(max(0.0, g[-1, -1] / 2 * math.log10(rss(g[np.ix_([d - 1, d - 2], [d - 1, d - 2])], 1) / rss(g[:-1, :-1], d - 2))))
-        return pd.Series(out)
+    def solve(batches):
+        for pdf in batches:
+            parts = [pd.DataFrame({"rep": np.zeros(0, np.int32), "chr": "", "lod": np.zeros(0)})]
+            for c, a, b in zip(pdf["chr"], pdf["a"], pdf["b"], strict=True):
+                k = math.isqrt(len(a))
+                a, b = np.asarray(a).reshape(k, k), np.asarray(b).reshape(k, n_perm, q + 1)
+                left = np.empty(n_perm)
+                for r in range(n_perm):
+                    pz, py = b[:, r, 1:], b[:, r, 0]
+                    x = np.block([[a, pz], [pz.T, fixed[1:-1, 1:-1]]])
+                    y = np.concatenate([py, fixed[1:-1, -1]])
+                    left[r] = fixed[-1, -1] - y @ np.linalg.lstsq(x, y, rcond=1e-12)[0]
+                parts.append(pd.DataFrame({"rep": np.arange(1, n_perm + 1), "chr": c, "lod": np.maximum(n / 2 * np.log10(null / np.maximum(left, 1e-300)), 0)}))
+            yield pd.concat(parts)
 
-    kind = F.when(F.col("chr").isin([c for c in t if t[c].chrtype == "X"]), "X").otherwise("A") if perm_xsp else F.lit("all")
-    return rows.select("rep", kind.alias("region"), lod("s").alias("lod")).groupBy("rep", "region").agg(F.max("lod").alias("maxlod")).select("rep", F.lit(trait).alias("trait"), "region", "maxlod")
+    lods = sums.mapInPandas(solve, "rep int, chr string, lod double")
+    kind_ = F.when(F.col("chr").isin([c for c in chrs if t[c].chrtype == "X"]), "X").otherwise("A") if perm_xsp else F.lit("all")
+    return lods.groupBy("rep", kind_.alias("region")).agg(F.max("lod").alias("maxlod")).select("rep", F.lit(trait).alias("trait"), "region", "maxlod")
 
 
 def scanone_boot(cross: Cross, trait: str, chr_: str, n_boot: int = 100, seed: int = 1, **grid) -> DataFrame:

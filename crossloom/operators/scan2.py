@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from crossloom.functions import chains
 from crossloom.model import Cross
 from crossloom.operators.hmm import Track, codes, sequences, tracks
-from crossloom.operators.order import row_numbers
-from crossloom.operators.scan import BROADCAST_PEOPLE, _feistel, rss
+from crossloom.operators.scan import rss
 from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
 
@@ -184,32 +183,43 @@ def clean_scantwo(scan: DataFrame, map_: DataFrame, n_mar: int = 1, distance: fl
     return x.withColumn("lod_full", F.greatest("lod_full", "lod_add")).select(scan.columns)
 
 
-def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step: float = 0.0, error: float = 1e-4, map_function: str = "haldane", independent: bool = False) -> DataFrame:
-    """rep, trait, region, stat, value: maxima over pairs of chromosomes of the six statistics, all replicates in one pass."""
+def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step: float = 0.0, error: float = 1e-4, map_function: str = "haldane", independent: bool = False, perm_xsp: bool = False, strata: DataFrame | None = None) -> DataFrame:
+    """rep, trait, region, stat, value: maxima over pairs of chromosomes of the six statistics, all replicates in one pass.
+
+    perm_xsp: apart for pairs of autosomes (AA), of an autosome and X (AX), within X (XX). ``strata`` (ind, strata): phenotypes are dealt within
+    these, by sex where X is to keep its null. More individuals than ``scan.BROADCAST_PEOPLE`` go through a join by index."""
+    from crossloom.operators import scan as one_locus
+
     spark = cross.geno.sparkSession
     prepare(spark)
     t, kind = tracks(cross, step), (cross.crosstype, cross.scheme)
     loci = _loci(t)
     table = materialise(people(cross, trait), "people")
-    index = materialise(row_numbers(table.select("ind", "y"), "ind", "i"), "index")
+    index, deal = one_locus.numbered(table.select("ind", "y"), strata, seed)
     n = index.count()
-    if n > BROADCAST_PEOPLE:
-        raise ValueError(f"more than {BROADCAST_PEOPLE} individuals: their trait isn't broadcast")
-    y = index.orderBy("i").select("y").toPandas()["y"].to_numpy()
-    tss, total = float(((y - y.mean()) ** 2).sum()), float((y * y).sum())
+    m = index.agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).first()
+    tss, total = m["q"] - m["s"] ** 2 / n, m["q"]
+    small = n <= one_locus.BROADCAST_PEOPLE
+    y = index.orderBy("i").select("y").toPandas()["y"].to_numpy() if small else None
 
     def run(batches):
         sums = TaskSums()
         for b in batches:
-            i = b.column("i").to_numpy()
-            yy = np.stack([y[_feistel(i, n, seed * 1_000_003 + r)] for r in range(n_perm)], axis=1)
+            if small:
+                i = b.column("i").to_numpy()
+                yy, first = np.stack([y[deal(i, r)] for r in range(n_perm)], axis=1), slice(None)
+            else:  # rows of single replicates
+                rep = b.column("rep").to_numpy() - 1
+                yy, first = np.zeros((len(rep), n_perm)), rep == 0
+                yy[np.arange(len(rep)), rep] = b.column("y").to_numpy()
             for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent):
-                sums.add((at, k1), x.T @ x, x.T @ yy)
+                sums.add((at, k1), x[first].T @ x[first], x.T @ yy)
             if sums.full:
                 yield from _sent(sums, "a", "b")
         yield from _sent(sums, "a", "b")
 
-    part = table.drop("y").join(index.select("ind", "i"), "ind").mapInArrow(run, "pair int, k1 int, a array<double>, b array<double>")
+    rows = table.drop("y").join(index.select("ind", "i") if small else one_locus.redealt(index, deal, n_perm), "ind")
+    part = rows.mapInArrow(run, "pair int, k1 int, a array<double>, b array<double>")
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 
     def solve(batches):
@@ -226,9 +236,12 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
                 yield pd.DataFrame(out)
 
     lods = added(part, ["pair", "k1"], "a", "b").mapInPandas(solve, "rep int, chr1 string, chr2 string, lod_full double, lod_add double, lod_one1 double, lod_one2 double")
-    stats = pair_statistics(lods, ("rep", "chr1", "chr2")).groupBy("rep").agg(*(F.max(s).alias(s) for s in STATS))
+    on_x = [c for c in t if t[c].chrtype == "X"]
+    of = lambda c: F.when(F.col(c).isin(on_x), "X").otherwise("A")
+    region = F.array_join(F.array_sort(F.array(of("chr1"), of("chr2"))), "") if perm_xsp else F.lit("all")
+    stats = pair_statistics(lods.withColumn("region", region), ("rep", "region", "chr1", "chr2")).groupBy("rep", "region").agg(*(F.max(s).alias(s) for s in STATS))
     long = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS))).alias("x")
-    return stats.select("rep", F.lit(trait).alias("trait"), F.lit("all").alias("region"), long).select("rep", "trait", "region", "x.*")
+    return stats.select("rep", F.lit(trait).alias("trait"), "region", long).select("rep", "trait", "region", "x.*")
 
 
 def scantwo_thresholds(perms: DataFrame, alphas: list[float] = (0.05, 0.10)) -> DataFrame:
@@ -249,6 +262,14 @@ def calc_penalties(perms: DataFrame, alpha: float = 0.05) -> dict[str, float]:
     return {"main": q["one"], "heavy": q["int"], "light": q["fv1"] - q["one"]}
 
 
+def calc_penalties_x(perms: DataFrame, alpha: float = 0.05) -> dict[str, float]:
+    """Six penalties from replicates with regions AA, AX, XX: mainA, mainX, intH, intL, intAX, intXX."""
+    q = {(r["region"], r["stat"]): r["threshold"] for r in scantwo_thresholds(perms, [alpha]).collect()}
+    if missing := {"AA", "AX", "XX"} - {r for r, _ in q}:
+        raise ValueError(f"no replicates of {sorted(missing)}: permute with perm_xsp")
+    return {"mainA": q["AA", "one"], "mainX": q["XX", "one"], "intH": q["AA", "int"], "intL": q["AA", "fv1"] - q["AA", "one"], "intAX": q["AX", "int"], "intXX": q["XX", "int"]}
+
+
 def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, error: float = 1e-4, map_function: str = "haldane", seed: int = 1) -> DataFrame:
     """Pairs of loci by multiple imputation: Gram matrices of each draw are summed in one pass and their LODs combined."""
     from crossloom.operators.scan import weighted_average

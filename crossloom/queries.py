@@ -77,6 +77,12 @@ INEXACT = {
     "calc_penalties": "main heavy light",
     "boot_interval": "lo hi",
     "morgan_map_function": "r",
+    "add_pair": "lod_full lod_add",
+    "scan_qtl_grid": "lod",
+    "geno_table_em": "aa ab bb stat p",
+    "plot_rf": "value",
+    "plot_cis_trans": "lod",
+    "plot_directed": "lod",
 }
 
 

@@ -525,3 +525,119 @@ def morgan_map_function(spark, d):
 @query("SELECT chr, pos, marker FROM map")
 def plot_map(spark, d):
     return plots.map_table(sales_map(spark))
+
+
+# Joint probabilities, pairs in a model's context, partly known genotypes, tables behind plots
+
+
+_JOINT = _BC_PROB + """, adj AS (SELECT ind, chr, k, l1, l2, j11 / s AS j11, j12 / s AS j12, j21 / s AS j21, j22 / s AS j22 FROM (SELECT *, j11 + j12 + j21 + j22 AS s FROM (SELECT fw.ind, fw.chr, fw.k, a.marker AS l1, l.marker AS l2, a1 * (1 - r) * e1 * b1 AS j11, a1 * r * e2 * b2 AS j12, a2 * r * e1 * b1 AS j21, a2 * (1 - r) * e2 * b2 AS j22
+  FROM fw JOIN loci l ON l.ind = fw.ind AND l.chr = fw.chr AND l.ord = fw.k + 1 JOIN map a ON a.chr = fw.chr AND a.ord = fw.k JOIN bw ON bw.ind = fw.ind AND bw.chr = fw.chr AND bw.k = fw.k + 1, r))),
+joint AS (WITH RECURSIVE h AS (SELECT ind, chr, k + 1 AS k, l1, l2, j11, j12, j21, j22 FROM adj
+  UNION ALL SELECT h.ind, h.chr, h.k + 1, h.l1, n.l2, h.j11 * n.j11 / m1 + h.j12 * n.j21 / m2, h.j11 * n.j12 / m1 + h.j12 * n.j22 / m2, h.j21 * n.j11 / m1 + h.j22 * n.j21 / m2, h.j21 * n.j12 / m1 + h.j22 * n.j22 / m2 FROM (SELECT *, j11 + j21 AS m1, j12 + j22 AS m2 FROM h) h JOIN adj n ON n.ind = h.ind AND n.chr = h.chr AND n.k = h.k) SELECT * FROM h)"""
+
+
+@query(_JOINT + " SELECT ind, chr, l1 AS locus1, l2 AS locus2, round(j11, 6) AS p11, round(j12, 6) AS p12, round(j21, 6) AS p21, round(j22, 6) AS p22 FROM joint")
+def calc_pairprob(spark, d):
+    p = hmm.calc_pairprob(_bc(spark, d))
+    return p.select("ind", "chr", "locus1", "locus2", *(F.round(F.get("p", F.lit(k)), 6).alias(f"p{n}") for k, n in enumerate((11, 12, 21, 22))))
+
+
+_HK_PAIRS = "SELECT a.locus AS locus1, b.locus AS locus2, y, a.p2 AS x1, b.p2 AS x2, a.p2 * b.p2 AS x3 FROM prob a JOIN prob b ON a.ind = b.ind AND a.locus < b.locus JOIN pheno p ON p.ind = a.ind"
+
+
+@query(_BC_PROB + f" SELECT locus1, locus2, {lod('r0', 'r3')} AS lod_full, {lod('r0', 'r2')} AS lod_add FROM ({nested(_HK_PAIRS, 'locus1, locus2', 3)})")
+def add_pair(spark, d):
+    rows = qtl.Model(_bc(spark, d), "price").add_pair(qtl.Qtl())
+    return spark.createDataFrame([(x[2], x[5], float(x[6]), float(x[7])) for x in rows], "locus1 string, locus2 string, lod_full double, lod_add double")
+
+
+@query(_BC_PROB + f" SELECT locus1, locus2, {lod('r0', 'r2')} AS lod FROM ({nested(_HK_PAIRS, 'locus1, locus2', 2)}) WHERE locus1 <= 'M4' AND locus2 >= 'M5'")
+def scan_qtl_grid(spark, d):
+    m = qtl.Model(_bc(spark, d), "price")
+    rows = m.scan_qtl([m.all_loci(["1"]), m.all_loci(["2"])])
+    return spark.createDataFrame([(a[2], b[2], float(x)) for a, b, x in rows], "locus1 string, locus2 string, lod double")
+
+
+@query(""", n AS (SELECT marker, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE g = 1) / count(*) AS a, count(*) FILTER (WHERE g = 2) / count(*) AS b, count(*) FILTER (WHERE g = 3) / count(*) AS c FROM g2 GROUP BY marker),
+s AS (SELECT *, 2 * n * (CASE WHEN a > 0 THEN a * ln(a / 0.25) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / 0.5) ELSE 0 END + CASE WHEN c > 0 THEN c * ln(c / 0.25) ELSE 0 END) AS stat FROM n)
+SELECT marker, a AS aa, b AS ab, c AS bb, stat, exp(-stat / 2) AS p FROM s""")
+def geno_table_em(spark, d):
+    return linkage.geno_table_em(_f2(spark, d))
+
+
+@query(""", rf AS (SELECT m1, m2, b / n AS rf, CASE WHEN b > 0 THEN b * log10(b / n) ELSE 0 END + CASE WHEN b < n THEN (n - b) * log10(1 - b / n) ELSE 0 END + n * log10(2) AS lod FROM
+(SELECT x.marker AS m1, y.marker AS m2, count(*) AS n, sum(CASE WHEN x.g <> y.g THEN 1.0 ELSE 0 END) AS b FROM g1 x JOIN g1 y ON x.ind = y.ind AND x.marker < y.marker GROUP BY x.marker, y.marker)),
+z AS (SELECT a.chr AS c1, a.ord AS o1, b.chr AS c2, b.ord AS o2, least(12, greatest(0, -4 * (log2(rf) + 1))) AS low, least(12, lod) AS high FROM rf JOIN map a ON a.marker = m1 JOIN map b ON b.marker = m2)
+SELECT c1 AS chr1, o1 AS ord1, c2 AS chr2, o2 AS ord2, low AS value FROM z UNION ALL SELECT c2, o2, c1, o1, high FROM z""")
+def plot_rf(spark, d):
+    c = _bc(spark, d)
+    return plots.rf_table(linkage.est_rf(c), c.map)
+
+
+@query(_MR.format(g="g2") + " SELECT trait, '1' AS own_chr, 12.0 AS own_pos, chr, pos, lod FROM mr WHERE lod >= 0.05")
+def plot_cis_trans(spark, d):
+    places = spark.createDataFrame([("price", "1", 12.0)], "name string, chr string, pos double")
+    return plots.cis_trans_table(scan.scan_mr(_f2(spark, d), ["price"]), places, 0.05)
+
+
+@query(_BC_PROB + f", h AS (SELECT chr, pos, locus, {lod('r0', 'r1')} AS lod FROM ({nested('SELECT chr, pos, locus, y, p2 AS x1 FROM prob JOIN pheno USING (ind)', 'chr, pos, locus', 1)})), e AS (SELECT locus, sign(regr_slope(y, p2 - p1)) AS s FROM prob JOIN pheno USING (ind) GROUP BY locus) SELECT chr, pos, lod * s AS lod FROM h JOIN e USING (locus)")
+def plot_directed(spark, d):
+    c = _bc(spark, d)
+    return plots.directed_table(scan.scan_hk(c, "price"), effects.effect_scan(c, "price"))
+
+
+@query("SELECT chr, chrtype, marker, ord, pos, pos_male FROM (SELECT *, 'A' AS chrtype, CAST(NULL AS DOUBLE) AS pos_male FROM map) WHERE chr = '2'")
+def subset_map(spark, d):
+    return meta.subset_map(sales_map(spark), "2")
+
+
+@query("SELECT ind, CAST(ind AS VARCHAR) AS id FROM pheno")
+def get_id(spark, d):
+    return meta.get_id(_f2(spark, d))
+
+
+@query("SELECT 'price' AS trait, 2 AS number UNION ALL SELECT 'none', NULL")
+def find_pheno(spark, d):
+    return meta.find_pheno(_f2(spark, d), ["price", "none"])
+
+
+@query("SELECT marker, CAST(substr(marker, 2) AS INT) AS number FROM map WHERE marker IN ('M3', 'M6')")
+def find_marker_index(spark, d):
+    return meta.find_marker_index(_f2(spark, d), spark.createDataFrame([("M3",), ("M6",)], "marker string"))
+
+
+@query(f"SELECT p.chr, p.pos, m.marker FROM {_PLACES} p LEFT JOIN map m ON m.chr = p.chr AND m.pos = p.pos")
+def locate_marker(spark, d):
+    return meta.locate_marker(sales_map(spark), _places(spark))
+
+
+@query()
+def ripple_lik(spark, d):
+    return effects.ripple_lik(_bc(spark, d), "1", 3)
+
+
+@query()
+def order_markers(spark, d):
+    return spark.createDataFrame(list(enumerate(effects.order_markers(_bc(spark, d), "1", 3), 1)), "k int, old int")
+
+
+@query()
+def scanone_perm_strata(spark, d):
+    """Within strata, with a covariate that goes with the trait."""
+    c = _f2(spark, d)
+    return scan.scanone_perm(c, "price", 20, covar=_rank_covar(c), addcovar=["rank"], strata=c.individual.select("ind", "strata"))
+
+
+@query()
+def scantwo_perm_x(spark, d):
+    c = _x(spark, d)
+    return scan2.scantwo_perm(c, "price", 10, perm_xsp=True, strata=xchr.strata_by_sex(c))
+
+
+@query()
+def stepwise_qtl_x(spark, d):
+    """Six penalties, sex in all models."""
+    c = _x(spark, d)
+    m = qtl.Model(c, "price", covar=xchr.x_covariates(c, ["sex"]), names=["sex"])
+    best, terms, plod = m.stepwise(2, (0.1, 0.1, 0.3, 0.2, 0.2, 0.2))
+    return spark.createDataFrame([(k, *x, qtl.format_formula(terms), float(plod)) for k, x in enumerate(best.loci, 1)], "q int, chr string, pos double, locus string, formula string, plod double")

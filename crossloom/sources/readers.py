@@ -455,4 +455,6 @@ READERS = {"csv": read_csv, "csvr": lambda s, p, **o: read_csv(s, p, rotate=True
 def read_cross(spark: SparkSession, format: str, *paths: str, bc_gen: int = 0, f_gen: int = 0, **options) -> Cross:
     """Any format; with generations the result is a bcsft cross."""
     cross = READERS[format](spark, *paths, **options)
-    return cross.with_(crosstype="bcsft", scheme=(bc_gen, f_gen)) if bc_gen or f_gen else cross
+    from crossloom.operators.edit import convert_2_bcsft
+
+    return convert_2_bcsft(cross, bc_gen, f_gen) if bc_gen or f_gen else cross

@@ -189,3 +189,11 @@ def qtab_tables(cross: Cross) -> dict[str, DataFrame]:
 def write_qtab(cross: Cross, folder: str) -> None:
     for name, df in qtab_tables(cross).items():
         df.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(f"{folder}/{name}.qtab")
+
+
+WRITERS = {"csv": write_csv, "csvr": write_csvr, "csvs": write_csvs, "tidy": write_tidy, "mm": write_mm, "gary": write_gary, "mapqtl": write_mapqtl, "qtlcart": write_qtlcart, "qtab": write_qtab}
+
+
+def write_cross(cross: Cross, format: str, *paths: str) -> None:
+    """Any format, with as many paths as it has files or folders."""
+    WRITERS[format](cross, *paths)
