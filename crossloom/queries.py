@@ -474,7 +474,7 @@ def argmax_geno(spark, d):
 
 @query()
 def sim_geno(spark, d):
-    return hmm.sim_geno(_f2(spark, d), 4)
+    return hmm.sim_geno(_f2(spark, d))
 
 
 @query(""", a AS (SELECT ind, m.chr, m.marker, m.ord, g, last_value(g IGNORE NULLS) OVER (PARTITION BY ind, m.chr ORDER BY m.ord) AS l, first_value(g IGNORE NULLS) OVER (PARTITION BY ind, m.chr ORDER BY m.ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r
@@ -536,32 +536,32 @@ def scanone_hk_covar(spark, d):
 
 @query()
 def scanone_imp(spark, d):
-    return scan.scan_imp(_f2(spark, d), "price", 8)
+    return scan.scan_imp(_f2(spark, d), "price")
 
 
 @query()
 def scanone_em(spark, d):
-    return scan.scan_em(_f2(spark, d), "price", maxit=8)
+    return scan.scan_em(_f2(spark, d), "price")
 
 
 @query()
 def scanone_ehk(spark, d):
-    return scan.scan_ehk(_f2(spark, d), "price", maxit=8)
+    return scan.scan_ehk(_f2(spark, d), "price")
 
 
 @query()
 def scanone_binary_hk(spark, d):
-    return scan.scan_binary(_f2(spark, d), "done", "hk", maxit=8)
+    return scan.scan_binary(_f2(spark, d), "done", "hk")
 
 
 @query()
 def scanone_binary_em(spark, d):
-    return scan.scan_binary(_f2(spark, d), "done", "em", maxit=8)
+    return scan.scan_binary(_f2(spark, d), "done", "em")
 
 
 @query()
 def scanone_2part(spark, d):
-    return scan.scan_2part(_f2(spark, d), "price", maxit=4)
+    return scan.scan_2part(_f2(spark, d), "price")
 
 
 @query(""", rk AS (SELECT ind, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS r FROM pheno),
@@ -580,7 +580,7 @@ def scanone_perm(spark, d):
 
 @query()
 def scanone_boot(spark, d):
-    return scan.scanone_boot(_f2(spark, d), "price", "1", 20)
+    return scan.scanone_boot(_f2(spark, d), "price", "1")
 
 
 _PEAK = "arg_max(pos, (lod, -pos))"
@@ -665,7 +665,7 @@ def summary_scantwo(spark, d):
 def scantwo_perm(spark, d):
     from crossloom.operators import scan2
 
-    return scan2.scantwo_perm(_bc(spark, d), "price", 10)
+    return scan2.scantwo_perm(_bc(spark, d), "price")
 
 
 @query()
@@ -689,7 +689,7 @@ def add_qtl(spark, d):
 def stepwise_qtl(spark, d):
     from crossloom.operators import qtl
 
-    best, terms, plod = qtl.Model(_f2(spark, d), "price").stepwise(2, (0.1, 0.2, 0.1), additive_only=True, refine=False)
+    best, terms, plod = qtl.Model(_f2(spark, d), "price").stepwise(3, (0.1, 0.2, 0.1))
     return spark.createDataFrame([(k, *x, qtl.format_formula(terms), plod) for k, x in enumerate(best.loci, 1)], "q int, chr string, pos double, locus string, formula string, plod double")
 
 
@@ -749,7 +749,7 @@ def mqm_augment(spark, d):
 def scanone_var(spark, d):
     from crossloom.operators import effects
 
-    return effects.scanone_var(_bc(spark, d), "price", maxit=4)
+    return effects.scanone_var(_bc(spark, d), "price")
 
 
 @query()
@@ -781,7 +781,7 @@ def scan_phylo(spark, d):
 def scantwo_imp(spark, d):
     from crossloom.operators import scan2
 
-    return scan2.scantwo_imp(_bc(spark, d), "price", 4)
+    return scan2.scantwo_imp(_bc(spark, d), "price", 16)
 
 
 @query()
@@ -789,7 +789,7 @@ def scantwo_pvalues(spark, d):
     from crossloom.operators import scan2
 
     c = _bc(spark, d)
-    return scan2.scantwo_pvalues(scan2.summary_scantwo(scan2.scantwo_hk(c, "price")), scan2.scantwo_perm(c, "price", 5))
+    return scan2.scantwo_pvalues(scan2.summary_scantwo(scan2.scantwo_hk(c, "price")), scan2.scantwo_perm(c, "price", 20))
 
 
 @query()
