@@ -83,6 +83,10 @@ INEXACT = {
     "plot_rf": "value",
     "plot_cis_trans": "lod",
     "plot_directed": "lod",
+    "errorlod_intercross": "errorlod",
+    "scantwo_mr_intercross": "lod_full lod_add lod_one1 lod_one2",
+    "summary_scantwo_intercross": "full fv1 int add av1 one",
+    "fit_qtl_whole": "lod pvar f p_chi2 p_f",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crossloom.operators import edit, effects, hmm, linkage, meta, plots, qtl, scan, scan2, scan_results, xchr
 from crossloom.plans.crosswalk import sales_map
-from crossloom.queries import _BC_PROB, _MR, _PLACES, _bc, _f2, _places, query
+from crossloom.queries import _BC_PROB, _MR, _PLACES, INEXACT, ORACLES, QUERIES, _bc, _f2, _places, query
 
 # Oracles of regressions: columns are made orthogonal one by one, so the residual sums of all models of a nested series fall off.
 
@@ -27,13 +27,13 @@ def lod(before: str, after: str) -> str:
     return f"greatest(0, n / 2.0 * log10({before} / {after}))"
 
 
-def f2_prob(step: int) -> str:
+def f2_prob(step: int, error: float = 1e-4) -> str:
     """Forward and backward recursions of an intercross on a grid of ``step`` cM."""
     a, b, c = (f"(SELECT {x} FROM tr)" for x in "abc")
     return f"""
 , grid AS (SELECT c.chr, CAST(p.p AS DOUBLE) AS pos, row_number() OVER (PARTITION BY c.chr ORDER BY p.p) AS k, coalesce(m.marker, 'c' || c.chr || '.loc' || p.p) AS locus, m.marker FROM (VALUES ('1', 30), ('2', 20)) c(chr, top) JOIN range(0, 31, {step}) p(p) ON p.p <= c.top LEFT JOIN map m ON m.chr = c.chr AND m.pos = p.p),
 tr AS (SELECT (1 - r) ** 2 AS a, 2 * r * (1 - r) AS b, r * r AS c FROM (SELECT 0.5 * (1 - exp(-{step}.0 / 50)) AS r)),
-loci AS (SELECT p.ind, g.chr, g.k, g.pos, g.locus, {', '.join(f"CASE WHEN x.g IS NULL THEN 1 WHEN x.g = {s} THEN 1 - 1e-4 ELSE 5e-5 END AS e{s}" for s in (1, 2, 3))} FROM pheno p CROSS JOIN grid g LEFT JOIN g2 x ON x.ind = p.ind AND x.marker = g.marker),
+loci AS (SELECT p.ind, g.chr, g.k, g.pos, g.locus, {', '.join(f"CASE WHEN x.g IS NULL THEN 1 WHEN x.g = {s} THEN 1 - {error!r} ELSE {error / 2!r} END AS e{s}" for s in (1, 2, 3))} FROM pheno p CROSS JOIN grid g LEFT JOIN g2 x ON x.ind = p.ind AND x.marker = g.marker),
 fw AS MATERIALIZED (WITH RECURSIVE f AS (SELECT ind, chr, k, 0.25 * e1 AS a1, 0.5 * e2 AS a2, 0.25 * e3 AS a3 FROM loci WHERE k = 1
   UNION ALL SELECT f.ind, f.chr, l.k, (a1 * {a} + a2 * {b} / 2 + a3 * {c}) * e1, (a1 * {b} + a2 * ({a} + {c}) + a3 * {b}) * e2, (a1 * {c} + a2 * {b} / 2 + a3 * {a}) * e3 FROM f JOIN loci l ON l.ind = f.ind AND l.chr = f.chr AND l.k = f.k + 1) SELECT * FROM f),
 bw AS MATERIALIZED (WITH RECURSIVE b AS (SELECT ind, chr, k, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2, 1.0::DOUBLE AS b3 FROM loci JOIN (SELECT chr, max(k) AS k FROM grid GROUP BY chr) USING (chr, k)
@@ -641,3 +641,55 @@ def stepwise_qtl_x(spark, d):
     m = qtl.Model(c, "price", covar=xchr.x_covariates(c, ["sex"]), names=["sex"])
     best, terms, plod = m.stepwise(2, (0.1, 0.1, 0.3, 0.2, 0.2, 0.2))
     return spark.createDataFrame([(k, *x, qtl.format_formula(terms), float(plod)) for k, x in enumerate(best.loci, 1)], "q int, chr string, pos double, locus string, formula string, plod double")
+
+
+# Whole tables of intercrosses, and the same oracles for queries of an earlier name
+
+
+def _noisy(k: int) -> str:
+    return f"a{k} / e{k} * b{k} * CASE WHEN g = {k} THEN 0.99 ELSE 0.005 END"
+
+
+@query(f2_prob(10, 1e-12) + f""", typed AS (SELECT l.ind, l.chr, l.locus, g, {', '.join(f'{_noisy(k)} AS t{k}' for k in (1, 2, 3))} FROM loci l JOIN g2 x ON x.ind = l.ind AND x.marker = l.locus JOIN fw ON fw.ind = l.ind AND fw.chr = l.chr AND fw.k = l.k JOIN bw ON bw.ind = l.ind AND bw.chr = l.chr AND bw.k = l.k),
+w AS (SELECT *, CASE g WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END / (t1 + t2 + t3) AS sure FROM typed)
+SELECT ind, chr, locus AS marker, greatest(-12, log10(greatest(1 - sure, 0) / sure) + log10(99)) AS errorlod FROM w""")
+def errorlod_intercross(spark, d):
+    return hmm.calc_errorlod(_f2(spark, d))
+
+
+_F2_PAIRS = _F2_TYPED + f", pa AS ({nested(_BOTH.format(x='a.u AS x1, a.v AS x2, b.u AS x3, b.v AS x4, a.u * b.u AS x5, a.u * b.v AS x6, a.v * b.u AS x7, a.v * b.v AS x8'), _PAIR_KEYS, 8)}), pb AS ({nested(_BOTH.format(x='b.u AS x1, b.v AS x2'), _PAIR_KEYS, 2)}), pairs AS (SELECT {_PAIR_KEYS}, 'price' AS trait, {lod('pa.r0', 'pa.r8').replace('n /', 'pa.n /')} AS lod_full, {lod('pa.r0', 'pa.r4').replace('n /', 'pa.n /')} AS lod_add, {lod('pa.r0', 'pa.r2').replace('n /', 'pa.n /')} AS lod_one1, {lod('pa.r0', 'pb.r2').replace('n /', 'pa.n /')} AS lod_one2 FROM pa JOIN pb USING ({_PAIR_KEYS}))"
+
+
+@query(_F2_PAIRS + " SELECT * FROM pairs")
+def scantwo_mr_intercross(spark, d):
+    return scan2.scantwo_mr(_f2(spark, d), "price")
+
+
+@query(_F2_PAIRS + _STATS + ", b AS (SELECT chr1, chr2, trait, arg_max(pos1, (lod_full, -pos1, -pos2)) AS pos1f, arg_max(pos2, (lod_full, -pos1, -pos2)) AS pos2f, arg_max(pos1, (lod_add, -pos1, -pos2)) AS pos1a, arg_max(pos2, (lod_add, -pos1, -pos2)) AS pos2a FROM pairs GROUP BY ALL) SELECT * FROM st JOIN b USING (chr1, chr2, trait)")
+def summary_scantwo_intercross(spark, d):
+    return scan2.summary_scantwo(scan2.scantwo_mr(_f2(spark, d), "price"))
+
+
+def _with_p(term: str, df: int, rest: str) -> str:
+    """P values have closed forms where the degrees of freedom of the numerator are even."""
+    chi = "1 + h" + (" + h * h / 2" if df == 6 else "")
+    f = "1 + a * (1 - x)" + (" + a * (a + 1) / 2 * (1 - x) ** 2" if df == 6 else "")
+    inner = f"SELECT *, lod * ln(10) AS h, (n - 9) / 2.0 AS a, (n - 9) / (n - 9 + {df} * f) AS x FROM ({_dropped(term, df, rest).replace(' AS f FROM', ' AS f, ab.n AS n FROM')})"
+    return f"SELECT term, df, lod, pvar, f, exp(-h) * ({chi}) AS p_chi2, x ** a * ({f}) AS p_f FROM ({inner})"
+
+
+@query(f2_prob(10) + _DROP + " " + " UNION ALL ".join((_with_p("Q1", 6, "ba.r2"), _with_p("Q2", 6, "ab.r2"), _with_p("Q1:Q2", 4, "ab.r4"))))
+def fit_qtl_whole(spark, d):
+    c = _f2(spark, d)
+    got = qtl.Model(c, "price").fit(qtl.make_qtl(c, ["1", "2"], [10.0, 0.0]), "y~Q1*Q2")
+    return spark.createDataFrame(got["dropone"], "term string, df int, lod double, pvar double, f double, p_chi2 double, p_f double")
+
+
+#: Earlier names of the same calls.
+for _old, _new in {
+    "calc_genoprob_f2": "calc_genoprob_grid", "argmax_geno": "viterbi_geno", "calc_errorlod": "errorlod_intercross", "est_rf_f2": "est_rf_intercross", "scanone_hk_f2": "scanone_hk_grid", "scanone_hk_covar": "scanone_hk_interactive",
+    "scantwo_mr": "scantwo_mr_intercross", "summary_scantwo": "summary_scantwo_intercross", "fit_qtl": "fit_qtl_whole", "add_qtl": "add_qtl_scan", "cim": "cim_one",
+}.items():
+    QUERIES[_old], ORACLES[_old] = QUERIES[_new], ORACLES[_new]
+    if _new in INEXACT:
+        INEXACT[_old] = INEXACT[_new]
