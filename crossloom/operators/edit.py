@@ -23,7 +23,7 @@ def renumber(cross: Cross) -> Cross:
     """Orders 1, 2, ... within each chromosome again, from positions and old orders."""
     w = Window.partitionBy("chr").orderBy("pos", "ord", "marker")
     m = cross.map.withColumn("ord", F.row_number().over(w).cast("int")).select(cross.map.columns)
-    return cross.with_(map=m, geno=cross.geno.drop("ord", "chr").join(F.broadcast(m.select("marker", "chr", "ord")), "marker").select(_G))
+    return cross.with_(map=m, geno=cross.geno.drop("ord", "chr").join(m.select("marker", "chr", "ord"), "marker").select(_G))
 
 
 def null_markers(cross: Cross) -> DataFrame:
@@ -45,7 +45,7 @@ def drop_dup_markers(cross: Cross) -> Cross:
     first = Window.partitionBy("marker").orderBy("chr", "ord")
     m = cross.map.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
     merged = cross.geno.where("g IS NOT NULL").groupBy("ind", "marker").agg(F.min("g").alias("g"), F.max("g").alias("h")).where("g = h").drop("h")
-    return cross.with_(map=m, geno=merged.join(F.broadcast(m.select("marker", "chr", "ord")), "marker").select(_G))
+    return cross.with_(map=m, geno=merged.join(m.select("marker", "chr", "ord"), "marker").select(_G))
 
 
 def find_dup_markers(cross: Cross, adjacent_only: bool = False) -> DataFrame:
@@ -88,17 +88,17 @@ def flip_order(cross: Cross, chrs: list[str]) -> Cross:
     m = cross.map.withColumns({
         "n": F.max("ord").over(whole), "lo": F.min("pos").over(whole), "hi": F.max("pos").over(whole), "lom": F.min("pos_male").over(whole), "him": F.max("pos_male").over(whole)})
     m = m.withColumns({"ord": F.when(flip, F.col("n") - F.col("ord") + 1).otherwise(F.col("ord")).cast("int"), "pos": F.when(flip, F.col("hi") + F.col("lo") - F.col("pos")).otherwise(F.col("pos")), "pos_male": F.when(flip, F.col("him") + F.col("lom") - F.col("pos_male")).otherwise(F.col("pos_male"))}).select(cross.map.columns)
-    return cross.with_(map=m, geno=cross.geno.drop("ord").join(F.broadcast(m.select("marker", "ord")), "marker").select(_G))
+    return cross.with_(map=m, geno=cross.geno.drop("ord").join(m.select("marker", "ord"), "marker").select(_G))
 
 
 def switch_order(cross: Cross, chr_: str, order: list[int]) -> Cross:
     """New order of a chromosome's markers (old numbers, from 1). Positions stay in place; see ``est_map`` to estimate them."""
     spark = cross.map.sparkSession
-    new = F.broadcast(spark.createDataFrame([(chr_, int(o), k + 1) for k, o in enumerate(order)], "chr string, ord int, new int"))
+    new = spark.createDataFrame([(chr_, int(o), k + 1) for k, o in enumerate(order)], "chr string, ord int, new int")
     pos = cross.map.select("chr", F.col("ord").alias("new"), F.col("pos").alias("npos"), F.col("pos_male").alias("nmale"))
     m = cross.map.join(new, ["chr", "ord"], "left").withColumn("ord", F.coalesce("new", "ord")).drop("new")
     m = m.join(pos, (m.chr == pos.chr) & (m.ord == pos.new)).select(m.chr, "chrtype", "marker", "ord", F.col("npos").alias("pos"), F.col("nmale").alias("pos_male"))
-    return cross.with_(map=m, geno=cross.geno.drop("ord").join(F.broadcast(m.select("marker", "ord")), "marker").select(_G))
+    return cross.with_(map=m, geno=cross.geno.drop("ord").join(m.select("marker", "ord"), "marker").select(_G))
 
 
 def switch_codes(crosstype: str, how: str = "AB") -> dict[int, int]:
@@ -183,7 +183,7 @@ def interp_positions(old: DataFrame, new: DataFrame, points: DataFrame, pos: str
 
 
 def replace_map(cross: Cross, new: DataFrame) -> Cross:
-    m = cross.map.drop("pos").join(F.broadcast(new.select("marker", "pos")), "marker").select(cross.map.columns)
+    m = cross.map.drop("pos").join(new.select("marker", "pos"), "marker").select(cross.map.columns)
     return renumber(cross.with_(map=m))
 
 
@@ -198,7 +198,7 @@ def reduce_to_grid(loci: DataFrame, step: float) -> DataFrame:
     at = at.withColumn("k", F.round((F.col("pos") - F.min("pos").over(w)) / step))
     near = at.withColumn("d", F.abs(F.col("pos") - F.min("pos").over(w) - F.col("k") * step))
     keep = near.groupBy("chr", "k").agg(F.min(F.struct("d", "pos", "locus")).alias("b")).select("chr", F.col("b.locus").alias("locus"))
-    return loci.join(F.broadcast(keep), ["chr", "locus"], "left_semi").select(loci.columns)
+    return loci.join(keep, ["chr", "locus"], "left_semi").select(loci.columns)
 
 
 def transform_pheno(cross: Cross, trait: str, fn: Callable[[Column], Column] | None = None, vector: Callable[[pd.Series], pd.Series] | None = None) -> Cross:
@@ -229,7 +229,7 @@ def nq_rank(cross: Cross, trait: str) -> Cross:
 
 def clean_geno(cross: Cross, maxdist: float = 2.5, maxmark: int = 2) -> Cross:
     """Drop runs of at most ``maxmark`` typed markers that differ from equal genotypes on both sides less than ``maxdist`` cM apart."""
-    g = cross.geno.join(F.broadcast(cross.map.select("marker", "pos")), "marker")
+    g = cross.geno.join(cross.map.select("marker", "pos"), "marker")
     w = Window.partitionBy("ind", "chr").orderBy("ord")
     g = g.withColumn("new", F.coalesce((F.col("g") != F.lag("g").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     runs = g.groupBy("ind", "chr", "run").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("g").alias("rg"))
@@ -265,7 +265,7 @@ def convert_2_bcsft(cross: Cross, bc_gen: int = 0, f_gen: int = 0) -> Cross:
 
 def fix_x_geno(cross: Cross) -> Cross:
     """X genotypes to codes 1 and 2, by sex and direction of the cross; impossible ones become missing."""
-    x = F.broadcast(cross.map.where("chrtype = 'X'").select("marker"))
+    x = cross.map.where("chrtype = 'X'").select("marker")
     on_x = cross.geno.join(x, "marker", "left_semi").join(cross.individual.select("ind", "sex", "pgm"), "ind", "left")
     rest = cross.geno.join(x, "marker", "left_anti").select(_G)
     male = F.coalesce(F.col("sex"), F.lit(0)) == 1
@@ -310,7 +310,7 @@ def form_marker_covar(cross: Cross, loci: list[tuple[str, float]], error: float
     spark = cross.map.sparkSession
     places = spark.createDataFrame([(c, float(x)) for c, x in loci], "chr string, pos double")
     names = find_pseudomarker(cross.map.select("chr", F.col("marker").alias("locus"), "pos"), places).select("locus").distinct()
-    p = calc_genoprob(cross, error=error).join(F.broadcast(names), "locus", "left_semi")
+    p = calc_genoprob(cross, error=error).join(names, "locus", "left_semi")
     x = p.select("ind", "locus", F.posexplode("p").alias("k", "value")).where("k > 0")
     return x.select("ind", F.concat_ws(".", "locus", (F.col("k") + 1).cast("string")).alias("name"), "value")
 

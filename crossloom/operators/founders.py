@@ -15,7 +15,7 @@ def infer_founder_hap(cross: Cross, founders: DataFrame, max_markers: int = 15)
     """ind, chr, marker, ord, founder: a centred window of SNPs grows until all founders differ in it; a line gets the founder whose alleles it
     has there, if exactly one fits. ``founders``: marker, founder (from 1), allele; genotypes are SNP codes."""
     prepare(cross.geno.sparkSession)
-    own = founders.join(F.broadcast(cross.map.select("marker", "chr", "ord")), "marker").toPandas()
+    own = founders.join(cross.map.select("marker", "chr", "ord"), "marker").toPandas()
     tables = {c: x.pivot(index="ord", columns="founder", values="allele").sort_index().to_numpy() for c, x in own.groupby("chr")}
     names = {c: x.sort_values("ord").drop_duplicates("ord")["marker"].to_numpy() for c, x in own.groupby("chr")}
 

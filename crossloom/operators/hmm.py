@@ -64,7 +64,7 @@ def tracks(cross: Cross, step: float = 0.0, off_end: float = 0.0, stepwidth: str
 def sequences(cross: Cross) -> DataFrame:
     """ind, m (numbers of typed markers in the map's order), g: a row for every individual."""
     order = [(r["marker"], k) for k, r in enumerate(cross.map.orderBy("chr", "ord").select("marker").collect())]
-    place = F.broadcast(cross.map.sparkSession.createDataFrame(order, "marker string, m int"))
+    place = cross.map.sparkSession.createDataFrame(order, "marker string, m int")
     typed = cross.geno.where("g IS NOT NULL").join(place, "marker").groupBy("ind").agg(F.collect_list(F.struct("m", "g")).alias("x"))
     return cross.individual.select("ind").join(typed, "ind", "left").select("ind", F.coalesce("x.m", F.array().cast("array<int>")).alias("m"), F.coalesce("x.g", F.array().cast("array<int>")).alias("g"))
 
@@ -312,7 +312,7 @@ def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", ma
             rr = rr / (4 - 6 * rr)
         pos += [(m, float(p)) for m, p in zip(x.names, x.pos[0] + np.concatenate([[0], np.cumsum(np_imf(rr, map_function))]), strict=True)]
     new_pos = spark.createDataFrame(pos, "marker string, pos double")
-    return cross.map.drop("pos").join(F.broadcast(new_pos), "marker").select(cross.map.columns), ll
+    return cross.map.drop("pos").join(new_pos, "marker").select(cross.map.columns), ll
 
 
 def marker_loglik(cross: Cross, marker: str, error: float = 1e-4) -> float:

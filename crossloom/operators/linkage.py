@@ -123,17 +123,17 @@ def form_linkage_groups(markers: DataFrame, rf: DataFrame, max_rf: float = 0.25,
     """marker, lg: groups linked by rf <= max_rf and lod > min_lod, numbered from the largest (ties: by first marker)."""
     ids = markers.select("marker").distinct().withColumn("k", F.row_number().over(Window.orderBy("marker")))
     near = rf.where((F.col("rf") <= max_rf) & (F.col("lod") > min_lod))
-    e = near.join(F.broadcast(ids.select(F.col("marker").alias("m1"), F.col("k").alias("a"))), "m1").join(F.broadcast(ids.select(F.col("marker").alias("m2"), F.col("k").alias("b"))), "m2")
+    e = near.join(ids.select(F.col("marker").alias("m1"), F.col("k").alias("a")), "m1").join(ids.select(F.col("marker").alias("m2"), F.col("k").alias("b")), "m2")
     comp = connected_components(e.select("a", "b"))
     x = ids.join(comp, ids.k == comp.node, "left").select("marker", F.coalesce("component", "k").alias("c"))
     size = x.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("lg", F.row_number().over(Window.orderBy(F.desc("n"), "c")))
-    return x.join(F.broadcast(size), "c").select("marker", "lg")
+    return x.join(size, "c").select("marker", "lg")
 
 
 def _steps(cross: Cross) -> DataFrame:
     """Each typed genotype with the typed one before it on the chromosome."""
     w = Window.partitionBy("ind", "chr").orderBy("ord")
-    g = cross.geno.where("g IS NOT NULL").join(F.broadcast(cross.map.select("marker", "pos")), "marker")
+    g = cross.geno.where("g IS NOT NULL").join(cross.map.select("marker", "pos"), "marker")
     return g.withColumns({"g0": F.lag("g").over(w), "pos0": F.lag("pos").over(w), "ord0": F.lag("ord").over(w)})
 
 

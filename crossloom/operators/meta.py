@@ -187,7 +187,7 @@ def find_marker(cross: Cross, places: DataFrame) -> DataFrame:
     typed = cross.geno.groupBy("marker").agg(F.count("g").alias("typed"))
     m = cross.map.join(typed, "marker", "left").select(F.col("chr").alias("c"), "marker", F.col("pos").alias("mpos"), F.coalesce("typed", F.lit(0)).alias("typed"))
     best = F.min(F.struct(F.abs(F.col("mpos") - F.col("pos")).alias("d"), (-F.col("typed")).alias("t"), "marker"))
-    return places.join(F.broadcast(m), F.col("chr") == F.col("c")).groupBy("chr", "pos").agg(best.alias("b")).select("chr", "pos", F.col("b.marker").alias("marker"))
+    return places.join(m, F.col("chr") == F.col("c")).groupBy("chr", "pos").agg(best.alias("b")).select("chr", "pos", F.col("b.marker").alias("marker"))
 
 
 def find_flanking(map_: DataFrame, places: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def find_pseudomarker(loci: DataFrame, places: DataFrame) -> DataFrame:
     """Nearest locus of a grid (ties: the first)."""
     m = loci.select(F.col("chr").alias("c"), "locus", F.col("pos").alias("lpos")).distinct()
     best = F.min(F.struct(F.abs(F.col("lpos") - F.col("pos")).alias("d"), "lpos", "locus"))
-    return places.join(F.broadcast(m), F.col("chr") == F.col("c")).groupBy("chr", "pos").agg(best.alias("b")).select("chr", "pos", F.col("b.locus").alias("locus"), F.col("b.lpos").alias("locus_pos"))
+    return places.join(m, F.col("chr") == F.col("c")).groupBy("chr", "pos").agg(best.alias("b")).select("chr", "pos", F.col("b.locus").alias("locus"), F.col("b.lpos").alias("locus_pos"))
 
 
 def get_sex(raw: DataFrame, col: str = "sex") -> DataFrame:
@@ -237,7 +237,7 @@ def geno_names(crosstype: str, chrtype: str = "A", alleles: tuple[str, ...] = ("
 
 def omit_x_chr(cross: Cross) -> Cross:
     keep = cross.map.where("chrtype <> 'X'")
-    return cross.with_(map=keep, geno=cross.geno.join(F.broadcast(keep.select("marker")), "marker", "left_semi").select(cross.geno.columns))
+    return cross.with_(map=keep, geno=cross.geno.join(keep.select("marker"), "marker", "left_semi").select(cross.geno.columns))
 
 
 def summary_cross(cross: Cross) -> DataFrame:

@@ -104,10 +104,10 @@ def trait_groups(scans: DataFrame, min_correlation: float = 0.9) -> DataFrame:
     from crossloom.operators.graph import connected_components
 
     ids = scans.select("trait").distinct().withColumn("k", F.row_number().over(Window.orderBy("trait")))
-    s = scans.join(F.broadcast(ids), "trait").select("k", "locus", "lod")
+    s = scans.join(ids, "trait").select("k", "locus", "lod")
     a, b = s.select(F.col("k").alias("a"), "locus", F.col("lod").alias("x")), s.select(F.col("k").alias("b"), "locus", F.col("lod").alias("y"))
     near = a.join(b, "locus").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r")).where(F.col("r") >= min_correlation)
     c = connected_components(near.select("a", "b"))
     first = ids.select(F.col("k").alias("component"), F.col("trait").alias("group"))
     x = ids.join(c, ids.k == c.node, "left").select("trait", F.coalesce("component", "k").alias("component"))
-    return x.join(F.broadcast(first), "component").select("trait", "group")
+    return x.join(first, "component").select("trait", "group")

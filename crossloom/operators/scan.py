@@ -39,7 +39,7 @@ def scan_mr(cross: Cross, traits: list[str] | None = None) -> DataFrame:
     one = cell.groupBy("chr", "marker", "trait").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     rss0, rss1 = F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
     lod = F.when((rss1 > 0) & (rss0 > 0), F.col("n") / 2 * F.log10(rss0 / rss1)).otherwise(0.0)
-    return one.join(F.broadcast(cross.map.select("marker", "pos", "ord")), "marker").select("chr", "pos", "ord", F.col("marker").alias("locus"), "trait", F.greatest(lod, F.lit(0.0)).alias("lod"))
+    return one.join(cross.map.select("marker", "pos", "ord"), "marker").select("chr", "pos", "ord", F.col("marker").alias("locus"), "trait", F.greatest(lod, F.lit(0.0)).alias("lod"))
 
 
 def scan_binary_mr(cross: Cross, trait: str) -> DataFrame:
@@ -49,7 +49,7 @@ def scan_binary_mr(cross: Cross, trait: str) -> DataFrame:
     cell = full.join(y, "ind").groupBy("chr", "marker", "trait", "g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"))
     ll = lambda s, n: F.when((s > 0) & (s < n), s * F.log10(s / n) + (n - s) * F.log10(1 - s / n)).otherwise(0.0)
     one = cell.groupBy("chr", "marker", "trait").agg(F.sum(ll(F.col("s"), F.col("n"))).alias("a"), F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return one.join(F.broadcast(cross.map.select("marker", "pos", "ord")), "marker").select("chr", "pos", "ord", F.col("marker").alias("locus"), "trait", F.greatest(F.col("a") - ll(F.col("s"), F.col("n")), F.lit(0.0)).alias("lod"))
+    return one.join(cross.map.select("marker", "pos", "ord"), "marker").select("chr", "pos", "ord", F.col("marker").alias("locus"), "trait", F.greatest(F.col("a") - ll(F.col("s"), F.col("n")), F.lit(0.0)).alias("lod"))
 
 
 # The table that all other methods read
@@ -406,7 +406,7 @@ def observed_prob(cross: Cross) -> DataFrame:
     """Probabilities at typed markers as they are: 1 for the genotype seen. Missing ones have no row."""
     k = chains.n_states(cross.crosstype)
     p = F.array(*(F.when(F.col("g") == c, 1.0).otherwise(0.0) for c in range(1, k + 1)))
-    return cross.geno.where(F.col("g").between(1, k)).join(F.broadcast(cross.map.select("marker", "pos")), "marker").select("ind", "chr", F.col("marker").alias("locus"), "ord", "pos", p.alias("p"))
+    return cross.geno.where(F.col("g").between(1, k)).join(cross.map.select("marker", "pos"), "marker").select("ind", "chr", F.col("marker").alias("locus"), "ord", "pos", p.alias("p"))
 
 
 def scanone(cross: Cross, trait: str, model: str = "normal", method: str = "hk", **options) -> DataFrame:

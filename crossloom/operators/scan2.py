@@ -175,7 +175,7 @@ def max_scantwo(scan: DataFrame, what: str = "lod_full") -> DataFrame:
 def clean_scantwo(scan: DataFrame, map_: DataFrame, n_mar: int = 1, distance: float = 0.0) -> DataFrame:
     """Zero LODs for pairs on a chromosome with fewer markers between them or closer than ``distance``; full at least additive."""
     m = map_.select(F.col("chr").alias("c"), F.col("pos").alias("mp"))
-    near = scan.where("chr1 = chr2").join(F.broadcast(m), (F.col("chr1") == F.col("c")) & (F.col("mp") > F.col("pos1")) & (F.col("mp") < F.col("pos2")), "left").groupBy("locus1", "locus2").agg(F.count("mp").alias("k"))
+    near = scan.where("chr1 = chr2").join(m, (F.col("chr1") == F.col("c")) & (F.col("mp") > F.col("pos1")) & (F.col("mp") < F.col("pos2")), "left").groupBy("locus1", "locus2").agg(F.count("mp").alias("k"))
     x = scan.join(near, ["locus1", "locus2"], "left")
     bad = (F.col("chr1") == F.col("chr2")) & ((F.col("k") < n_mar) | (F.col("pos2") - F.col("pos1") < distance))
     fix = lambda v: F.when(bad | v.isNull() | F.isnan(v), 0.0).otherwise(F.greatest(v, F.lit(0.0)))
@@ -320,7 +320,7 @@ def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, e
 def scantwo_pvalues(summary: DataFrame, perms: DataFrame) -> DataFrame:
     """Share of replicates that reach each of the five statistics of a summary."""
     m = perms.groupBy("trait").pivot("stat", list(STATS)).agg(F.collect_list("value"))
-    x = summary.join(F.broadcast(m.withColumnsRenamed({s: f"_{s}" for s in STATS})), "trait")
+    x = summary.join(m.withColumnsRenamed({s: f"_{s}" for s in STATS}), "trait")
     share = lambda s: F.size(F.filter(f"_{s}", lambda v: v >= F.col(s))) / F.size(f"_{s}")
     return x.withColumns({f"p_{s}": share(s) for s in STATS[:5]}).drop(*(f"_{s}" for s in STATS))
 
@@ -332,5 +332,5 @@ def replace_map_pairs(scan: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     for c, p in (("chr1", "pos1"), ("chr2", "pos2")):
         at = scan.select(F.col(c).alias("chr"), F.col(p).alias("pos")).distinct()
         moved = interp_positions(old, new, at).select(F.col("chr").alias(c), F.col("pos").alias(p), "new_pos")
-        scan = scan.join(F.broadcast(moved), [c, p]).withColumn(p, F.col("new_pos")).drop("new_pos")
+        scan = scan.join(moved, [c, p]).withColumn(p, F.col("new_pos")).drop("new_pos")
     return scan

@@ -36,7 +36,7 @@ def perm_thresholds(perms: DataFrame, alphas: list[float] = (0.05, 0.10), length
 def perm_pvalues(peaks: DataFrame, perms: DataFrame) -> DataFrame:
     """Share of replicates whose maximum reaches a peak. Replicates are few and are gathered in one row."""
     m = perms.groupBy("trait").agg(F.collect_list("maxlod").alias("m"))
-    return peaks.join(F.broadcast(m), "trait").withColumn("pval", F.size(F.filter("m", lambda x: x >= F.col("lod"))) / F.size("m")).drop("m")
+    return peaks.join(m, "trait").withColumn("pval", F.size(F.filter("m", lambda x: x >= F.col("lod"))) / F.size("m")).drop("m")
 
 
 def combine_perms(*perms: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def bayes_interval(scan: DataFrame, prob: float = 0.95) -> DataFrame:
 def expand_to_markers(intervals: DataFrame, map_: DataFrame) -> DataFrame:
     """Interval ends moved out to the next markers."""
     m = map_.select(F.col("chr").alias("c"), F.col("pos").alias("mp"))
-    x = intervals.join(F.broadcast(m), F.col("chr") == F.col("c"))
+    x = intervals.join(m, F.col("chr") == F.col("c"))
     return x.groupBy("chr", "trait", "lo", "peak", "hi").agg(F.max(F.when(F.col("mp") <= F.col("lo"), F.col("mp"))).alias("a"), F.min(F.when(F.col("mp") >= F.col("hi"), F.col("mp"))).alias("b")).select("chr", "trait", F.coalesce("a", "lo").alias("lo"), "peak", F.coalesce("b", "hi").alias("hi"))
 
 

@@ -143,7 +143,7 @@ def convert_mwril(cross: Cross, founders: DataFrame, error: float = 0.0, seed: i
     """Founder genotypes (bit masks of one founder) to observed SNP codes 0/1."""
     own = cross.geno.withColumn("founder", (F.round(F.log2("g")) + 1).cast("int"))
     u = F.pmod(F.xxhash64("ind", "marker", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return own.join(F.broadcast(founders), ["marker", "founder"]).select("ind", "chr", "marker", "ord", F.when(u < error, 1 - F.col("allele")).otherwise(F.col("allele")).alias("g"))
+    return own.join(founders, ["marker", "founder"]).select("ind", "chr", "marker", "ord", F.when(u < error, 1 - F.col("allele")).otherwise(F.col("allele")).alias("g"))
 
 
 # Crosses of several taxa

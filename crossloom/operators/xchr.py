@@ -34,13 +34,13 @@ def x_covariates(cross: Cross, names: list[str]) -> DataFrame:
 def drop_aliased(covar: DataFrame, cross: Cross) -> DataFrame:
     """Covariates that aren't a function of sex and direction on this cross: those that vary within a group."""
     varies = covar.join(x_groups(cross), "ind").groupBy("name", "sex", "reverse").agg((F.max("value") > F.min("value")).alias("v")).groupBy("name").agg(F.max("v").alias("v")).where("v").select("name")
-    return covar.join(F.broadcast(varies), "name", "left_semi").select("ind", "name", "value")
+    return covar.join(varies, "name", "left_semi").select("ind", "name", "value")
 
 
 def scan_x(cross: Cross, trait: str, **grid) -> DataFrame:
     """Regression scan of the X chromosomes: LOD against a null with sex and direction as far as they vary; genotype effects by group."""
     own = cross.map.where("chrtype = 'X'")
-    x = cross.with_(map=own, geno=cross.geno.join(F.broadcast(own.select("marker")), "marker", "left_semi").select(cross.geno.columns))
+    x = cross.with_(map=own, geno=cross.geno.join(own.select("marker"), "marker", "left_semi").select(cross.geno.columns))
     names = x_null_covariates(cross)
     return scan_hk(x, trait, covar=x_covariates(cross, names) if names else None, addcovar=names, intcovar=names, **grid)
 

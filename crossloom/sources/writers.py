@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crossloom.model import Cross
 from crossloom.operators.meta import geno_names
+from crossloom.operators.order import row_numbers
+from crossloom.runtime import materialise
 
 GENOTYPES = ("A", "H", "B", "D", "C")
 
@@ -64,24 +66,35 @@ def write_csv(cross: Cross, path: str) -> None:
     write_lines(_head(cross, head).unionByName(body.withColumn("k", F.col("k") + 1)), path)
 
 
-def write_csvr(cross: Cross, path: str) -> None:
-    """The same, rotated: a row for each phenotype and marker."""
-    spark = cross.map.sparkSession
-    inds = [r["ind"] for r in cross.individual.select("ind").orderBy("ind").collect()]
-    place = spark.createDataFrame([(i, k) for k, i in enumerate(inds)], "ind long, i int")
-    ids = ",".join(["id", "", "", *(r["id"] for r in cross.individual.orderBy("ind").collect())])
+def _rotated(cross: Cross) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids: one row of text; phenotypes: trait, text; genotypes: marker, text): values of all individuals in order, with commas. A line of a
+    rotated file holds all individuals by definition; it is put together in Spark, a task for each line."""
+    place = materialise(row_numbers(cross.individual.select("ind", "id"), "ind", "i"), "places")
+    n = F.lit(place.count())
+    ids = place.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: F.coalesce(x["id"], F.lit("-"))), ",").alias("text"))
 
-    def row(df: DataFrame, key: list[str], value) -> DataFrame:
-        x = df.join(F.broadcast(place), "ind").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("i", value.alias("v")))).alias("m"))
-        full = F.transform(F.sequence(F.lit(0), F.lit(len(inds) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("-")))
-        return x.select(*key, F.array_join(full, ",").alias("text"))
+    def row(df: DataFrame, key: str, value) -> DataFrame:
+        x = df.join(place.select("ind", "i"), "ind").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", value.alias("v")))).alias("m"))
+        full = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("-")))
+        return x.select(key, F.array_join(full, ",").alias("text"))
 
     code = F.create_map(*(v for k, c in _codes(cross).items() for v in (F.lit(k), F.lit(c))))
-    p = row(cross.pheno.where("y IS NOT NULL"), ["trait"], _show(F.col("y"))).select(F.lit(-1).cast("long").alias("k"), F.concat_ws(",", "trait", F.lit(""), F.lit(""), "text").alias("value"))
+    return ids, row(cross.pheno.where("y IS NOT NULL"), "trait", _show(F.col("y"))), row(cross.geno.where("g IS NOT NULL"), "marker", F.try_element_at(code, F.col("g")))
+
+
+def _none():
+    """As many missing values as there are ids, from the line of ids (commas within ids aren't allowed in these files)."""
+    return F.regexp_replace("ids", "[^,]+", "-")
+
+
+def write_csvr(cross: Cross, path: str) -> None:
+    """The same, rotated: a row for each phenotype and marker."""
+    spark = cross.map.sparkSession
+    ids, p, g = _rotated(cross)
     order = spark.createDataFrame([(k, r["marker"], r["chr"], f"{r['pos']:.10g}") for k, r in enumerate(_map_rows(cross))], "k long, marker string, c string, pos string")
-    g = order.join(row(cross.geno.where("g IS NOT NULL"), ["marker"], F.try_element_at(code, F.col("g"))), "marker", "left")
-    g = g.select("k", F.concat_ws(",", "marker", "c", "pos", F.coalesce("text", F.lit(",".join("-" * len(inds))))).alias("value"))
-    write_lines(p.unionByName(g).unionByName(spark.createDataFrame([(-2, ids)], "k long, value string")), path)
+    p = p.select(F.lit(-1).cast("long").alias("k"), F.concat_ws(",", "trait", F.lit(""), F.lit(""), "text").alias("value"))
+    g = order.join(g, "marker", "left").join(ids.select(F.col("text").alias("ids"))).select("k", F.concat_ws(",", "marker", "c", "pos", F.coalesce("text", _none())).alias("value"))
+    write_lines(ids.select(F.lit(-2).cast("long").alias("k"), F.concat_ws(",", F.lit("id"), F.lit(""), F.lit(""), "text").alias("value")).unionByName(p).unionByName(g), path)
 
 
 def write_csvs(cross: Cross, gen: str, phe: str) -> None:
@@ -94,14 +107,16 @@ def write_csvs(cross: Cross, gen: str, phe: str) -> None:
 
 
 def write_tidy(cross: Cross, gen: str, phe: str, map_: str) -> None:
-    people = cross.individual.orderBy("ind").collect()
-    ids = [r["id"] for r in people]
-    named = cross.individual.select("ind", "id")
-    code = F.create_map(*(v for k, c in _codes(cross).items() for v in (F.lit(k), F.lit(c))))
-    g = cross.geno.join(named, "ind").groupBy("marker").pivot("id", ids).agg(F.first(F.try_element_at(code, F.col("g")))).fillna("-")
-    p = cross.pheno.join(named, "ind").groupBy(F.col("trait").alias("phenotype")).pivot("id", ids).agg(F.first(_show(F.col("y")))).fillna("-")
-    for df, path in ((g, gen), (p, phe), (cross.map.orderBy("chr", "ord").select("marker", "chr", "pos"), map_)):
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Genotypes by marker, phenotypes by name, and the map, each with a line of ids or names above."""
+    spark = cross.map.sparkSession
+    ids, p, g = _rotated(cross)
+    head = lambda name: ids.select(F.lit(-1).cast("long").alias("k"), F.concat_ws(",", F.lit(name), "text").alias("value"))
+    rows = _map_rows(cross)
+    order = spark.createDataFrame([(k, r["marker"], ",".join([r["marker"], r["chr"], f"{r['pos']:.10g}"])) for k, r in enumerate(rows)], "k long, marker string, value string")
+    full = order.drop("value").join(g, "marker").select("k", F.concat_ws(",", "marker", "text").alias("value"))
+    write_lines(head("marker").unionByName(full), gen)
+    write_lines(head("phenotype").unionByName(p.select(F.lit(0).cast("long").alias("k"), F.concat_ws(",", "trait", "text").alias("value"))), phe)
+    write_lines(spark.createDataFrame([(-1, "marker,chr,pos")], "k long, value string").unionByName(order.select("k", "value")), map_)
 
 
 def write_mm(cross: Cross, raw: str, map_: str) -> None:
@@ -110,7 +125,7 @@ def write_mm(cross: Cross, raw: str, map_: str) -> None:
     n = cross.individual.count()
     kind = {"f2": "f2 intercross", "bc": "f2 backcross", "riself": "ri self", "risib": "ri sib"}[cross.crosstype]
     code = F.create_map(*(v for k, c in _codes(cross).items() for v in (F.lit(k), F.lit(c.lower()))))
-    full = cross.individual.select("ind").join(F.broadcast(cross.map.select("marker", "chr", "ord"))).join(cross.geno.select("ind", "marker", "g"), ["ind", "marker"], "left")
+    full = cross.individual.select("ind").join(cross.map.select("marker", "chr", "ord")).join(cross.geno.select("ind", "marker", "g"), ["ind", "marker"], "left")
     ranks = {r["marker"]: k for k, r in enumerate(m)}
     rank = F.create_map(*(v for k, c in ranks.items() for v in (F.lit(k), F.lit(c))))
     line = full.groupBy("marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ind", F.coalesce(F.try_element_at(code, F.col("g")), F.lit("-")).alias("c")))), lambda x: x["c"]), "").alias("v"))
@@ -136,7 +151,7 @@ def write_mapqtl(cross: Cross, loc: str, map_: str, qua: str) -> None:
     pop = {"bc": "BC1", "f2": "F2", "riself": "RI", "risib": "RI", "dh": "DH", "haploid": "HAP"}[cross.crosstype]
     codes = {"bc": {1: "a", 2: "h"}, "f2": {1: "a", 2: "h", 3: "b", 4: "d", 5: "c"}}.get(cross.crosstype, {1: "a", 2: "b"})
     code = F.create_map(*(v for k, c in codes.items() for v in (F.lit(k), F.lit(c))))
-    full = cross.individual.select("ind").join(F.broadcast(cross.map.select("marker"))).join(cross.geno.select("ind", "marker", "g"), ["ind", "marker"], "left")
+    full = cross.individual.select("ind").join(cross.map.select("marker")).join(cross.geno.select("ind", "marker", "g"), ["ind", "marker"], "left")
     line = full.groupBy("marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ind", F.coalesce(F.try_element_at(code, F.col("g")), F.lit("-")).alias("c")))), lambda x: x["c"]), " ").alias("v"))
     n = cross.individual.count()
     write_lines(_head(cross, ["name = cross", f"popt = {pop}", f"nloc = {len(m)}", f"nind = {n}"]).unionByName(line.select(F.lit(1).cast("long").alias("k"), F.concat_ws(" ", "marker", "v").alias("value"))), loc)
