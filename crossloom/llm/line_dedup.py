@@ -40,6 +40,8 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
 SHARD_KEYS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: So many touched keys at most are broadcast to the references, 32 MB; beyond that both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
 KICKS = 500
 MERGE_AFTER = 8
 
@@ -353,6 +355,8 @@ class LineIndex:
         if touched is None:
             part, before = counts(self.references()), None
         else:
+            # A line that many documents share has many references: these stay where they are, the keys are sent to them.
+            touched = F.broadcast(touched) if touched.count() <= BROADCAST_KEYS else touched
             before = materialise(high(self.counts().join(touched, ["k1", "k2"], "left_semi")), "lines-before")
             now = counts(self.references().join(touched, ["k1", "k2"], "left_semi"))
             none = touched.join(now, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(0).cast("long").alias("n_docs"), F.lit(None).cast("long").alias("keeper"))
@@ -395,7 +399,7 @@ class LineIndex:
         self.version += 1
         fresh = self._store(references(docs, self.min_chars).distinct().withColumn("since", F.lit(self.version)), "references")
         self._logs["references"].append(fresh)
-        self._changed(None if first else fresh.select("k1", "k2").distinct())
+        self._changed(None if first else materialise(fresh.select("k1", "k2").distinct(), "touched-lines"))
         self._merge()
 
     def delete(self, doc_ids: DataFrame) -> None:
