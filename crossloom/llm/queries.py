@@ -126,6 +126,18 @@ fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, le
   FROM n JOIN rules r ON (n.host = r.h OR ends_with(n.host, '.' || r.h)) AND starts_with(n.path, r.p) GROUP BY page_id)
 SELECT n.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, fit.rule, coalesce(fit.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
 FROM n LEFT JOIN fit USING (page_id)
+""",
+    "op4_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+k AS MATERIALIZED (SELECT doc_id, count(*) AS n, min(doc_id) OVER (PARTITION BY md5(string_agg(t, chr(10) ORDER BY t))) AS rep FROM s GROUP BY doc_id),
+r AS MATERIALIZED (SELECT s.doc_id, t, n FROM s JOIN k ON k.doc_id = s.doc_id AND k.rep = k.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS m FROM r a JOIN r b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * m >= 80 * (n - m)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS x, rep AS y FROM k WHERE rep = doc_id UNION SELECT reach.x, ways.b FROM reach JOIN ways ON ways.a = reach.y),
+c AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c ON c.x = k.rep
 """,
     "op5_decontaminate": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

@@ -10,7 +10,7 @@ Only DataFrame functions: no Python runs on executors. A listed URL is compared
 
 Cases: a null URL or one without ``://`` has empty host and path, fits no rule and is not listed. Nulls and repeats in
 the list count once or not at all. Repeated rows are judged alike. An empty list allows everything that no rule blocks.
-Columns of the input beyond the two named are not read.
+Columns of the input beyond the two named are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crossloom.runtime import materialise
+
 KEYS_PER_BLOCK = 12
 LANES = 4
 BITS_PER_LANE = 2
@@ -96,7 +98,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
 
     ``listed`` has one column ``url``; its canonical forms are blocked unless a rule fits. ``rules`` are a few
     (verdict, ``host/path``) pairs."""
-    listed = listed.where(F.col("url").contains("://")).select(canonical(F.col("url")).alias("key")).distinct()
+    listed = materialise(listed.where(F.col("url").contains("://")).select(canonical(F.col("url")).alias("key")).distinct(), "listed")
     url = F.col(url_col)
     rows = pages.select(F.col(id_col), host(url).alias("host"), path(url).alias("path"), F.when(url.contains("://"), canonical(url)).alias("key"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
