@@ -43,8 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/crossloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, under the application's id."""
+    return f"{shared_dir(spark)}/crossloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored on the way. Results that haven't been written read them, so call it last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/crossloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
