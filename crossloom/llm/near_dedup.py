@@ -118,24 +118,44 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
-def leaves(reps: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(leaf, rep) for every leaf with two documents or more, and the same for those too large after the last level."""
+def _sent(df: DataFrame) -> DataFrame:
+    """To be broadcast, if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_MEMBERS else df
+
+
+def leaves(reps: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(leaf, rep) for every leaf with two documents or more; (leaf, rep) for those too large after the last level, by groups' first documents;
+    and (a, b): these groups' members.
+
+    From the second level on, documents of a node with the same tokens at all further levels of its tree go the same ways. They travel as one
+    group, which counts with all its members, and are put in their members' place where a way ends."""
     tokens = reps.select("rep", "chosen")
     first = [(k // BRANCHES, (k // BRANCHES) * LEVELS * BRANCHES + k % BRANCHES) for k in range(TREES * BRANCHES)]
     nodes = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("chosen", F.lit(at))).alias("node")) for t, at in first))
     level = tokens.select("rep", F.explode(F.array_distinct(nodes)).alias("x")).select("rep", "x.tree", "x.node")
-    out = None
-    for depth in range(1, LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        held = materialise(level.join(sizes, "node").coalesce(tasks), "paths")
-        leaf = held.where(F.col("size") <= NODE).select(F.col("node").alias("leaf"), "rep")
-        out = leaf if out is None else out.unionByName(leaf)
-        big = held.where(F.col("size") > NODE)
-        if depth == LEVELS or not big.count():
+    sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    held = materialise(level.join(sizes, "node").coalesce(tasks), "paths")
+    met = held.where(F.col("size") <= NODE).select(F.col("node").alias("leaf"), "rep")
+    big = held.where(F.col("size") > NODE)
+    none = reps.sparkSession.createDataFrame([], "a long, b long")
+    if LEVELS == 1 or not big.limit(1).count():
+        return met, big.select(F.col("node").alias("leaf"), "rep"), none
+    further = F.slice("chosen", (F.col("tree") * LEVELS + 1) * BRANCHES + 1, (LEVELS - 1) * BRANCHES)
+    members = big.select("node", "tree", "rep").join(tokens, "rep").select("rep", "node", further.alias("further"))
+    members = materialise(members.withColumn("grp", F.xxhash64("node", "further")).coalesce(tasks), "members")
+    way = members.groupBy("grp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("node").alias("node"), F.min("further").alias("further"))
+    for depth in range(LEVELS - 1):
+        children = F.array(*(F.xxhash64("node", F.get("further", F.lit(depth * BRANCHES + k))) for k in range(BRANCHES)))
+        way = way.select("grp", "rep", "weight", "further", F.explode(F.array_distinct(children)).alias("node")).dropDuplicates(["grp", "node"])
+        sizes = way.groupBy("node").agg(F.sum("weight").alias("size")).where("size > 1")
+        held = materialise(way.join(sizes, "node").coalesce(tasks), "paths")
+        ends = _sent(held.where(F.col("size") <= NODE).select("grp", F.col("node").alias("leaf")))
+        met = met.unionByName(members.select("grp", "rep").join(ends, "grp").select("leaf", "rep"))
+        way = held.where(F.col("size") > NODE).select("grp", "rep", "weight", "further", "node")
+        if not way.limit(1).count():
             break
-        at = (F.col("tree") * LEVELS + depth) * BRANCHES
-        level = big.select("node", "tree", "rep").join(tokens, "rep").select("rep", "tree", F.explode(F.array(*(F.xxhash64("node", F.get("chosen", at + k)) for k in range(BRANCHES)))).alias("node")).distinct()
-    return out, big.select(F.col("node").alias("leaf"), "rep")
+    inner = members.select("grp", F.col("rep").alias("b")).join(_sent(way.select("grp", F.col("rep").alias("a")).distinct()), "grp").where("a <> b").select("a", "b")
+    return met, way.select(F.col("node").alias("leaf"), "rep"), inner
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -201,11 +221,10 @@ def _counts_of(*keys: np.ndarray) -> np.ndarray:
 def candidates(reps: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """(a, b): a spanning forest of the candidate links of every leaf."""
     spark = reps.sparkSession
-    met, deep = leaves(reps, tasks)
+    met, deep, inner = leaves(reps, tasks)
     # A leaf that is still too large may hold a third of all rows: its rows stay where they are, its first document is sent to them.
-    firsts = materialise(deep.groupBy("leaf").agg(F.min("rep").alias("a")).coalesce(tasks), "firsts")
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_MEMBERS else firsts
-    stars = deep.join(firsts, "leaf").where("a <> rep").select("a", F.col("rep").alias("b"))
+    firsts = _sent(materialise(deep.groupBy("leaf").agg(F.min("rep").alias("a")).coalesce(tasks), "firsts"))
+    stars = deep.join(firsts, "leaf").where("a <> rep").select("a", F.col("rep").alias("b")).unionByName(inner)
 
     def compare(batches):
         for t in _grouped(batches, 1):
