@@ -40,8 +40,8 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
 SHARD_KEYS = 200_000
 BROADCAST_BYTES = 64 << 20
-#: So many touched keys at most are broadcast to the references, 32 MB; beyond that both sides are shuffled.
-BROADCAST_KEYS = 1_000_000
+#: So many keys at most are broadcast to the references, about 30 MB; beyond that both sides are shuffled.
+BROADCAST_KEYS = 500_000
 KICKS = 500
 MERGE_AFTER = 8
 
@@ -239,6 +239,8 @@ def drops(docs: DataFrame, common: DataFrame, min_chars: int = MIN_CHARS, filter
             filters = shard_filters(common, shards)
         tables = {r["shard"]: bytes(r["table"]) for r in filters.collect()}
         among = spark.sparkContext.broadcast(ShardFilters(shards, tables))
+    # A line that many documents share stays where it is: its key is sent there.
+    common = F.broadcast(common) if n <= BROADCAST_KEYS else common
     hits = references(docs, min_chars, among).join(common, ["k1", "k2"]).where("doc_id <> keeper")
     return hits.select("doc_id", F.struct("k1", "k2").alias("k")).groupBy("doc_id").agg(F.collect_set("k").alias("gone"))
 
