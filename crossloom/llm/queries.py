@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crossloom.runtime import materialise, prepare, scratch
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_TOKENIZER)
+
+
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossloom.llm import fingerprint
 
@@ -103,6 +110,24 @@ def op10_max_ent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_ent.score(table(spark, sf_dir, "documents"))
 
 
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossloom.llm import bin_slack
+
+    return bin_slack.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossloom.llm import period_runs
+
+    return period_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_heap_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossloom.llm import heap_codes
+
+    return heap_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
