@@ -16,6 +16,7 @@ as only ids and texts are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ from crossloom.runtime import materialise, prepare
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; longer words than LONG_WORD aren't kept.
-MEMO_WORDS, LONG_WORD = 200_000, 64
+MEMO_WORDS, LONG_WORD = 500_000, 64
 
 
 class WordIds:
@@ -38,6 +39,8 @@ class WordIds:
     words in use stay, memory is bounded."""
 
     def __init__(self, tokenizer_file: str, end: int = 0):
+        # A task has one core: threads of the library's own would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -51,7 +54,7 @@ class WordIds:
         new = [w for w in words if w not in out]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
