@@ -9,8 +9,8 @@ The fit reads ``SAMPLE_ROWS`` labelled rows at most (those with the smallest has
 ``SAMPLE_FEATURES`` features at most; the features go to the driver, as hashed pairs. Every document is scored, in numpy batches, with broadcast weights of fixed size.
 
 Cases: a null text is an empty one, without features: its score is the one of the thresholds alone. Grades that are null
-are left out of the fit, and of rows with the same doc_id the smallest text is fitted; if there are no grades at all, or one grade only, every document gets that grade (0 without any) with
-certainty. Repeated rows are scored alike; a null doc_id is scored too. Texts of any length are read whole. An empty table gives
+are left out of the fit, and of rows with the same doc_id the smallest text is fitted; if there is one grade only, every document gets that grade with certainty, so labels of
+low quality only select nothing. Without any grade the expected grade is 0, but every document is selected for a grade of 1: nothing is known against it. Repeated rows are scored alike; a null doc_id is scored too. Texts of any length are read whole. An empty table gives
 an empty one. Other columns are carried along; ``score`` replaces those named like its own two, ``select`` keeps all.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,10 +55,10 @@ def features(texts: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 class OrdinalModel:
-    """Weights over hashed features and ordered thresholds."""
+    """Weights over hashed features and ordered thresholds. ``labelled``: whether it was fitted on any grade."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights.astype(np.float32), thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, labelled: bool = True):
+        self.weights, self.thresholds, self.labelled = weights.astype(np.float32), thresholds, labelled
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. K: a row for each score."""
@@ -72,15 +72,10 @@ class OrdinalModel:
         return np.concatenate(parts)
 
 
-def fit_arrays(x: Sparse, grade: np.ndarray, size: int, ridge: float = RIDGE) -> OrdinalModel:
-    """Maximum likelihood with a ridge on the weights; thresholds are a first value and logarithms of gaps, so they stay ordered."""
-    top = int(grade.max()) if len(grade) else 0
-    if not len(grade) or grade.min() == top:
-        return OrdinalModel(np.zeros(size), np.full(top, -np.inf))
-    present = np.array([(grade >= k).mean() for k in range(1, top + 1)]).clip(1e-6, 1 - 1e-6)
-    start = -np.log(present / (1 - present))
-    gaps = np.log(np.maximum(np.diff(start), 1e-2))
-    n = len(grade)
+def objective(x: Sparse, grade: np.ndarray, size: int, ridge: float):
+    """Value and gradient, by weights, first threshold and logarithms of gaps, of the mean loss with its ridge; and how such parameters are
+    split into weights and thresholds."""
+    n, top = len(grade), int(grade.max())
 
     def split(p):
         t = np.cumsum(np.concatenate([p[size : size + 1], np.exp(np.clip(p[size + 1 :], -20, 20))]))
@@ -101,6 +96,18 @@ def fit_arrays(x: Sparse, grade: np.ndarray, size: int, ridge: float = RIDGE) ->
         g_p = np.concatenate([back[:1], back[1:] * np.exp(np.clip(p[size + 1 :], -20, 20))])
         return (-np.log(p_own).sum() + ridge / 2 * (w @ w)) / n, np.concatenate([x.transpose_dot(g_s, size) + ridge * w, g_p]) / n
 
+    return value, split
+
+
+def fit_arrays(x: Sparse, grade: np.ndarray, size: int, ridge: float = RIDGE) -> OrdinalModel:
+    """Maximum likelihood with a ridge on the weights; thresholds are a first value and logarithms of gaps, so they stay ordered."""
+    top = int(grade.max()) if len(grade) else 0
+    if not len(grade) or grade.min() == top:
+        return OrdinalModel(np.zeros(size), np.full(top, -np.inf), bool(len(grade)))
+    present = np.array([(grade >= k).mean() for k in range(1, top + 1)]).clip(1e-6, 1 - 1e-6)
+    start = -np.log(present / (1 - present))
+    gaps = np.log(np.maximum(np.diff(start), 1e-2))
+    value, split = objective(x, grade, size, ridge)
     best = minimise(value, np.concatenate([np.zeros(size), start[:1], gaps]), rounds=50)
     w, t = split(best)
     return OrdinalModel(w, t)
@@ -143,14 +150,22 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", names: t
     return docs.mapInArrow(run, schema)
 
 
+def tail(model: OrdinalModel, grade: int, tails: str = "tails") -> Column:
+    """P(grade >= ``grade``) out of the column ``tails``: 0 for grades above all that were fitted. A model without any label knows nothing
+    against a document: 1 for ``grade`` 1, 0 above."""
+    if not model.labelled:
+        return F.lit(float(grade <= 1))
+    return F.element_at(tails, grade) if len(model.thresholds) >= grade else F.lit(0.0)
+
+
 def select(docs: DataFrame, model: OrdinalModel, grade: int = 1, least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, with P(grade >= ``grade``) of at least ``least``."""
     names = unused(docs, "expected_grade"), unused(docs, "tails")
-    tail = F.element_at(names[1], grade) if len(model.thresholds) >= grade else F.lit(0.0)
-    return score(docs, model, names=names).where(tail >= least).select(docs.columns)
+    return score(docs, model, names=names).where(tail(model, grade, names[1]) >= least).select(docs.columns)
 
 
 def select_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labels of ``docs`` and keep what is probably of good quality; without any label everything stays."""
+    """Fit on the labels of ``docs`` and keep what is probably of good quality; without any label everything stays, and with labels of low
+    quality only nothing does."""
     model = fit(docs, graded(labels))
-    return select(docs, model) if len(model.thresholds) else docs
+    return select(docs, model) if model.labelled else docs

@@ -42,8 +42,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, quality.graded(labels))
-    tail = lambda k: F.coalesce(F.get("tails", F.lit(k - 1)), F.lit(float(not len(model.thresholds) and k == 1)))
-    scored = quality.score(docs.select("doc_id", "text"), model)
+    scored, tail = quality.score(docs.select("doc_id", "text"), model), lambda k: quality.tail(model, k)
     return scored.select("doc_id", "expected_grade", tail(1).alias("p_good"), tail(2).alias("p_best"), (tail(1) >= 0.5).alias("selected"))
 
 

@@ -2,8 +2,9 @@
 
 A logistic model over distinct hashed words and word beginnings of whole texts. For each labelled text with identity terms, a second
 version swaps each of them for another term of its kind; the fit adds ``PENALTY`` times the squared change of the
-score over such pairs, so neutral mentions of groups don't raise a score. A fifth of the fitted rows is set apart to place
-and scale the decision, since toxic texts are few.
+score over such pairs, so neutral mentions of groups don't raise a score. All features of the fitted texts have a weight; what a
+feature tells by itself sets how much the ridge bears on it. A first fit leaves a fifth of the rows out, by which the decision is placed
+and scaled, since toxic texts are few.
 
 The fit reads ``SAMPLE_ROWS`` labelled rows at most (those with the smallest hash of doc_id), and so many of these that they have
 ``SAMPLE_FEATURES`` features at most; hashed pairs of these go to the driver. Every text is scored in numpy batches with broadcast weights of fixed size. Only the text enters a score.
@@ -35,7 +36,8 @@ BITS = 18
 KINDS = ("word", "prefix4", "prefix5")
 RIDGE = 1.0
 PENALTY = 5.0
-FEATURES = 1000
+#: What a feature's strength is divided by, and the least strength: no feature is without weight.
+UNIT, LEAST = 4.0, 0.05
 
 #: Identity terms by kind; a term is swapped for the next one of its kind.
 IDENTITY_TERMS = {
@@ -108,45 +110,50 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -500, 500)))
 
 
-def telling(x: Sparse, toxic: np.ndarray, size: int, most: int = FEATURES) -> np.ndarray:
-    """Which features the model looks at: those whose share of toxic texts is farthest from the share of all, in standard
-    deviations."""
+def strength(x: Sparse, toxic: np.ndarray, size: int) -> np.ndarray:
+    """How far each feature's share of toxic texts is from the share of all, in standard deviations, as the scale of its values: the ridge
+    bears less on features that tell much. No feature has none."""
     n1, n, p = np.bincount(x.feature, toxic[x.row], minlength=size), np.bincount(x.feature, minlength=size), toxic.mean()
-    z = np.abs(n1 - n * p) / np.sqrt(n * p * (1 - p) + 1)
-    out = np.zeros(size, bool)
-    out[np.argsort(-z, kind="stable")[:most]] = True
-    return out
+    return np.maximum(np.abs(n1 - n * p) / np.sqrt(n * p * (1 - p) + 1), LEAST) / UNIT
+
+
+def objective(x: Sparse, y: np.ndarray, a: Sparse, b: Sparse, size: int, ridge: float, penalty: float):
+    """Value and gradient, by weights and bias, of the mean loss with its ridge and the squared changes of scores over the pairs."""
+
+    def f(p):
+        s = x.dot(p[:size]) + p[size]
+        z = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+        change = a.dot(p[:size]) - b.dot(p[:size])
+        loss = -(y * np.log(z + 1e-12) + (1 - y) * np.log(1 - z + 1e-12)).sum() + ridge / 2 * (p[:size] @ p[:size]) + penalty / 2 * (change @ change)
+        g = x.transpose_dot(z - y, size) + ridge * p[:size] + penalty * (a.transpose_dot(change, size) - b.transpose_dot(change, size))
+        return loss / len(y), np.append(g, (z - y).sum()) / len(y)
+
+    return f
+
+
+def weigh(x: Sparse, y: np.ndarray, a: Sparse, b: Sparse, size: int, ridge: float, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights of all features, and the bias."""
+    scale = strength(x, y, size)
+    x, a, b = (Sparse(m.row, m.feature, m.value * scale[m.feature], m.rows) for m in (x, a, b))
+    prior = float(np.log(y.mean() / (1 - y.mean())))
+    p = minimise(objective(x, y, a, b, size, ridge, penalty), np.append(np.zeros(size), prior))
+    return p[:size] * scale, float(p[size])
 
 
 def fit_arrays(x: Sparse, toxic: np.ndarray, a: Sparse, b: Sparse, size: int, ridge: float = RIDGE, penalty: float = PENALTY) -> ToxicityModel:
-    """x: labelled texts; a, b: pairs of a text and its swapped version."""
+    """x: labelled texts; a, b: pairs of a text and its swapped version. The decision is placed by a fit without a fifth of the rows; the
+    weights are those of a fit of all rows."""
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return ToxicityModel(np.zeros(size), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     y = toxic.astype(float)
-    some = telling(x, toxic, size)
-    x, a, b = (Sparse(m.row[some[m.feature]], m.feature[some[m.feature]], m.value[some[m.feature]], m.rows) for m in (x, a, b))
+    weights, bias = weigh(x, y, a, b, size, ridge, penalty)
     apart = np.arange(len(y)) % 5 == 4
-
-    def value(x, y):
-        def f(p):
-            s = x.dot(p[:size]) + p[size]
-            z = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
-            change = a.dot(p[:size]) - b.dot(p[:size])
-            loss = -(y * np.log(z + 1e-12) + (1 - y) * np.log(1 - z + 1e-12)).sum() + ridge / 2 * (p[:size] @ p[:size]) + penalty / 2 * (change @ change)
-            g = x.transpose_dot(z - y, size) + ridge * p[:size] + penalty * (a.transpose_dot(change, size) - b.transpose_dot(change, size))
-            return loss / len(y), np.append(g, (z - y).sum()) / len(y)
-
-        return f
-
-    prior = float(np.log(y.mean() / (1 - y.mean())))
-    base = Sparse(x.row, x.feature, x.value, x.rows)
-    train = np.flatnonzero(~apart)
-    p = minimise(value(base.take(train), y[train]), np.append(np.zeros(size), prior), rounds=30)
-    test = np.flatnonzero(apart)
-    s, t = base.take(test).dot(p[:size]) + p[size], y[test]
-    if not len(test) or t.min() == t.max():
-        return ToxicityModel(p[:size], p[size])
+    train, test = np.flatnonzero(~apart), np.flatnonzero(apart)
+    if not len(test) or y[test].min() == y[test].max() or y[train].min() == y[train].max():
+        return ToxicityModel(weights, bias)
+    w, c = weigh(x.take(train), y[train], a, b, size, ridge, penalty)
+    s, t = x.take(test).dot(w) + c, y[test]
     weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
 
     def place(q):
@@ -156,7 +163,7 @@ def fit_arrays(x: Sparse, toxic: np.ndarray, a: Sparse, b: Sparse, size: int, ri
         return loss, np.array([(d * s).sum() * np.exp(q[0]) + 0.1 * q[0], d.sum()])
 
     q = minimise(place, np.zeros(2), rounds=100, tol=1e-10)
-    return ToxicityModel(p[:size], p[size], float(np.exp(q[0])), float(q[1]))
+    return ToxicityModel(weights, bias, float(np.exp(q[0])), float(q[1]))
 
 
 def _sparse(lists: pa.ChunkedArray) -> Sparse:

@@ -35,11 +35,19 @@ def test_quality_without_labels_keeps_all(spark, odd_docs, none):
     assert set(quality.select(odd_docs, m).columns) == set(odd_docs.columns)
 
 
+def differences(value, p, step=1e-5):
+    return np.array([(value(p + step * e)[0] - value(p - step * e)[0]) / (2 * step) for e in np.eye(len(p))])
+
+
 def test_ordinal_gradient_against_differences():
     rng = np.random.default_rng(1)
     n, size = 60, 8
     x = quality.Sparse(np.repeat(np.arange(n), 3), rng.integers(0, size, 3 * n), rng.random(3 * n), n)
     grade = rng.integers(0, 3, n)
+    value, _ = quality.objective(x, grade, size, 0.1)
+    for _ in range(5):
+        p = rng.normal(size=size + 2)
+        assert np.abs(value(p)[1] - differences(value, p)).max() < 1e-7
     m = quality.fit_arrays(x, grade, size, ridge=0.1)
     p = m.tails(x.dot(m.weights.astype(float)))
     assert (p[:, 0] >= p[:, 1]).all()
@@ -48,6 +56,85 @@ def test_ordinal_gradient_against_differences():
     assert np.log(own).sum() > np.log(base[grade]).sum()
 
 
+def descended(loss, p, step):
+    """A brute-force fit: each number by itself goes up or down while that helps, by ever smaller steps."""
+    best = loss(p)
+    while step > 1e-6:
+        better = False
+        for k in range(len(p)):
+            for d in (step, -step):
+                q = p.copy()
+                q[k] += d
+                if (v := loss(q)) < best - 1e-15:
+                    p, best, better = q, v, True
+        step = step if better else step / 2
+    return p
+
+
+def test_ordinal_fit_against_a_brute_force_fit():
+    rng = np.random.default_rng(2)
+    n = 80
+    dense = rng.random((n, 3))
+    grade = np.clip((dense @ [3.0, -2.0, 1.0] + rng.normal(size=n)).round(), 0, 2).astype(int)
+
+    def loss(p):
+        t = [p[3], p[3] + np.exp(p[4])]
+        s = dense @ p[:3]
+        tail = [np.ones(n), *(1 / (1 + np.exp(-(s - x))) for x in t), np.zeros(n)]
+        own = np.array([tail[g][i] - tail[g + 1][i] for i, g in enumerate(grade)])
+        return -np.log(own).sum() + 0.5 * (p[:3] @ p[:3])
+
+    p = descended(loss, np.zeros(5), 0.5)
+    m = quality.fit_arrays(quality.Sparse(np.repeat(np.arange(n), 3), np.tile(np.arange(3), n), dense.ravel(), n), grade, 3)
+    assert np.abs(m.weights - p[:3]).max() < 0.02 and np.abs(m.thresholds - [p[3], p[3] + np.exp(p[4])]).max() < 0.02
+
+
+def test_toxicity_gradient_and_fit_against_brute_force():
+    rng = np.random.default_rng(3)
+    n = 60
+    sparse = lambda d: toxicity.Sparse(np.repeat(np.arange(len(d)), 3), np.tile(np.arange(3), len(d)), d.ravel(), len(d))
+    dense, a, b = rng.random((n, 3)), rng.random((7, 3)), rng.random((7, 3))
+    y = (dense @ [4.0, -3.0, 0.5] + rng.normal(size=n) > 0.5).astype(float)
+    value = toxicity.objective(sparse(dense), y, sparse(a), sparse(b), 3, 1.0, 5.0)
+    for _ in range(5):
+        p = rng.normal(size=4)
+        assert np.abs(value(p)[1] - differences(value, p)).max() < 1e-7
+    scale = toxicity.strength(sparse(dense), y, 3)
+
+    def loss(p):
+        w = p[:3] / scale
+        s = dense @ p[:3] + p[3]
+        return (np.logaddexp(0, s) - y * s).sum() + 0.5 * (w @ w) + 2.5 * (((a - b) @ p[:3]) ** 2).sum()
+
+    p = descended(loss, np.zeros(4), 0.5)
+    w, bias = toxicity.weigh(sparse(dense), y, sparse(a), sparse(b), 3, 1.0, 5.0)
+    assert np.abs(np.append(w, bias) - p).max() < 0.02
+
+
+def test_every_feature_seen_has_a_weight(spark):
+    """No cut: as many weights as the fitted texts have distinct features."""
+    rows = [(k, " ".join(f"word{(k * 7 + j * j) % 4000}" for j in range(60)) + (" awfulword" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = {f for r in toxicity.features(docs).collect() for f in r.feature}
+    m = toxicity.fit(docs, labels)
+    assert len(seen) > 2000 and set(np.flatnonzero(m.weights)) == seen
+
+
+def test_one_grade_only(spark):
+    docs, labels = labelled(spark)
+    bad, good = labels.withColumn("quality", F.lit(0)), labels.withColumns({"quality": F.lit(1), "toxic": F.lit(0)})
+    assert quality.select_labelled(docs, bad).count() == 0
+    assert quality.select_labelled(docs, good).count() == docs.count()
+    assert quality.select_labelled(docs, labels.withColumn("quality", F.lit(None).cast("int"))).count() == docs.count()
+    m = quality.fit(docs, quality.graded(bad))
+    assert m.labelled and quality.score(docs, m).where("expected_grade <> 0").count() == 0
+    rude = labels.withColumns({"quality": F.lit(1), "toxic": F.lit(1)})
+    m = quality.fit(docs, quality.graded(rude))
+    got = quality.score(docs, m).select(quality.tail(m, 1).alias("a"), quality.tail(m, 2).alias("b")).distinct().collect()
+    assert [tuple(r) for r in got] == [(1.0, 0.0)]
+
+
 def test_toxicity_learns_words_and_ignores_groups(spark, odd_docs, none):
     docs, labels = labelled(spark)
     m = toxicity.fit(docs, labels)
