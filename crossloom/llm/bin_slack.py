@@ -17,6 +17,7 @@ as only ids and texts are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,13 +31,19 @@ from crossloom.runtime import materialise, prepare
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; longer words than LONG_WORD aren't kept.
-MEMO_WORDS, LONG_WORD = 500_000, 64
+MEMO_WORDS, LONG_WORD = 800_000, 64
+
+
+#: Words of which it is known without the library where the tokenizer's pattern cuts them: visible ASCII and the letters of Latin-1. PARTS is
+#: that pattern for them, once in lower case (their only normalisation).
+KNOWN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit numbers. The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words (split at ASCII white space) one after the other; words are encoded once, in batches. The memo has two generations:
-    words in use stay, memory is bounded."""
+    those of its words (split at ASCII white space) one after the other, and a word's ids those of its parts: new parts are encoded once, as
+    one text, whose ids are cut where a part's last id is (``</w>``). The memo has two generations: words in use stay, memory is bounded."""
 
     def __init__(self, tokenizer_file: str, end: int = 0):
         # A task has one core: threads of the library's own would only wait for each other.
@@ -47,15 +54,46 @@ class WordIds:
         self.end = np.array([end], "<u4").tobytes()
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.added = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_parts(self, parts: list[str]) -> dict[bytes, bytes]:
+        out = {}
+        for at in range(0, len(parts), 10_000):
+            own = parts[at : at + 10_000]
+            ids = self._encoded(" ".join(own))
+            cut = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            out.update((p.encode(), raw[a:b]) for p, a, b in zip(own, cut[:-1], cut[1:], strict=True))
+        return out
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that the memo lacks, or only its older part has."""
-        out = {w: self.older[w] for w in words if w in self.older}
-        new = [w for w in words if w not in out]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                out[w] = np.array(e.ids, "<u4").tobytes()
+        """The ids of words that the memo lacks, and of parts met on the way."""
+        memo, older, out, cut, new = self.memo, self.older, {}, {}, set()
+        for w in words:
+            if w in older:
+                out[w] = older[w]
+                continue
+            x = w.decode()
+            if not KNOWN.fullmatch(x) or self.added.search(x):
+                out[w] = self._encoded(x).tobytes()
+                continue
+            cut[w] = parts = PARTS.findall(x.lower())
+            for p in parts:
+                k = p.encode()
+                if k not in memo:
+                    if k in older:
+                        out[k] = older[k]
+                    else:
+                        new.add(p)
+        out |= self._learn_parts(list(new))
+        for w, parts in cut.items():
+            out[w] = b"".join([memo[k] if k in memo else out[k] for k in map(str.encode, parts)])
         return out
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -63,14 +101,14 @@ class WordIds:
         for text in texts:
             words, memo = (text or "").encode().split(), self.memo
             missing = set(words).difference(memo)
-            if not missing:
-                yield b"".join([*map(memo.__getitem__, words), self.end])
-                continue
-            got = self.learn(missing)
-            yield b"".join([*(memo[w] if w in memo else got[w] for w in words), self.end])
+            got = self.learn(missing) if missing else {}
+            memo.update(got)
+            yield b"".join([*map(memo.__getitem__, words), self.end])
+            for w in got:
+                if len(w) > LONG_WORD:
+                    del memo[w]
             if len(memo) >= MEMO_WORDS:
                 self.older, self.memo = memo, {}
-            self.memo.update((w, x) for w, x in got.items() if len(w) <= LONG_WORD)
 
 
 _IDS: dict[tuple[str, int], WordIds] = {}

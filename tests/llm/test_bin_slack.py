@@ -69,6 +69,12 @@ def test_words_are_encoded_as_texts(text):
     assert np.frombuffer(next(iter(ids([text]))), "<u4").tolist() == want
 
 
+@given(st.text("abAB'srtelvmd01.,<|>éÉßÿ×÷\u0301 \n", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_words_of_known_letters(text):
+    test_words_are_encoded_as_texts.hypothesis.inner_test(text)
+
+
 @pytest.mark.parametrize("text", ["Hello\x1cworld\x85a\xa0b c", "It's the END's", "<|endoftext|> a <|startoftext|>b", "é ́a", "a" * 3000, "ΑΣ ΟΔΟΣ x", "don 't", "가 ᆨ", "�\x00 \x01"])
 def test_odd_texts(text):
     ids = b.WordIds(FILE)
