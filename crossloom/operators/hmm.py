@@ -281,9 +281,20 @@ def _map_sums(seq: DataFrame, t: dict, kind: tuple, r: dict, error: float) -> di
     return {(x["chr"], x["k"]): (x["s"], x["n"]) for x in rows}
 
 
-def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", maxit: int = 4000, tol: float = 1e-6) -> tuple[DataFrame, dict[str, float]]:
+def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", maxit: int = 4000, tol: float = 1e-6, m: int = 0, p: float = 0.0, sex_specific: bool = True) -> tuple[DataFrame, dict[str, float]]:
     """A new map by EM, and each chromosome's log10 likelihood. A round is one Spark job whose partial sums are one row for each
-    interval and batch; the driver keeps recombination fractions only. A warning names chromosomes that ``maxit`` rounds leave unsettled."""
+    interval and batch; the driver keeps recombination fractions only. A warning names chromosomes that ``maxit`` rounds leave unsettled.
+
+    ``m``, ``p``: interference by the Stahl model, in backcrosses and intercrosses (the map function has no use there). ``sex_specific``: a four-way
+    cross gets a map of each sex. Both are in ``mapfit``."""
+    from crossloom.operators import mapfit
+
+    if m > 0 and p < 1:
+        if cross.crosstype in ("bc", "f2"):
+            return mapfit.est_map_interference(cross, m, p, error, maxit, tol)
+        warnings.warn("est_map: m and p are for backcrosses and intercrosses only", stacklevel=2)
+    if cross.crosstype == "4way" and sex_specific:
+        return mapfit.est_map_sexes(cross, error, map_function, maxit, tol)
     spark = cross.geno.sparkSession
     prepare(spark)
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
