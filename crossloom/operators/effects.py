@@ -77,8 +77,9 @@ def mqm_auto_cofactors(cross: Cross, num: int = 50, distance: float = 5.0) -> li
     return out
 
 
-def mqm_scan(cross: Cross, trait: str, cofactors: list[str] | None = None, significance: float = 0.02, window: float = 25.0, step: float = 5.0) -> tuple[DataFrame, list[str]]:
-    """Scan with marker cofactors: backward elimination by F tests, then each locus with the cofactors that are left outside its window."""
+def cofactor_scan(cross: Cross, trait: str, cofactors: list[str] | None = None, significance: float = 0.02, window: float = 25.0, step: float = 5.0) -> tuple[DataFrame, list[str]]:
+    """Regression scan with marker cofactors: backward elimination by F tests, then each locus with the cofactors that are left outside its window.
+    ``mixture.mqm_scan`` fits the mixture."""
     model = Model(cross, trait, step=step)
     where = {x[2]: x for x in model.all_loci()}
     left = [where[c] for c in cofactors or []]
@@ -99,34 +100,6 @@ def mqm_scan(cross: Cross, trait: str, cofactors: list[str] | None = None, signi
     return model.spark.createDataFrame(rows, "chr string, pos double, ord int, locus string, trait string, lod double"), [x[2] for x in left]
 
 
-def mqm_augment(cross: Cross, max_per_ind: int = 82, min_prob: float = 0.1, error: float = 1e-4) -> DataFrame:
-    """ind, chr, copy, weight, g: complete genotype sequences of each individual and chromosome that are at least ``min_prob`` times as
-    likely as its best one, with weights that sum to one."""
-    from crossloom.operators.hmm import by_chromosome, sequences, tracks
-
-    t, kind = tracks(cross), (cross.crosstype, cross.scheme)
-    schema = "ind long, chr string, copy int, weight double, g array<int>"
-
-    def one(name, b, g):
-        track = t[name]
-        emit = chains.emissions(kind[0], g, error, track.chrtype)
-        init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind)
-        rows = []
-        for i, ind in enumerate(b.column("ind").to_pylist()):
-            paths = [((v,), init[v] * emit[i, 0, v]) for v in range(emit.shape[2])]
-            for j in range(1, emit.shape[1]):
-                paths = [((*s, v), p * steps[j - 1][s[-1], v] * emit[i, j, v]) for s, p in paths for v in range(emit.shape[2])]
-                top = max(p for _, p in paths)
-                paths = sorted((x for x in paths if x[1] >= min_prob * top * 0.05), key=lambda x: -x[1])[: 8 * max_per_ind]
-            top = max(p for _, p in paths)
-            paths = [x for x in paths if x[1] >= min_prob * top][:max_per_ind]
-            total = sum(p for _, p in paths)
-            rows += [(ind, name, k + 1, p / total, [v + 1 for v in s]) for k, (s, p) in enumerate(paths)]
-        return dict(zip(("ind", "chr", "copy", "weight", "g"), map(list, zip(*rows, strict=True)), strict=True))
-
-    return sequences(cross).mapInArrow(by_chromosome(one, t, schema), schema)
-
-
 def mqm_test_normal(cross: Cross, trait: str, significance: float = 0.05, most: int = 5000) -> bool | None:
     """Is the trait normal by the Shapiro-Wilk test? None outside 3 to 5000 individuals, for which the test isn't defined."""
     own = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull())

@@ -1,7 +1,7 @@
 """A cross out of sales tables, so that every operator has rows at any scale.
 
 Orders are individuals, line numbers 1..7 are markers on two chromosomes at 10 cM, the smallest return flag (or line
-status) of an order's line is its genotype, the order's price is a trait."""
+status; both in a four-way cross) of an order's line is its genotype, the order's price is a trait."""
 
 from __future__ import annotations
 
@@ -26,10 +26,9 @@ def sales_map(spark: SparkSession) -> DataFrame:
 
 def sales_cross(spark: SparkSession, sf_dir: str, crosstype: str = "f2") -> Cross:
     lines = _read(spark, sf_dir, "lineitem")
-    code = "l_returnflag" if crosstype == "f2" else "l_linestatus"
     chr_, ord_ = _place(F.col("l_linenumber"))
-    low = F.min(code)
-    g = F.when(low == "A", 1).when(low == "N", 2).otherwise(3) if crosstype == "f2" else F.when(low == "F", 1).otherwise(2)
+    flag, status = F.min("l_returnflag"), F.min("l_linestatus")
+    g = {"f2": F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3), "4way": F.when(flag == "A", 1).otherwise(2) + F.when(status == "F", 0).otherwise(2)}.get(crosstype, F.when(status == "F", 1).otherwise(2))
     geno = (
         lines.groupBy(F.col("l_orderkey").alias("ind"), "l_linenumber").agg(g.cast("int").alias("g"))
         .select("ind", chr_.alias("chr"), F.concat(F.lit("M"), F.col("l_linenumber").cast("string")).alias("marker"), ord_.alias("ord"), "g")

@@ -737,16 +737,48 @@ def mqm_set_cofactors(spark, d):
 
 @query()
 def mqm_scan(spark, d):
+    from crossloom.operators import mixture
+
+    return mixture.mqm_scan(_f2(spark, d), "price", ["M2", "M6"], step=10.0)[0]
+
+
+@query()
+def cofactor_scan(spark, d):
     from crossloom.operators import effects
 
-    return effects.mqm_scan(_f2(spark, d), "price", ["M2", "M6"], step=10.0)[0]
+    return effects.cofactor_scan(_f2(spark, d), "price", ["M2", "M6"], step=10.0)[0]
 
 
 @query()
 def mqm_augment(spark, d):
-    from crossloom.operators import effects
+    from crossloom.operators import mixture
+
+    return mixture.augment(_bc(spark, d))
+
+
+@query()
+def mqm_augment_on_cofactors(spark, d):
+    from crossloom.operators import mixture
+
+    return mixture.augment_on_cofactors(_bc(spark, d), ["M2", "M3", "M6"])
 
-    return effects.mqm_augment(_bc(spark, d))
+
+@query()
+def est_map_interference(spark, d):
+    return hmm.est_map(_bc(spark, d), m=2, p=0.1)[0]
+
+
+@query()
+def fit_stahl(spark, d):
+    from crossloom.operators import mapfit
+
+    return mapfit.fit_stahl(_bc(spark, d))
+
+
+@query()
+def est_map_sexes(spark, d):
+    """Lines' flags make the mother's alleles, their status the father's."""
+    return hmm.est_map(sales_cross(spark, d, "4way"))[0]
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from crossloom import queries as core
 from crossloom.functions import chains, maps, stats
-from crossloom.operators import edit, effects, graph, hmm, linkage, meta, qtl, scan, scan2, scan_results, sim
+from crossloom.operators import edit, effects, graph, hmm, linkage, meta, mixture, qtl, scan, scan2, scan_results, sim
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -185,7 +185,7 @@ def test_models(bc):
     assert qtl.format_formula(qtl.parse_formula("y~Q2*Q1")) == "y ~ Q1 + Q2 + Q1:Q2"
     assert qtl.is_symmetric(qtl.parse_formula("y~Q1+Q2"), "Q1", "Q2")
     assert qtl.cim(bc, "phenotype", 2).where("lod > 2").count() > 0
-    assert effects.mqm_scan(bc, "phenotype", ["D1M3", "D2M2"])[0].where("lod > 2").count() > 0
+    assert effects.cofactor_scan(bc, "phenotype", ["D1M3", "D2M2"])[0].where("lod > 2").count() > 0
 
 
 def test_intervals_and_arithmetic(bc):
@@ -236,7 +236,7 @@ def test_taxa():
 
 
 def test_augment_weights(bc):
-    w = effects.mqm_augment(bc).groupBy("ind", "chr").agg(F.sum("weight").alias("w"))
+    w = mixture.augment(bc).groupBy("ind", "chr").agg(F.sum("weight").alias("w"))
     assert w.where(F.abs(F.col("w") - 1) > 1e-9).count() == 0
 
 
