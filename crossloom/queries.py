@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from crossloom.functions import maps as M
 from crossloom.operators import edit, hmm, linkage, meta, scan, scan_results
-from crossloom.plans.crosswalk import CTE, sales_cross, sales_map
+from crossloom.plans.crosswalk import CTE, part_map, part_places, sales_cross, sales_map
 from crossloom.runtime import prepare
 
 #: Columns of queries with an oracle that depend on the order of sums: both sides round them.
 INEXACT = {
     "rescale_map": "pos",
+    "interp_positions": "new_pos",
     "convert_map": "pos",
     "transform_pheno": "y",
     "map_functions": "haldane kosambi imf_h imf_k imf_cf",
@@ -268,10 +269,11 @@ def convert_map(spark, d):
     return edit.convert_map(_f2(spark, d).map, "haldane", "kosambi").select("marker", "pos")
 
 
-@query(f"SELECT p.chr, p.pos, 2 * p.pos + 5 AS new_pos FROM (SELECT chr, pos FROM {_PLACES} WHERE pos <= CASE chr WHEN '1' THEN 30 ELSE 20 END) p")
+@query("SELECT p.chr, p.pos, 2 * p.pos + 5 AS new_pos FROM places p JOIN (SELECT chr, min(pos) AS lo, max(pos) AS hi FROM pmap GROUP BY chr) m ON m.chr = p.chr AND p.pos BETWEEN lo AND hi")
 def interp_positions(spark, d):
-    old = sales_map(spark)
-    p = _places(spark).where(F.col("pos") <= F.when(F.col("chr") == "1", 30).otherwise(20))
+    old = part_map(spark, d)
+    ends = old.groupBy("chr").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    p = part_places(spark, d).join(ends, "chr").where("pos BETWEEN lo AND hi").select("chr", "pos")
     return edit.interp_positions(old, old.withColumn("pos", F.col("pos") * 2 + 5), p)
 
 
@@ -756,31 +758,6 @@ def mqm_augment(spark, d):
     return mixture.augment(_bc(spark, d))
 
 
-@query()
-def mqm_augment_on_cofactors(spark, d):
-    from crossloom.operators import mixture
-
-    return mixture.augment_on_cofactors(_bc(spark, d), ["M2", "M3", "M6"])
-
-
-@query()
-def est_map_interference(spark, d):
-    return hmm.est_map(_bc(spark, d), m=2, p=0.1)[0]
-
-
-@query()
-def fit_stahl(spark, d):
-    from crossloom.operators import mapfit
-
-    return mapfit.fit_stahl(_bc(spark, d))
-
-
-@query()
-def est_map_sexes(spark, d):
-    """Lines' flags make the mother's alleles, their status the father's."""
-    return hmm.est_map(sales_cross(spark, d, "4way"))[0]
-
-
 @query()
 def scanone_var(spark, d):
     from crossloom.operators import effects
@@ -797,16 +774,20 @@ def ripple_count(spark, d):
 
 @query()
 def sim_cross(spark, d):
+    """As many individuals as there are customers."""
     from crossloom.operators import sim
 
-    return sim.sim_cross(sales_map(spark), "f2", 200, [("1", 15.0, 1.0, 0.0)], missing=0.1).geno
+    n = spark.read.parquet(f"{d}/customer.parquet").count()
+    return sim.sim_cross(sales_map(spark), "f2", n, [("1", 15.0, 1.0, 0.0)], missing=0.1).geno
 
 
 @query()
 def scan_phylo(spark, d):
+    """As many individuals in each cross as there are suppliers."""
     from crossloom.operators import sim
 
-    crosses = sim.sim_phylo(sales_map(spark), "ABC", "A|BC", ["AB", "AC", "BC"], 60, [("1", 10.0, 1.0)])
+    n = spark.read.parquet(f"{d}/supplier.parquet").count()
+    crosses = sim.sim_phylo(sales_map(spark), "ABC", "A|BC", ["AB", "AC", "BC"], n, [("1", 10.0, 1.0)])
     return sim.summary_phylo(sim.scan_phylo(crosses, sim.all_partitions("ABC")))
 
 
@@ -901,4 +882,5 @@ def form_marker_covar(spark, d):
     return edit.form_marker_covar(_bc(spark, d), [("1", 11.0)]).withColumn("value", F.round("value", 8))
 
 
-from crossloom import queries_more as _more  # noqa: E402, F401  (registers its queries)
+from crossloom import queries_models as _models  # noqa: E402, F401  (these register their queries)
+from crossloom import queries_more as _more  # noqa: E402, F401

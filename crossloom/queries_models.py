@@ -1,0 +1,105 @@
+"""Registered queries of models that are fitted by iteration: interference, mixtures over sequences, one and two loci with covariates, dispersion, forward
+selection. What SQL can't iterate has no oracle; tests compare these operators with plain versions in numpy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crossloom.operators import dispersion, forward, hmm, locus_models, mapfit, mixture
+from crossloom.plans.crosswalk import sales_cross
+from crossloom.queries import _bc, _f2, query
+
+
+def _rank(cross):
+    """The order's priority as a covariate."""
+    return cross.individual.select("ind", F.lit("rank").alias("name"), F.substring("strata", 1, 1).cast("double").alias("value"))
+
+
+@query()
+def mqm_augment_on_cofactors(spark, d):
+    return mixture.augment_on_cofactors(_bc(spark, d), ["M2", "M3", "M6"])
+
+
+@query()
+def mqm_scan_ml(spark, d):
+    """By maximum likelihood, with dominance."""
+    return mixture.mqm_scan(_f2(spark, d), "price", ["M2", "M6"], step=10.0, ml=True, dominance=True)[0]
+
+
+@query()
+def est_map_interference(spark, d):
+    return hmm.est_map(_bc(spark, d), m=2, p=0.1)[0]
+
+
+@query()
+def fit_stahl(spark, d):
+    return mapfit.fit_stahl(_bc(spark, d))
+
+
+@query()
+def est_map_sexes(spark, d):
+    """Lines' flags make the mother's alleles, their status the father's."""
+    return hmm.est_map(sales_cross(spark, d, "4way"))[0]
+
+
+@query()
+def scanone_em_covar(spark, d):
+    c = _f2(spark, d)
+    return locus_models.scanone_model(c, "price", covar=_rank(c), addcovar=["rank"])
+
+
+@query()
+def scanone_binary_em_covar(spark, d):
+    c = _f2(spark, d)
+    return locus_models.scanone_model(c, "done", binary=True, covar=_rank(c), addcovar=["rank"], intcovar=["rank"])
+
+
+@query()
+def scantwo_em(spark, d):
+    return locus_models.scantwo_model(_f2(spark, d), "price")
+
+
+@query()
+def scantwo_em_covar(spark, d):
+    c = _bc(spark, d)
+    return locus_models.scantwo_model(c, "price", covar=_rank(c), addcovar=["rank"])
+
+
+@query()
+def scantwo_binary_hk(spark, d):
+    return locus_models.scantwo_model(_bc(spark, d), "done", "hk", True)
+
+
+@query()
+def scantwo_binary_em(spark, d):
+    return locus_models.scantwo_model(_bc(spark, d), "done", "em", True)
+
+
+@query()
+def scanone_perm_em(spark, d):
+    return locus_models.scanone_model_perm(_bc(spark, d), "price", 20)
+
+
+@query()
+def scantwo_perm_binary(spark, d):
+    return locus_models.scantwo_model_perm(_bc(spark, d), "done", 10, "hk", True)
+
+
+@query()
+def scanone_dispersion(spark, d):
+    return dispersion.scanone_var(_f2(spark, d), "price")
+
+
+@query()
+def scanone_mean_perm(spark, d):
+    return dispersion.scanone_var_perm(_bc(spark, d), "price", "mean", 2)
+
+
+@query()
+def scanone_var_perm(spark, d):
+    return dispersion.scanone_var_perm(_bc(spark, d), "price", "var", 2)
+
+
+@query()
+def forward_markers(spark, d):
+    return forward.forward_selection(_f2(spark, d), "price", 7)

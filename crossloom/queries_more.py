@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crossloom.operators import edit, effects, hmm, linkage, meta, plots, qtl, scan, scan2, scan_results, xchr
-from crossloom.plans.crosswalk import sales_map
+from crossloom.plans.crosswalk import part_map, part_places, sales_map
 from crossloom.queries import _BC_PROB, _MR, _PLACES, INEXACT, ORACLES, QUERIES, _bc, _f2, _places, query
 
 # Oracles of regressions: columns are made orthogonal one by one, so the residual sums of all models of a nested series fall off.
@@ -86,12 +86,13 @@ def est_rf_intercross(spark, d):
     return linkage.est_rf(_f2(spark, d))
 
 
-_COFACTORS = "(VALUES ('M1'), ('M2'), ('M4'), ('M5'), ('M7')) f(marker)"
+_COFACTORS = "(SELECT marker FROM pmap WHERE ord % 3 = 0)"
 
 
-@query(f"SELECT a.chr, a.marker, a.pos FROM map a JOIN {_COFACTORS} ON f.marker = a.marker WHERE NOT EXISTS (SELECT 1 FROM map b JOIN {_COFACTORS} ON f.marker = b.marker WHERE b.chr = a.chr AND b.marker <> a.marker AND abs(b.pos - a.pos) < 15)")
+@query(f"SELECT a.chr, a.marker, a.pos FROM pmap a JOIN {_COFACTORS} f ON f.marker = a.marker WHERE NOT EXISTS (SELECT 1 FROM pmap b JOIN {_COFACTORS} f ON f.marker = b.marker WHERE b.chr = a.chr AND b.marker <> a.marker AND abs(b.pos - a.pos) < 6)")
 def check_distances(spark, d):
-    return linkage.check_distances(sales_map(spark), spark.createDataFrame([(m,) for m in ("M1", "M2", "M4", "M5", "M7")], "marker string"), 15.0)
+    m = part_map(spark, d)
+    return linkage.check_distances(m, m.where(F.col("ord") % 3 == 0).select("marker"), 6.0)
 
 
 # Scans by nested regressions
@@ -417,9 +418,9 @@ def mqm_scan_fdr(spark, d):
 # Metadata and editing
 
 
-@query("SELECT chr, 'A' AS chrtype, marker, ord, pos, CAST(NULL AS DOUBLE) AS pos_male FROM map")
+@query("SELECT chr, chrtype, marker, ord, pos, pos_male FROM pmap")
 def table_to_map(spark, d):
-    return meta.table_to_map(sales_map(spark).select("chr", "marker", "pos"))
+    return meta.table_to_map(part_map(spark, d).select("chr", "marker", "pos"))
 
 
 @query("SELECT CASE WHEN k = 1 THEN name ELSE name || '.' || (k - 1) END AS name, s_suppkey FROM (SELECT 'n' || s_nationkey AS name, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)", with_cte=False)
@@ -455,9 +456,9 @@ def get_sex(spark, d):
     return meta.get_sex(raw)
 
 
-@query(f"SELECT p.chr, p.pos, arg_min(m.marker, (abs(m.pos - p.pos), m.pos)) AS locus, arg_min(m.pos, (abs(m.pos - p.pos), m.pos)) AS locus_pos FROM {_PLACES} p JOIN map m ON m.chr = p.chr GROUP BY p.chr, p.pos")
+@query("SELECT p.chr, p.pos, arg_min(m.marker, (abs(m.pos - p.pos), m.pos)) AS locus, arg_min(m.pos, (abs(m.pos - p.pos), m.pos)) AS locus_pos FROM places p JOIN pmap m ON m.chr = p.chr GROUP BY p.chr, p.pos")
 def find_pseudomarker(spark, d):
-    return meta.find_pseudomarker(sales_map(spark).select("chr", F.col("marker").alias("locus"), "pos"), _places(spark))
+    return meta.find_pseudomarker(part_map(spark, d).select("chr", F.col("marker").alias("locus"), "pos"), part_places(spark, d))
 
 
 @query("SELECT ind, chr, marker, ord, g FROM g2")
@@ -482,14 +483,14 @@ def strip_partials(spark, d):
     return edit.strip_partials(c.with_(geno=c.geno.withColumn("g", F.when((F.col("g") == 2) & (F.col("ind") % 5 == 0), 4).otherwise(F.col("g")).cast("int")))).geno
 
 
-@query("SELECT marker, (pos + 3 * pos) / 2 AS pos, CAST(NULL AS DOUBLE) AS pos_male FROM map")
+@query("SELECT marker, (pos + 3 * pos) / 2 AS pos, CAST(NULL AS DOUBLE) AS pos_male FROM pmap")
 def convert_2_sex_averaged(spark, d):
-    return edit.sex_averaged(sales_map(spark).withColumn("pos_male", F.col("pos") * 3)).select("marker", "pos", "pos_male")
+    return edit.sex_averaged(part_map(spark, d).withColumn("pos_male", F.col("pos") * 3)).select("marker", "pos", "pos_male")
 
 
-@query("SELECT marker, pos, pos AS pos_male FROM map")
+@query("SELECT marker, pos, pos AS pos_male FROM pmap")
 def make_sex_specific(spark, d):
-    return edit.sex_specific(sales_map(spark)).select("marker", "pos", "pos_male")
+    return edit.sex_specific(part_map(spark, d)).select("marker", "pos", "pos_male")
 
 
 @query("SELECT ind, chr, marker, CAST(CASE chr WHEN '1' THEN 5 - ord ELSE ord END AS INT) AS ord, g FROM g2")
@@ -522,9 +523,9 @@ def morgan_map_function(spark, d):
     return x.select("d", r.alias("r"), F.round(M.imf_m(r), 9).alias("back"))
 
 
-@query("SELECT chr, pos, marker FROM map")
+@query("SELECT chr, pos, marker FROM pmap")
 def plot_map(spark, d):
-    return plots.map_table(sales_map(spark))
+    return plots.map_table(part_map(spark, d))
 
 
 # Joint probabilities, pairs in a model's context, partly known genotypes, tables behind plots
@@ -586,9 +587,9 @@ def plot_directed(spark, d):
     return plots.directed_table(scan.scan_hk(c, "price"), effects.effect_scan(c, "price"))
 
 
-@query("SELECT chr, chrtype, marker, ord, pos, pos_male FROM (SELECT *, 'A' AS chrtype, CAST(NULL AS DOUBLE) AS pos_male FROM map) WHERE chr = '2'")
+@query("SELECT chr, chrtype, marker, ord, pos, pos_male FROM pmap WHERE chr = '2'")
 def subset_map(spark, d):
-    return meta.subset_map(sales_map(spark), "2")
+    return meta.subset_map(part_map(spark, d), "2")
 
 
 @query("SELECT ind, CAST(ind AS VARCHAR) AS id FROM pheno")
@@ -606,9 +607,9 @@ def find_marker_index(spark, d):
     return meta.find_marker_index(_f2(spark, d), spark.createDataFrame([("M3",), ("M6",)], "marker string"))
 
 
-@query(f"SELECT p.chr, p.pos, m.marker FROM {_PLACES} p LEFT JOIN map m ON m.chr = p.chr AND m.pos = p.pos")
+@query("SELECT p.chr, p.pos, m.marker FROM places p LEFT JOIN pmap m ON m.chr = p.chr AND m.pos = p.pos")
 def locate_marker(spark, d):
-    return meta.locate_marker(sales_map(spark), _places(spark))
+    return meta.locate_marker(part_map(spark, d), part_places(spark, d))
 
 
 @query()
