@@ -151,6 +151,8 @@ def scanone_var(cross: Cross, trait: str, maxit: int = 25, tol: float = 1e-6, **
                 params[key] = new
             if not open_:
                 break
+        if open_:
+            warnings.warn(f"scanone_var: {len(open_)} of {len(params)} loci not settled after {maxit} rounds", stacklevel=3)
         return ll
 
     both, mean, var, none = fit(True, True), fit(True, False), fit(False, True), fit(False, False)

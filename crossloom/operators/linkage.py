@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,9 @@ def geno_table_em(cross: Cross, tol: float = 1e-6, maxit: int = 1000) -> DataFra
                     p = new
                     if done:
                         break
+                else:
+                    if n.sum():
+                        warnings.warn(f"geno_table_em: {row[0]} not settled after {maxit} rounds", stacklevel=2)
                 stat = max(0.0, 2 * (loglik(p) - loglik(expect)))
                 out.append((row[0], *map(float, p), stat, chi2_sf(stat, 2)))
             yield pd.DataFrame(out, columns=["marker", "aa", "ab", "bb", "stat", "p"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import warnings
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -48,6 +49,10 @@ def _number(f: str) -> tuple:
     return (0, int(f[1:]), "") if re.fullmatch(r"Q\d+", f) else (1, 0, f)
 
 
+def format_term(term: frozenset) -> str:
+    return ":".join(sorted(term, key=_number))
+
+
 def format_formula(terms: frozenset[frozenset[str]]) -> str:
     order = sorted((sorted(t, key=_number) for t in terms), key=lambda t: (len(t), [_number(f) for f in t]))
     return "y ~ " + " + ".join(":".join(t) for t in order) if order else "y ~ 1"
@@ -196,7 +201,7 @@ class Model:
 
     def grams(self, loci: list, terms, scan: list | None = None, fold=None) -> list[np.ndarray]:
         """Gram matrices (one for each imputation, or one) of the ones, the terms' columns and the response; for a scan, the loci in it
-        (or tuples of loci) take the last Q (or the last ones) in turn and there is a list for each. ``fold(x, y)``: other sums of the columns and the response instead."""
+        (or tuples of loci) take the last Q (or the last ones) in turn and there is a list for each. ``fold(x, y, d)``: other sums of the columns and the response (of imputation d) instead."""
         k = {c: chains.n_states(self.crosstype, self.tracks[c].chrtype) for c in self.chrs}
         sizes = [len(self.tracks[c].pos) for c in self.chrs]
         where = [self._index(x) for x in loci]
@@ -231,7 +236,7 @@ class Model:
                                 x = (x[:, :, None] * factor(f, p, z, d, extra)[:, None, :]).reshape(n, -1)
                             parts.append(x)
                         if fold is not None:
-                            sums.add((s, d), fold(np.concatenate(parts, axis=1), y[:, 0]))
+                            sums.add((s, d), fold(np.concatenate(parts, axis=1), y[:, 0], d))
                             continue
                         m = np.concatenate([*parts, y], axis=1)
                         sums.add((s, d), m.T @ m)
@@ -292,33 +297,65 @@ class Model:
         return {"lod": full, "df": df, "n": self.n, "pvar": 100 * (1 - 10 ** (-2 * full / self.n)), "p_chi2": chi2_sf(2 * math.log(10) * full, df) if df else 1.0, "p_f": f_sf((self.rss0 / (self.rss0 * 10 ** (-2 * full / self.n)) - 1) * (self.n - df - 1) / max(1, df), max(1, df), self.n - df - 1), "dropone": sorted(drop), "estimates": est, "formula": format_formula(terms)}
 
     def fit_binary(self, qtl: Qtl, formula: str | frozenset | None = None, maxit: int = 50, tol: float = 1e-6) -> dict:
-        """LOD of a logistic model on probabilities: each round is one pass that sums weighted equations."""
-        terms = parse_formula(formula) if isinstance(formula, str) else formula if formula is not None else frozenset(frozenset([f"Q{k + 1}"]) for k in range(len(qtl)))
-        q = 1 + sum(map(len, self._spans(qtl.loci, terms).values()))
-        m = self.table.agg(F.avg("y").alias("m")).first()["m"]
-        share = min(max(m, 1e-12), 1 - 1e-12)
+        """LOD of a logistic model, on probabilities or on each imputation (whose LODs are averaged as those of normal models), and a drop-one table
+        (term, df, lod, p_chi2). All sub-models and imputations are reweighted together: a round is one pass that sums their equations. A warning says
+        how many aren't settled after ``maxit`` rounds."""
+        terms = parse_formula(formula) if isinstance(formula, str) else formula if formula is not None else frozenset(frozenset([f]) for f in [*(f"Q{k + 1}" for k in range(len(qtl))), *self.names])
+        spans = self._spans(qtl.loci, terms)
+        columns = lambda some: [0, *sorted(c for t in some for c in spans[t])]
+        gone = {None: frozenset()} | {term: frozenset(t for t in terms if term <= t) for term in sorted(terms, key=format_term)}
+        subs = {term: columns(terms - g) for term, g in gone.items()}
+        draws = range(1 if self.method == "hk" else self.n_draws)
+        share = min(max(self.table.agg(F.avg("y").alias("m")).first()["m"], 1e-12), 1 - 1e-12)
         null = self.n * (share * math.log(share) + (1 - share) * math.log(1 - share))
-        b, last = np.zeros(q), None
-        b[0] = math.log(share / (1 - share))
+        b = {(t, d): np.append(math.log(share / (1 - share)), np.zeros(len(c) - 1)) for t, c in subs.items() for d in draws}
+        ll: dict = {}
+        best: dict = {}
+        open_ = set(b)
         for _ in range(maxit):
-            s = np.array(self._weighted(list(qtl.loci), terms, b))
-            ll = s[-1]
-            if last is not None and abs(ll - last) < tol:
+            if not open_:
                 break
-            last = ll
-            b = b + np.linalg.lstsq(s[: q * q].reshape(q, q), s[q * q : -1], rcond=1e-10)[0]
-        return {"lod": (ll - null) / math.log(10), "estimates": b, "formula": format_formula(terms)}
-
-    def _weighted(self, loci: list, terms, b: np.ndarray) -> list[float]:
-        """Sums of x'wx, x'(y - mu) and the log likelihood of a logistic model."""
-
-        def fold(x, y):
-            mu = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            w = np.maximum(mu * (1 - mu), 1e-12)
-            ll = (y * np.log(np.maximum(mu, 1e-300)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-300))).sum()
-            return np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ (y - mu), [ll]])
-
-        return self.grams(loci, terms, None, fold)[0]
+            got = self._weighted(list(qtl.loci), terms, subs, b)
+            for key in list(open_):
+                s, q = got[key], len(b[key])
+                if key in best and s[-1] < ll[key] - 1e-9 and np.abs(b[key] - best[key]).max() > 1e-9:
+                    b[key] = (b[key] + best[key]) / 2  # a step too far: half of it
+                    continue
+                if key in ll and abs(s[-1] - ll[key]) < tol:
+                    open_.discard(key)
+                ll[key], best[key] = max(s[-1], ll.get(key, -np.inf)), b[key]
+                if key in open_:
+                    b[key] = b[key] + np.linalg.lstsq(s[: q * q].reshape(q, q), s[q * q : -1], rcond=1e-10)[0]
+        if open_:
+            warnings.warn(f"fit_binary: {len(open_)} of {len(b)} fits not settled after {maxit} rounds", stacklevel=2)
+
+        def lod(term) -> float:
+            each = np.array([(ll[term, d] - null) / math.log(10) for d in draws])
+            return float(each[0]) if self.method == "hk" else weighted_average(each)
+
+        full, drop = lod(None), []
+        for term, g in gone.items():
+            if term is not None:
+                df, loss = sum(len(spans[t]) for t in g), full - lod(term)
+                drop.append((format_term(term), df, loss, chi2_sf(2 * math.log(10) * max(0.0, loss), df)))
+        return {"lod": full, "df": len(subs[None]) - 1, "n": self.n, "dropone": sorted(drop), "estimates": np.mean([best[None, d] for d in draws], axis=0), "formula": format_formula(terms)}
+
+    def _weighted(self, loci: list, terms, subs: dict, b: dict) -> dict:
+        """(sub-model, imputation) -> sums of x'wx, x'(y - mu) and the log likelihood of a logistic model of its columns."""
+
+        def fold(x, y, d):
+            out = []
+            for term, cols in subs.items():
+                z = x[:, cols]
+                eta = np.clip(z @ b[term, d], -30, 30)
+                mu = 1 / (1 + np.exp(-eta))
+                w = np.maximum(mu * (1 - mu), 1e-12)
+                out.append(np.concatenate([((z * w[:, None]).T @ z).ravel(), z.T @ (y - mu), [(y * eta - np.logaddexp(0, eta)).sum()]]))
+            return np.concatenate(out)
+
+        ends = np.cumsum([len(c) ** 2 + len(c) + 1 for c in subs.values()])[:-1]
+        got = self.grams(loci, terms, None, fold)
+        return {(term, d): s for d, whole in enumerate(got) for term, s in zip(subs, np.split(whole, ends), strict=True)}
 
     def all_loci(self, chrs: list[str] | None = None) -> list:
         return [(c, float(self.tracks[c].pos[k]), self.tracks[c].names[k]) for c in chrs or self.chrs for k in range(len(self.tracks[c].pos))]
@@ -366,6 +403,8 @@ class Model:
                 loci[k], profiles[k] = scan[int(np.argmax(lods))], list(zip(scan, lods, strict=True))
             if loci == before:
                 break
+        else:
+            warnings.warn(f"refine: loci still move after {maxit} rounds", stacklevel=2)
         return Qtl(tuple(loci), {"profiles": profiles})
 
     def add_pair(self, qtl: Qtl, terms: frozenset | None = None, chrs: list[str] | None = None) -> list[tuple]:
@@ -432,7 +471,7 @@ class Model:
             if locus is not None:
                 qtl = Qtl((*qtl.loci, locus))
             if refine and len(qtl) > 1:
-                qtl = self.refine(qtl, terms, 2)
+                qtl = self.refine(qtl, terms)
             score = plod(whole(qtl, terms), terms, qtl.loci)
             if score > best[0]:
                 best = (score, qtl, terms)
@@ -454,7 +493,7 @@ class Model:
                 terms = renumber_formula(terms, {f"Q{i}": f"Q{i - 1}" for i in range(k + 1, len(qtl) + 1)})
                 qtl = drop_from_qtl(qtl, k)
             if refine and len(qtl):
-                qtl = self.refine(qtl, terms, 2)
+                qtl = self.refine(qtl, terms)
                 s = plod(whole(qtl, terms), terms, qtl.loci)
             if s > best[0]:
                 best = (s, qtl, terms)

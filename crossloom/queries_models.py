@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crossloom.operators import dispersion, forward, hmm, locus_models, mapfit, mixture
+from crossloom.operators import dispersion, forward, hmm, locus_models, mapfit, mixture, qtl
 from crossloom.plans.crosswalk import sales_cross
 from crossloom.queries import _bc, _f2, query
 
@@ -103,3 +103,11 @@ def scanone_var_perm(spark, d):
 @query()
 def forward_markers(spark, d):
     return forward.forward_selection(_f2(spark, d), "price", 7)
+
+
+@query()
+def fit_qtl_binary_draws(spark, d):
+    """Each term dropped from a logistic model on imputations."""
+    c = _bc(spark, d)
+    got = qtl.Model(c, "done", method="imp", n_draws=8).fit_binary(qtl.make_qtl(c, ["1", "2"], [10.0, 0.0]), "y~Q1*Q2")
+    return spark.createDataFrame(got["dropone"], "term string, df int, lod double, p_chi2 double")
