@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crossloom.llm import decontaminate, fingerprint, line_dedup, max_ent, near_dedup, piece_bpe, quality, toxicity, url_filter, warc
+from crossloom.llm import bin_slack, decontaminate, fingerprint, heap_codes, line_dedup, max_ent, near_dedup, period_runs, piece_bpe, quality, toxicity, url_filter, warc
 
 NAMES = (
     "_id", "_gone", "gone", "key", "salt", "lost", "tails", "Expected_Grade", "_hit", "_th", "th", "hit", "key_id", "key_th", "score", "PREDICTED", "fingerprint", "likeness", "ids", "n_hit", "items",
@@ -66,3 +66,21 @@ def test_own_columns_only(spark, many, tmp_path):
     warc.write_archives(warc.resolve_revisits(pages, url_col="url"), where, date="2030-01-01T00:00:00Z")
     got = {r.page_id: (r.record_type, r.refers_to, r.target_uri, r.payload_bytes, r.payload) for r in warc.read_resolved(spark, where).collect()}
     assert got == {1: ("revisit", 2, "http://a.org/x", 2, "ab"), 2: ("response", None, "http://a.org/y", 2, "ab"), 3: ("response", None, None, 0, "")}
+
+
+def test_new_operators_read_their_own_columns(spark, many):
+    from crossloom.llm.queries import word_tokenizer
+
+    packed = bin_slack.pack(many, word_tokenizer())
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packed.select("doc_id").distinct().count() == many.count()
+    assert period_runs.report(many).count() == many.count()
+    out = period_runs.collapse(many)
+    assert out.columns == many.columns
+    own(out)
+    runs = period_runs.find(many.withColumns({"start": F.lit("own"), "Unit": F.lit("own")}))
+    assert runs.columns[-4:] == ["start", "length", "period", "unit"] and "text" not in runs.columns
+    rows = [(k, [float(k % 7 + j % 3) for j in range(16)], k % 2) for k in range(80)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    plain = {r.vec_id: tuple(r) for r in heap_codes.compress(vectors).collect()}
+    extra = vectors.withColumns({c: F.lit(f"own {c}") for c in ("ids", "labels", "id", "v", "code", "error", "_label", "label_error", "n", "item", "parts", "k", "s")})
+    assert {r.vec_id: tuple(r) for r in heap_codes.compress(extra).collect()} == plain
