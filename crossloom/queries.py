@@ -882,5 +882,5 @@ def form_marker_covar(spark, d):
     return edit.form_marker_covar(_bc(spark, d), [("1", 11.0)]).withColumn("value", F.round("value", 8))
 
 
-from crossloom import queries_models as _models  # noqa: E402, F401  (these register their queries)
-from crossloom import queries_more as _more  # noqa: E402, F401
+from crossloom import queries_more as _more  # noqa: E402, F401  (registers its queries)
+from crossloom import queries_models as _models  # noqa: E402, F401, I001  (builds on those)
