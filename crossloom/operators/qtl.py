@@ -160,6 +160,16 @@ def summary_qtl(spark, qtl: Qtl) -> DataFrame:
     return spark.createDataFrame([(f"Q{k}", *x) for k, x in enumerate(qtl.loci, 1)], "name string, chr string, pos double, locus string")
 
 
+def lod_of(grams: list[np.ndarray], columns, n: int, rss0: float) -> float:
+    """LOD of some columns (None: all) over the mean alone; of several imputations their average."""
+    each = []
+    for g in grams:
+        keep = [0, *(range(1, len(g) - 1) if columns is None else columns), len(g) - 1]
+        r = rss(g[np.ix_(keep, keep)], len(keep) - 1)
+        each.append(n / 2 * math.log10(rss0 / r) if r > 0 else 0.0)
+    return each[0] if len(each) == 1 else weighted_average(np.array(each))
+
+
 class Model:
     """A cross's individuals with their probabilities, stored once, for any number of fits."""
 
@@ -199,9 +209,8 @@ class Model:
         c, _, name = locus
         return self.chrs.index(c), self.tracks[c].names.index(name)
 
-    def grams(self, loci: list, terms, scan: list | None = None, fold=None) -> list[np.ndarray]:
-        """Gram matrices (one for each imputation, or one) of the ones, the terms' columns and the response; for a scan, the loci in it
-        (or tuples of loci) take the last Q (or the last ones) in turn and there is a list for each. ``fold(x, y, d)``: other sums of the columns and the response (of imputation d) instead."""
+    def _gram_rows(self, loci: list, terms, scan: list | None = None, fold=None) -> tuple[DataFrame, list[dict]]:
+        """(s, d, g): see ``grams``; and which loci of a scan stand for which Q."""
         k = {c: chains.n_states(self.crosstype, self.tracks[c].chrtype) for c in self.chrs}
         sizes = [len(self.tracks[c].pos) for c in self.chrs]
         where = [self._index(x) for x in loci]
@@ -247,9 +256,14 @@ class Model:
         def sent(sums):
             return pd.DataFrame([(s, d, g.ravel()) for s, d, g in sums.rows()], columns=["s", "d", "g"])
 
-        rows = added(self.table.mapInPandas(run, "s int, d int, g array<double>"), ["s", "d"], "g").collect()
+        return added(self.table.mapInPandas(run, "s int, d int, g array<double>"), ["s", "d"], "g"), scans
+
+    def grams(self, loci: list, terms, scan: list | None = None, fold=None) -> list[np.ndarray]:
+        """Gram matrices (one for each imputation, or one) of the ones, the terms' columns and the response; for a scan, the loci in it
+        (or tuples of loci) take the last Q (or the last ones) in turn and there is a list for each. ``fold(x, y, d)``: other sums of the columns and the response (of imputation d) instead."""
+        rows, scans = self._gram_rows(loci, terms, scan, fold)
         out: list = [[] for _ in scans]
-        for r in sorted(rows, key=lambda r: (r["s"], r["d"])):
+        for r in sorted(rows.collect(), key=lambda r: (r["s"], r["d"])):
             e = math.isqrt(len(r["g"]))
             out[r["s"]].append(np.array(r["g"]).reshape(e, e) if fold is None else np.array(r["g"]))
         return out if scan is not None else out[0]
@@ -267,13 +281,28 @@ class Model:
             at += size
         return out
 
+    def scan_lods(self, loci: list, terms, scan: list, subsets: dict[tuple, list] | None = None) -> list[list[float]]:
+        """LODs of each scanned locus (or tuple), of all columns, or of each list of columns that ``subsets`` has for the chromosomes of the
+        tuple. Equations are solved where they are summed; what comes back is a number for each."""
+        rows, scans = self._gram_rows(loci, terms, scan)
+        keys = [tuple(c for c, _ in extra.values()) for extra in scans]
+        n, rss0 = self.n, self.rss0
+
+        def solve(batches):
+            for pdf in batches:
+                out = []
+                for s, x in zip(pdf["s"], pdf["x"], strict=True):
+                    e = math.isqrt(len(x[0]["g"]))
+                    grams = [np.array(r["g"]).reshape(e, e) for r in x]
+                    out.append((s, [lod_of(grams, c, n, rss0) for c in (subsets[keys[s]] if subsets else [None])]))
+                yield pd.DataFrame(out, columns=["s", "lods"])
+
+        whole = rows.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("d", "g"))).alias("x"))
+        got = {r["s"]: r["lods"] for r in whole.mapInPandas(solve, "s int, lods array<double>").collect()}
+        return [got[s] for s in range(len(scans))]
+
     def lod(self, grams: list[np.ndarray], columns=None) -> float:
-        each = []
-        for g in grams:
-            keep = [0, *(range(1, len(g) - 1) if columns is None else columns), len(g) - 1]
-            r = rss(g[np.ix_(keep, keep)], len(keep) - 1)
-            each.append(self.n / 2 * math.log10(self.rss0 / r) if r > 0 else 0.0)
-        return each[0] if self.method == "hk" else weighted_average(np.array(each))
+        return lod_of(grams, columns, self.n, self.rss0)
 
     def fit(self, qtl: Qtl, formula: str | frozenset | None = None) -> dict:
         """LOD, share of variance, P values, and a drop-one table."""
@@ -367,7 +396,7 @@ class Model:
         full = base | {frozenset([new])} | ({frozenset([new, inter])} if inter else frozenset())
         scan = loci or self.all_loci()
         null = self.lod(self.grams(list(qtl.loci), base)) if base else 0.0
-        return [(*x, self.lod(g) - null) for x, g in zip(scan, self.grams(list(qtl.loci), full, scan), strict=True)]
+        return [(*x, lod - null) for x, (lod,) in zip(scan, self.scan_lods(list(qtl.loci), full, scan), strict=True)]
 
     def add_int(self, qtl: Qtl, terms: frozenset) -> list[tuple]:
         """(interaction, LOD gained) for each pair of loci that doesn't interact yet: one pass with all of them."""
@@ -399,7 +428,7 @@ class Model:
                 taken = {x[2] for x in others}
                 scan = [x for x in self.all_loci([loci[k][0]]) if x[2] not in taken]
                 moved = renumber_formula(terms, table)
-                lods = [self.lod(g) for g in self.grams(others, moved, scan)]
+                lods = [lod for (lod,) in self.scan_lods(others, moved, scan)]
                 loci[k], profiles[k] = scan[int(np.argmax(lods))], list(zip(scan, lods, strict=True))
             if loci == before:
                 break
@@ -415,12 +444,13 @@ class Model:
         every = base | {frozenset([a]), frozenset([b]), frozenset([a, b])}
         pairs = list(itertools.combinations(self.all_loci(chrs), 2))
         null = self.lod(self.grams(list(qtl.loci), base)) if base else 0.0
-        out = []
-        for (x, y), g in zip(pairs, self.grams(list(qtl.loci), every, pairs), strict=True):
-            spans = self._spans([*qtl.loci, x, y], every)
-            plain = sorted(c for t in every - {frozenset([a, b])} for c in spans[t])
-            out.append((*x, *y, self.lod(g) - null, self.lod(g, plain) - null))
-        return out
+        first = {c: (c, float(self.tracks[c].pos[0]), self.tracks[c].names[0]) for c in self.chrs}
+        subsets = {}
+        for i, c1 in enumerate(self.chrs):  # which columns the interaction has depends on chromosomes only
+            for j, c2 in enumerate(self.chrs):
+                spans = self._spans([*qtl.loci, first[c1], first[c2]], every)
+                subsets[i, j] = [None, sorted(c for t in every - {frozenset([a, b])} for c in spans[t])]
+        return [(*x, *y, full - null, plain - null) for (x, y), (full, plain) in zip(pairs, self.scan_lods(list(qtl.loci), every, pairs, subsets), strict=True)]
 
     def _on_x(self, loci) -> set[str]:
         return {f"Q{k + 1}" for k, x in enumerate(loci) if self.tracks[x[0]].chrtype == "X"}
@@ -503,7 +533,7 @@ class Model:
         """LODs over the grid of several loci: ``positions`` has a list of loci for each Q. One pass for the whole grid."""
         terms = terms or frozenset(frozenset([f"Q{k + 1}"]) for k in range(len(positions)))
         places = list(itertools.product(*positions))
-        return [(*x, self.lod(g)) for x, g in zip(places, self.grams([], terms, places), strict=True)]
+        return [(*x, lod) for x, (lod,) in zip(places, self.scan_lods([], terms, places), strict=True)]
 
 
 def cim(cross: Cross, trait: str, n_marcovar: int = 3, window: float = 10.0) -> DataFrame:
