@@ -49,6 +49,27 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
         assert stage(spark, none, folder).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd_docs, folder):
+    """Rows without id, repeated ids, null texts and clashing columns go through every stage; the written result is read by the next one."""
+    docs = odd_docs.drop("n", "rep").selectExpr("*", "'own' AS score", "'own' AS `_gone`", "'own' AS kept", "'own' AS w")
+    left = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        docs = corpus_pipeline.materialise(out, f"odd-{name}")
+        assert 0 < docs.count() <= left and docs.where("score <> 'own' OR `_gone` <> 'own' OR kept <> 'own' OR w <> 'own'").count() == 0
+        left = docs.count()
+    assert docs.where("doc_id IS NULL").count() == 2
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids"] and out.count() == left and out.where("ids IS NULL").count() == 0
+
+
+def test_labels_of_low_quality_only(spark, docs, tmp_path):
+    rows = docs.drop("n", "rep")
+    spark.createDataFrame([(k, 0, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_good(spark, rows, str(tmp_path)).count() == 0
+
+
 def test_methods_are_the_named_ones():
     names = [re.sub(r"\W", "", n) for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
