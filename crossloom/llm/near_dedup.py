@@ -13,7 +13,8 @@ A document's set holds 64-bit hashes of its distinct word shingles. Documents wi
 3. *Confirmation.* Connected candidates form a bundle, and each bundle is searched exhaustively on the full sets of
    whole texts: breadth first, so members that are found are never compared again. A bundle of more than
    ``BLOCK`` documents is dealt to blocks by hash; then the blocks' leaders meet; if that leaves a bundle in several
-   components, every member outside the largest one is compared with every block. Nothing is cut off.
+   components, every member outside the largest one is compared with every block, by odd sketches, which lose no link (``odd_near``);
+   texts go only to members that these still join, and are confirmed in the same way. Nothing is cut off.
 
 Links go between class representatives; membership and components follow from them. Cases: a null text or one without words has an empty
 set and is linked with nothing; repeated rows share a set; a row without doc_id takes no part: it has no
@@ -40,6 +41,8 @@ SIGMAS = 5.0
 BLOCK = 512
 #: A block also holds no more shingles than this on average, so a task's sets stay under about 100 MB.
 BLOCK_SHINGLES = 8_000_000
+#: Odd sketches meet in larger blocks: they have an eighth or so of the bytes of a set.
+ODD_BLOCK = 4096
 #: Written tables have a file for so many documents, or two for each core.
 ROWS_PER_TASK = 50_000
 #: So many (id, bundle) rows at most are broadcast to the texts, about 32 MB; beyond that, both sides are shuffled.
@@ -334,20 +337,109 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tasks: int)
     left = leaders.join(fresh.select(F.col("b").alias("rep")), "rep", "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1")
     if not left.count():
         return found
-    # Bundles in several components: all that are outside the largest one meet every block.
+    # Bundles in several components: all that are outside the largest one meet every block, by odd sketches first. What these join meets as texts.
     state = connected_components(found)
-    label = large.join(state, large.rep == state.node, "left").withColumn("c", F.coalesce("component", "rep"))
+    label = materialise(_labelled(large.select("g", "rep", "weight"), state).coalesce(tasks), "unlinked")
+    texts = large.select("rep", "text")
+    odd = materialise(odd_sketches(texts.join(label.select("rep"), "rep"), size).coalesce(tasks), "odd-sketches")
+    meet = _meeting(label.join(odd, "rep"), "odd", ODD_BLOCK)
+    near = materialise(_odd_links(meet, percent).coalesce(tasks), "odd-links")
+    finer = connected_components(near, first_tasks=tasks).select(F.col("node").alias("rep"), F.col("component").alias("finer"))
+    rest = label.select("rep", "weight").join(finer, "rep")
+    weights = rest.groupBy("finer").agg(F.avg("weight").alias("weight"))
+    rest = materialise(_labelled(rest.drop("weight").join(weights, "finer").withColumnRenamed("finer", "g"), state).coalesce(tasks), "odd-bundles")
+    meet = _meeting(rest.join(texts, "rep"), "text", BLOCK).dropDuplicates(["g", "h", "rep"])
+    return materialise(found.unionByName(_confirm(meet, size, percent, tasks)), "confirmed")
+
+
+def _labelled(members: DataFrame, state: DataFrame) -> DataFrame:
+    """``members`` (g, rep, ...) of bundles in several components, with their component ``c``, and whether it isn't the bundle's largest."""
+    label = members.join(state, members["rep"] == state["node"], "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
     comps = label.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = comps.groupBy("g").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("g", F.col("m.c").alias("main"))
-    label = label.join(main, "g").select("g", "rep", "text", "size", "weight", (F.col("c") != F.col("main")).alias("minor"))
-    half = BLOCK // 2
-    minors = label.where("minor").groupBy("g").agg(F.count(F.lit(1)).alias("minors"))
-    label = label.join(minors, "g").withColumns({"bx": F.ceil(F.col("size") / half), "by": F.ceil(F.col("minors") * F.col("weight") / half)})
+    whole = comps.groupBy("g").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("members"))
+    main = whole.where("comps > 1").select("g", F.col("m.c").alias("main"), "members", (F.col("members") - F.col("m.k")).alias("minors"))
+    return label.join(main, "g").withColumn("minor", F.col("c") != F.col("main")).drop("main")
+
+
+def _meeting(label: DataFrame, payload: str, block: int) -> DataFrame:
+    """(g, h, side, rep, c, payload): every member with every minor one, in cells h of about ``block`` rows: side 0 are members, side 1 minor ones."""
+    half = block // 2
+    label = label.withColumns({"bx": F.ceil(F.col("members") * F.col("weight") / half), "by": F.ceil(F.col("minors") * F.col("weight") / half)})
     x, y = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("bx")), F.pmod(F.xxhash64("rep", F.lit(8)), F.col("by"))
-    as_block = label.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("by") - 1))).withColumn("h", x * F.col("by") + F.col("h"))
-    as_minor = label.where("minor").withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1))).withColumn("h", F.col("h") * F.col("by") + y)
-    meet = as_block.select("g", "h", "rep", "text").unionByName(as_minor.select("g", "h", "rep", "text")).dropDuplicates(["g", "h", "rep"])
-    return materialise(found.unionByName(_confirm(meet, size, percent, tasks)), "confirmed")
+    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    as_block = label.withColumn("h", cells("by")).withColumn("h", x * F.col("by") + F.col("h")).withColumn("side", F.lit(0))
+    as_minor = label.where("minor").withColumn("h", cells("bx")).withColumn("h", F.col("h") * F.col("by") + y).withColumn("side", F.lit(1))
+    return as_block.unionByName(as_minor).select("g", "h", "side", "rep", "c", payload)
+
+
+def odd_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, odd): the odd sketch of each text's set of n shingles: of 4 n to 8 n bits, a power of two, those that an odd number of shingles fall on."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, offsets, tokens in shingle_sets(b.column(1), size):
+                made = []
+                for lo, hi in zip(offsets, offsets[1:], strict=False):
+                    bits = 1 << max(6, int(4 * (hi - lo)).bit_length())
+                    words, at = np.zeros(bits // 64, np.uint64), tokens[lo:hi] >> np.uint64(13)
+                    np.bitwise_xor.at(words, ((at & np.uint64(bits - 1)) >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                    made.append(np.uint64(hi - lo).tobytes() + words.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=["rep", "odd"])
+
+    return texts.mapInArrow(run, "rep long, odd binary")
+
+
+def odd_near(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: int, percent: int) -> np.ndarray:
+    """Which of the sketches ``a`` (rows of words; sets of ``n`` shingles) may be of sets with the similarity to that of ``b``. Each shingle in
+    one of two sets alone turns one bit of the sketches' difference, so this has at most as many bits as there are such shingles: no link is lost."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _odd_links(meet: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each cell a spanning forest of the pairs from different components that may be links by their odd sketches."""
+
+    def of_cell(side: np.ndarray, rep: np.ndarray, c: np.ndarray, odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([int.from_bytes(x[:8], "little") for x in odd])
+        width = np.array([(len(x) - 8) // 8 for x in odd])
+        left, right = [], []
+        for w in np.unique(width):
+            # Longer sketches are folded; two of these meet at a length of theirs.
+            at = np.flatnonzero(width >= w)
+            bits = np.array([np.bitwise_xor.reduce(np.frombuffer(odd[i], np.uint64, offset=8).reshape(-1, w)) for i in at])
+            order = np.argsort(n[at], kind="stable")
+            at, bits = at[order], bits[order]
+            sizes, long_ = n[at], width[at] > w
+            block = np.flatnonzero(side[at] == 0)
+            for i in np.flatnonzero(side[at] == 1):
+                lo, hi = np.searchsorted(sizes[block], [-(-sizes[i] * percent // 100), sizes[i] * 100 // percent + 1])
+                near = block[lo:hi]
+                near = near[(c[at[near]] != c[at[i]]) & ~(long_[near] & long_[i])]
+                step = max(1, (4 << 20) // int(8 * w))
+                for k in range(0, len(near), step):
+                    some = near[k : k + step]
+                    some = some[odd_near(bits[some], sizes[some], bits[i], int(sizes[i]), percent)]
+                    left.append(np.full(len(some), rep[at[i]]))
+                    right.append(rep[at[some]])
+        if not left:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        nodes, ends = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        half = len(ends) // 2
+        label = _forest(ends[:half], ends[half:], len(nodes))
+        linked = np.flatnonzero(label != np.arange(len(nodes)))
+        return nodes[label[linked]], nodes[linked]
+
+    def run(batches):
+        for t in _grouped(batches, 2):
+            at = 0
+            for n in _counts_of(t.column(0).to_numpy(), t.column(1).to_numpy()):
+                side, rep, c = (t.column(k).slice(at, n).to_numpy() for k in (2, 3, 4))
+                a, b = of_cell(side, rep, c, t.column(5).slice(at, n).to_pylist())
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                at += n
+
+    n = partitions(meet.sparkSession)
+    return meet.repartition(n, "g", "h").sortWithinPartitions("g", "h").mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

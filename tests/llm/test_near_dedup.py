@@ -84,3 +84,58 @@ def test_exact_labels():
     sets = [a, a[:80], a[:79], a[60:]]
     assert n.exact_labels(sets, 80).tolist() == [0, 0, 0, 3]
     assert n.exact_labels([a, a[:79]], 80).tolist() == [0, 1]
+
+
+def test_odd_sketches_lose_no_link(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        w = [f"a{r.randrange(10**6)}" for _ in range(r.choice([3, 30, 130, 260, 700]))]
+        rows.append((2 * k, " ".join(w)))
+        for _ in range(r.randrange(1 + len(w) // 20)):
+            w[r.randrange(len(w))] = "changed"
+        rows.append((2 * k + 1, " ".join(w[: r.randrange(len(w) * 4 // 5, len(w)) + 1])))
+    odd = {x.rep: bytes(x.odd) for x in n.odd_sketches(spark.createDataFrame(rows, "rep long, text string"), 4).collect()}
+    cells = [(0, 0, side, i, i, odd[i]) for i in odd for side in (0, 1)]
+    found = n._odd_links(spark.createDataFrame(cells, "g long, h long, side int, rep long, c long, odd binary"), 80).collect()
+    near, want = {i: i for i in odd}, brute(rows, 4, 80)
+    for a, b in sorted((x.a, x.b) for x in found):
+        near[b] = near[a]
+    assert all(near[i] == near[want[i][1]] for i in odd)
+    assert len(found) < 60
+
+
+def family(members, links):
+    """Texts of similarity 0.68 or so to each other; every seventh has a copy at 0.9, with an id far off."""
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(members):
+        w = list(base)
+        for j in random.Random(k).sample(range(0, 300, 4), 8):
+            w[j] = f"t{k}_{j}"
+        rows.append((k, " ".join(w)))
+        if links and k % 7 == 0:
+            rows.append((10**6 - k, " ".join([*w[:-8], *(f"z{k}_{j}" for j in range(8))])))
+    return rows
+
+
+def test_families_below_the_threshold_send_few_texts(spark, monkeypatch):
+    monkeypatch.setattr(n, "NODE", 8)
+    monkeypatch.setattr(n, "BLOCK", 16)
+    monkeypatch.setattr(n, "ODD_BLOCK", 128)
+    sent, whole = [], n._meeting
+
+    def counted(label, payload, block):
+        out = whole(label, payload, block)
+        sent.append((payload, out.count()))
+        return out
+
+    monkeypatch.setattr(n, "_meeting", counted)
+    rows = family(140, True)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in n.components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == brute(rows, 4, 80)
+    texts = dict(sent)["text"]
+    sent.clear()
+    rows = family(280, True)
+    assert {x.doc_id: x.component_id for x in n.components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()} == {i: c for i, (_, c, _) in brute(rows, 4, 80).items()}
+    assert dict(sent)["text"] <= 2.2 * texts + 16
