@@ -11,7 +11,7 @@ that holds it.
   Of the shards' filters those change whose keys cross ``MIN_DOCS``. Deleting a batch after inserting it restores the state before.
 * A cuckoo filter holds the keys that lose lines; about ``SHARD_KEYS`` go to a shard, and shards are dealt anew when they have
   become twice as full. Keys of scanned lines that miss their shard's filter surely stay; possible hits go to an exact join. Filters are
-  broadcast up to ``BROADCAST_BYTES``; beyond that, every key goes to the exact join.
+  broadcast up to ``BROADCAST_BYTES``; beyond that, distinct keys are sent to their shards and tested there (``routed``).
 
 Cases: a null or empty text is one empty line, which is too short to go. Rows that repeat a doc_id are one document. A
 row without doc_id counts for nothing and keeps its lines. Very long texts and lines are handled whole; counts refer to rows. An empty
@@ -42,6 +42,8 @@ SHARD_KEYS = 200_000
 BROADCAST_BYTES = 64 << 20
 #: So many keys at most are broadcast to the references, about 30 MB; beyond that both sides are shuffled.
 BROADCAST_KEYS = 500_000
+#: So many keys are tested by a shard's filter at once, 16 MB.
+PART_KEYS = 1_000_000
 KICKS = 500
 MERGE_AFTER = 8
 
@@ -227,21 +229,41 @@ def _shards_for(n: int) -> int:
     return max(1, -(-n // SHARD_KEYS))
 
 
+def routed(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """(k1, k2): distinct keys of ``refs`` that their shard's filter may hold. A key goes to its shard once, however many documents share
+    it; a shard to which more than about ``PART_KEYS`` keys go is tested in parts, each with the filter."""
+    keys = materialise(refs.select("k1", "k2").distinct(), "line-keys")
+    parts = max(1, -(-keys.count() // (shards * PART_KEYS)))
+
+    def test(held: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(own):
+            return own[["k1", "k2"]][:0]
+        hit = CuckooFilter.load(held["table"].iloc[0]).contains(own["k1"].to_numpy(np.int64), own["k2"].to_numpy(np.int64))
+        return own.loc[hit, ["k1", "k2"]]
+
+    tables = filters.select(F.col("shard").cast("long").alias("shard"), "table", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    own = keys.select("k1", "k2", _shard_column(shards).cast("long").alias("shard"), F.pmod(F.xxhash64("k1"), F.lit(parts)).cast("int").alias("part"))
+    return tables.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInPandas(test, "k1 long, k2 long")
+
+
 def drops(docs: DataFrame, common: DataFrame, min_chars: int = MIN_CHARS, filters: DataFrame | None = None, shards: int = 0) -> DataFrame:
     """(doc_id, gone): hashes (16 bytes each) of the keys that a document loses. ``common``: counts of the keys that go; ``filters``: of
     the ``shards`` shards, where they are kept already."""
     spark = docs.sparkSession
     n = common.count()
-    among = None
+    if filters is None:
+        shards = _shards_for(n)
+        filters = shard_filters(common, shards)
     if 4 * n <= BROADCAST_BYTES:  # at most four bytes a key at a load of a half
-        if filters is None:
-            shards = _shards_for(n)
-            filters = shard_filters(common, shards)
         tables = {r["shard"]: bytes(r["table"]) for r in filters.collect()}
-        among = spark.sparkContext.broadcast(ShardFilters(shards, tables))
+        refs = references(docs, min_chars, spark.sparkContext.broadcast(ShardFilters(shards, tables)))
+    else:
+        refs = materialise(references(docs, min_chars), "line-references")
+        common = materialise(common.join(routed(refs, filters, shards), ["k1", "k2"]), "lines-found")
+        n = common.count()
     # A line that many documents share stays where it is: its key is sent there.
     common = F.broadcast(common) if n <= BROADCAST_KEYS else common
-    hits = references(docs, min_chars, among).join(common, ["k1", "k2"]).where("doc_id <> keeper")
+    hits = refs.join(common, ["k1", "k2"]).where("doc_id <> keeper")
     return hits.select("doc_id", F.struct("k1", "k2").alias("k")).groupBy("doc_id").agg(F.collect_set("k").alias("gone"))
 
 

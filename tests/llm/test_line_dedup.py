@@ -33,10 +33,19 @@ def test_report_equals_brute_force(odd_docs, none):
     assert n.report(none).count() == 0
 
 
-def test_without_broadcast_filters(docs, monkeypatch):
-    want = sorted(map(str, n.report(docs).collect()))
+def test_without_broadcast_filters(docs, odd_docs, none, monkeypatch):
+    want = [sorted(map(str, n.report(x).collect())) for x in (docs, odd_docs, none)]
     monkeypatch.setattr(n, "BROADCAST_BYTES", -1)
-    assert sorted(map(str, n.report(docs).collect())) == want
+    monkeypatch.setattr(n, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(n, "SHARD_KEYS", 3)
+    monkeypatch.setattr(n, "PART_KEYS", 2)
+    asked = []
+    whole = n.routed
+    monkeypatch.setattr(n, "routed", lambda *a: asked.append(whole(*a)) or asked[-1])
+    assert [sorted(map(str, n.report(x).collect())) for x in (docs, odd_docs, none)] == want
+    refs = n.references(docs).select("k1", "k2").distinct()
+    assert len(asked) == 3 and n.common_keys(docs).join(asked[0], ["k1", "k2"], "left_anti").count() == 0
+    assert asked[0].count() == asked[0].distinct().count() < refs.count()
 
 
 def test_remove_keeps_columns(odd_docs):
