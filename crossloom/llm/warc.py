@@ -1,8 +1,8 @@
 """WARC archives with revisit records: equal payloads are stored once, and other records refer to the stored one.
 
-Digests are compared by shuffling headers only (id, digest): one row for each payload and task reaches a digest's
-aggregate, so a payload that a third of all records share is no hot group; the join back to records is a plain
-equi-join, which AQE splits. Archives are written by Spark's own text sink, whose line separator is the blank lines that
+Headers (id, digest, URI) are stored and shuffled by digest: one row for each payload and task reaches a digest's
+aggregate, so a payload that a third of all records share is no hot group; the join of headers with originals is a plain
+equi-join, which AQE splits. Payloads meet its result by id and digest, so they never gather by digest. Archives are written by Spark's own text sink, whose line separator is the blank lines that
 end a WARC record. So any store that Spark writes serves, and its commit protocol covers lost executors. A file holds
 ``RECORDS_PER_FILE`` records of up to ``LARGE`` bytes, or of larger ones so many that they have ``FILE_BYTES`` bytes at most; it is
 compressed as a whole. Reading inflates a file piece by piece.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossloom.runtime import prepare
+from crossloom.runtime import materialise, prepare
 
 RECORDS_PER_FILE = 2000
 LARGE = 256 << 10
@@ -41,14 +41,20 @@ def base32_sha1(payload: Column) -> Column:
 
 def resolve_revisits(records: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = None) -> DataFrame:
     """id, payload, payload_bytes, payload_digest, record_type, refers_to, target_uri, refers_uri for each row; the URIs are those of the row
-    and of its response, null without ``url_col``."""
+    and of its response, null without ``url_col``.
+
+    Headers are stored once, shuffled by digest, and revisits joined there to their originals. Only what these joins find, a row for each
+    revisit, meets the payloads again, by id and digest: no task gets the payloads of one digest."""
     url = F.regexp_replace(F.col(url_col), r"[\r\n]", "") if url_col else F.lit(None).cast("string")
     rows = records.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), url.alias("target_uri"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
+    headers = materialise(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest", "target_uri"), "warc-headers")
     # Payloads found once (the bulk) need no join: only digests held twice or more are joined.
-    originals = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.max_by("target_uri", "page_id").alias("original_uri"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.select("page_id", "payload_digest", "payload_bytes", "payload", "target_uri").join(originals, "payload_digest", "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    originals = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.max_by("target_uri", "page_id").alias("original_uri"), F.count(F.lit(1)).alias("n")).where("n > 1 AND original IS NOT NULL").drop("n")
+    revisits = headers.select("page_id", "payload_digest").join(originals, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("original")))
+    marks = revisits.dropDuplicates(["page_id", "payload_digest"]).withColumnsRenamed({"page_id": "_id", "payload_digest": "_digest"})
+    joined = rows.join(marks, rows["page_id"].eqNullSafe(marks["_id"]) & (rows["payload_digest"] == marks["_digest"]), "left")
+    revisit = F.col("original").isNotNull()
     return joined.select(
         F.col("page_id").alias(id_col), F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
