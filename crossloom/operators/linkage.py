@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossloom.model import Cross
 from crossloom.operators.graph import connected_components
+from crossloom.operators.pair_cells import pair_cells
 
 
 def geno_table(cross: Cross) -> DataFrame:
@@ -66,11 +67,9 @@ def geno_table_em(cross: Cross, tol: float = 1e-6, maxit: int = 1000) -> DataFra
 def _pairs(cross: Cross) -> DataFrame:
     """m1, m2, g1, g2, n: counts over individuals for each pair of markers.
 
-    Genotypes of an individual are gathered once and paired inside its row, so the shuffle carries individuals, and what reaches the
-    second one is a partial count for each pair and code."""
-    one = cross.geno.where("g IS NOT NULL").groupBy("ind").agg(F.array_sort(F.collect_list(F.struct("marker", "g"))).alias("a"))
-    x = one.select(F.posexplode("a").alias("k", "x"), "a").select("x", F.explode(F.slice("a", F.col("k") + 2, F.greatest(F.lit(0), F.size("a") - F.col("k") - 1))).alias("y"))
-    return x.groupBy(F.col("x.marker").alias("m1"), F.col("y.marker").alias("m2"), F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).agg(F.count(F.lit(1)).alias("n"))
+    Genotypes of an individual are gathered once; tasks count pairs by products of one-hot blocks (``pair_cells``), so the second
+    shuffle carries a partial count for each task, pair and codes."""
+    return pair_cells(cross.geno.where("g IS NOT NULL").groupBy("ind").agg(F.collect_list(F.struct("marker", "g")).alias("a")))
 
 
 def est_rf(cross: Cross) -> DataFrame:

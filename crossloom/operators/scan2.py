@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crossloom.functions import chains
 from crossloom.model import Cross
 from crossloom.operators.hmm import Track, codes, sequences, tracks
+from crossloom.operators.pair_cells import pair_cells
 from crossloom.operators.scan import rss
 from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
@@ -126,9 +127,9 @@ def scantwo_mr(cross: Cross, trait: str) -> DataFrame:
     """Pairs of typed markers: cells of a two-way table are aggregates, additive fits are solved from the cells."""
     y = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull())
     k = chains.n_states(cross.crosstype)
-    one = cross.geno.where(F.col("g").between(1, k)).join(y, "ind").groupBy("ind", "y").agg(F.array_sort(F.collect_list(F.struct("chr", "ord", "marker", "g"))).alias("a"))
-    x = one.select("y", F.posexplode("a").alias("i", "p"), "a").select("y", "p", F.explode(F.slice("a", F.col("i") + 2, F.greatest(F.lit(0), F.size("a") - F.col("i") - 1))).alias("q"))
-    cell = x.groupBy(F.col("p.marker").alias("m1"), F.col("q.marker").alias("m2"), F.col("p.g").alias("g1"), F.col("q.g").alias("g2")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("v"))
+    one = cross.geno.where(F.col("g").between(1, k)).join(y, "ind").groupBy("ind", "y").agg(F.collect_list(F.struct("marker", "g")).alias("a"))
+    order = {r["marker"]: (r["chr"], r["ord"], r["marker"]) for r in cross.map.collect()}
+    cell = pair_cells(one.select("a", F.col("y").alias("s"), (F.col("y") * F.col("y")).alias("v")), ("s", "v"), order.get).withColumn("n", F.col("n").cast("double"))
     wide = cell.groupBy("m1", "m2").agg(F.collect_list(F.struct("g1", "g2", "n", "s", "v")).alias("c"))
     place = {r["marker"]: (r["chr"], r["pos"]) for r in cross.map.collect()}
 
