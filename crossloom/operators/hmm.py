@@ -62,10 +62,10 @@ def tracks(cross: Cross, step: float = 0.0, off_end: float = 0.0, stepwidth: str
 
 
 def sequences(cross: Cross) -> DataFrame:
-    """ind, m (numbers of typed markers in the map's order), g: a row for every individual."""
+    """ind, m (numbers of typed markers in the map's order, ascending), g: a row for every individual."""
     order = [(r["marker"], k) for k, r in enumerate(cross.map.orderBy("chr", "ord").select("marker").collect())]
     place = cross.map.sparkSession.createDataFrame(order, "marker string, m int")
-    typed = cross.geno.where("g IS NOT NULL").join(place, "marker").groupBy("ind").agg(F.collect_list(F.struct("m", "g")).alias("x"))
+    typed = cross.geno.where("g IS NOT NULL").join(place, "marker").groupBy("ind").agg(F.array_sort(F.collect_list(F.struct("m", "g"))).alias("x"))
     return cross.individual.select("ind").join(typed, "ind", "left").select("ind", F.coalesce("x.m", F.array().cast("array<int>")).alias("m"), F.coalesce("x.g", F.array().cast("array<int>")).alias("g"))
 
 

@@ -188,19 +188,21 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
     """rep, trait, region, stat, value: maxima over pairs of chromosomes of the six statistics, all replicates in one pass.
 
     perm_xsp: apart for pairs of autosomes (AA), of an autosome and X (AX), within X (XX). ``strata`` (ind, strata): phenotypes are dealt within
-    these, by sex where X is to keep its null. More individuals than ``scan.BROADCAST_PEOPLE`` go through a join by index."""
+    these, by sex where X is to keep its null. More individuals than ``scan.BROADCAST_PEOPLE`` are added up by shared genotype sequences (``scan.kinds_of``)
+    or go through a join by index."""
     from crossloom.operators import scan as one_locus
 
     spark = cross.geno.sparkSession
     prepare(spark)
     t, kind = tracks(cross, step), (cross.crosstype, cross.scheme)
     loci = _loci(t)
-    table = materialise(people(cross, trait), "people")
-    index, deal = one_locus.numbered(table.select("ind", "y"), strata, seed)
+    own = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).join(cross.individual.select("ind"), "ind", "left_semi").select("ind", "y")
+    index, deal = one_locus.numbered(own, strata, seed)
     n = index.count()
     m = index.agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).first()
     tss, total = m["q"] - m["s"] ** 2 / n, m["q"]
     small = n <= one_locus.BROADCAST_PEOPLE
+    shared = None if small else one_locus.kinds_of(cross, index, deal, n, n_perm)
     y = index.orderBy("i").select("y").toPandas()["y"].to_numpy() if small else None
 
     def run(batches):
@@ -219,7 +221,20 @@ def scantwo_perm(cross: Cross, trait: str, n_perm: int = 20, seed: int = 1, step
                 yield from _sent(sums, "a", "b")
         yield from _sent(sums, "a", "b")
 
-    rows = table.drop("y").join(index.select("ind", "i") if small else one_locus.redealt(index, deal, n_perm), "ind")
+    def run_kinds(batches):
+        sums = TaskSums()
+        count, s = shared.sums(batches, deal, n_perm, lambda b: b.column("y").to_numpy()[:, None])
+        if s is not None:
+            for at, x, k1 in joint_designs(_chromosomes(shared.batch, t, kind, error, map_function), loci, independent):
+                sums.add((at, k1), (x * count[:, None]).T @ x, x.T @ s[:, :, 0])
+                if sums.full:
+                    yield from _sent(sums, "a", "b")
+        yield from _sent(sums, "a", "b")
+
+    if shared:
+        rows, run = index.select("i", "y"), run_kinds
+    else:
+        rows = sequences(cross).join(index.select("ind", "i") if small else one_locus.redealt(index, deal, n_perm), "ind")
     part = rows.mapInArrow(run, "pair int, k1 int, a array<double>, b array<double>")
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from crossloom.operators import scan
+from crossloom.operators import hmm, scan, scan2, sim
 from tests.test_more import left, small, table  # noqa: F401
 
 
@@ -26,3 +26,44 @@ def test_bootstraps_have_no_row_for_a_draw(small, monkeypatch):  # noqa: F811
         drawn = np.concatenate([np.repeat(x, scan._block_draws(start, b, 3, r.rep)) for b, x in enumerate(members)]).astype(int)
         lods = {at: 80 * math.log10(left(y[drawn]) / left(y[drawn], q[drawn, 1:])) for at, q in loci.items()}
         assert r.pos == max(lods, key=lods.get) and abs(r.lod - lods[r.pos]) < 1e-8
+
+
+def few_kinds(spark, n=3000, strata=2):
+    """Two chromosomes of two markers: at most 81 sequences."""
+    m = spark.createDataFrame([(c, "A", f"D{c}M{k}", k, 15.0 * (k - 1), None) for c in ("1", "2") for k in (1, 2)], "chr string, chrtype string, marker string, ord int, pos double, pos_male double")
+    c = sim.sim_cross(m, "bc", n, [("1", 15.0, 1.0)], missing=0.1, seed=6)
+    return c.with_(individual=c.individual.withColumn("strata", (F.col("ind") % strata).cast("string")))
+
+
+def dealt_to_places(c, rep, strata, seed=1):
+    """By hand: who (by number) goes to the place of whom, places ordered by stratum and sequence."""
+    seq = {r.ind: (list(r.m), list(r.g)) for r in hmm.sequences(c).collect()}
+    of = {r.ind: r.strata if strata else "" for r in c.individual.collect()}
+    ids = sorted(seq, key=lambda i: (of[i], i))
+    holders = sorted(seq, key=lambda i: (of[i], seq[i]))
+    deal = scan.Dealing([sum(of[i] == s for i in ids) for s in sorted(set(of.values()))], seed)
+    to = deal(np.arange(len(ids)), rep - 1)
+    assert sorted(to) == list(range(len(ids))) and all(of[ids[k]] == of[holders[t]] for k, t in enumerate(to))
+    return [(ids[k], holders[t]) for k, t in enumerate(to)]
+
+
+def test_permutations_by_shared_sequences(spark, monkeypatch):
+    c = few_kinds(spark)
+    strata = c.individual.select("ind", "strata")
+    covar = c.individual.select("ind", F.lit("z").alias("name"), (F.col("ind") % 7).cast("double").alias("value"))
+    monkeypatch.setattr(scan, "BROADCAST_PEOPLE", 0)
+    monkeypatch.setattr(scan, "KIND_ROWS", 100)
+    monkeypatch.setattr(scan, "redealt", None)  # no replicate is shuffled
+    got = {r.rep: r.maxlod for r in scan.scanone_perm(c, "phenotype", 3, covar=covar, addcovar=["z"], strata=strata).collect()}
+    two = {(r.rep, r.stat): r.value for r in scan2.scantwo_perm(c, "phenotype", 3).collect()}
+    ids, y, p = table(c)
+    at = {i: k for k, i in enumerate(ids)}
+    for rep in (1, 2, 3):
+        pairs = dealt_to_places(c, rep, True)
+        who, whose = ([at[x[k]] for x in pairs] for k in (0, 1))
+        z = np.array([ids[k] % 7.0 for k in who])
+        want = max(1500 * math.log10(left(y[who], z) / left(y[who], z, q[whose, 1:])) for q in p.values())
+        assert abs(want - got[rep]) < 1e-8
+        who, whose = ([at[x[k]] for x in dealt_to_places(c, rep, False)] for k in (0, 1))
+        want = max(1500 * math.log10(left(y[who]) / left(y[who], q[whose, 1:])) for q in p.values())
+        assert abs(want - two[rep, "one"]) < 1e-8 and two[rep, "full"] >= two[rep, "add"] >= two[rep, "one"] - 1e-9
