@@ -202,10 +202,14 @@ def find_flanking(map_: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def find_pseudomarker(loci: DataFrame, places: DataFrame) -> DataFrame:
-    """Nearest locus of a grid (ties: the first)."""
-    m = loci.select(F.col("chr").alias("c"), "locus", F.col("pos").alias("lpos")).distinct()
-    best = F.min(F.struct(F.abs(F.col("lpos") - F.col("pos")).alias("d"), "lpos", "locus"))
-    return places.join(m, F.col("chr") == F.col("c")).groupBy("chr", "pos").agg(best.alias("b")).select("chr", "pos", F.col("b.locus").alias("locus"), F.col("b.lpos").alias("locus_pos"))
+    """Nearest locus of a grid (ties: the first). Loci and places are read once by position, each place with the loci next to it."""
+    m = loci.where("chr IS NOT NULL AND pos IS NOT NULL").groupBy("chr", "pos").agg(F.min("locus").alias("locus"))
+    both = m.select("chr", "pos", "locus", F.lit(False).alias("q")).unionByName(places.where("chr IS NOT NULL").select("chr", "pos", F.lit(None).cast("string").alias("locus"), F.lit(True).alias("q")).distinct())
+    at = F.when(~F.col("q"), F.struct(F.col("pos").alias("lpos"), "locus"))
+    upto = lambda *order: F.last(at, True).over(Window.partitionBy("chr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    x = both.withColumns({"l": upto("pos", "q"), "r": upto(F.desc("pos"), "q")}).where("q")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.lpos") - F.col("pos")).alias("d"), F.col(f"{c}.lpos").alias("lpos"), F.col(f"{c}.locus").alias("locus")))
+    return x.withColumn("b", F.array_min(F.array(near("l"), near("r")))).where("b IS NOT NULL").select("chr", "pos", F.col("b.locus").alias("locus"), F.col("b.lpos").alias("locus_pos"))
 
 
 def get_sex(raw: DataFrame, col: str = "sex") -> DataFrame:
@@ -274,10 +278,16 @@ def find_marker_index(cross: Cross, markers: DataFrame) -> DataFrame:
     return markers.select("marker").join(number, "marker", "left")
 
 
-def locate_marker(map_: DataFrame, places: DataFrame, tol: float = 1e-8) -> DataFrame:
-    """chr, pos, marker: the marker at exactly a place, null if there is none (ties: the first by order)."""
+def locate_marker(map_: DataFrame, places: DataFrame, tol: float = 0.0) -> DataFrame:
+    """chr, pos, marker: the marker at exactly a place (or within ``tol`` of it), null if there is none (ties: the first by order)."""
     m = map_.select(F.col("chr").alias("c"), F.col("pos").alias("p"), "ord", "marker")
-    x = places.join(m, (F.col("chr") == F.col("c")) & (F.abs(F.col("pos") - F.col("p")) <= tol), "left")
+    same = F.col("chr") == F.col("c")
+    if tol > 0:  # they meet in the place's cell or next to it
+        cell = lambda c: F.floor(F.col(c) / F.lit(float(tol)))
+        m = m.withColumn("cell", F.explode(F.array(*(cell("p") + k for k in (-1, 0, 1)))))
+        x = places.join(m, same & (cell("pos") == F.col("cell")) & (F.abs(F.col("pos") - F.col("p")) <= tol), "left")
+    else:
+        x = places.join(m, same & (F.col("pos") == F.col("p")), "left")
     return x.groupBy("chr", "pos").agg(F.min(F.when(F.col("marker").isNotNull(), F.struct("ord", "marker"))).alias("b")).select("chr", "pos", F.col("b.marker").alias("marker"))
 
 

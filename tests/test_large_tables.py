@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from crossloom.operators import hmm, scan, scan2, sim
+from crossloom.operators import hmm, meta, scan, scan2, sim
 from tests.test_more import left, small, table  # noqa: F401
 
 
@@ -67,3 +67,21 @@ def test_permutations_by_shared_sequences(spark, monkeypatch):
         who, whose = ([at[x[k]] for x in dealt_to_places(c, rep, False)] for k in (0, 1))
         want = max(1500 * math.log10(left(y[who]) / left(y[who], q[whose, 1:])) for q in p.values())
         assert abs(want - two[rep, "one"]) < 1e-8 and two[rep, "full"] >= two[rep, "add"] >= two[rep, "one"] - 1e-9
+
+
+def test_places_meet_their_neighbours_only(spark):
+    loci = [("1", f"A{k:02d}", 3.0 * k) for k in range(8)] + [("1", "A00b", 0.0), ("2", "B", 5.0)]
+    at = [("1", x) for x in (-4.0, 0.0, 1.5, 1.6, 10.4, 10.5, 10.6, 99.0, 1.5)] + [("2", 1.0), ("3", 1.0)]
+    got = meta.find_pseudomarker(spark.createDataFrame(loci, "chr string, locus string, pos double"), spark.createDataFrame(at, "chr string, pos double"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = {(c, p): min((abs(q - p), q, n) for d, n, q in loci if d == c) for c, p in at if c != "3"}
+    assert {(r.chr, r.pos): (abs(r.locus_pos - r.pos), r.locus_pos, r.locus) for r in got.collect()} == want and got.count() == 9
+
+
+def test_markers_are_at_exactly_a_place(spark):
+    m = spark.createDataFrame([("1", 1, "a", 3 * 0.05), ("1", 2, "b", 2.0), ("1", 3, "c", 2.0)], "chr string, ord int, marker string, pos double")
+    at = spark.createDataFrame([("1", 0.15), ("1", 3 * 0.05), ("1", 2.0), ("2", 2.0)], "chr string, pos double")
+    run = lambda *tol: {(r.chr, r.pos): r.marker for r in meta.locate_marker(m, at, *tol).collect()}
+    assert run() == {("1", 0.15): None, ("1", 3 * 0.05): "a", ("1", 2.0): "b", ("2", 2.0): None}
+    assert run(1e-8)["1", 0.15] == "a" and run(1e-8)["2", 2.0] is None
