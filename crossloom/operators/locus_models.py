@@ -39,16 +39,17 @@ class Family:
         """A logistic model starts from the overall share, a normal one from prior weights."""
         return np.append(np.zeros(d), 1.0) if self.binary else None
 
-    def equations(self, x, maps, y, u, v, state) -> np.ndarray:
+    def equations(self, x, maps, y, u, v, state, times=None) -> np.ndarray:
         """What individuals add: the matrix, the right side, sums of squares, log likelihood. ``x``: (n, classes) probabilities, ``maps``:
-        (classes, columns) of the model."""
+        (classes, columns) of the model, ``times``: how many individuals a row stands for."""
+        times = np.ones(len(x)) if times is None else times
         if self.method == "hk":
             c = np.concatenate([((x @ maps)[:, :, None] * u[:, None, :]).reshape(len(x), -1), v], axis=1)
             if not self.binary:
-                return np.concatenate([(c.T @ c).ravel(), c.T @ y, [y @ y, 0.0]])
+                return np.concatenate([(c.T @ (c * times[:, None])).ravel(), c.T @ (times * y), [(times * y) @ y, 0.0]])
             eta = np.clip(c @ state[:-1], -30, 30)
             p = 1 / (1 + np.exp(-eta))
-            return np.concatenate([((c * np.maximum(p * (1 - p), 1e-12)[:, None]).T @ c).ravel(), c.T @ (y - p), [0.0, float((y * eta - np.logaddexp(0, eta)).sum())]])
+            return np.concatenate([((c * (times * np.maximum(p * (1 - p), 1e-12))[:, None]).T @ c).ravel(), c.T @ (times * (y - p)), [0.0, float(times @ (y * eta - np.logaddexp(0, eta)))]])
         a, n = u.shape[1], len(x)
         w, ll, residual, curve = x, 0.0, None, None
         if state is not None:
@@ -62,10 +63,11 @@ class Family:
             top = log_f.max(1, keepdims=True)
             f = x * np.exp(log_f - top)
             total = np.maximum(f.sum(1, keepdims=True), 1e-300)
-            w, ll = f / total, float((np.log(total) + top).sum())
+            w, ll = f / total, float(times @ (np.log(total) + top)[:, 0])
             if self.binary:
                 p = 1 / (1 + np.exp(-eta))
-                residual, curve = w * (y[:, None] - p), w * np.maximum(p * (1 - p), 1e-12)
+                residual, curve = w * (y[:, None] - p) * times[:, None], w * np.maximum(p * (1 - p), 1e-12) * times[:, None]
+        w = w * times[:, None]
         weight = w if curve is None else curve
         side = w * y[:, None] if residual is None else residual
         uu = (weight.T @ (u[:, :, None] * u[:, None, :]).reshape(n, a * a)).reshape(weight.shape[1], a, a)
@@ -77,7 +79,7 @@ class Family:
         out[k:, :k] = out[:k, k:].T
         out[k:, k:] = v.T @ (v * weight.sum(1)[:, None])
         right = np.concatenate([np.einsum("gi,ga->ia", maps, side.T @ u).ravel(), v.T @ side.sum(1)])
-        return np.concatenate([out.ravel(), right, [y @ y, ll]])
+        return np.concatenate([out.ravel(), right, [(times * y) @ y, ll]])
 
     def solved(self, s: np.ndarray, d: int, n: int, state: np.ndarray | None) -> np.ndarray:
         a, b = s[: d * d].reshape(d, d), s[d * d : d * d + d]
@@ -117,6 +119,20 @@ def _shapes(t: dict, kind: str, loci: list, pairs: bool, a: int, c: int) -> dict
     return out
 
 
+def _shared_rows(index: DataFrame, deal, shared: one_locus.Kinds, n_perm: int) -> DataFrame:
+    """m, g, y, z, rep, times: a replicate's individuals with a genotype sequence and a trait of 0 or 1, counted without covariates."""
+
+    def run(batches):
+        count, s = shared.sums(batches, deal, n_perm, lambda b: np.stack([1 - b.column("y").to_numpy(), b.column("y").to_numpy()], axis=1))
+        if s is not None:
+            k, r, y = np.nonzero(s)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(r + 1, pa.int32()), pa.array(y, pa.float64()), pa.array(s[k, r, y])], names=["k", "rep", "y", "times"])
+
+    counted = index.select("i", "y").mapInArrow(run, "k int, rep int, y double, times double").groupBy("k", "rep", "y").agg(F.sum("times").alias("times"))
+    of = index.sparkSession.createDataFrame([(k, m, g) for k, (m, g) in enumerate(zip(*(shared.batch.column(c).to_pylist() for c in ("m", "g")), strict=True))], "k int, m array<int>, g array<int>")
+    return counted.join(of, "k").select("m", "g", "y", F.array().cast("array<double>").alias("z"), "rep", "times")
+
+
 def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar, intcovar, n_perm: int, seed: int, strata, maxit: int, tol: float, step: float, off_end: float, stepwidth: str, error: float, map_function: str):
     """Log likelihood of each (unit, model, replicate), with loci and tracks. Replicate 0 is the trait as it is, unless there are permutations."""
     if family.method not in ("em", "hk"):
@@ -140,14 +156,18 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
     if not n:
         return {}, loci, t, 0
     q, at_inter = len(names), [names.index(x) for x in inter]
-    values = index = deal = None
+    values = index = deal = shared = None
     if n_perm:
         index, deal = one_locus.numbered(own, strata, seed)
         if n <= one_locus.BROADCAST_PEOPLE:
             got = index.orderBy("i").select("y", "z").toPandas()
             values = spark.sparkContext.broadcast(np.column_stack([got["y"].to_numpy(float), np.array(got["z"].tolist(), float).reshape(n, q)]))
-    if not n_perm:
-        rows = sequences(cross).join(own, "ind")
+        elif family.binary and not q:
+            shared = one_locus.kinds_of(cross, index, deal, n, n_perm)
+    if not n_perm:  # individuals that are alike are one row
+        rows = sequences(cross).join(own, "ind").groupBy("m", "g", "y", "z").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    elif shared:
+        rows = _shared_rows(index, deal, shared, n_perm)
     elif values is not None:
         rows = sequences(cross).join(index.select("ind", "i"), "ind")
     else:
@@ -167,6 +187,8 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
         some = b.column("rep").to_numpy() == r + 1
         return some, y[some], z[some]
 
+    grouped = not n_perm or shared is not None
+
     state = {(*key, r): family.start(d, share) for key, d in shapes.items() for r in range(reps)}
     open_, ll = set(state), {}
     best: dict[tuple, np.ndarray] = {}
@@ -189,6 +211,7 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                     continue
                 got = _chromosomes(b, t, kind, error, map_function)
                 people = [(r, *dealt(b, r)) for r in range(reps)]
+                times = b.column("times").to_numpy() if grouped else np.ones(len(b))
                 for unit, x, maps in _units(got, loci, pairs):
                     if unit not in wanted:
                         continue
@@ -196,7 +219,7 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                         for r, some, y, z in people:
                             if (unit, m, r) in mine and len(y):
                                 u = np.concatenate([np.ones((len(y), 1)), z[:, at_inter]], axis=1)
-                                sums.add((unit, m, r), family.equations(x[some], matrix, y, u, z, mine[unit, m, r]))
+                                sums.add((unit, m, r), family.equations(x[some], matrix, y, u, z, mine[unit, m, r], times[some]))
                 if sums.full:
                     yield from out()
             yield from out()

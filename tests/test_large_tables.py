@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from crossloom.operators import hmm, meta, scan, scan2, sim
+from crossloom.operators import locus_models as lm
 from tests.test_more import left, small, table  # noqa: F401
 
 
@@ -85,3 +86,23 @@ def test_markers_are_at_exactly_a_place(spark):
     run = lambda *tol: {(r.chr, r.pos): r.marker for r in meta.locate_marker(m, at, *tol).collect()}
     assert run() == {("1", 0.15): None, ("1", 3 * 0.05): "a", ("1", 2.0): "b", ("2", 2.0): None}
     assert run(1e-8)["1", 0.15] == "a" and run(1e-8)["2", 2.0] is None
+
+
+def test_models_count_individuals_that_are_alike(spark, monkeypatch):
+    c = few_kinds(spark)
+    c = c.with_(pheno=c.pheno.unionByName(c.pheno.select("ind", F.lit("b").alias("trait"), (F.col("y") > 0).cast("double").alias("y"))))
+    seen = []
+    store = lm.materialise
+    monkeypatch.setattr(lm, "materialise", lambda df, name: (seen.append((name, df.count())), store(df, name))[1])
+    one = {r.locus: r.lod for r in lm.scanone_model(c, "b", "em", True).collect()}
+    assert dict(seen)["people"] <= 162
+    assert all(abs(one[r.locus] - r.lod) < 2e-3 for r in scan.scan_binary(c, "b", "em", tol=1e-7, maxit=1000).collect())
+    monkeypatch.setattr(scan, "BROADCAST_PEOPLE", 0)
+    monkeypatch.setattr(scan, "redealt", None)
+    two = {(r.rep, r.stat): r.value for r in lm.scantwo_model_perm(c, "b", 2, "hk", True).collect()}
+    assert dict(seen)["people"] <= 2 * 162
+    for rep in (1, 2):
+        to = spark.createDataFrame(dealt_to_places(c, rep, False), "ind long, whose long")
+        dealt = c.pheno.where("trait = 'b'").join(to, "ind").select(F.col("whose").alias("ind"), "trait", "y")
+        want = max(r.lod for r in lm.scanone_model(c.with_(pheno=dealt), "b", "hk", True).collect())
+        assert abs(two[rep, "one"] - want) < 1e-3
