@@ -263,7 +263,7 @@ def top_errorlod(errorlod: DataFrame, cutoff: float = 4.0) -> DataFrame:
 
 
 def _map_sums(seq: DataFrame, t: dict, kind: tuple, r: dict, error: float) -> dict:
-    """Expected recombinant share summed over individuals for each interval, count of individuals, log10 likelihood."""
+    """Expected recombinant share summed over individuals for each interval, count of individuals, log10 likelihood. ``seq``: m, g, times."""
 
     schema = "chr string, k int, s double, n long"
 
@@ -271,11 +271,12 @@ def _map_sums(seq: DataFrame, t: dict, kind: tuple, r: dict, error: float) -> di
         track = t[name]
         emit = chains.emissions(kind[0], g, error, track.chrtype)
         init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind, r=r[name])
-        ll = chains.forward(emit, init, steps)[1].sum() / np.log(10)
+        times = b.column("times").to_numpy()
+        ll = float(times @ chains.forward(emit, init, steps)[1]) / np.log(10)
         pp = chains.pair_posterior(emit, init, steps)
-        s = [float((pp[:, j] * chains.crossings(kind[0], r[name][j], pp.shape[2])).sum()) for j in range(pp.shape[1])]
+        s = [float(times @ (pp[:, j] * chains.crossings(kind[0], r[name][j], pp.shape[2])).sum((1, 2))) for j in range(pp.shape[1])]
         n = len(s) + 1
-        return {"chr": [name] * n, "k": np.arange(n, dtype=np.int32), "s": [*s, ll], "n": [len(b)] * n}
+        return {"chr": [name] * n, "k": np.arange(n, dtype=np.int32), "s": [*s, ll], "n": [int(times.sum())] * n}
 
     rows = seq.mapInArrow(by_chromosome(one, t, schema), schema).groupBy("chr", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # combined in each task first
     return {(x["chr"], x["k"]): (x["s"], x["n"]) for x in rows}
@@ -298,7 +299,7 @@ def est_map(cross: Cross, error: float = 1e-4, map_function: str = "haldane", ma
     spark = cross.geno.sparkSession
     prepare(spark)
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
-    seq = materialise(sequences(cross), "sequences")
+    seq = materialise(sequences(cross).groupBy("m", "g").agg(F.count(F.lit(1)).alias("times")), "sequences")  # individuals that are alike are one row
     r = {c: np.clip(np_mf(np.diff(x.pos), map_function), tol / 1000, 0.5 - tol / 1000) for c, x in t.items()}
     open_, ll = {c for c in t if len(r[c])}, {}
     for _ in range(maxit):

@@ -106,3 +106,11 @@ def test_models_count_individuals_that_are_alike(spark, monkeypatch):
         dealt = c.pheno.where("trait = 'b'").join(to, "ind").select(F.col("whose").alias("ind"), "trait", "y")
         want = max(r.lod for r in lm.scanone_model(c.with_(pheno=dealt), "b", "hk", True).collect())
         assert abs(two[rep, "one"] - want) < 1e-3
+
+
+def test_maps_count_sequences_that_are_alike(spark, monkeypatch):
+    c = few_kinds(spark)
+    seen, store = [], hmm.materialise
+    monkeypatch.setattr(hmm, "materialise", lambda df, name: (seen.append(df.count()), store(df, name))[1])
+    m, ll = hmm.est_map(c, maxit=40)
+    assert max(seen) <= 81 and abs({r.marker: r.pos for r in m.collect()}["D1M2"] - 15) < 3 and ll["1"] < 0
