@@ -26,6 +26,8 @@ from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
 
 _FITS = "unit int, model int, rep int, lod double"
+#: Individuals that are worked on at once: what is in hand stays in a core's cache.
+SLICE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,38 @@ class Family:
         right = np.concatenate([np.einsum("gi,ga->ia", maps, side.T @ u).ravel(), v.T @ side.sum(1)])
         return np.concatenate([out.ravel(), right, [(times * y) @ y, ll]])
 
+    def kind_equations(self, x, maps, y, k, state) -> np.ndarray:
+        """As ``equations`` without covariates, of individuals whose class probabilities are those of their kind, ``x[k]``. In a normal mixture a
+        class's log likelihood less that of the first one is linear in the trait, so it takes one exponential and each class two sums."""
+        plain = lambda: self.equations(x[k], maps, y, np.ones((len(y), 1)), np.zeros((len(y), 0)), state)
+        if self.binary or self.method == "hk":
+            return plain()
+        count, of = np.bincount(k, minlength=len(x)).astype(float), np.bincount(k, y, len(x))
+        weight, side, ll, yy = count @ x, of @ x, 0.0, y @ y
+        if state is not None:
+            eta, v = maps @ state[:-1], state[-1]
+            ratio = np.log(np.maximum(x[:, 1:], 1e-300) / np.maximum(x[:, :1], 1e-300))
+            slope, shift = (eta[1:] - eta[0]) / v, (eta[0] ** 2 - eta[1:] ** 2) / (2 * v) + ratio
+            if x.min() < 1e-200 or x.shape[1] > 1 and np.abs(y).max() * np.abs(slope).max() + np.abs(shift).max() > 600:
+                return plain()
+            weight, side = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+            for i in range(0, len(y), SLICE):
+                own, at = y[i : i + SLICE], k[i : i + SLICE]
+                d = own - eta[0]
+                ll -= d @ d / (2 * v)
+                if not len(slope):
+                    continue
+                f = [np.exp(slope[g] * own + shift[at, g]) for g in range(len(slope))]
+                total = 1 + sum(f)
+                ll += np.log(total).sum()
+                for g, z in enumerate(f, 1):
+                    z /= total
+                    weight[g] += z.sum()
+                    side[g] += z @ own
+            weight[0], side[0] = len(y) - weight[1:].sum(), y.sum() - side[1:].sum()
+            ll += count @ np.log(x[:, 0]) - len(y) / 2 * math.log(2 * math.pi * v)
+        return np.concatenate([(maps.T @ (maps * weight[:, None])).ravel(), maps.T @ side, [yy, ll]])
+
     def solved(self, s: np.ndarray, d: int, n: int, state: np.ndarray | None) -> np.ndarray:
         a, b = s[: d * d].reshape(d, d), s[d * d : d * d + d]
         if self.binary:
@@ -133,6 +167,25 @@ def _shared_rows(index: DataFrame, deal, shared: one_locus.Kinds, n_perm: int) -
     return counted.join(of, "k").select("m", "g", "y", F.array().cast("array<double>").alias("z"), "rep", "times")
 
 
+def _dealt_kinds(index: DataFrame, deal, shared: one_locus.Kinds, n_perm: int) -> DataFrame:
+    """y, k: each individual's trait and the genotype sequences of the places it is dealt to, a 32-bit number for each replicate."""
+
+    def run(batches):
+        for i, y in one_locus.gathered(((b.column("i").to_numpy(), b.column("y").to_numpy()) for b in batches if b.num_rows), SLICE):
+            k = np.stack([shared.of(deal(i, r)) for r in range(n_perm)], axis=1).astype(np.int32)
+            ends = pa.py_buffer(np.arange(len(i) + 1, dtype=np.int32) * 4 * n_perm)
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.BinaryArray.from_buffers(pa.binary(), len(i), [None, ends, pa.py_buffer(k)])], names=["y", "k"])
+
+    return index.select("i", "y").mapInArrow(run, "y double, k binary")
+
+
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    """The 32-bit numbers of a binary column, a row for each value."""
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int32)[column.offset]
+    return np.frombuffer(data, np.int32, len(column) * width, int(first)).reshape(-1, width)
+
+
 def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar, intcovar, n_perm: int, seed: int, strata, maxit: int, tol: float, step: float, off_end: float, stepwidth: str, error: float, map_function: str):
     """Log likelihood of each (unit, model, replicate), with loci and tracks. Replicate 0 is the trait as it is, unless there are permutations."""
     if family.method not in ("em", "hk"):
@@ -162,12 +215,14 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
         if n <= one_locus.BROADCAST_PEOPLE:
             got = index.orderBy("i").select("y", "z").toPandas()
             values = spark.sparkContext.broadcast(np.column_stack([got["y"].to_numpy(float), np.array(got["z"].tolist(), float).reshape(n, q)]))
-        elif family.binary and not q:
+        elif not q:
             shared = one_locus.kinds_of(cross, index, deal, n, n_perm)
     if not n_perm:  # individuals that are alike are one row
         rows = sequences(cross).join(own, "ind").groupBy("m", "g", "y", "z").agg(F.count(F.lit(1)).cast("double").alias("times"))
-    elif shared:
+    elif shared and family.binary:
         rows = _shared_rows(index, deal, shared, n_perm)
+    elif shared:
+        rows = _dealt_kinds(index, deal, shared, n_perm)
     elif values is not None:
         rows = sequences(cross).join(index.select("ind", "i"), "ind")
     else:
@@ -188,6 +243,7 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
         return some, y[some], z[some]
 
     grouped = not n_perm or shared is not None
+    kinds = shared is not None and not family.binary
 
     state = {(*key, r): family.start(d, share) for key, d in shapes.items() for r in range(reps)}
     open_, ll = set(state), {}
@@ -206,6 +262,18 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                 if held:
                     yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in held], pa.int32()) for j in range(3)), pa.array([x[3] for x in held], pa.list_(pa.float64()))], names=["unit", "model", "rep", "s"])
 
+            if kinds:
+                parts = ((b.column("y").to_numpy(), _numbers(b.column("k"), n_perm)) for b in batches if b.num_rows)
+                got = _chromosomes(shared.batch, t, kind, error, map_function)
+                for y, k in one_locus.gathered(parts, one_locus.KIND_ROWS):
+                    k = np.ascontiguousarray(k.T)
+                    for unit, x, maps in _units(got, loci, pairs):
+                        for m, matrix in enumerate(maps):
+                            for r in range(reps):
+                                if (unit, m, r) in mine:
+                                    sums.add((unit, m, r), family.kind_equations(x, matrix, y, k[r], mine[unit, m, r]))
+                    if sums.full:
+                        yield from out()
             for b in batches:
                 if not b.num_rows:
                     continue

@@ -114,3 +114,23 @@ def test_maps_count_sequences_that_are_alike(spark, monkeypatch):
     monkeypatch.setattr(hmm, "materialise", lambda df, name: (seen.append(df.count()), store(df, name))[1])
     m, ll = hmm.est_map(c, maxit=40)
     assert max(seen) <= 81 and abs({r.marker: r.pos for r in m.collect()}["D1M2"] - 15) < 3 and ll["1"] < 0
+
+
+def test_normal_mixtures_are_permuted_by_shared_sequences(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y, k = rng.dirichlet(np.ones(4), 7), rng.normal(1e5, 2e4, 500), rng.integers(0, 7, 500)
+    family = lm.Family(False, "em")
+    for maps in (np.eye(4), np.array([[1.0, 0, 0], [1, 0, 1], [0, 1, 0], [0, 1, 1]])):
+        for state in (None, np.append(rng.normal(6e4, 2e4, maps.shape[1]), 3e8), np.append(rng.normal(1e5, 1e4, maps.shape[1]), 5.0)):
+            want = family.equations(x[k], maps, y, np.ones((500, 1)), np.zeros((500, 0)), state)
+            assert np.allclose(family.kind_equations(x, maps, y, k, state), want, rtol=1e-9)
+    c = few_kinds(spark)
+    monkeypatch.setattr(scan, "BROADCAST_PEOPLE", 0)
+    monkeypatch.setattr(scan, "KIND_ROWS", 700)
+    monkeypatch.setattr(lm, "SLICE", 300)
+    monkeypatch.setattr(scan, "redealt", None)  # no replicate is shuffled
+    got = {r.rep: r.maxlod for r in lm.scanone_model_perm(c, "phenotype", 2, tol=1e-6).collect()}
+    for rep in (1, 2):
+        to = spark.createDataFrame(dealt_to_places(c, rep, False), "ind long, whose long")
+        dealt = c.pheno.where("trait = 'phenotype'").join(to, "ind").select(F.col("whose").alias("ind"), "trait", "y")
+        assert abs(got[rep] - max(r.lod for r in lm.scanone_model(c.with_(pheno=dealt), "phenotype", tol=1e-6).collect())) < 1e-5
