@@ -18,7 +18,7 @@ from crossloom.model import Cross
 from crossloom.operators.hmm import est_map
 from crossloom.operators.linkage import calculate_density, score_missing
 from crossloom.operators.qtl import Model, Qtl
-from crossloom.operators.scan import design, locus_sums
+from crossloom.operators.scan import design, locus_sums, moments
 from crossloom.operators.sums import TaskSums, added, gram
 from crossloom.runtime import materialise, prepare
 
@@ -112,9 +112,9 @@ def mqm_test_normal(cross: Cross, trait: str, significance: float = 0.05, most:
 
 def scanone_var(cross: Cross, trait: str, maxit: int = 25, tol: float = 1e-6, **grid) -> DataFrame:
     """lod_mean, lod_var, lod_both at each locus: normal mean and log-linear variance, fitted in turns from summed equations."""
-    table, t = design(cross, trait, **grid)
+    table, t = design(cross, trait, alike=True, **grid)
     k = {c: chains.n_states(cross.crosstype, x.chrtype) for c, x in t.items()}
-    m = table.where(F.col("chr") == sorted(t)[0]).agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.count(F.lit(1)).alias("n")).first()
+    m = moments(table.where(F.col("chr") == sorted(t)[0]))
 
     def fit(mean_on: bool, var_on: bool) -> dict:
         params = {(c, j): np.concatenate([[m["m"]], np.zeros(k[c] - 1), [math.log(m["v"])], np.zeros(k[c] - 1)]) for c, x in t.items() for j in range(len(x.pos))}
@@ -123,17 +123,18 @@ def scanone_var(cross: Cross, trait: str, maxit: int = 25, tol: float = 1e-6, **
         for _ in range(maxit):
             mine = {c: np.array([params[c, j] for j in range(len(x.pos))]) for c, x in t.items()}
 
-            def sums(name, p, y, z, w, mine=mine):
+            def sums(name, p, y, z, w, times, mine=mine):
                 q = p.shape[2]
                 x = np.concatenate([np.ones((*p.shape[:2], 1)), p[:, :, 1:]], axis=2)
                 b, g = mine[name][:, :q], mine[name][:, q:]
                 mu, lv = (x * b[None]).sum(2), np.clip((x * g[None]).sum(2), -50, 50)
                 r2, v = (y[:, None] - mu) ** 2, np.exp(lv)
-                a = gram(x / v[:, :, None], x).reshape(len(b), -1)
-                u = np.einsum("nla,nl->la", x, y[:, None] / v)
-                h = gram(x).reshape(len(b), -1) / 2
-                s = np.einsum("nla,nl->la", x, (r2 / v - 1) / 2)
-                loglik = -0.5 * (math.log(2 * math.pi) + lv + r2 / v).sum(0)
+                n = times[:, None]
+                a = gram(x * (n / v)[:, :, None], x).reshape(len(b), -1)
+                u = np.einsum("nla,nl->la", x, n * y[:, None] / v)
+                h = gram(x * n[:, :, None], x).reshape(len(b), -1) / 2
+                s = np.einsum("nla,nl->la", x, n * (r2 / v - 1) / 2)
+                loglik = -0.5 * (n * (math.log(2 * math.pi) + lv + r2 / v)).sum(0)
                 return np.concatenate([a, u, h, s, loglik[:, None]], axis=1)
 
             got = locus_sums(table, t, sums)

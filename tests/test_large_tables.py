@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from crossloom.operators import hmm, meta, scan, scan2, sim
+from crossloom.operators import effects, hmm, meta, scan, scan2, sim
 from crossloom.operators import locus_models as lm
 from tests.test_more import left, small, table  # noqa: F401
 
@@ -134,3 +134,18 @@ def test_normal_mixtures_are_permuted_by_shared_sequences(spark, monkeypatch):
         to = spark.createDataFrame(dealt_to_places(c, rep, False), "ind long, whose long")
         dealt = c.pheno.where("trait = 'phenotype'").join(to, "ind").select(F.col("whose").alias("ind"), "trait", "y")
         assert abs(got[rep] - max(r.lod for r in lm.scanone_model(c.with_(pheno=dealt), "phenotype", tol=1e-6).collect())) < 1e-5
+
+
+def test_iterated_scans_count_individuals_that_are_alike(spark, monkeypatch):
+    c = few_kinds(spark, 400)
+    c = c.with_(pheno=c.pheno.withColumn("y", F.least(F.round("y", 1), F.lit(1.0))))
+    copies = spark.range(1, 4).withColumnRenamed("id", "copy")
+    again = lambda df: df.crossJoin(copies).withColumn("ind", F.col("ind") * 10 + F.col("copy")).drop("copy")
+    three = c.with_(geno=again(c.geno), pheno=again(c.pheno), individual=again(c.individual))
+    seen, store = [], scan.materialise
+    monkeypatch.setattr(scan, "materialise", lambda df, name: (seen.append(df.count()), store(df, name))[1])
+    for fn in (lambda c, n: scan.scan_2part(c, "phenotype", tol=n * 1e-7), lambda c, n: effects.scanone_var(c, "phenotype", 60, 1e-13), lambda c, n: scan.scan_em(c, "phenotype", tol=n * 1e-8)):
+        one, all_ = ({r.locus: r.asDict() for r in fn(x, n).collect()} for x, n in ((c, 1), (three, 3)))
+        assert max(seen) <= 800  # rows of two chromosomes
+        for locus, r in one.items():
+            assert all(abs(3 * r[k] - all_[locus][k]) < 0.02 for k in r if k.startswith("lod"))
