@@ -25,7 +25,7 @@ from crossloom.functions import chains
 from crossloom.functions.maps import np_mf
 from crossloom.functions.stats import f_quantile
 from crossloom.model import Cross
-from crossloom.operators.hmm import Track, codes, sequences, tracks
+from crossloom.operators.hmm import Track, codes, lists, sequences, tracks
 from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
 
@@ -92,6 +92,49 @@ def _weights(p: np.ndarray) -> np.ndarray:
     return w / w.sum() if len(p) else w
 
 
+#: Sequences that a task keeps the augmentation of; individuals whose equations are added up at once.
+MOST_KEPT, ROWS = 1 << 16, 1 << 13
+
+
+class _Kept:
+    """What ``make(row)`` gives for rows of codes. Rows that are equal are worked out once (each for itself where ``own``: draws depend on the individual)."""
+
+    def __init__(self):
+        self.known: dict = {}
+
+    def all(self, rows: np.ndarray, make, own=None) -> list:
+        if len(self.known) > MOST_KEPT:
+            self.known.clear()
+        out = []
+        for i, row in enumerate(rows):
+            key = row.tobytes() if own is None else (row.tobytes(), own[i])
+            if key not in self.known:
+                self.known[key] = make(i)
+            out.append(self.known[key])
+        return out
+
+
+def _copies(ind: np.ndarray, chr_: str, found: list) -> pa.RecordBatch:
+    """The rows of ``augment``: ``found`` has (weights, flag, genotypes from 1) of each individual; equal ones are the same object."""
+    distinct = {id(x): x for x in found}
+    at = {k: j for j, k in enumerate(distinct)}
+    kind = np.array([at[id(x)] for x in found])
+    size = np.array([len(w) for w, _, _ in distinct.values()])
+    n = size[kind]
+    first = (np.cumsum(size) - size)[kind]
+    row = np.repeat(np.arange(len(ind)), n)
+    copy = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = first[row] + copy
+    weight = np.concatenate([w for w, _, _ in distinct.values()])[place]
+    g = np.concatenate([x for _, _, x in distinct.values()])[place].astype(np.int32)
+    over = np.array([o for _, o, _ in distinct.values()], bool)[kind][row]
+    return pa.RecordBatch.from_arrays([pa.array(ind[row], pa.int64()), pa.array([chr_]).take(pa.array(np.zeros(len(row), np.int32))), pa.array((copy + 1).astype(np.int32)), pa.array(weight), pa.array(over), lists(g, pa.int32())], schema=_ARROW)
+
+
+_COPIES = "ind long, chr string, copy int, weight double, over boolean, g array<int>"
+_ARROW = pa.schema([("ind", pa.int64()), ("chr", pa.string()), ("copy", pa.int32()), ("weight", pa.float64()), ("over", pa.bool_()), ("g", pa.list_(pa.int32()))])
+
+
 def augment(cross: Cross, max_per_ind: int = MAX_PER_IND, min_prob: float = 0.1, strategy: str = "default", error: float = 1e-4, seed: int = 1) -> DataFrame:
     """ind, chr, copy, weight, over, g: complete genotype sequences of each individual and chromosome that are at least ``min_prob`` times as
     likely as its best one, with weights that sum to one; ``over`` marks individuals with more than ``max_per_ind`` of them."""
@@ -100,41 +143,60 @@ def augment(cross: Cross, max_per_ind: int = MAX_PER_IND, min_prob: float = 0.1,
     prepare(spark)
     t, kind = tracks(cross), (cross.crosstype, cross.scheme)
     number = {c: k for k, c in enumerate(sorted(t))}
-    schema = "ind long, chr string, copy int, weight double, over boolean, g array<int>"
 
     def run(batches):
+        kept = {c: _Kept() for c in t}
         for b in batches:
-            rows = []
+            if not b.num_rows:
+                continue
+            ids = b.column("ind").to_numpy()
             for c, track in t.items():
-                emit = chains.emissions(kind[0], codes(b, track), error, track.chrtype)
-                init, steps = chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind)
-                for i, ind in enumerate(b.column("ind").to_pylist()):
-                    paths, p, over = augmented_sequences(emit[i], init, steps, min_prob, max_per_ind, strategy, (seed, number[c], ind))
-                    rows += [(ind, c, k + 1, float(w), over, (s + 1).tolist()) for k, (w, s) in enumerate(zip(_weights(p), paths, strict=True))]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["ind", "chr", "copy", "weight", "over", "g"]), schema=_ARROW)
+                typed = codes(b, track)
 
-    return sequences(cross).mapInArrow(run, schema)
+                def one(i, c=c, track=track, typed=typed, ids=ids):
+                    emit = chains.emissions(kind[0], typed[i : i + 1], error, track.chrtype)[0]
+                    paths, p, over = augmented_sequences(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind), min_prob, max_per_ind, strategy, (seed, number[c], int(ids[i])))
+                    return _weights(p), over, paths + 1
 
+                yield _copies(ids, c, kept[c].all(typed, one, ids if strategy == "impute" else None))
 
-_ARROW = pa.schema([("ind", pa.int64()), ("chr", pa.string()), ("copy", pa.int32()), ("weight", pa.float64()), ("over", pa.bool_()), ("g", pa.list_(pa.int32()))])
+    return sequences(cross).mapInArrow(run, _COPIES)
 
 
 def augment_on_cofactors(cross: Cross, cofactors: list[str], max_per_ind: int = MAX_PER_IND, min_prob: float = 0.1, strategy: str = "default", error: float = 1e-4, seed: int = 1) -> DataFrame:
     """As ``augment``, but only the cofactors' missing genotypes are augmented (by the map of cofactors alone); other markers take their
     genotype of the likeliest sequence, with the whole map's loci in ``g``. A chromosome without cofactors has one sequence."""
-    from crossloom.operators.hmm import argmax_geno
-
+    _strategy(strategy)
+    prepare(cross.geno.sparkSession)
     named = set(cofactors)
-    full = argmax_geno(cross, error=error).groupBy("ind", "chr").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("g").cast("int").alias("g")))).alias("a")).select("ind", "chr", F.col("a.g").alias("filled"))
-    order = {c: x.names for c, x in tracks(cross).items()}
-    part = cross.with_(map=cross.map.where(F.col("marker").isin(sorted(named))), geno=cross.geno.where(F.col("marker").isin(sorted(named))))
-    chosen = augment(part, max_per_ind, min_prob, strategy, error, seed).withColumnRenamed("g", "own")
-    places = {c: [next((k for k, y in enumerate([m for m in names if m in named]) if y == x), -1) for x in names] for c, names in order.items()}
-    at = cross.geno.sparkSession.createDataFrame([(c, v) for c, v in places.items()], "chr string, at array<int>")
-    some = [c for c, v in places.items() if max(v) >= 0]
-    both = full.where(F.col("chr").isin(some)).join(chosen, ["ind", "chr"]).unionByName(full.where(~F.col("chr").isin(some)), allowMissingColumns=True).join(at, "chr")
-    g = F.transform("at", lambda k, i: F.when(k >= 0, F.get("own", k)).otherwise(F.get("filled", i)))
-    return both.select("ind", "chr", F.coalesce("copy", F.lit(1)).alias("copy"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("over", F.lit(False)).alias("over"), g.alias("g"))
+    t, kind = tracks(cross), (cross.crosstype, cross.scheme)
+    part = tracks(cross.with_(map=cross.map.where(F.col("marker").isin(sorted(named)))))
+    places = {c: [k for k, m in enumerate(x.names) if m in named] for c, x in t.items()}
+    number = {c: k for k, c in enumerate(sorted(part))}
+
+    def run(batches):
+        kept = {c: _Kept() for c in t}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("ind").to_numpy()
+            for c, track in t.items():
+                typed = codes(b, track)
+
+                def one(i, c=c, track=track, typed=typed, ids=ids):
+                    emit = chains.emissions(kind[0], typed[i : i + 1], error, track.chrtype)
+                    filled = chains.viterbi(emit, chains.initial(kind[0], track.chrtype, kind[1]), track.steps(kind))
+                    if c not in part:
+                        return np.ones(1), False, filled
+                    emit = chains.emissions(kind[0], typed[i : i + 1, places[c]], error, part[c].chrtype)[0]
+                    paths, p, over = augmented_sequences(emit, chains.initial(kind[0], part[c].chrtype, kind[1]), part[c].steps(kind), min_prob, max_per_ind, strategy, (seed, number[c], int(ids[i])))
+                    g = np.repeat(filled, len(paths), axis=0)
+                    g[:, places[c]] = paths + 1
+                    return _weights(p), over, g
+
+                yield _copies(ids, c, kept[c].all(typed, one, ids if strategy == "impute" else None))
+
+    return sequences(cross).mapInArrow(run, _COPIES)
 
 
 # Cofactor models
@@ -166,12 +228,14 @@ class Model:
 
 @dataclass
 class Genome:
-    """Markers of the autosomes in order, and the rows that hold individuals with their sequences: ind, y, w (prior weights), g (flat)."""
+    """Markers of the autosomes in order, and individuals with their sequences: ``rows`` has each (ind, y, w: prior weights, g: flat), ``alike``
+    one row for those of equal genotypes and trait, with how many they are (times)."""
 
     kind: tuple
     tracks: dict[str, Track]
     number: dict[str, int]
     rows: DataFrame
+    alike: DataFrame
     n: int
 
     @property
@@ -195,18 +259,52 @@ def genome(cross: Cross, trait: str, max_per_ind: int = MAX_PER_IND, min_prob: f
     people = cross.pheno.where((F.col("trait") == trait) & F.col("y").isNotNull() & ~F.isnan("y")).select("ind", "y")
 
     def run(batches):
+        kept = _Kept()
         for b in batches:
-            emit = np.concatenate([chains.emissions(kind[0], codes(b, x), 0.0) for x in t.values()], axis=1)
-            rows = []
-            for i, (ind, y) in enumerate(zip(b.column("ind").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                paths, p, _ = augmented_sequences(emit[i], init, steps, min_prob, max_per_ind, strategy, (seed, ind))
-                if len(paths):
-                    rows.append((ind, y, _weights(p), paths.ravel().astype(np.int32)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())), strict=True)], names=["ind", "y", "w", "g"])
+            if not b.num_rows:
+                continue
+            typed = [codes(b, x) for x in t.values()]
+            ids = b.column("ind").to_numpy() if "ind" in b.schema.names else None
+
+            def one(i, typed=typed, ids=ids):
+                emit = np.concatenate([chains.emissions(kind[0], x[i : i + 1], 0.0) for x in typed], axis=1)[0]
+                paths, p, _ = augmented_sequences(emit, init, steps, min_prob, max_per_ind, strategy, (seed, 0 if ids is None else int(ids[i])))
+                return _weights(p), paths.ravel().astype(np.int32)
+
+            found = kept.all(np.concatenate(typed, axis=1), one, ids if strategy == "impute" else None)
+            some = pa.array([len(w) > 0 for w, _ in found])
+            w, g = pa.array([w for w, _ in found], pa.list_(pa.float64())), pa.array([g for _, g in found], pa.list_(pa.int32()))
+            rest = [c for c in b.schema.names if c not in ("m", "g")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), w, g], names=[*rest, "w", "g"]).filter(some)
+
+    both = sequences(cross).join(people, "ind")
+    rows = both.select("m", "g", "ind", "y").mapInArrow(run, "ind long, y double, w array<double>, g array<int>")
+    if strategy == "impute":  # an individual's draws are its own
+        rows = materialise(rows, "augmented")
+        alike = rows.select("y", F.lit(1.0).alias("times"), "w", "g")
+    else:
+        alike = materialise(both.groupBy("m", "g", "y").agg(F.count(F.lit(1)).cast("double").alias("times")).mapInArrow(run, "y double, times double, w array<double>, g array<int>"), "augmented")
+    return Genome(kind, t, number, rows, alike, int(alike.agg(F.sum("times")).first()[0] or 0))
+
+
+def _read(batches, per: int):
+    """y, times, first row, prior, genotypes: of a few thousand individuals at a time; arrays of copies after those of individuals."""
+    held, n = [], 0
 
-    rows = materialise(sequences(cross).join(people, "ind").mapInArrow(run, "ind long, y double, w array<double>, g array<int>"), "augmented")
-    return Genome(kind, t, number, rows, rows.count())
+    def out():
+        y, times, copies, prior, geno = (np.concatenate(x) for x in zip(*held, strict=True))
+        return np.repeat(y, copies), times, np.append(0, np.cumsum(copies))[:-1], prior, geno.reshape(-1, per)
+
+    for b in batches:
+        if b.num_rows:
+            y = b.column("y").to_numpy() if "y" in b.schema.names else np.zeros(len(b))
+            held.append((y, b.column("times").to_numpy(), np.diff(b.column("w").offsets.to_numpy()), b.column("w").flatten().to_numpy(), b.column("g").flatten().to_numpy()))
+            n += len(b)
+        if n >= ROWS:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
 
 
 def places(g: Genome, step: float, off_end: float, map_function: str = "haldane") -> list[Place]:
@@ -247,9 +345,9 @@ def locus_given_flanks(genotypes: np.ndarray, place: Place, kind: tuple) -> np.n
     return np.where(s > 0, q / np.where(s > 0, s, 1), 1 / k)
 
 
-def equations(y, first, prior, geno, model: Model, kind: tuple, dominance: bool, beta: np.ndarray | None, variance: float) -> np.ndarray:
+def equations(y, first, prior, geno, model: Model, kind: tuple, dominance: bool, beta: np.ndarray | None, variance: float, times=None) -> np.ndarray:
     """What a batch adds to a model: normal equations of posterior weights (columns: intercept, cofactors, locus; trait last), then the log
-    likelihood. ``first``: where each individual's rows begin; without ``beta`` the weights are prior ones."""
+    likelihood. ``first``: where each individual's rows begin; without ``beta`` the weights are prior ones; ``times``: how many individuals each one stands for."""
     k = chains.n_states(kind[0])
     n = len(geno)
     x = np.concatenate([np.ones((n, 1)), *(_columns(geno[:, m], k, dominance) for m in model.cofactors)], axis=1)
@@ -265,8 +363,9 @@ def equations(y, first, prior, geno, model: Model, kind: tuple, dominance: bool,
         top = np.repeat(np.maximum.reduceat(log_f.max(1), first), count)
         w = w * np.exp(log_f - top[:, None])
         total = np.add.reduceat(w.sum(1), first)
-        ll = float((np.log(total) + top[first]).sum())
-    w = w / np.repeat(np.add.reduceat(w.sum(1), first), count)[:, None]
+        each = np.log(total) + top[first]
+        ll = float(each.sum() if times is None else each @ times)
+    w = w * np.repeat((1 if times is None else times) / np.add.reduceat(w.sum(1), first), count)[:, None]
     d = x.shape[1] + own.shape[1] + 1
     out = np.zeros((d, d))
     for v in range(q.shape[1]):
@@ -294,14 +393,9 @@ def fit(g: Genome, models: list[Model], dominance: bool = False, variance: float
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], names=["k", "s"])
 
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                copies = np.diff(b.column("w").offsets.to_numpy())
-                prior, geno = b.column("w").flatten().to_numpy(), b.column("g").flatten().to_numpy().reshape(-1, per)
-                y, first = np.repeat(b.column("y").to_numpy(), copies), np.append(0, np.cumsum(copies))[:-1]
+            for y, times, first, prior, geno in _read(batches, per):
                 for k, (m, beta, var) in now.items():
-                    sums.add((k,), equations(y, first, prior, geno, m, kind, dominance, beta, var))
+                    sums.add((k,), equations(y, first, prior, geno, m, kind, dominance, beta, var, times))
                 if sums.full:
                     yield from out()
             yield from out()
@@ -316,7 +410,7 @@ def fit(g: Genome, models: list[Model], dominance: bool = False, variance: float
                     rows.append((k, b, float(a[-1, -1] - 2 * b @ a[:-1, -1] + b @ a[:-1, :-1] @ b), float(s[-1])))
                 yield pd.DataFrame(rows, columns=["k", "beta", "rss", "ll"])
 
-        got = added(g.rows.select("y", "w", "g").mapInArrow(task, "k int, s array<double>"), ["k"], "s").mapInPandas(solve, "k int, beta array<double>, rss double, ll double")
+        got = added(g.alike.select("y", "times", "w", "g").mapInArrow(task, "k int, s array<double>"), ["k"], "s").mapInPandas(solve, "k int, beta array<double>, rss double, ll double")
         for r in got.collect():
             k, beta, ll = r["k"], np.array(r["beta"]), r["ll"]
             if k in closing:
@@ -383,15 +477,10 @@ def information(g: Genome, loci: list[Place]) -> list[float]:
 
     def task(batches):
         total = np.zeros(len(loci))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            copies = np.diff(b.column("w").offsets.to_numpy())
-            prior, geno = b.column("w").flatten().to_numpy(), b.column("g").flatten().to_numpy().reshape(-1, per)
-            first = np.append(0, np.cumsum(copies))[:-1]
+        for _, times, first, prior, geno in _read(batches, per):
             for k, p in enumerate(loci):
-                total[k] += np.add.reduceat(prior[:, None] * locus_given_flanks(geno, p, kind), first).max(1).sum()
+                total[k] += times @ np.add.reduceat(prior[:, None] * locus_given_flanks(geno, p, kind), first).max(1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loci)), pa.int32()), pa.array(total)], names=["k", "s"])
 
-    got = {r["k"]: r["s"] for r in g.rows.select("w", "g").mapInArrow(task, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    got = {r["k"]: r["s"] for r in g.alike.select("times", "w", "g").mapInArrow(task, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
     return [got.get(k, 0.0) / max(1, g.n) for k in range(len(loci))]
