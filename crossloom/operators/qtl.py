@@ -5,6 +5,7 @@ tables, interactions) is solved from blocks of that matrix."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -22,7 +23,7 @@ from crossloom.functions.stats import chi2_sf, f_sf
 from crossloom.model import Cross
 from crossloom.operators.hmm import Track, codes, lists, tracks
 from crossloom.operators.scan import rss, weighted_average
-from crossloom.operators.scan2 import _chromosomes, people
+from crossloom.operators.scan2 import _chromosomes, gram_of_kinds, people
 from crossloom.operators.sums import TaskSums, added
 from crossloom.runtime import materialise, prepare
 
@@ -199,12 +200,23 @@ class Model:
                         emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
                         got.append(chains.sample(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function), n_draws, [(seed, i, int(x)) for x in b.column("ind").to_numpy()]).astype(float))
                 flat = np.concatenate([x.reshape(len(b), -1) for x in got], axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("ind"), b.column("y"), b.column("z"), lists(flat)], names=["ind", "y", "z", "p"])
-
-        self.table = materialise(rows.mapInArrow(run, "ind long, y double, z array<double>, p array<double>"), "model")
-        m = self.table.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).first()
+                rest = [c for c in b.schema.names if c not in ("m", "g")]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), lists(flat)], names=[*rest, "p"])
+
+        self._people = lambda: rows.select("m", "g", "ind", "y", "z").mapInArrow(run, "ind long, y double, z array<double>, p array<double>")
+        if method == "hk":
+            alike = rows.groupBy("m", "g", "z").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+            self.kinds = materialise(alike.mapInArrow(run, "z array<double>, n double, s double, q double, p array<double>"), "model-kinds")
+            m = self.kinds.agg(F.sum("n").cast("long").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+        else:
+            m = self.table.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).first()
         self.n, self.rss0 = m["n"], m["q"] - m["s"] ** 2 / m["n"]
 
+    @functools.cached_property
+    def table(self) -> DataFrame:
+        """A row for each individual. Normal models on probabilities read ``kinds`` instead: individuals of equal sequences and covariates."""
+        return materialise(self._people(), "model")
+
     def _index(self, locus) -> tuple[int, int]:
         c, _, name = locus
         return self.chrs.index(c), self.tracks[c].names.index(name)
@@ -235,7 +247,7 @@ class Model:
                 n = len(pdf)
                 flat = np.stack(pdf["p"].to_numpy())
                 p = [x.reshape(n, sizes[c], -1) for c, x in enumerate(np.split(flat, cuts, axis=1))]
-                z, y = np.stack(pdf["z"].to_numpy()).reshape(n, -1), pdf["y"].to_numpy()[:, None]
+                z = np.stack(pdf["z"].to_numpy()).reshape(n, -1)
                 for s, extra in enumerate(scans):
                     for d in range(1 if hk else draws):
                         parts = [np.ones((n, 1))]
@@ -244,11 +256,14 @@ class Model:
                             for f in sorted(term, key=_number):
                                 x = (x[:, :, None] * factor(f, p, z, d, extra)[:, None, :]).reshape(n, -1)
                             parts.append(x)
+                        x = np.concatenate(parts, axis=1)
                         if fold is not None:
-                            sums.add((s, d), fold(np.concatenate(parts, axis=1), y[:, 0], d))
-                            continue
-                        m = np.concatenate([*parts, y], axis=1)
-                        sums.add((s, d), m.T @ m)
+                            sums.add((s, d), fold(x, pdf["y"].to_numpy(), d))
+                        elif hk:
+                            sums.add((s, d), gram_of_kinds(x, *(pdf[c].to_numpy() for c in ("n", "s", "q"))))
+                        else:
+                            m = np.concatenate([x, pdf["y"].to_numpy()[:, None]], axis=1)
+                            sums.add((s, d), m.T @ m)
                 if sums.full:
                     yield sent(sums)
             yield sent(sums)
@@ -256,7 +271,8 @@ class Model:
         def sent(sums):
             return pd.DataFrame([(s, d, g.ravel()) for s, d, g in sums.rows()], columns=["s", "d", "g"])
 
-        return added(self.table.mapInPandas(run, "s int, d int, g array<double>"), ["s", "d"], "g"), scans
+        rows = self.kinds if hk and fold is None else self.table
+        return added(rows.mapInPandas(run, "s int, d int, g array<double>"), ["s", "d"], "g"), scans
 
     def grams(self, loci: list, terms, scan: list | None = None, fold=None) -> list[np.ndarray]:
         """Gram matrices (one for each imputation, or one) of the ones, the terms' columns and the response; for a scan, the loci in it

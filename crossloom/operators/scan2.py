@@ -28,6 +28,18 @@ def people(cross: Cross, trait: str) -> DataFrame:
     return sequences(cross).join(y, "ind")
 
 
+def kinds(cross: Cross, trait: str) -> DataFrame:
+    """m, g, n, s, q: for each genotype sequence, how many individuals with the trait have it, and sums of their trait and its squares. A normal
+    model on probabilities needs no more of them."""
+    return people(cross, trait).groupBy("m", "g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+
+
+def gram_of_kinds(x: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Gram matrix of columns and response, summed over the individuals of kinds."""
+    b = x.T @ s
+    return np.block([[(x * n[:, None]).T @ x, b[:, None]], [b[None], np.array([[q.sum()]])]])
+
+
 def _loci(t: dict[str, Track]) -> list[tuple[str, int]]:
     return [(c, k) for c in sorted(t) for k in range(len(t[c].pos))]
 
@@ -100,15 +112,15 @@ def scantwo_hk(cross: Cross, trait: str, step: float = 0.0, error: float = 1e-4,
     def run(batches):
         sums = TaskSums()
         for b in batches:
-            y = b.column("y").to_numpy()[:, None]
+            n, s, q = (b.column(c).to_numpy() for c in ("n", "s", "q"))
             for at, x, k1 in joint_designs(_chromosomes(b, t, kind, error, map_function), loci, independent):
-                z = np.concatenate([x, y, np.ones_like(y)], axis=1)
-                sums.add((at, k1), z.T @ z)
+                k = [*range(x.shape[1]), x.shape[1] + 1, x.shape[1]]  # the ones go last
+                sums.add((at, k1), gram_of_kinds(np.concatenate([x, np.ones((len(n), 1))], axis=1), n, s, q)[np.ix_(k, k)])
             if sums.full:
                 yield from _sent(sums, "s")
         yield from _sent(sums, "s")
 
-    gram = added(people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>"), ["pair", "k1"], "s")
+    gram = materialise(added(kinds(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>"), ["pair", "k1"], "s"), "grams")
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 
     def solve(batches):
@@ -287,7 +299,7 @@ def calc_penalties_x(perms: DataFrame, alpha: float = 0.05) -> dict[str, float]:
 
 
 def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, error: float = 1e-4, map_function: str = "haldane", seed: int = 1) -> DataFrame:
-    """Pairs of loci by multiple imputation: Gram matrices of each draw are summed in one pass and their LODs combined."""
+    """Pairs of loci by multiple imputation: counts and sums of each draw's cells are added up in one pass and their LODs combined."""
     from crossloom.operators.scan import weighted_average
 
     prepare(cross.geno.sparkSession)
@@ -304,28 +316,30 @@ def scantwo_imp(cross: Cross, trait: str, n_draws: int = 8, step: float = 0.0, e
             for i, c in enumerate(sorted(t)):
                 emit = chains.emissions(kind[0], codes(b, t[c]), error, t[c].chrtype)
                 got[c] = chains.sample(emit, chains.initial(kind[0], t[c].chrtype, kind[1]), t[c].steps(kind, map_function), n_draws, [(seed, i, int(x)) for x in ids])
-            y, at = b.column("y").to_numpy()[:, None], 0
+            y, at = b.column("y").to_numpy(), 0
+            yy, draw = np.repeat(y, n_draws), np.tile(np.arange(n_draws), len(y))
             for i, (c1, u) in enumerate(loci):
                 for c2, v in loci[i + 1 :]:
-                    for d in range(n_draws):
-                        cell = (got[c1][:, u, d].astype(int) - 1) * k[c2] + got[c2][:, v, d] - 1
-                        z = np.concatenate([(cell[:, None] == np.arange(k[c1] * k[c2])).astype(float), y, np.ones_like(y)], axis=1)
-                        sums.add((at * n_draws + d, k[c1]), z.T @ z)
+                    q = k[c1] * k[c2]
+                    cell = ((got[c1][:, u].astype(np.int64) - 1) * k[c2] + got[c2][:, v] - 1).ravel() + draw * q
+                    sums.add((at, k[c1]), np.bincount(cell, minlength=n_draws * q), np.bincount(cell, yy, n_draws * q), np.array([y @ y]))
                     at += 1
             if sums.full:
-                yield from _sent(sums, "s")
-        yield from _sent(sums, "s")
+                yield from _sent(sums, "n", "s", "q")
+        yield from _sent(sums, "n", "s", "q")
 
-    gram = added(people(cross, trait).mapInArrow(run, "pair int, k1 int, s array<double>"), ["pair", "k1"], "s")
-    whole = gram.groupBy(F.floor(F.col("pair") / n_draws).cast("int").alias("pair"), "k1").agg(F.collect_list("s").alias("s"))
+    whole = added(people(cross, trait).mapInArrow(run, "pair int, k1 int, n array<double>, s array<double>, q array<double>"), ["pair", "k1"], "n", "s", "q")
     pairs = [(a, b) for i, a in enumerate(loci) for b in loci[i + 1 :]]
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for pair, k1, ss in zip(pdf["pair"], pdf["k1"], pdf["s"], strict=True):
-                d = math.isqrt(len(ss[0]))
-                lods = np.array([_lods(np.asarray(s).reshape(d, d), k1, (d - 2) // k1) for s in ss])
+            for pair, k1, n, s, q in zip(pdf["pair"], pdf["k1"], pdf["n"], pdf["s"], pdf["q"], strict=True):
+                lods = []
+                for cells, sums in zip(np.asarray(n).reshape(n_draws, -1), np.asarray(s).reshape(n_draws, -1), strict=True):
+                    last = np.array([[q[0], sums.sum()], [sums.sum(), cells.sum()]])
+                    lods.append(_lods(np.block([[np.diag(cells), np.column_stack([sums, cells])], [np.vstack([sums, cells]), last]]), k1, len(cells) // k1))
+                lods = np.array(lods)
                 (c1, a), (c2, b) = pairs[pair]
                 out.append((c1, t[c1].pos[a], t[c1].names[a], c2, t[c2].pos[b], t[c2].names[b], trait, *(weighted_average(lods[:, j]) for j in range(4))))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
