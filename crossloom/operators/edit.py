@@ -19,11 +19,20 @@ def _map_order() -> Window:
     return Window.partitionBy("chr").orderBy("ord")
 
 
+#: Markers that go along with every task. Beyond them they are joined, which sends all genotypes of a marker to one place.
+MOST_MARKERS = 200_000
+
+
+def _few(markers: DataFrame) -> bool:
+    return markers.limit(MOST_MARKERS + 1).count() <= MOST_MARKERS
+
+
 def renumber(cross: Cross) -> Cross:
     """Orders 1, 2, ... within each chromosome again, from positions and old orders."""
     w = Window.partitionBy("chr").orderBy("pos", "ord", "marker")
     m = cross.map.withColumn("ord", F.row_number().over(w).cast("int")).select(cross.map.columns)
-    return cross.with_(map=m, geno=cross.geno.drop("ord", "chr").join(m.select("marker", "chr", "ord"), "marker").select(_G))
+    place = m.select("marker", "chr", "ord")
+    return cross.with_(map=m, geno=cross.geno.drop("ord", "chr").join(F.broadcast(place) if _few(cross.map) else place, "marker").select(_G))
 
 
 def null_markers(cross: Cross) -> DataFrame:
@@ -32,12 +41,17 @@ def null_markers(cross: Cross) -> DataFrame:
 
 
 def drop_markers(cross: Cross, markers: DataFrame) -> Cross:
+    return _without(cross, markers, _few(markers))
+
+
+def _without(cross: Cross, markers: DataFrame, few: bool) -> Cross:
     names = markers.select("marker").distinct()
+    names = F.broadcast(names) if few else names
     return cross.with_(geno=cross.geno.join(names, "marker", "left_anti").select(_G), map=cross.map.join(names, "marker", "left_anti").select(cross.map.columns))
 
 
 def drop_null_markers(cross: Cross) -> Cross:
-    return drop_markers(cross, null_markers(cross))
+    return _without(cross, null_markers(cross), _few(cross.map))
 
 
 def drop_dup_markers(cross: Cross) -> Cross:
