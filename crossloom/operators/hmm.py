@@ -21,6 +21,8 @@ from crossloom.model import PROB, Cross
 from crossloom.runtime import materialise, prepare
 
 SHORT_END = 5.0
+#: Markers whose numbers go along with every task.
+MOST_MARKERS = 200_000
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,8 @@ def sequences(cross: Cross) -> DataFrame:
     """ind, m (numbers of typed markers in the map's order, ascending), g: a row for every individual."""
     order = [(r["marker"], k) for k, r in enumerate(cross.map.orderBy("chr", "ord").select("marker").collect())]
     place = cross.map.sparkSession.createDataFrame(order, "marker string, m int")
+    if len(order) <= MOST_MARKERS:  # else genotypes would be sorted by marker, in as many tasks as there are markers
+        place = F.broadcast(place)
     typed = cross.geno.where("g IS NOT NULL").join(place, "marker").groupBy("ind").agg(F.array_sort(F.collect_list(F.struct("m", "g"))).alias("x"))
     return cross.individual.select("ind").join(typed, "ind", "left").select("ind", F.coalesce("x.m", F.array().cast("array<int>")).alias("m"), F.coalesce("x.g", F.array().cast("array<int>")).alias("g"))
 

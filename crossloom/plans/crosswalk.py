@@ -30,7 +30,7 @@ def sales_cross(spark: SparkSession, sf_dir: str, crosstype: str = "f2") -> Cros
     flag, status = F.min("l_returnflag"), F.min("l_linestatus")
     g = {"f2": F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3), "4way": F.when(flag == "A", 1).otherwise(2) + F.when(status == "F", 0).otherwise(2)}.get(crosstype, F.when(status == "F", 1).otherwise(2))
     geno = (
-        lines.groupBy(F.col("l_orderkey").alias("ind"), "l_linenumber").agg(g.cast("int").alias("g"))
+        lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("ind"), "l_linenumber").agg(g.cast("int").alias("g"))
         .select("ind", chr_.alias("chr"), F.concat(F.lit("M"), F.col("l_linenumber").cast("string")).alias("marker"), ord_.alias("ord"), "g")
     )
     orders = _read(spark, sf_dir, "orders")
