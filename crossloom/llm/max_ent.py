@@ -5,19 +5,26 @@ two words before, and the one before the last (a skip).
 
 * The class part is a softmax over ``CLASSES`` classes. The most frequent words have classes of their own; any other word's
   class is a hash of its last two bytes, which tell languages and endings apart.
-* The word part walks a binary tree over the words of a class; every branching is a logistic model whose weights are looked up by the
-  hash of branching and feature. A word that the training documents have after none of a shard's words is reached by a leaf "other",
-  whose mass is shared out by add-one counts among the words without a leaf. Counts are exact, over all training documents.
+* The word part is a softmax over all outcomes of a class, from their add-one shares: the broadcast words, and hashed buckets of all
+  others. A bucket's mass is shared out among its words by add-one counts. Counts are exact, over all training documents. The
+  normaliser is exact: what outcomes without a weight add is known by class and part, the others are added one by one.
 
-Shards: tokens are dealt by the word before them to shards of about ``SHARD_TOKENS`` tokens, so the shards' number, and with it the
-number of weights, grows with the corpus; a word with too many followers is spread over several by document. All weights of the first two
-features of a history live in its shard; those of the skip feature, and the words' trees, are a shard's own. ``GROUP_SHARDS`` shards are
-shuffled together, and the tokens go through in ``SLICES`` passes, so only a part of them is on disk at once. Nothing depends on how
-the input or the shuffles are partitioned.
+One model: every weight is one number, trained from all training tokens it has to do with, however these are dealt.
 
-Training: gradient updates over all of a shard's training tokens, feature by feature: each weight moves by the sum of its gradients over the
-sum of its curvatures and a ridge, given what the features before it already explain; ``ROUNDS`` rounds. Equal (history, word) events are
-one row with a count. Scoring goes by the same rows. Weights never leave their task, and no model is ever gathered.
+* The skip feature's weights (rows hashed to a table that grows up to ``SKIP_ROWS``; classes, and ``PARTS`` parts of a class) come from gradients
+  that each task counts and Spark adds up. They are broadcast.
+* Tokens are dealt to groups by the word before them, so the weights of the first two features are partitioned by it, and their number grows
+  with the corpus. Where more than ``HOT_TOKENS`` tokens follow a word, they are dealt by the pair of words before; the counts of what
+  follows the word, summed over all tasks, go to each of its groups, so its weights are the same in all of them.
+
+The tokens go through in ``SLICES`` passes, so only a part of them is on disk at once. Nothing depends on how the input or the shuffles are
+partitioned, nor on the number of groups.
+
+Training: updates by gradients over all training tokens, in blocks. The skip and the word before move together, from the prior (so
+that only counts have to be summed over tasks; the skip makes ``SHARE`` of its step), then the two words before, given what these
+explain. A class's weight moves by its gradient over its curvature and a ridge; a word's weight moves to where its gradient, with a ridge, is zero (iterative scaling).
+The skip's parts of a class move as classes do. ``ROUNDS`` rounds. Equal (history, word) events are one row with a count. Scoring goes by the same rows.
+Ridges were chosen on training documents alone (those with a remainder of 3 were left out to compare).
 
 Counting: each task reduces its words before they are shuffled, so a word that makes up a third of all is one row a task.
 Looking up: words with so high a count that at most ``TOP_WORDS`` words have it are broadcast (a bound that doesn't grow); a document's sums
@@ -49,15 +56,24 @@ OWN = 12
 TOP_WORDS = 200_000
 SHARD_TOKENS = 100_000
 GROUP_SHARDS = 4
-SLICES = 3
+SLICES = 2
 ROUNDS = 1
 FLUSH_TOKENS = 1_000_000
-#: Ridges of the features' weights, and the largest step of a weight.
-RIDGE = (1.0, 1.0, 1.0)
+#: Parts of a class that skip weights tell apart; at most so many buckets of rare words a class, and rows of skip weights.
+PARTS = 8
+BUCKETS = 4096
+SKIP_ROWS = 1 << 16
+BLOCKS = 64
+#: Words that more tokens follow are spread over groups; their counts go along.
+HOT_TOKENS = 400_000
+EVENTS = 50_000
+#: Ridges of the features' weights (and of words' weights), the part of its step that the skip makes beside the word before, and the largest step of a weight.
+RIDGE = (2.0, 0.5, 1.0)
+WORD_RIDGE = (0.3, 0.1)
+SHARE = 0.3
 LARGEST = 6.0
-#: Rows of logits, and branchings, that are worked on at once: what is in hand stays in a core's cache.
+#: Rows of logits that are worked on at once: what is in hand stays in a core's cache.
 ROWS = 512
-WAYS = 1 << 14
 END = np.uint64(0x5EED0FE4D)
 
 
@@ -90,6 +106,12 @@ class Tokens:
         back2[np.minimum(self.first[:-1] + 1, self.first[1:] - 1)] = END
         return back1, back2
 
+    def follow(self, place: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """Of each token the place of the word before it, from the words' places."""
+        out = np.append(np.int32(0), place[:-1])
+        out[self.first[:-1]] = v.find(np.array([END]))[0]
+        return out
+
 
 def _merge(word: list, tail: list, n: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w, t, k = np.concatenate(word), np.concatenate(tail), np.concatenate(n)
@@ -143,7 +165,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Totals, the frequent words with their counts, and the sizes of classes."""
 
-    def __init__(self, word: np.ndarray, cls: np.ndarray, n: np.ndarray, n_class: np.ndarray, v_class: np.ndarray):
+    def __init__(self, word: np.ndarray, cls: np.ndarray, n: np.ndarray, n_class: np.ndarray, v_class: np.ndarray, rare: np.ndarray | None = None):
+        """``rare``: counts and numbers of the words that aren't frequent, by class and bucket (2 x CLASSES x buckets)."""
         order = np.argsort(word)
         self.word, self.count = word[order], n[order]
         own = np.lexsort((word, -n))[:OWN]
@@ -155,6 +178,33 @@ class Vocabulary:
         for k, w in enumerate(self.own_word):
             n_class[k], v_class[k] = n[word == w][0], 1
         self.n_class, self.v_class = n_class, v_class
+        self._outcomes(cls[order], rare if rare is not None else np.zeros((2, CLASSES, 1), np.int64))
+
+    def _outcomes(self, cls: np.ndarray, rare: np.ndarray) -> None:
+        """Outcomes are numbered class by class: frequent words, then the class's buckets of other words. ``share``: an outcome's
+        add-one share of its class, ``inside``: what a rare word's count + 1 is divided by within its bucket."""
+        self.buckets = rare.shape[2]
+        cls = cls.copy()
+        cls[np.searchsorted(self.word, self.own_word)] = np.arange(len(self.own_word))
+        k = np.arange(OWN, CLASSES)
+        every = np.concatenate([cls, np.repeat(k, self.buckets)])
+        mass = np.concatenate([self.count + 1.0, (rare.sum(0)[OWN:] + 1.0).ravel()])
+        order = np.argsort(every, kind="stable")
+        number = np.empty(len(every), np.int32)
+        number[order] = np.arange(len(every))
+        self.by_place, self.by_bucket = np.append(np.int32(-1), number[: len(cls)]), number[len(cls) :].reshape(len(k), self.buckets)
+        self.cls_of, mass = every[order].astype(np.int8), mass[order]
+        self.share = mass / np.bincount(self.cls_of, mass, minlength=CLASSES)[self.cls_of]
+        self.inside = np.where(order < len(cls), 1.0, mass)
+        self.part = (mix(np.arange(len(every)).astype(np.uint64)) % np.uint64(PARTS)).astype(np.int8)
+        self.shares = np.bincount(self.cls_of.astype(np.int64) * PARTS + self.part, self.share, CLASSES * PARTS).reshape(CLASSES, PARTS)
+        self.prior = np.log((self.n_class + 1) / (self.n_class.sum() + CLASSES))
+
+    def outcomes(self, word: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+        out = self.by_place[place]
+        rare = np.flatnonzero(place == 0)
+        out[rare] = self.by_bucket[np.maximum(cls[rare], OWN) - OWN, (word[rare] % np.uint64(self.buckets)).astype(np.int64)]
+        return out
 
     def classes(self, t: Tokens) -> np.ndarray:
         out = _tail_class(t.tail).astype(np.int64)
@@ -206,121 +256,121 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     n_class, v_class = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         n_class[r["cls"]], v_class[r["cls"]] = r["n"], r["v"]
-    return Vocabulary(top.column("word").to_numpy().view(np.uint64), top.column("cls").to_numpy().astype(np.int64), top.column("n").to_numpy(), n_class, v_class)
+    rest = counts.where(F.col("n") < least)
+    buckets = 1 + min(BUCKETS - 1, rest.count() // (16 * (CLASSES - OWN)))
+    rare = np.zeros((2, CLASSES, buckets), np.int64)
+    # A word's hash is unsigned where it is dealt: the remainder of its 64 bits, from those of its halves.
+    high, low = F.shiftrightunsigned("word", 32), F.col("word").bitwiseAND(F.lit(0xFFFFFFFF))
+    bucket = ((high % buckets) * F.lit((1 << 32) % buckets) + low % buckets) % buckets
+    found = rest.groupBy("cls", bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    at = found.column("cls").to_numpy(), found.column("bucket").to_numpy()
+    rare[0][at], rare[1][at] = found.column("n").to_numpy(), found.column("v").to_numpy()
+    return Vocabulary(top.column("word").to_numpy().view(np.uint64), top.column("cls").to_numpy().astype(np.int64), top.column("n").to_numpy(), n_class, v_class, rare)
 
 
-_READ = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, total double, word long, n int"
+_READ = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, total double, word long, n int, part int, data binary"
 
 
-def _document_rows(docs: DataFrame, shared) -> DataFrame:
+def _document_rows(docs: DataFrame, shared, rows_of_skips: int) -> DataFrame:
     """For each document its tokens, the frequent ones among them and the sum of their log10(count + 1) (word is null), and a row for
-    each other word of a document with its count in it (doc_id, n_tokens are null)."""
+    each other word of a document with its count in it (doc_id, n_tokens are null). Beside them, from training documents: what a task counts
+    for the skip feature (``part``: 0 up, a block of rows of ``skip_counts``), and how often what follows the words that are spread over
+    groups (``part`` -1; word: place of the word before and outcome)."""
 
     def run(batches):
         v = shared.value
-        kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("total", pa.float64()), ("word", pa.int64()), ("n", pa.int32())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("total", pa.float64()), ("word", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+
+        def batch(length, **columns):
+            return pa.RecordBatch.from_arrays([columns[k.name] if k.name in columns else pa.nulls(length, k.type) for k in kinds], schema=kinds)
+
         logs = np.log10(np.append(0, v.count) + 1.0)
+        count = np.append(0, v.count)
+        skips = np.zeros((rows_of_skips, CLASSES + 2 * PARTS), np.float32)
+        seen, held, keys, times, merged = [], 0, [], [], 0
+
+        def follow():
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, np.concatenate(times)).astype(np.int64)
+
+        def follow_rows(key, n):
+            for i in range(0, len(key), 100_000):
+                k = slice(i, i + 100_000)
+                yield batch(len(key[k]), word=pa.array(key[k]), n=pa.array(n[k].astype(np.int32)), part=pa.array(np.full(len(key[k]), -1, np.int32)))
+
+        def flush():
+            nonlocal seen, held, merged
+            back2, outcome, before = (np.concatenate(x) for x in zip(*seen, strict=True))
+            skips.__iadd__(skip_counts(back2, outcome, v, rows_of_skips))
+            seen, held = [], 0
+            many = np.flatnonzero(count[before] > HOT_TOKENS)
+            key, n = np.unique(before[many].astype(np.int64) << 32 | outcome[many], return_counts=True)
+            keys.append(key)
+            times.append(n)
+            merged += len(key)
+
         for b in batches:
-            rows = b.column(2).to_numpy()
+            rows, learn = b.column(2).to_numpy(), ~b.column(3).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in chunks(b.column(1)):
                 t = Tokens(data, offsets)
                 place, n = v.find(t.word), j - i
                 sums = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: E731, B023
-                own = [b.column(0).slice(i, n), b.column(2).slice(i, n), b.column(3).slice(i, n), pa.array(np.diff(t.first)), pa.array(sums((place > 0).astype(np.int64))), pa.array(sums(logs[place])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-                yield pa.RecordBatch.from_arrays(own, schema=kinds)
+                yield batch(n, doc_id=b.column(0).slice(i, n), row=b.column(2).slice(i, n), held_out=b.column(3).slice(i, n), n_tokens=pa.array(np.diff(t.first)), n_known=pa.array(sums((place > 0).astype(np.int64))), total=pa.array(sums(logs[place])))
                 rare = np.flatnonzero(place == 0)
                 order = rare[np.lexsort((t.word[rare], t.doc[rare]))]
-                at, times = _runs(t.doc[order], t.word[order])
-                word, m = t.word[order[at]].view(np.int64), len(at)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(rows[i:j][t.doc[order[at]]]), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(word), pa.array(times.astype(np.int32))], schema=kinds)
+                at, n = _runs(t.doc[order], t.word[order])
+                yield batch(len(at), row=pa.array(rows[i:j][t.doc[order[at]]]), word=pa.array(t.word[order[at]].view(np.int64)), n=pa.array(n.astype(np.int32)))
+                ours = np.flatnonzero(learn[i:j][t.doc])
+                seen.append(((t.before()[1][ours] >> np.uint64(32)).astype(np.uint32), v.outcomes(t.word, v.classes(t), place)[ours], t.follow(place, v)[ours]))
+                held += len(ours)
+                if held > FLUSH_TOKENS:
+                    flush()
+                    if merged > MERGE_ROWS:
+                        key, n = follow()
+                        keys, times, merged = [key], [n], len(key)
+                        if merged > MERGE_ROWS // 2:  # memory stays bounded
+                            yield from follow_rows(key, n)
+                            keys, times, merged = [], [], 0
+        if seen:
+            flush()
+        if keys:
+            yield from follow_rows(*follow())
+        size = max(1, rows_of_skips // BLOCKS)
+        for k in range(0, rows_of_skips, size):
+            if skips[k : k + size].any():
+                yield batch(1, part=pa.array([k // size], pa.int32()), data=pa.array([skips[k : k + size].tobytes()], pa.binary()))
 
     return docs.select("doc_id", "text", "row", "held_out").mapInArrow(run, _READ)
 
 
-def base_scores(docs: DataFrame, counts: DataFrame, shared, v: Vocabulary) -> DataFrame:
-    """doc_id, row, held_out, n_tokens, n_known, base_score, times. docs: doc_id, text, row (a hash of both), held_out. Rows that repeat a document
-    share its key: what is added up for the key is divided by how often it is there (times)."""
-    found = materialise(_document_rows(docs, shared), "document-rows")
-    own = found.where("word IS NULL").drop("word", "n")
-    rare = found.where("word IS NOT NULL").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word")
+def _sum_skips(found: DataFrame, v: Vocabulary, rows: int) -> Skips:
+    """The skip feature's weights, from the sum of all tasks' counts."""
+
+    def run(table):
+        total = 0
+        for x in table.column("data").to_pylist():
+            total = total + np.frombuffer(x, np.float32).astype(np.float64)
+        return pa.table({"part": table.column("part").slice(0, 1), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    width = CLASSES + 2 * PARTS
+    n = np.zeros((rows, width), np.float32)
+    for r in found.where("part >= 0").select("part", "data").groupBy("part").applyInArrow(run, "part int, data binary").toLocalIterator():
+        block = np.frombuffer(r["data"], np.float32).reshape(-1, width)
+        n[r["part"] * len(block) : (r["part"] + 1) * len(block)] = block
+    return Skips(n, v)
+
+
+def base_scores(found: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, row, held_out, n_tokens, n_known, base_score, times, rare_total. found: see ``_document_rows``. Rows that repeat a document
+    share its key: what is added up for the key is divided by how often it is there (times). rare_total: the sum of log10(count + 1) of rare words."""
+    own = found.where("word IS NULL AND part IS NULL").drop("word", "n", "part", "data")
+    rare = found.where("word IS NOT NULL AND part IS NULL").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_total"))
     times = own.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
     extra = times.join(rare, "row", "left").select("row", "times", (F.col("rare_known") / F.col("times")).cast("long").alias("rare_known"), (F.col("rare_total") / F.col("times")).alias("rare_total"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     base = F.col("total") + zero("rare_total") - F.col("n_tokens") * float(np.log10(v.tokens + v.distinct + 1))
-    return own.join(extra, "row").select("doc_id", "row", "held_out", "n_tokens", "times", (F.col("n_known") + zero("rare_known")).alias("n_known"), base.alias("base_score"))
-
-
-class Tree:
-    """Binary codes of the words of each class that a shard learns from, and of each such class's leaf "other".
-
-    A leaf's code is the middle of its share of the class, cut to as many bits as tell it from its neighbours; branchings with one
-    way out are left out. Each word that a shard has once also counts once as "other". ``path`` has each leaf's branchings and bits."""
-
-    def __init__(self, n: np.ndarray, cls: np.ndarray):
-        """n: how often the shard's training tokens have each word; cls: the words' classes. Leaves "other" come after the words."""
-        own = np.unique(cls)
-        once = np.bincount(cls[n == 1], minlength=CLASSES)[own]
-        self.leaves, self.n = len(n), n
-        self.cls = np.concatenate([cls, own])
-        self.other = np.full(CLASSES, -1, np.int64)
-        self.other[own] = len(n) + np.arange(len(own))
-        m = np.concatenate([n, once + 1]).astype(float)
-        order = np.argsort(self.cls, kind="stable")
-        end = np.cumsum(m[order])
-        total = np.bincount(self.cls, m, minlength=CLASSES)
-        begin = np.concatenate([[0.0], np.cumsum(total)])[:-1]
-        middle = np.empty(len(m))
-        middle[order] = end - m[order] / 2
-        share = np.clip((middle - begin[self.cls]) / total[self.cls], 0, 1 - 2**-40)
-        bits = np.ceil(-np.log2(m / total[self.cls])).astype(np.int64) + 1
-        code = (share * 2**40).astype(np.uint64)
-        leaf = np.repeat(np.arange(len(m)), bits)
-        depth = np.arange(len(leaf)) - np.repeat(np.cumsum(bits) - bits, bits)
-        bit = (code[leaf] >> (39 - depth).astype(np.uint64)) & np.uint64(1)
-        name = ((code[leaf] >> (40 - depth).astype(np.uint64)) * np.uint64(64) + depth.astype(np.uint64)) * np.uint64(CLASSES) + self.cls[leaf].astype(np.uint64)
-        found, node = np.unique(name, return_inverse=True)
-        one = np.bincount(node, m[leaf] * bit, minlength=len(found))
-        both = np.bincount(node, m[leaf], minlength=len(found))
-        real = ((one > 0) & (both - one > 0.5))[node]
-        self.node, self.bit = node[real].astype(np.int32), bit[real].astype(np.float32)
-        self.name = mix(found)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.bias = np.log(one / (both - one)).astype(np.float32)
-        self.size = np.bincount(leaf[real], minlength=len(m))
-        self.start = np.cumsum(self.size) - self.size
-
-    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the event, index of the branching among ``node`` and ``bit``) of each event's branchings."""
-        n = self.size[leaf]
-        event = np.repeat(np.arange(len(leaf)), n)
-        return event, np.arange(len(event)) + np.repeat(self.start[leaf] - (np.cumsum(n) - n), n)
-
-
-def word_part(tree: Tree, features: np.ndarray, leaf: np.ndarray, times: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural log of the probability of each leaf within its class. Trains a weight for each (feature, branching), hashed to a table as
-    large as there are branchings on all events' ways; ``times``: how often an event is to be learned from (0: only scored)."""
-    event, at = tree.path(leaf)
-    node, bit = tree.node[at], tree.bit[at]
-    half = lambda h: (h >> np.uint64(32)).astype(np.uint32)
-    times, x, name = times.astype(np.float32)[event], tree.bias[node], half(tree.name)[node]
-    shift = np.uint32(32 - min(31, max(10, len(event).bit_length())))
-    size = 1 << (32 - int(shift))
-    place = np.empty(len(event), np.int64)
-    gradient, curvature = np.empty_like(x), np.empty_like(x)
-    cuts = [slice(i, i + WAYS) for i in range(0, len(event), WAYS)]
-    for _ in range(rounds):
-        for f, ridge in zip(half(features), RIDGE, strict=True):
-            for k in cuts:
-                place[k] = ((f[event[k]] + name[k]) * np.uint32(0x9E3779B1)) >> shift
-                p = 1 / (1 + np.exp(-x[k]))
-                gradient[k] = (bit[k] - p) * times[k]
-                curvature[k] = p * (1 - p) * times[k]
-            step = np.bincount(place, gradient, size) / (np.bincount(place, curvature, size) + ridge)
-            step = np.clip(step, -LARGEST, LARGEST).astype(np.float32)
-            for k in cuts:
-                x[k] += step[place[k]]
-    return np.bincount(event, -np.logaddexp(np.float32(0), (1 - 2 * bit) * x), minlength=len(leaf))
+    return own.join(extra, "row").select("doc_id", "row", "held_out", "n_tokens", "times", (F.col("n_known") + zero("rare_known")).alias("n_known"), base.alias("base_score"), zero("rare_total").alias("rare_total"))
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,107 +384,186 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(new)))
 
 
-def class_part(prior: np.ndarray, back1: np.ndarray, back2: np.ndarray, cls: np.ndarray, times: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def step(n: np.ndarray, expected: np.ndarray, ridge: float) -> np.ndarray:
+    """How far a weight moves: where the gradient n - expected * exp(x) - ridge * x is 0, by Newton steps from above."""
+    n, expected = np.asarray(n, np.float64), np.maximum(expected, 1e-30)
+    x = np.maximum(0, np.minimum(np.log(np.maximum(n, 1e-30) / expected), n / ridge))
+    for _ in range(4):
+        e = expected * np.exp(x)
+        x -= (e + ridge * x - n) / (e + ridge)
+    return x
+
+
+def class_part(prior: np.ndarray, back1: np.ndarray, back2: np.ndarray, cls: np.ndarray, times: np.ndarray, rounds: int = ROUNDS, skip: np.ndarray | None = None, known: tuple | None = None) -> np.ndarray:
     """Natural log of the probability of each event's class; events are sorted by (back1, back2). Logits depend on the pair of words
-    before only, so all sums go over pairs: a row of ``CLASSES`` counts and gradients for each."""
+    before only, so all sums go over pairs: a row of ``CLASSES`` counts and gradients for each. ``skip``: weights of the skip feature
+    of each pair; ``known``: (which words before, their counts by class), where these events are not all that follow a word."""
     at, length = _runs(back1, back2)
     pair = np.repeat(np.arange(len(at)), length)
-    one, two = back1[at], back2[at]
     n = np.bincount(pair * CLASSES + cls, times, minlength=len(at) * CLASSES).astype(np.float32).reshape(-1, CLASSES)
     total = n.sum(1, keepdims=True)
-    skip = np.argsort(two, kind="stable")
+    start, size = _runs(back1[at])
     x = np.tile(prior.astype(np.float32), (len(at), 1))
-    gradient, curvature = np.empty_like(n), np.empty_like(n)
-
-    def sums() -> None:
-        for i in range(0, len(x), ROWS):
-            k = slice(i, i + ROWS)
-            p = np.exp(x[k] - x[k].max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            gradient[k] = n[k] - total[k] * p
-            curvature[k] = total[k] * p * (1 - p)
-
-    def move(rows: np.ndarray | None, keys: np.ndarray, ridge: float) -> None:
-        start, size = _runs(keys if rows is None else keys[rows])
-        g, c = (np.add.reduceat(y if rows is None else y[rows], start, axis=0) for y in (gradient, curvature))
-        step = np.repeat(np.clip(g / (c + np.float32(ridge)), -LARGEST, LARGEST), size, axis=0)
-        if rows is None:
-            np.add(x, step, out=x)
-        else:
-            x[rows] += step
+
+    def move(g: np.ndarray, c: np.ndarray, ridge: float) -> np.ndarray:
+        return np.clip(g / (c + np.float32(ridge)), -LARGEST, LARGEST)
 
     for k in range(rounds):
         if k:
-            sums()
-        else:  # all logits are the prior still
+            g, c = np.empty_like(n), np.empty_like(n)
+            _residuals(x, n, total, g, c)
+            g, c = (np.add.reduceat(y, start, axis=0) for y in (g, c))
+        else:  # the first round starts at the prior: only counts matter, which may come from other tasks, too
+            first = np.add.reduceat(n, start, axis=0)
+            if known is not None:
+                first[known[0]] = known[1]
             p = np.exp(x[:1] - x[:1].max())
             p /= p.sum()
-            np.subtract(n, total * p, out=gradient)
-            np.multiply(total, p * (1 - p), out=curvature)
-        move(None, one, RIDGE[0])
+            g, c = first - first.sum(1, keepdims=True) * p, first.sum(1, keepdims=True) * (p * (1 - p))
+        x += np.repeat(move(g, c, RIDGE[0]), size, axis=0)
+        if not k and skip is not None:
+            x += skip[at]
         for i in range(0, len(x), ROWS):  # the two words before: each pair's row is its own
-            k = slice(i, i + ROWS)
-            p = np.exp(x[k] - x[k].max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            x[k] += np.clip((n[k] - total[k] * p) / (total[k] * p * (1 - p) + np.float32(RIDGE[1])), -LARGEST, LARGEST)
-        sums()
-        move(skip, two, RIDGE[2])
+            j = slice(i, i + ROWS)
+            g, c = np.empty_like(n[j]), np.empty_like(n[j])
+            _residuals(x[j], n[j], total[j], g, c)
+            x[j] += move(g, c, RIDGE[1])
     top = x.max(1)
     return (x[pair, cls] - (np.log(np.exp(x - top[:, None]).sum(1)) + top)[pair]).astype(float)
 
 
+def _residuals(x: np.ndarray, n: np.ndarray, total: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> None:
+    p = np.exp(x - x.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    q = total * p
+    np.subtract(n, q, out=gradient)
+    np.multiply(q, 1 - p, out=curvature)
+
+
+class Skips:
+    """Weights of the skip feature, shared by all tasks: hashed rows by the word before the last for classes, and by it and the class for
+    ``PARTS`` parts of a class's outcomes. From counts over all training tokens: ``n``: rows x (CLASSES + PARTS)."""
+
+    def __init__(self, n: np.ndarray, v: Vocabulary):
+        self.rows = len(n)
+        by_class, by_part = n[:, :CLASSES].astype(np.float64), n[:, CLASSES:].astype(np.float64)
+        p = np.exp(v.prior - v.prior.max())
+        p /= p.sum()
+        total = by_class.sum(1, keepdims=True)
+        self.cls = (SHARE * np.clip((by_class - total * p) / (total * p * (1 - p) + RIDGE[2]), -LARGEST, LARGEST)).astype(np.float32)
+        # Rows of parts are hashed by class too, so what is expected is counted beside: see ``skip_counts``.
+        seen, wanted = by_part[:, :PARTS], by_part[:, PARTS:]
+        self.part = (SHARE * np.clip((seen - wanted) / (wanted + RIDGE[2]), -LARGEST, LARGEST)).astype(np.float32)
+
+
+def skip_cells(back2: np.ndarray, cls: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row for classes, row for parts. back2: 32 bits."""
+    back2 = back2.astype(np.uint64)
+    return (mix(back2 + np.uint64(12)) % np.uint64(rows)).astype(np.int64), (mix(back2 * np.uint64(CLASSES) + cls.astype(np.uint64) + (np.uint64(1) << np.uint64(40))) % np.uint64(rows)).astype(np.int64)
+
+
+def skip_counts(back2: np.ndarray, outcome: np.ndarray, v: Vocabulary, rows: int) -> np.ndarray:
+    """rows x (CLASSES + 2 * PARTS): counts by class; counts and expected counts (at the prior) by part of a class."""
+    cls = v.cls_of[outcome].astype(np.int64)
+    one, two = skip_cells(back2, cls, rows)
+    out = np.empty((rows, CLASSES + 2 * PARTS), np.float32)
+    out[:, :CLASSES] = np.bincount(one * CLASSES + cls, minlength=rows * CLASSES).reshape(rows, CLASSES)
+    out[:, CLASSES : CLASSES + PARTS] = np.bincount(two * PARTS + v.part[outcome], minlength=rows * PARTS).reshape(rows, PARTS)
+    at, times = np.unique(two * CLASSES + cls, return_counts=True)
+    for g in range(PARTS):
+        out[:, CLASSES + PARTS + g] = np.bincount(at // CLASSES, times * v.shares[at % CLASSES, g], rows)
+    return out
+
+
+def event_scores(back1: np.ndarray, back2: np.ndarray, outcome: np.ndarray, times: np.ndarray, v: Vocabulary, skips: Skips | None = None, hot: dict | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """Natural log of the probability of each outcome; distinct events, sorted by (back1, back2, outcome). Trains the weights of the
+    first two features from these events, which are all of their words before, but for the words in ``hot``: their counts over the whole
+    corpus are given (outcomes, counts). The softmax within a class runs over all its outcomes: what outcomes without a weight add is known by
+    class and part, the others are added one by one."""
+    cls = v.cls_of[outcome].astype(np.int64)
+    first, size = _runs(back1)
+    head = np.repeat(np.arange(len(first)), size)
+    wide = np.int64(len(v.share))
+    keys, ns = head * wide + outcome, times
+    known = None
+    if hot:
+        which = [(i, hot[int(w)]) for i, w in enumerate(back1[first]) if int(w) in hot]
+        if which:
+            ns = np.where(np.isin(head, [i for i, _ in which]), 0.0, times)
+            known = np.array([i for i, _ in which]), np.stack([np.bincount(v.cls_of[o], n, minlength=CLASSES) for _, (o, n) in which])
+            keys = np.concatenate([keys, *(i * wide + o for i, (o, _) in which)])
+            ns = np.concatenate([ns, *(n for _, (_, n) in which)])
+    skip = None
+    if skips is not None:
+        one, two = skip_cells(back2, cls, skips.rows)
+        skip = skips.cls[one]
+    out = class_part(v.prior, back1, back2, cls, times, rounds, skip, known)
+
+    # The word before.
+    pairs, inverse = np.unique(keys, return_inverse=True)
+    n = np.bincount(inverse, ns)
+    o = pairs % wide
+    share, of = v.share[o], v.cls_of[o].astype(np.int64)
+    at, length = _runs(pairs // wide, of)
+    row = np.repeat(np.arange(len(at)), length)
+    weight = np.where(n > 0, step(n, np.add.reduceat(n, at)[row] * share, WORD_RIDGE[0]), 0.0)
+    mass = v.shares[of[at]] + np.bincount(row * PARTS + v.part[o], share * np.expm1(weight), len(at) * PARTS).reshape(-1, PARTS)
+    mine = inverse[: len(outcome)]
+    weight, mass_of, share, part = weight[mine], row[mine], share[mine], v.part[outcome]
+
+    # The skip, then the two words before.
+    at, length = _runs(back1, back2, cls)
+    row = np.repeat(np.arange(len(at)), length)
+    if skips is not None:
+        rates = np.exp(skips.part[two[at]].astype(np.float64))
+        whole = (mass[mass_of[at]] * rates).sum(1)
+        like = share * np.exp(weight) * rates[row, part]
+    else:
+        whole, like = mass[mass_of[at]].sum(1), share * np.exp(weight)
+    n = np.add.reduceat(times, at)
+    weight = np.where(times > 0, step(times, n[row] * like / whole[row], WORD_RIDGE[1]), 0.0)
+    whole += np.add.reduceat(like * np.expm1(weight), at)
+    return out + np.log(like) + weight - np.log(whole)[row] - np.log(v.inside[outcome])
+
+
 def shard_scores(back1: np.ndarray, back2: np.ndarray, word: np.ndarray, cls: np.ndarray, learn: np.ndarray, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Trains a shard's model. (log10 probability of each token, does log10(count + 1) of a rare word have to be added?)"""
-    order = np.lexsort((word, back2, back1))
-    at, length = _runs(back1[order], back2[order], word[order])
-    times = np.add.reduceat(learn[order].astype(float), at)
-    back1, back2, word, cls = (k[order[at]] for k in (back1, back2, word, cls))
-    out = class_part(np.log((v.n_class + 1) / (v.n_class.sum() + CLASSES)), back1, back2, cls, times, rounds)
-
-    alone = cls < len(v.own_word)
-    key, inverse = np.unique(word, return_inverse=True)
-    n = np.bincount(inverse, np.where(alone, 0.0, times), minlength=len(key)).astype(np.int64)
-    of = np.zeros(len(key), np.int64)
-    of[inverse] = cls
-    has = np.flatnonzero(n)
-    place = np.full(len(key), -1)
-    place[has] = np.arange(len(has))
-    # What "other" stands for: all words of the class without a leaf here, and one unknown one. A rare word's count is taken
-    # as the shard's own, which is never more than its whole count, so probabilities never sum to more than one.
-    rest = (v.n_class + v.v_class + 1).astype(float)
-    plain = np.ones(len(word), bool)
-    if len(has):
-        tree = Tree(n[has], of[has])
-        leaf = place[inverse]
-        leaf = np.where(leaf >= 0, leaf, tree.other[cls])
-        use = np.flatnonzero(~alone & (leaf >= 0))
-        again = use[(times[use] > 0) & (n[inverse[use]] == 1)]
-        features = np.stack([mix(back1 + np.uint64(11)), mix(back1 * np.uint64(3) + mix(back2)), mix(back2 + np.uint64(12))])
-        both = np.concatenate([use, again])
-        goal = np.concatenate([leaf[use], tree.other[cls[again]]])
-        out[use] += word_part(tree, features[:, both], goal, np.concatenate([times[use], np.ones(len(again))]), rounds)[: len(use)]
-        count, frequent = v.counts(key[has])
-        rest -= np.bincount(of[has], np.where(frequent, count, n[has]) + 1.0, minlength=CLASSES)
-        plain = alone | (leaf < 0) | (leaf >= tree.leaves)
-    out /= np.log(10)
-    count, frequent = v.counts(word[plain])
-    out[plain] += np.log10(count + 1.0) - np.log10(np.maximum(rest, 1.0)[cls[plain]])
-    open_ = plain.copy()
-    open_[plain] = ~frequent
-    scores, adds = np.empty(len(order)), np.empty(len(order), bool)
-    scores[order], adds[order] = np.repeat(out, length), np.repeat(open_, length)
-    return scores, adds
-
-
-def shard_of(back1: np.ndarray, count: np.ndarray, row: np.ndarray, shards: int) -> np.ndarray:
-    """By the word before; where many tokens follow it (``count``), also by the document."""
-    pieces = (1 + 4 * count // SHARD_TOKENS).astype(np.uint64)
-    x = back1
-    many = np.flatnonzero(pieces > 1)
+    """Trains a model on these tokens alone, without the skip feature. (log10 probability of each token, does log10(count + 1) of a rare word have to be added?)"""
+    place = v.find(word)
+    scores = token_scores(back1, back2, v.outcomes(word, cls, place), learn, v, rounds=rounds)
+    return scores, place == 0
+
+
+def token_scores(back1: np.ndarray, back2: np.ndarray, outcome: np.ndarray, learn: np.ndarray, v: Vocabulary, skips: Skips | None = None, hot: dict | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """log10 probability of each token, but for log10(count + 1) of rare words. Events go through some ten thousand at once, cut between
+    words before."""
+    heads, index = np.unique(back1, return_inverse=True)
+    bits, wide = len(heads).bit_length(), int(len(v.share)).bit_length()
+    left = np.uint64(min(32, 64 - bits - wide))
+    key = ((index.astype(np.uint64) << left) | (mix(back2.astype(np.uint64)) >> (np.uint64(64) - left))) << np.uint64(wide) | outcome.astype(np.uint64)
+    order = np.argsort(key)
+    at, length = _runs(key[order])
+    times = np.add.reduceat(learn[order].astype(float), at) if len(at) else np.zeros(0)
+    e = order[at]
+    one, two, what = back1[e], back2[e], outcome[e]
+    ends, begin, got = np.append(_runs(one)[0][1:], len(e)), 0, []
+    while begin < len(e):
+        end = int(ends[min(np.searchsorted(ends, begin + EVENTS), len(ends) - 1)])
+        k = slice(begin, end)
+        got.append(event_scores(one[k], two[k], what[k], times[k], v, skips, hot, rounds))
+        begin = end
+    out = np.empty(len(order))
+    out[order] = np.repeat(np.concatenate(got), length) / np.log(10) if got else 0.0
+    return out
+
+
+def group_of(back1: np.ndarray, count: np.ndarray, back2: np.ndarray, groups: int) -> np.ndarray:
+    """All that follows a word is in one group, so its weights are; where too many tokens follow it (``count``), all that follows a pair."""
+    x = mix(back1)
+    many = np.flatnonzero(count > HOT_TOKENS)
     if len(many):
-        x = back1.copy()
-        x[many] += (mix(row[many].view(np.uint64)) % pieces[many]) * np.uint64(0xD6E8FEB86659FD93)
-    return (mix(x) % np.uint64(shards)).astype(np.int32)
+        pieces = (1 + count[many] // HOT_TOKENS).astype(np.uint64)
+        x[many] += mix(back2[many].astype(np.uint64) + np.uint64(7)) % pieces
+    return (x % np.uint64(groups)).astype(np.int32)
 
 
 def pack(back1: np.ndarray, back2: np.ndarray, place: np.ndarray, word: np.ndarray, row: np.ndarray, kind: np.ndarray) -> bytes:
@@ -450,6 +579,14 @@ def pack(back1: np.ndarray, back2: np.ndarray, place: np.ndarray, word: np.ndarr
 
 def unpack(data: bytes, v: Vocabulary) -> tuple[np.ndarray, ...]:
     """back1, back2, word, row, kind."""
+    back1, back2, place, rare, row, kind = _fields(data)
+    word = np.append(np.uint64(0), v.word)[place]
+    word[place == 0] = rare
+    return back1, back2.astype(np.uint64), word, row, kind
+
+
+def _fields(data: bytes) -> tuple[np.ndarray, ...]:
+    """back1, back2, place, rare words, row, kind."""
     n, heads, docs, rare, width = np.frombuffer(data, np.int32, 5)
     at = 20
     out = []
@@ -457,13 +594,11 @@ def unpack(data: bytes, v: Vocabulary) -> tuple[np.ndarray, ...]:
         out.append(np.frombuffer(data, dtype, k, at))
         at += int(k) * np.dtype(dtype).itemsize
     back1, rows, rare, length, back2, place, index, kind = out
-    word = np.append(np.uint64(0), v.word)[place]
-    word[place == 0] = rare
-    return np.repeat(back1, length), back2.astype(np.uint64), word, rows[index], kind
+    return np.repeat(back1, length), back2, place, rare, rows[index], kind
 
 
-def _deal(docs: DataFrame, shared, groups: int, each: int, of: int, which: int) -> DataFrame:
-    """grp, data: packed tokens of the groups of ``each`` shards whose number is ``which`` modulo ``of``."""
+def _deal(docs: DataFrame, shared, groups: int, of: int, which: int) -> DataFrame:
+    """grp, hot, data: packed tokens of the groups whose number is ``which`` modulo ``of`` (hot is null); outcomes go in the place of words' places."""
 
     def run(batches):
         v = shared.value
@@ -477,23 +612,20 @@ def _deal(docs: DataFrame, shared, groups: int, each: int, of: int, which: int)
             at, length = _runs(group)
             for i in range(0, len(at), 64):
                 data = [pack(*(x[lo : lo + n] for x in columns)) for lo, n in zip(at[i : i + 64], length[i : i + 64], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(group[at[i : i + 64]]), pa.array(data, pa.binary())], names=["grp", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[at[i : i + 64]]), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], names=["grp", "hot", "data"])
 
         for b in batches:
             rows, learn = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in chunks(b.column(0)):
                 t = Tokens(data, offsets)
                 back1, back2 = t.before()
-                place = v.find(t.word)
-                follow = np.append(0, place[:-1])
-                follow[t.first[:-1]] = v.find(np.array([END]))[0]
-                row = rows[i:j][t.doc]
-                group = shard_of(back1, count[follow], row, groups * each) // each
+                place, back2 = v.find(t.word), (back2 >> np.uint64(32)).astype(np.uint32)
+                group = group_of(back1, count[t.follow(place, v)], back2, groups)
                 ours = np.flatnonzero(group % of == which)
                 if not len(ours):
                     continue
-                kind = v.classes(t).astype(np.uint8) | (learn[i:j][t.doc].astype(np.uint8) << 7)
-                parts.append((group[ours], back1[ours], (back2[ours] >> np.uint64(32)).astype(np.uint32), place[ours], t.word[ours], row[ours], kind[ours]))
+                outcome, kind = 1 + v.outcomes(t.word, v.classes(t), place), learn[i:j][t.doc].astype(np.uint8) << 7
+                parts.append((group[ours], back1[ours], back2[ours], outcome[ours], t.word[ours], rows[i:j][t.doc[ours]], kind[ours]))
                 held += len(ours)
                 if held > FLUSH_TOKENS:
                     yield from out()
@@ -501,65 +633,75 @@ def _deal(docs: DataFrame, shared, groups: int, each: int, of: int, which: int)
         if parts:
             yield from out()
 
-    return docs.mapInArrow(run, "grp int, data binary")
+    return docs.mapInArrow(run, "grp int, hot long, data binary")
 
 
-_PIECES = ((np.int64, 0), (np.float32, 0), (np.int64, 1), (np.int64, 1), (np.int32, 1))
+def hot_rows(found: DataFrame, v: Vocabulary, groups: int) -> DataFrame | None:
+    """grp, hot, data: for each word whose tokens are spread over groups (hot: its hash), what follows it in all training documents and how often
+    (outcomes, counts), for each of its groups."""
+    many = np.flatnonzero(v.count > HOT_TOKENS)
+    if not len(many):
+        return None
+    where = []
+    for k in many:
+        pieces = np.arange(1 + int(v.count[k]) // HOT_TOKENS, dtype=np.uint64)
+        where += [(int(k) + 1, int(g)) for g in np.unique((mix(v.word[k : k + 1]) + pieces) % np.uint64(groups))]
+    names = dict(zip((many + 1).tolist(), v.word[many].view(np.int64).tolist(), strict=True))
 
+    def run(table):
+        outcome, n = table.column("outcome").to_numpy().astype(np.int32), table.column("n").to_numpy().astype(np.int64)
+        place = table.column("place")[0].as_py()
+        return pa.table({"place": pa.array([place], pa.int64()), "hot": pa.array([names[place]], pa.int64()), "data": pa.array([outcome.tobytes() + n.tobytes()], pa.binary())})
 
-def _group_scores(dealt: DataFrame, shared, each: int, buckets: int) -> DataFrame:
-    """bucket, data: for each bucket of documents, what a group's tokens add to them, packed: documents and sums of log10 probabilities;
-    documents, words and how often log10(count + 1) of the word has to be added."""
+    follow = found.where("part = -1").groupBy("word").agg(F.sum("n").alias("n"))
+    follow = follow.select(F.shiftright("word", 32).alias("place"), F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outcome"), "n")
+    lists = follow.groupBy("place").applyInArrow(run, "place long, hot long, data binary")
+    return materialise(lists.join(found.sparkSession.createDataFrame(where, "place long, grp int"), "place").select("grp", "hot", "data"), "hot-words")
+
+
+def _group_scores(dealt: DataFrame, shared, skips, buckets: int) -> DataFrame:
+    """bucket, data: for each bucket of documents, what a group's tokens add to them, packed: documents and sums of log10 probabilities."""
 
     def run(table):
         v = shared.value
-        back1, back2, word, row, kind = (np.concatenate(x) for x in zip(*(unpack(x, v) for x in table.column("data").to_pylist()), strict=True))
+        tokens, hot = [], {}
+        for word, x in zip(table.column("hot").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if word is None:
+                tokens.append(_fields(x))
+            else:
+                n = len(x) // 12
+                hot[word % 2**64] = np.frombuffer(x, np.int32, n), np.frombuffer(x, np.int64, n, 4 * n)
         del table
-        count = v.counts(back1)[0]
-        mine = shard_of(back1, count, row, each)  # what is left of the shard's number
-        score, rare = np.empty(len(word)), np.empty(len(word), bool)
-        for s in range(each):
-            k = np.flatnonzero(mine == s)
-            if len(k):
-                score[k], rare[k] = shard_scores(back1[k], back2[k], word[k], (kind[k] & np.uint8(127)).astype(np.int64), kind[k] > 127, v)
+        if not tokens:
+            return pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        back1, back2, outcome, _, row, kind = (np.concatenate(x) for x in zip(*tokens, strict=True))
+        del tokens
+        score = token_scores(back1, back2, outcome - 1, kind > 127, v, skips.value, hot)
         rows, at = np.unique(row, return_inverse=True)
-        of = lambda x: (x.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-        bucket = of(rows)
+        bucket = (rows.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        own = [x[order] for x in (bucket, rows, np.bincount(at, score).astype(np.float32))]
-        order = np.lexsort((word[rare], row[rare], of(row[rare])))
-        prow, pword = row[rare][order], word[rare][order].view(np.int64)
-        first, times = _runs(prow, pword)
-        added = [of(prow[first]), prow[first], pword[first], times.astype(np.int32)]
-        start, size = _runs(own[0])
-        lo, hi = (np.searchsorted(added[0], own[0][start], side) for side in ("left", "right"))
-        data = []
-        for i, n, j, k in zip(start, size, lo, hi, strict=True):
-            data.append(b"".join([np.array([n, k - j], np.int32).tobytes(), *(x[i : i + n].tobytes() for x in own[1:]), *(x[j:k].tobytes() for x in added[1:])]))
-        return pa.table({"bucket": own[0][start], "data": pa.array(data, pa.binary())})
+        bucket, rows, sums = (x[order] for x in (bucket, rows, np.bincount(at, score).astype(np.float32)))
+        start, size = _runs(bucket)
+        data = [np.array([n], np.int32).tobytes() + rows[i : i + n].tobytes() + sums[i : i + n].tobytes() for i, n in zip(start, size, strict=True)]
+        return pa.table({"bucket": bucket[start], "data": pa.array(data, pa.binary())})
 
     return dealt.groupBy("grp").applyInArrow(run, "bucket int, data binary")
 
 
 def _bucket_sums(packed: DataFrame) -> DataFrame:
-    """row, word, total, n: sums of each document, and (where word isn't null) the words whose log10(count + 1) is to be added n times."""
+    """row, total: sums of each document."""
 
     def run(table):
-        parts: list = [[] for _ in _PIECES]
+        parts = []
         for x in table.column("data").to_pylist():
-            sizes, at = np.frombuffer(x, np.int32, 2), 8
-            for k, (dtype, which) in enumerate(_PIECES):
-                parts[k].append(np.frombuffer(x, dtype, sizes[which], at))
-                at += int(sizes[which]) * np.dtype(dtype).itemsize
-        row, total, prow, pword, n = map(np.concatenate, parts)
-        rows, at = np.unique(row, return_inverse=True)
-        none = np.arange(len(rows) + len(prow)) < len(rows)
-        return pa.table({
-            "row": np.concatenate([rows, prow]), "word": pa.array(np.concatenate([np.zeros(len(rows), np.int64), pword]), mask=none),
-            "total": np.concatenate([np.bincount(at, total), np.zeros(len(prow))]), "n": np.concatenate([np.zeros(len(rows), np.int64), n.astype(np.int64)]),
-        })
+            n = int(np.frombuffer(x, np.int32, 1)[0])
+            parts.append((np.frombuffer(x, np.int64, n, 4), np.frombuffer(x, np.float32, n, 4 + 8 * n)))
+        row, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((total, row))  # sums don't depend on the order in which groups come
+        rows, at = np.unique(row[order], return_inverse=True)
+        return pa.table({"row": rows, "total": np.bincount(at, total[order])})
 
-    return packed.groupBy("bucket").applyInArrow(run, "row long, word long, total double, n long")
+    return packed.groupBy("bucket").applyInArrow(run, "row long, total double")
 
 
 def _let_go(spark) -> None:
@@ -570,25 +712,27 @@ def _let_go(spark) -> None:
         time.sleep(0.5)
 
 
-def word_scores(docs: DataFrame, counts: DataFrame, shared, v: Vocabulary) -> DataFrame:
-    """row, total: sum of the log10 probabilities of a document's tokens, by the shards' models. docs: text, row, learn."""
+def word_scores(docs: DataFrame, found: DataFrame, shared, v: Vocabulary, rows: int) -> DataFrame:
+    """row, sum: sum of the log10 probabilities of a document's tokens, but for log10(count + 1) of rare words. docs: text, row, learn."""
     spark = docs.sparkSession
-    shards = 1 + v.tokens * 7 // (6 * SHARD_TOKENS)
-    each = min(shards, GROUP_SHARDS)
-    groups = -(-shards // each)
+    skips = spark.sparkContext.broadcast(_sum_skips(found, v, rows))
+    groups = 1 + v.tokens * 7 // (6 * GROUP_SHARDS * SHARD_TOKENS)
+    hot = hot_rows(found, v, groups)
     slices = SLICES if groups > 8 * SLICES else 1
     sums = []
     for k in range(slices):
-        got = _bucket_sums(_group_scores(_deal(docs, shared, groups, each, slices, k), shared, each, groups))
-        sums.append(materialise(got, "shard-sums"))
-        del got
-        _let_go(spark)
+        dealt = _deal(docs, shared, groups, slices, k)
+        if hot is not None:
+            dealt = dealt.unionByName(hot.where(F.col("grp") % slices == k))
+        got = _bucket_sums(_group_scores(dealt, shared, skips, groups))
+        sums.append(materialise(got, "group-sums"))
+        del got, dealt
+        if slices > 1:
+            _let_go(spark)
     every = sums[0]
     for x in sums[1:]:
         every = every.unionByName(x)
-    rare = every.where("word IS NOT NULL").join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    rare = rare.select("row", (F.log10(F.coalesce("c", F.lit(0)) + 1.0) * F.col("n")).alias("total"))
-    return every.where("word IS NULL").select("row", "total").unionByName(rare).groupBy("row").agg(F.sum("total").alias("sum"))
+    return every.groupBy("row").agg(F.sum("total").alias("sum"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -599,7 +743,9 @@ def score(docs: DataFrame) -> DataFrame:
     counts = materialise(word_counts(docs), "word-counts")
     v = vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
+    rows = min(SKIP_ROWS, max(1024, 1 << (v.tokens // 64).bit_length()))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), (~training(F.col("doc_id"))).alias("held_out"))
-    sums = word_scores(keyed.select("text", "row", (~F.col("held_out")).alias("learn")), counts, shared, v)
-    base = base_scores(keyed, counts, shared, v)
-    return base.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("sum") / F.col("times")).alias("score"))
+    found = materialise(_document_rows(keyed, shared, rows), "document-rows")
+    sums = word_scores(keyed.select("text", "row", (~F.col("held_out")).alias("learn")), found, shared, v, rows)
+    base = base_scores(found, counts, v)
+    return base.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("sum") / F.col("times") + F.col("rare_total")).alias("score"))

@@ -146,3 +146,41 @@ def test_held_out_texts_score_above_the_base(spark):
         rows.append((i, " ".join(w)))
     got = [r for r in m.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert len(got) > 50 and sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
+
+
+@pytest.mark.parametrize("hot", [10**9, 300])
+def test_one_model_however_tokens_are_dealt(docs, monkeypatch, hot):
+    """Scores are those of one model over all tasks: not of as many as there are groups, nor of pieces of what follows a frequent word."""
+    want = {r.doc_id: r.score for r in m.score(docs).collect()}
+    monkeypatch.setattr(m, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(m, "HOT_TOKENS", hot)
+    monkeypatch.setattr(m, "FLUSH_TOKENS", 500)
+    got = {r.doc_id: r.score for r in m.score(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(x - want[i]) < 1e-5 * max(1, abs(x)) for i, x in got.items())
+
+
+def test_all_outcomes_sum_to_one_with_every_feature():
+    """The softmax within a class against a plain sum over all outcomes, also of rare words' buckets, for histories seen and unseen."""
+    rng = np.random.default_rng(8)
+    words, n = rng.integers(1, 2**62, 400).astype(np.uint64), rng.integers(2, 60, 400)
+    cls = m._tail_class(words).astype(np.int64)
+    rare = np.zeros((2, m.CLASSES, 3), np.int64)
+    rare[:, m.OWN :] = rng.integers(1, 9, (2, m.CLASSES - m.OWN, 3))
+    v = m.Vocabulary(words, cls, n, np.bincount(cls, n, minlength=m.CLASSES).astype(np.int64) + rare[0].sum(1), np.bincount(cls, minlength=m.CLASSES) + rare[1].sum(1), rare)
+    every = len(v.share)
+    assert np.allclose(np.bincount(v.cls_of, v.share), 1)
+    skips = m.Skips(m.skip_counts(rng.integers(0, 5, 4000).astype(np.uint32), rng.integers(0, every, 4000), v, 64), v)
+    learned = rng.integers(0, 4, 3000), rng.integers(0, 5, 3000), rng.integers(0, 90, 3000)
+    back1, back2 = np.repeat([0, 1, 9], 2 * every), np.tile(np.repeat([0, 3], every), 3)
+    one, two, what = (np.concatenate(x) for x in zip(learned, (back1, back2, np.tile(np.arange(every), 6)), strict=True))
+    got = m.token_scores(one.astype(np.uint64), two.astype(np.uint32), what.astype(np.int32), np.arange(len(one)) < 3000, v, skips)
+    mass = (10 ** got[3000:] * v.inside[what[3000:]]).reshape(6, every).sum(1)
+    assert np.allclose(mass, 1, atol=1e-4)
+
+
+def test_steps_are_where_the_gradient_is_zero():
+    rng = np.random.default_rng(9)
+    n, expected = rng.integers(1, 500, 2000), 10 ** rng.uniform(-6, 3, 2000)
+    x = m.step(n, expected, 0.2)
+    assert np.abs(n - expected * np.exp(x) - 0.2 * x).max() < 0.01 * n.max()
+    assert (np.abs(n - expected * np.exp(x) - 0.2 * x) < 0.05 * n + 1e-6).mean() > 0.95
