@@ -17,7 +17,8 @@ One model: every weight is one number, trained from all training tokens it has t
   with the corpus. Where more than ``HOT_TOKENS`` tokens follow a word, they are dealt by the pair of words before; the counts of what
   follows the word, summed over all tasks, go to each of its groups, so its weights are the same in all of them.
 
-The tokens go through in ``SLICES`` passes, so only a part of them is on disk at once. Nothing depends on how the input or the shuffles are
+Tokens are stored once, as ids of 32 bits, and go through in ``SLICES`` passes, so only a part of them is shuffled at once; ``TASK_GROUPS`` groups go to a task
+together. Nothing depends on how the input or the shuffles are
 partitioned, nor on the number of groups.
 
 Training: updates by gradients over all training tokens, in blocks. The skip and the word before move together, from the prior (so
@@ -49,14 +50,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossloom.llm._batches import Words, chunks, mix
-from crossloom.runtime import materialise, prepare
+from crossloom.runtime import materialise, partitions, prepare
 
 CLASSES = 32
 OWN = 12
 TOP_WORDS = 200_000
 SHARD_TOKENS = 100_000
 GROUP_SHARDS = 4
-SLICES = 2
+SLICES = 4
+TASK_GROUPS = 8
 ROUNDS = 1
 FLUSH_TOKENS = 1_000_000
 #: Parts of a class that skip weights tell apart; at most so many buckets of rare words a class, and rows of skip weights.
@@ -75,6 +77,7 @@ LARGEST = 6.0
 #: Rows of logits that are worked on at once: what is in hand stays in a core's cache.
 ROWS = 512
 END = np.uint64(0x5EED0FE4D)
+RARE = 1 << 31
 
 
 def training(doc_id: Column, modulus: int = 7, out: int = 2) -> Column:
@@ -97,20 +100,15 @@ class Tokens:
         self.tail[at] = w.slices(np.maximum(w.start, w.end - 2), w.end)
         self.doc = np.repeat(np.arange(docs), w.count + 1)
 
-    def before(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token the word before it and the one before that (the end, where the text begins)."""
-        back1, back2 = np.full(len(self.word), END, np.uint64), np.full(len(self.word), END, np.uint64)
-        back1[1:], back2[2:] = self.word[:-1], self.word[:-2]
-        back1[self.first[:-1]] = END
-        back2[self.first[:-1]] = END
-        back2[np.minimum(self.first[:-1] + 1, self.first[1:] - 1)] = END
-        return back1, back2
-
-    def follow(self, place: np.ndarray, v: Vocabulary) -> np.ndarray:
-        """Of each token the place of the word before it, from the words' places."""
-        out = np.append(np.int32(0), place[:-1])
-        out[self.first[:-1]] = v.find(np.array([END]))[0]
-        return out
+
+def before(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the word before it and the one before that (the end, where the text begins). first: see ``Tokens``."""
+    back1, back2 = np.full(len(ids), end, ids.dtype), np.full(len(ids), end, ids.dtype)
+    back1[1:], back2[2:] = ids[:-1], ids[:-2]
+    back1[first[:-1]] = end
+    back2[first[:-1]] = end
+    back2[np.minimum(first[:-1] + 1, first[1:] - 1)] = end
+    return back1, back2
 
 
 def _merge(word: list, tail: list, n: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,12 +198,31 @@ class Vocabulary:
         self.shares = np.bincount(self.cls_of.astype(np.int64) * PARTS + self.part, self.share, CLASSES * PARTS).reshape(CLASSES, PARTS)
         self.prior = np.log((self.n_class + 1) / (self.n_class.sum() + CLASSES))
 
-    def outcomes(self, word: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
-        out = self.by_place[place]
+    def ids(self, word: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words as 32 bits: places, or of rare words the class and the first 26 bits of the hash."""
+        out = place.astype(np.uint32)
         rare = np.flatnonzero(place == 0)
-        out[rare] = self.by_bucket[np.maximum(cls[rare], OWN) - OWN, (word[rare] % np.uint64(self.buckets)).astype(np.int64)]
+        out[rare] = np.uint32(RARE) | (cls[rare].astype(np.uint32) << np.uint32(26)) | (word[rare] >> np.uint64(38)).astype(np.uint32)
+        return out
+
+    def end(self) -> int:
+        """The end's id."""
+        word = np.array([END])
+        return int(self.ids(word, _tail_class(np.zeros(1, np.uint64)), self.find(word))[0])
+
+    def outcomes(self, ids: np.ndarray) -> np.ndarray:
+        rare = np.flatnonzero(ids >= RARE)
+        place = ids.astype(np.int64)
+        place[rare] = 0
+        out = self.by_place[place]
+        cls = (ids[rare] >> np.uint32(26)).astype(np.int64) & 31
+        out[rare] = self.by_bucket[np.maximum(cls, OWN) - OWN, (ids[rare] & np.uint32((1 << 26) - 1)) % np.uint32(self.buckets)]
         return out
 
+    def times(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of frequent words, 0 for others."""
+        return np.append(0, self.count)[np.where(ids >= RARE, 0, ids)]
+
     def classes(self, t: Tokens) -> np.ndarray:
         out = _tail_class(t.tail).astype(np.int64)
         if len(self.own_word):
@@ -259,9 +276,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     rest = counts.where(F.col("n") < least)
     buckets = 1 + min(BUCKETS - 1, rest.count() // (16 * (CLASSES - OWN)))
     rare = np.zeros((2, CLASSES, buckets), np.int64)
-    # A word's hash is unsigned where it is dealt: the remainder of its 64 bits, from those of its halves.
-    high, low = F.shiftrightunsigned("word", 32), F.col("word").bitwiseAND(F.lit(0xFFFFFFFF))
-    bucket = ((high % buckets) * F.lit((1 << 32) % buckets) + low % buckets) % buckets
+    bucket = F.shiftrightunsigned("word", 38) % buckets
     found = rest.groupBy("cls", bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     at = found.column("cls").to_numpy(), found.column("bucket").to_numpy()
     rare[0][at], rare[1][at] = found.column("n").to_numpy(), found.column("v").to_numpy()
@@ -275,7 +290,7 @@ def _document_rows(docs: DataFrame, shared, rows_of_skips: int) -> DataFrame:
     """For each document its tokens, the frequent ones among them and the sum of their log10(count + 1) (word is null), and a row for
     each other word of a document with its count in it (doc_id, n_tokens are null). Beside them, from training documents: what a task counts
     for the skip feature (``part``: 0 up, a block of rows of ``skip_counts``), and how often what follows the words that are spread over
-    groups (``part`` -1; word: place of the word before and outcome)."""
+    groups (``part`` -1; word: place of the word before and outcome). The tokens of all documents are stored as ids (``part`` -2)."""
 
     def run(batches):
         v = shared.value
@@ -284,8 +299,7 @@ def _document_rows(docs: DataFrame, shared, rows_of_skips: int) -> DataFrame:
         def batch(length, **columns):
             return pa.RecordBatch.from_arrays([columns[k.name] if k.name in columns else pa.nulls(length, k.type) for k in kinds], schema=kinds)
 
-        logs = np.log10(np.append(0, v.count) + 1.0)
-        count = np.append(0, v.count)
+        logs, end = np.log10(np.append(0, v.count) + 1.0), v.end()
         skips = np.zeros((rows_of_skips, CLASSES + 2 * PARTS), np.float32)
         seen, held, keys, times, merged = [], 0, [], [], 0
 
@@ -300,11 +314,11 @@ def _document_rows(docs: DataFrame, shared, rows_of_skips: int) -> DataFrame:
 
         def flush():
             nonlocal seen, held, merged
-            back2, outcome, before = (np.concatenate(x) for x in zip(*seen, strict=True))
+            back2, outcome, back1 = (np.concatenate(x) for x in zip(*seen, strict=True))
             skips.__iadd__(skip_counts(back2, outcome, v, rows_of_skips))
             seen, held = [], 0
-            many = np.flatnonzero(count[before] > HOT_TOKENS)
-            key, n = np.unique(before[many].astype(np.int64) << 32 | outcome[many], return_counts=True)
+            many = np.flatnonzero(v.times(back1) > HOT_TOKENS)
+            key, n = np.unique(back1[many].astype(np.int64) << 32 | outcome[many], return_counts=True)
             keys.append(key)
             times.append(n)
             merged += len(key)
@@ -321,9 +335,13 @@ def _document_rows(docs: DataFrame, shared, rows_of_skips: int) -> DataFrame:
                 at, n = _runs(t.doc[order], t.word[order])
                 yield batch(len(at), row=pa.array(rows[i:j][t.doc[order[at]]]), word=pa.array(t.word[order[at]].view(np.int64)), n=pa.array(n.astype(np.int32)))
                 ours = np.flatnonzero(learn[i:j][t.doc])
-                seen.append(((t.before()[1][ours] >> np.uint64(32)).astype(np.uint32), v.outcomes(t.word, v.classes(t), place)[ours], t.follow(place, v)[ours]))
+                ids = v.ids(t.word, v.classes(t), place)
+                back1, back2 = before(ids, t.first, end)
+                seen.append((back2[ours], v.outcomes(ids)[ours], back1[ours]))
                 held += len(ours)
-                if held > FLUSH_TOKENS:
+                stored = np.array([j - i], np.int32), rows[i:j], np.diff(t.first).astype(np.uint32), learn[i:j].astype(np.uint8), ids
+                yield batch(1, part=pa.array([-2], pa.int32()), data=pa.array([b"".join(x.tobytes() for x in stored)], pa.binary()))
+                if held > FLUSH_TOKENS // 4:
                     flush()
                     if merged > MERGE_ROWS:
                         key, n = follow()
@@ -363,7 +381,7 @@ def _sum_skips(found: DataFrame, v: Vocabulary, rows: int) -> Skips:
 def base_scores(found: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
     """doc_id, row, held_out, n_tokens, n_known, base_score, times, rare_total. found: see ``_document_rows``. Rows that repeat a document
     share its key: what is added up for the key is divided by how often it is there (times). rare_total: the sum of log10(count + 1) of rare words."""
-    own = found.where("word IS NULL AND part IS NULL").drop("word", "n", "part", "data")
+    own = found.where("n_tokens IS NOT NULL").drop("word", "n", "part", "data")
     rare = found.where("word IS NOT NULL AND part IS NULL").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_total"))
     times = own.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
@@ -527,9 +545,9 @@ def event_scores(back1: np.ndarray, back2: np.ndarray, outcome: np.ndarray, time
 
 
 def shard_scores(back1: np.ndarray, back2: np.ndarray, word: np.ndarray, cls: np.ndarray, learn: np.ndarray, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Trains a model on these tokens alone, without the skip feature. (log10 probability of each token, does log10(count + 1) of a rare word have to be added?)"""
+    """A model of these tokens alone, without the skip feature. (log10 probability of each token, does log10(count + 1) of a rare word have to be added?)"""
     place = v.find(word)
-    scores = token_scores(back1, back2, v.outcomes(word, cls, place), learn, v, rounds=rounds)
+    scores = token_scores(back1, back2, v.outcomes(v.ids(word, cls, place)), learn, v, rounds=rounds)
     return scores, place == 0
 
 
@@ -597,13 +615,13 @@ def _fields(data: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(back1, length), back2, place, rare, rows[index], kind
 
 
-def _deal(docs: DataFrame, shared, groups: int, of: int, which: int) -> DataFrame:
-    """grp, hot, data: packed tokens of the groups whose number is ``which`` modulo ``of`` (hot is null); outcomes go in the place of words' places."""
+def _deal(found: DataFrame, shared, groups: int, of: int, which: int) -> DataFrame:
+    """grp, hot, data: packed tokens of the groups whose number is ``which`` modulo ``of`` (hot is null); outcomes go in the place of words'
+    places. Words before are ids. found: see ``_document_rows``."""
 
     def run(batches):
         v = shared.value
-        count = np.append(0, v.count)
-        parts, held = [], 0
+        parts, held, end = [], 0, v.end()
 
         def out():
             group, back1, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -615,17 +633,17 @@ def _deal(docs: DataFrame, shared, groups: int, of: int, which: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(group[at[i : i + 64]]), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], names=["grp", "hot", "data"])
 
         for b in batches:
-            rows, learn = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in chunks(b.column(0)):
-                t = Tokens(data, offsets)
-                back1, back2 = t.before()
-                place, back2 = v.find(t.word), (back2 >> np.uint64(32)).astype(np.uint32)
-                group = group_of(back1, count[t.follow(place, v)], back2, groups)
+            for data in b.column(0):
+                data = data.as_buffer()
+                n = int(np.frombuffer(data, np.int32, 1)[0])
+                rows, size, learn, ids = (np.frombuffer(data, dtype, k, at) for dtype, k, at in ((np.int64, n, 4), (np.uint32, n, 4 + 8 * n), (np.uint8, n, 4 + 12 * n), (np.uint32, -1, 4 + 13 * n)))
+                back1, back2 = before(ids, np.append(0, np.cumsum(size, dtype=np.int64)), end)
+                group = group_of(back1.astype(np.uint64), v.times(back1), back2, groups)
                 ours = np.flatnonzero(group % of == which)
                 if not len(ours):
                     continue
-                outcome, kind = 1 + v.outcomes(t.word, v.classes(t), place), learn[i:j][t.doc].astype(np.uint8) << 7
-                parts.append((group[ours], back1[ours], back2[ours], outcome[ours], t.word[ours], rows[i:j][t.doc[ours]], kind[ours]))
+                doc, outcome = np.repeat(np.arange(n), size)[ours], 1 + v.outcomes(ids[ours])
+                parts.append((group[ours], back1[ours].astype(np.uint64), back2[ours], outcome, outcome, rows[doc], learn[doc] << np.uint8(7)))
                 held += len(ours)
                 if held > FLUSH_TOKENS:
                     yield from out()
@@ -633,11 +651,11 @@ def _deal(docs: DataFrame, shared, groups: int, of: int, which: int) -> DataFram
         if parts:
             yield from out()
 
-    return docs.mapInArrow(run, "grp int, hot long, data binary")
+    return found.where("part = -2").select("data").mapInArrow(run, "grp int, hot long, data binary")
 
 
 def hot_rows(found: DataFrame, v: Vocabulary, groups: int) -> DataFrame | None:
-    """grp, hot, data: for each word whose tokens are spread over groups (hot: its hash), what follows it in all training documents and how often
+    """grp, hot, data: for each word whose tokens are spread over groups (hot: its place), what follows it in all training documents and how often
     (outcomes, counts), for each of its groups."""
     many = np.flatnonzero(v.count > HOT_TOKENS)
     if not len(many):
@@ -645,38 +663,41 @@ def hot_rows(found: DataFrame, v: Vocabulary, groups: int) -> DataFrame | None:
     where = []
     for k in many:
         pieces = np.arange(1 + int(v.count[k]) // HOT_TOKENS, dtype=np.uint64)
-        where += [(int(k) + 1, int(g)) for g in np.unique((mix(v.word[k : k + 1]) + pieces) % np.uint64(groups))]
-    names = dict(zip((many + 1).tolist(), v.word[many].view(np.int64).tolist(), strict=True))
+        where += [(int(k) + 1, int(g)) for g in np.unique((mix(np.array([k + 1], np.uint64)) + pieces) % np.uint64(groups))]
 
     def run(table):
         outcome, n = table.column("outcome").to_numpy().astype(np.int32), table.column("n").to_numpy().astype(np.int64)
-        place = table.column("place")[0].as_py()
-        return pa.table({"place": pa.array([place], pa.int64()), "hot": pa.array([names[place]], pa.int64()), "data": pa.array([outcome.tobytes() + n.tobytes()], pa.binary())})
+        return pa.table({"hot": table.column("place").slice(0, 1), "data": pa.array([outcome.tobytes() + n.tobytes()], pa.binary())})
 
     follow = found.where("part = -1").groupBy("word").agg(F.sum("n").alias("n"))
     follow = follow.select(F.shiftright("word", 32).alias("place"), F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outcome"), "n")
-    lists = follow.groupBy("place").applyInArrow(run, "place long, hot long, data binary")
-    return materialise(lists.join(found.sparkSession.createDataFrame(where, "place long, grp int"), "place").select("grp", "hot", "data"), "hot-words")
+    lists = follow.groupBy("place").applyInArrow(run, "hot long, data binary")
+    return materialise(lists.join(found.sparkSession.createDataFrame(where, "hot long, grp int"), "hot").select("grp", "hot", "data"), "hot-words")
 
 
 def _group_scores(dealt: DataFrame, shared, skips, buckets: int) -> DataFrame:
-    """bucket, data: for each bucket of documents, what a group's tokens add to them, packed: documents and sums of log10 probabilities."""
+    """bucket, data: for each bucket of documents, what a batch of groups adds to them, packed: documents and sums of log10 probabilities. Groups go
+    one by one; a document's sums over a batch are one, so what is sent back grows less with the number of groups."""
 
-    def run(table):
-        v = shared.value
+    def group(words, packed):
         tokens, hot = [], {}
-        for word, x in zip(table.column("hot").to_pylist(), table.column("data").to_pylist(), strict=True):
+        for word, x in zip(words.to_pylist(), packed.to_pylist(), strict=True):
             if word is None:
                 tokens.append(_fields(x))
             else:
                 n = len(x) // 12
-                hot[word % 2**64] = np.frombuffer(x, np.int32, n), np.frombuffer(x, np.int64, n, 4 * n)
-        del table
+                hot[word] = np.frombuffer(x, np.int32, n), np.frombuffer(x, np.int64, n, 4 * n)
         if not tokens:
-            return pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+            return np.zeros(0, np.int64), np.zeros(0)
         back1, back2, outcome, _, row, kind = (np.concatenate(x) for x in zip(*tokens, strict=True))
         del tokens
-        score = token_scores(back1, back2, outcome - 1, kind > 127, v, skips.value, hot)
+        rows, at = np.unique(row, return_inverse=True)
+        return rows, np.bincount(at, token_scores(back1, back2, outcome - 1, kind > 127, shared.value, skips.value, hot))
+
+    def run(table):
+        number = table.column("grp").to_numpy()
+        parts = [group(*(table.column(k).take(pa.array(np.flatnonzero(number == g))) for k in ("hot", "data"))) for g in np.unique(number)]
+        row, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         rows, at = np.unique(row, return_inverse=True)
         bucket = (rows.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -685,7 +706,7 @@ def _group_scores(dealt: DataFrame, shared, skips, buckets: int) -> DataFrame:
         data = [np.array([n], np.int32).tobytes() + rows[i : i + n].tobytes() + sums[i : i + n].tobytes() for i, n in zip(start, size, strict=True)]
         return pa.table({"bucket": bucket[start], "data": pa.array(data, pa.binary())})
 
-    return dealt.groupBy("grp").applyInArrow(run, "bucket int, data binary")
+    return dealt.groupBy("batch").applyInArrow(run, "bucket int, data binary")
 
 
 def _bucket_sums(packed: DataFrame) -> DataFrame:
@@ -712,18 +733,22 @@ def _let_go(spark) -> None:
         time.sleep(0.5)
 
 
-def word_scores(docs: DataFrame, found: DataFrame, shared, v: Vocabulary, rows: int) -> DataFrame:
-    """row, sum: sum of the log10 probabilities of a document's tokens, but for log10(count + 1) of rare words. docs: text, row, learn."""
-    spark = docs.sparkSession
+def word_scores(found: DataFrame, shared, v: Vocabulary, rows: int) -> DataFrame:
+    """row, sum: sum of the log10 probabilities of a document's tokens, but for log10(count + 1) of rare words."""
+    spark = found.sparkSession
     skips = spark.sparkContext.broadcast(_sum_skips(found, v, rows))
     groups = 1 + v.tokens * 7 // (6 * GROUP_SHARDS * SHARD_TOKENS)
     hot = hot_rows(found, v, groups)
-    slices = SLICES if groups > 8 * SLICES else 1
+    slices, each = (SLICES, TASK_GROUPS) if groups > 8 * SLICES else (1, 1)
     sums = []
     for k in range(slices):
-        dealt = _deal(docs, shared, groups, slices, k)
+        dealt = _deal(found, shared, groups, slices, k)
         if hot is not None:
             dealt = dealt.unionByName(hot.where(F.col("grp") % slices == k))
+        dealt = dealt.withColumn("batch", F.floor(F.col("grp") / (slices * each)).cast("int"))
+        tasks = groups // (slices * each)
+        if tasks > partitions(spark):  # as many as there are tokens for
+            dealt = dealt.repartition(tasks, "batch")
         got = _bucket_sums(_group_scores(dealt, shared, skips, groups))
         sums.append(materialise(got, "group-sums"))
         del got, dealt
@@ -745,7 +770,7 @@ def score(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(v)
     rows = min(SKIP_ROWS, max(1024, 1 << (v.tokens // 64).bit_length()))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), (~training(F.col("doc_id"))).alias("held_out"))
-    found = materialise(_document_rows(keyed, shared, rows), "document-rows")
-    sums = word_scores(keyed.select("text", "row", (~F.col("held_out")).alias("learn")), found, shared, v, rows)
+    found = materialise(_document_rows(keyed, shared, rows), "document-rows", "zstd")
+    sums = word_scores(found, shared, v, rows)
     base = base_scores(found, counts, v)
     return base.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("sum") / F.col("times") + F.col("rare_total")).alias("score"))

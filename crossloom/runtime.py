@@ -53,10 +53,10 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -152,11 +152,14 @@ def test_held_out_texts_score_above_the_base(spark):
 def test_one_model_however_tokens_are_dealt(docs, monkeypatch, hot):
     """Scores are those of one model over all tasks: not of as many as there are groups, nor of pieces of what follows a frequent word."""
     want = {r.doc_id: r.score for r in m.score(docs).collect()}
-    monkeypatch.setattr(m, "SHARD_TOKENS", 300)
-    monkeypatch.setattr(m, "HOT_TOKENS", hot)
-    monkeypatch.setattr(m, "FLUSH_TOKENS", 500)
+    for name, x in (("SHARD_TOKENS", 300), ("HOT_TOKENS", hot), ("FLUSH_TOKENS", 500), ("GROUP_SHARDS", 1)):
+        monkeypatch.setattr(m, name, x)
+    dealt = []
+    deal = m._deal
+    monkeypatch.setattr(m, "_deal", lambda *x: dealt.append(x[2:]) or deal(*x))
     got = {r.doc_id: r.score for r in m.score(docs).collect()}
     assert got.keys() == want.keys() and all(abs(x - want[i]) < 1e-5 * max(1, abs(x)) for i, x in got.items())
+    assert len(dealt) == m.SLICES and dealt[0][0] > m.SLICES * m.TASK_GROUPS  # more groups than one batch a slice
 
 
 def test_all_outcomes_sum_to_one_with_every_feature():
@@ -184,3 +187,24 @@ def test_steps_are_where_the_gradient_is_zero():
     x = m.step(n, expected, 0.2)
     assert np.abs(n - expected * np.exp(x) - 0.2 * x).max() < 0.01 * n.max()
     assert (np.abs(n - expected * np.exp(x) - 0.2 * x) < 0.05 * n + 1e-6).mean() > 0.95
+
+
+def test_stored_ids_stand_for_words():
+    """What is dealt are ids of four bytes, read from texts once: outcomes and counts follow from them, also of rare words."""
+    rng = np.random.default_rng(10)
+    words = rng.integers(1, 2**64, 600, dtype=np.uint64)
+    cls = m._tail_class(words).astype(np.int64)
+    n = rng.integers(2, 60, 400)
+    rare = np.zeros((2, m.CLASSES, 7), np.int64)
+    bucket = ((words[400:] >> np.uint64(38)) % np.uint64(7)).astype(np.int64)
+    np.add.at(rare, (slice(None), cls[400:], bucket), 1)
+    v = m.Vocabulary(words[:400], cls[:400], n, np.bincount(cls[:400], n, minlength=m.CLASSES).astype(np.int64) + rare[0].sum(1), np.bincount(cls, minlength=m.CLASSES), rare)
+    own = {int(x): k for k, x in enumerate(v.own_word)}
+    place = v.find(words)
+    ids = v.ids(words, cls, place)
+    out = v.outcomes(ids)
+    assert ids.dtype == np.uint32 and len(np.unique(ids)) == 600
+    assert (v.cls_of[out] == [own.get(int(x), c) for x, c in zip(words, cls, strict=True)]).all()
+    assert (v.times(ids) == np.append(n, np.zeros(200))).all()
+    assert len(np.unique(out[:400])) == 400 and (v.inside[out[:400]] == 1).all()
+    assert (v.inside[out[400:]] == 2 * rare[0][cls[400:], bucket] + 1).all()
