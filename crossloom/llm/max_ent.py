@@ -574,13 +574,25 @@ def token_scores(back1: np.ndarray, back2: np.ndarray, outcome: np.ndarray, lear
     return out
 
 
-def group_of(back1: np.ndarray, count: np.ndarray, back2: np.ndarray, groups: int) -> np.ndarray:
-    """All that follows a word is in one group, so its weights are; where too many tokens follow it (``count``), all that follows a pair."""
+def pair_place(pairs: np.ndarray, back1: np.ndarray, back2: np.ndarray) -> np.ndarray:
+    """Where each pair of ids before is in ``pairs`` (sorted, at least one), -1 where it isn't."""
+    key = back1.astype(np.uint64) << np.uint64(32) | back2.astype(np.uint64)
+    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    return np.where(pairs[at] == key, at, -1)
+
+
+def group_of(back1: np.ndarray, count: np.ndarray, back2: np.ndarray, groups: int, pairs: np.ndarray, pair_n: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """All that follows a word is in one group, so its weights are; where too many tokens follow it (``count``), all that follows a pair; and
+    where too many follow that (``pairs``, ``pair_n``), it is spread by document."""
     x = mix(back1)
     many = np.flatnonzero(count > HOT_TOKENS)
     if len(many):
         pieces = (1 + count[many] // HOT_TOKENS).astype(np.uint64)
         x[many] += mix(back2[many].astype(np.uint64) + np.uint64(7)) % pieces
+        if len(pairs):
+            at = pair_place(pairs, back1[many], back2[many])
+            many, at = many[at >= 0], at[at >= 0]
+            x[many] = mix(pairs[at]) + mix(row[many].view(np.uint64)) % (1 + pair_n[at] // HOT_TOKENS).astype(np.uint64)
     return (x % np.uint64(groups)).astype(np.int32)
 
 
@@ -615,7 +627,14 @@ def _fields(data: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(back1, length), back2, place, rare, rows[index], kind
 
 
-def _deal(found: DataFrame, shared, groups: int, of: int, which: int) -> DataFrame:
+def _stored(data: pa.BinaryScalar) -> list[np.ndarray]:
+    """Documents' keys, numbers of tokens, are they learned from?; tokens' ids."""
+    data = data.as_buffer()
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    return [np.frombuffer(data, dtype, k, at) for dtype, k, at in ((np.int64, n, 4), (np.uint32, n, 4 + 8 * n), (np.uint8, n, 4 + 12 * n), (np.uint32, -1, 4 + 13 * n))]
+
+
+def _deal(found: DataFrame, shared, pairs: tuple, groups: int, of: int, which: int) -> DataFrame:
     """grp, hot, data: packed tokens of the groups whose number is ``which`` modulo ``of`` (hot is null); outcomes go in the place of words'
     places. Words before are ids. found: see ``_document_rows``."""
 
@@ -634,15 +653,15 @@ def _deal(found: DataFrame, shared, groups: int, of: int, which: int) -> DataFra
 
         for b in batches:
             for data in b.column(0):
-                data = data.as_buffer()
-                n = int(np.frombuffer(data, np.int32, 1)[0])
-                rows, size, learn, ids = (np.frombuffer(data, dtype, k, at) for dtype, k, at in ((np.int64, n, 4), (np.uint32, n, 4 + 8 * n), (np.uint8, n, 4 + 12 * n), (np.uint32, -1, 4 + 13 * n)))
+                rows, size, learn, ids = _stored(data)
+                n = len(rows)
                 back1, back2 = before(ids, np.append(0, np.cumsum(size, dtype=np.int64)), end)
-                group = group_of(back1.astype(np.uint64), v.times(back1), back2, groups)
+                doc = np.repeat(np.arange(n), size)
+                group = group_of(back1.astype(np.uint64), v.times(back1), back2, groups, *pairs, rows[doc])
                 ours = np.flatnonzero(group % of == which)
                 if not len(ours):
                     continue
-                doc, outcome = np.repeat(np.arange(n), size)[ours], 1 + v.outcomes(ids[ours])
+                doc, outcome = doc[ours], 1 + v.outcomes(ids[ours])
                 parts.append((group[ours], back1[ours].astype(np.uint64), back2[ours], outcome, outcome, rows[doc], learn[doc] << np.uint8(7)))
                 held += len(ours)
                 if held > FLUSH_TOKENS:
@@ -654,25 +673,86 @@ def _deal(found: DataFrame, shared, groups: int, of: int, which: int) -> DataFra
     return found.where("part = -2").select("data").mapInArrow(run, "grp int, hot long, data binary")
 
 
-def hot_rows(found: DataFrame, v: Vocabulary, groups: int) -> DataFrame | None:
-    """grp, hot, data: for each word whose tokens are spread over groups (hot: its place), what follows it in all training documents and how often
-    (outcomes, counts), for each of its groups."""
+def _follow(found: DataFrame) -> DataFrame:
+    """place, outcome, n: what follows the words that are spread over groups."""
+    follow = found.where("part = -1").groupBy("word").agg(F.sum("n").alias("n"))
+    return follow.select(F.shiftright("word", 32).alias("place"), F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outcome"), "n")
+
+
+def hot_pairs(found: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of words (the one before, the one before that, as one number) that more than ``HOT_TOKENS`` training tokens follow, and how many."""
+    if not (v.count > HOT_TOKENS).any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    place = np.zeros(len(v.share), np.int64)
+    place[v.by_place[1:]] = np.arange(1, len(v.by_place))
+    got = {int(place[r["outcome"]]) << 32 | r["place"]: r["n"] for r in _follow(found).where(F.col("n") > HOT_TOKENS).collect() if place[r["outcome"]]}
+    end = v.end()
+    n = int(v.times(np.array([end], np.uint32))[0])
+    if n > HOT_TOKENS:  # texts' first words
+        got[end << 32 | end] = n
+    keys = np.array(sorted(got), np.uint64)
+    return keys, np.array([got[int(k)] for k in keys], np.int64)
+
+
+def _pair_counts(found: DataFrame, shared, pairs: np.ndarray) -> DataFrame:
+    """hot, outcome, n: what follows each of the pairs in all training documents."""
+
+    def run(batches):
+        v = shared.value
+        end, keys, times, held = v.end(), [], [], 0
+
+        def merged():
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, np.concatenate(times)).astype(np.int64)
+
+        for b in batches:
+            for data in b.column(0):
+                _, size, learn, ids = _stored(data)
+                back1, back2 = before(ids, np.append(0, np.cumsum(size, dtype=np.int64)), end)
+                at = pair_place(pairs, back1, back2)
+                ours = np.flatnonzero((at >= 0) & (np.repeat(learn, size) > 0))
+                key, n = np.unique(at[ours] << 32 | v.outcomes(ids[ours]), return_counts=True)
+                keys.append(key)
+                times.append(n)
+                held += len(key)
+                if held > MERGE_ROWS:
+                    key, n = merged()
+                    keys, times, held = [key], [n], len(key)
+        if keys:
+            key, n = merged()
+            for i in range(0, len(key), 100_000):
+                k = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[key[k] >> 32].view(np.int64)), pa.array(key[k] & 0xFFFFFFFF), pa.array(n[k])], names=["place", "outcome", "n"])
+
+    return found.where("part = -2").select("data").mapInArrow(run, "place long, outcome long, n long").groupBy("place", "outcome").agg(F.sum("n").alias("n"))
+
+
+def hot_rows(found: DataFrame, shared, v: Vocabulary, pairs: tuple, groups: int) -> DataFrame | None:
+    """grp, hot, data: for each word, and each pair of words, whose tokens are spread over groups (hot: its place, or the pair as one number), what
+    follows it in all training documents and how often (outcomes, counts), for each of its groups."""
     many = np.flatnonzero(v.count > HOT_TOKENS)
     if not len(many):
         return None
-    where = []
+    where = set()
+
+    def pieces(key: int, n: int) -> list[int]:
+        return ((mix(np.array([key], np.uint64)) + np.arange(1 + n // HOT_TOKENS, dtype=np.uint64)) % np.uint64(groups)).tolist()
+
     for k in many:
-        pieces = np.arange(1 + int(v.count[k]) // HOT_TOKENS, dtype=np.uint64)
-        where += [(int(k) + 1, int(g)) for g in np.unique((mix(np.array([k + 1], np.uint64)) + pieces) % np.uint64(groups))]
+        where |= {(int(k) + 1, g) for g in pieces(int(k) + 1, int(v.count[k]))}
+    for key, n in zip(*(x.tolist() for x in pairs), strict=True):
+        at = pieces(key, n)
+        where |= {(key, g) for g in at} | {(key >> 32, g) for g in at}
 
     def run(table):
         outcome, n = table.column("outcome").to_numpy().astype(np.int32), table.column("n").to_numpy().astype(np.int64)
         return pa.table({"hot": table.column("place").slice(0, 1), "data": pa.array([outcome.tobytes() + n.tobytes()], pa.binary())})
 
-    follow = found.where("part = -1").groupBy("word").agg(F.sum("n").alias("n"))
-    follow = follow.select(F.shiftright("word", 32).alias("place"), F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outcome"), "n")
+    follow = _follow(found)
+    if len(pairs[0]):
+        follow = follow.unionByName(_pair_counts(found, shared, pairs[0]))
     lists = follow.groupBy("place").applyInArrow(run, "hot long, data binary")
-    return materialise(lists.join(found.sparkSession.createDataFrame(where, "hot long, grp int"), "hot").select("grp", "hot", "data"), "hot-words")
+    return materialise(lists.join(found.sparkSession.createDataFrame(sorted(where), "hot long, grp int"), "hot").select("grp", "hot", "data"), "hot-words")
 
 
 def _group_scores(dealt: DataFrame, shared, skips, buckets: int) -> DataFrame:
@@ -692,7 +772,15 @@ def _group_scores(dealt: DataFrame, shared, skips, buckets: int) -> DataFrame:
         back1, back2, outcome, _, row, kind = (np.concatenate(x) for x in zip(*tokens, strict=True))
         del tokens
         rows, at = np.unique(row, return_inverse=True)
-        return rows, np.bincount(at, token_scores(back1, back2, outcome - 1, kind > 127, shared.value, skips.value, hot))
+        learn, outcome, pairs = (kind > 127).astype(float), outcome - 1, {k: x for k, x in hot.items() if k >> 32}
+        if pairs:  # learned from their counts over the whole corpus, not from the tokens here
+            keys = np.array(sorted(pairs), np.uint64)
+            learn[pair_place(keys, back1, back2) >= 0] = 0
+            for k in keys.tolist():
+                what, n = pairs[k]
+                back1, back2 = np.append(back1, np.full(len(n), k >> 32, np.uint64)), np.append(back2, np.full(len(n), k & 0xFFFFFFFF, np.uint32))
+                outcome, learn = np.append(outcome, what), np.append(learn, n)
+        return rows, np.bincount(at, token_scores(back1, back2, outcome, learn, shared.value, skips.value, hot)[: len(at)])
 
     def run(table):
         number = table.column("grp").to_numpy()
@@ -738,11 +826,12 @@ def word_scores(found: DataFrame, shared, v: Vocabulary, rows: int) -> DataFrame
     spark = found.sparkSession
     skips = spark.sparkContext.broadcast(_sum_skips(found, v, rows))
     groups = 1 + v.tokens * 7 // (6 * GROUP_SHARDS * SHARD_TOKENS)
-    hot = hot_rows(found, v, groups)
+    pairs = hot_pairs(found, v)
+    hot = hot_rows(found, shared, v, pairs, groups)
     slices, each = (SLICES, TASK_GROUPS) if groups > 8 * SLICES else (1, 1)
     sums = []
     for k in range(slices):
-        dealt = _deal(found, shared, groups, slices, k)
+        dealt = _deal(found, shared, pairs, groups, slices, k)
         if hot is not None:
             dealt = dealt.unionByName(hot.where(F.col("grp") % slices == k))
         dealt = dealt.withColumn("batch", F.floor(F.col("grp") / (slices * each)).cast("int"))

@@ -148,7 +148,7 @@ def test_held_out_texts_score_above_the_base(spark):
     assert len(got) > 50 and sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
 
 
-@pytest.mark.parametrize("hot", [10**9, 300])
+@pytest.mark.parametrize("hot", [10**9, 300, 20])
 def test_one_model_however_tokens_are_dealt(docs, monkeypatch, hot):
     """Scores are those of one model over all tasks: not of as many as there are groups, nor of pieces of what follows a frequent word."""
     want = {r.doc_id: r.score for r in m.score(docs).collect()}
@@ -159,7 +159,8 @@ def test_one_model_however_tokens_are_dealt(docs, monkeypatch, hot):
     monkeypatch.setattr(m, "_deal", lambda *x: dealt.append(x[2:]) or deal(*x))
     got = {r.doc_id: r.score for r in m.score(docs).collect()}
     assert got.keys() == want.keys() and all(abs(x - want[i]) < 1e-5 * max(1, abs(x)) for i, x in got.items())
-    assert len(dealt) == m.SLICES and dealt[0][0] > m.SLICES * m.TASK_GROUPS  # more groups than one batch a slice
+    assert (len(dealt[0][0][0]) > 1) == (hot == 20)  # pairs that are spread by document
+    assert len(dealt) == m.SLICES and dealt[0][1] > m.SLICES * m.TASK_GROUPS  # more groups than one batch a slice
 
 
 def test_all_outcomes_sum_to_one_with_every_feature():
