@@ -3,13 +3,17 @@
 A model has a column for each genotype class of its locus or pair (or for what a smaller model makes of these), times one and the interactive
 covariates, and additive covariates. Its state is a few numbers. A round is one pass over individuals, whose chromosomes are one row, for all models that aren't settled: of
 every locus, pair and replicate. Tasks add up each model's equations, Spark adds the tasks' sums, executors solve them, and states come back. The null
-model, single loci and pairs are models of the same kind, with one, k and k * k classes."""
+model, single loci and pairs are models of the same kind, with one, k and k * k classes.
+
+A normal mixture of many individuals doesn't read them again in each round: of those who share a genotype sequence and covariates, the traits in a
+panel are Chebyshev sums, taken once (``Panels``)."""
 
 from __future__ import annotations
 
 import math
 import warnings
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,12 @@ from crossloom.runtime import materialise, prepare
 _FITS = "unit int, model int, rep int, lod double"
 #: Individuals that are worked on at once: what is in hand stays in a core's cache.
 SLICE = 1 << 14
+#: A normal mixture of more individuals takes their traits by panels.
+MOST_PEOPLE = 1 << 16
+#: Chebyshev sums of a panel's traits: a panel has more individuals than that, else they stay rows.
+NODES = 24
+#: How often panels are cut in four before individuals stay rows; the error of a panel's sums, relative to their terms.
+LEVELS, PANEL_ERROR = 8, 1e-14
 
 
 @dataclass(frozen=True)
@@ -126,6 +136,87 @@ class Family:
     def once(self) -> bool:
         return self.method == "hk" and not self.binary
 
+    def steepness(self, maps: np.ndarray, state: np.ndarray | None, most: np.ndarray) -> float:
+        """How fast log likelihoods of two classes of a normal mixture part, at most, as the trait grows; ``most``: bounds of one and the interactive
+        covariates."""
+        if state is None:
+            return 0.0
+        eta = maps @ state[: maps.shape[1] * len(most)].reshape(maps.shape[1], len(most))
+        return float((eta.max(0) - eta.min(0)) @ most / state[-1])
+
+
+def _points(steep: float) -> int | None:
+    """How many Chebyshev points make up for a panel's individuals; None: ``NODES`` aren't enough. ``steep``: how far log likelihoods of two classes part
+    over half a panel.
+
+    In a strip about the real line where no two classes differ in phase by more than a right angle, a posterior is analytic and below 1.5. Interpolation
+    in p points errs by 4 * 1.5 / (rho - 1) / rho ** (p - 1) at most, if the ellipse of rho is in the strip. One point more is for the trait's factor."""
+    if not steep < 1e9:
+        return None
+    if steep <= 0:
+        return 3  # squares of the trait
+    reach = math.pi / 2 / steep
+    rho = reach + math.hypot(reach, 1)
+    p = 2 + math.ceil(max(1.0, math.log(6 / (rho - 1) / PANEL_ERROR) / math.log(rho)))
+    return max(3, p) if p <= NODES else None
+
+
+def _weights(p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chebyshev points in (-1, 1), and the matrix that makes their weights of the first p sums: with these, any polynomial of a degree below p has the
+    individuals' sum."""
+    angle = (np.arange(p) + 0.5) * math.pi / p
+    w = 2 * np.cos(np.arange(p)[:, None] * angle) / p
+    w[0] = 1 / p
+    return np.cos(angle), w
+
+
+@dataclass
+class Panels:
+    """Tables of a trait for each level, made when a model needs them: of individuals with equal sequences and covariates and a trait in the same panel,
+    the sums of Chebyshev polynomials, or their own rows if they are few. A level's panels are a fourth as wide as the last one's."""
+
+    people: DataFrame
+    mean: float
+    width: float
+
+    def __post_init__(self):
+        self.made: dict[int, tuple[DataFrame, DataFrame | None]] = {}
+
+    def place(self, steep: float) -> tuple[int, int]:
+        """The first level that is fine enough, and how many points of its panels."""
+        for level in range(LEVELS):
+            p = _points(steep * self.width / 4**level / 2)
+            if p:
+                return level, p
+        return LEVELS, 0
+
+    def tables(self, level: int) -> tuple[DataFrame, DataFrame | None]:
+        """m, g, y, z, times of individuals; m, g, z, panel, s of panels."""
+        if level not in self.made:
+            even = self.people.sparkSession.sparkContext.defaultParallelism
+            rows, many = self.people, None
+            if level < LEVELS:
+                keys, at = ["m", "g", "z", "panel"], (F.col("y") - F.lit(self.mean)) / F.lit(self.width / 4**level)
+                rows = rows.withColumn("panel", F.floor(at + 0.5).cast("long"))
+                full = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODES).select(*keys), "panels")
+                inside = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (at - F.col("panel"))))
+                sums = rows.join(full, keys, "left_semi").withColumn("angle", F.acos(inside)).groupBy(*keys).agg(*(F.sum(F.cos(F.lit(k) * F.col("angle"))).alias(f"s{k}") for k in range(NODES)))
+                many = materialise(sums.select(*keys, F.array(*(f"s{k}" for k in range(NODES))).alias("s")).repartition(even), "sums")
+                rows = rows.join(full, keys, "left_anti")
+            self.made[level] = materialise(_alike(rows).repartition(even), "people"), many
+        return self.made[level]
+
+
+def _traits(b: pa.RecordBatch, mean: float, width: float, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, p): the trait at the points of each panel, and how many individuals each stands for, which may be negative."""
+    x, w = _weights(p)
+    return mean + width * (b.column("panel").to_numpy()[:, None] + x / 2), b.column("s").flatten().to_numpy().reshape(len(b), NODES)[:, :p] @ w
+
+
+def _alike(people: DataFrame) -> DataFrame:
+    """m, g, y, z, times: individuals that are alike are one row."""
+    return people.groupBy("m", "g", "y", "z").agg(F.count(F.lit(1)).cast("double").alias("times"))
+
 
 def _units(got: dict, loci: list, pairs: bool):
     """(number, class probabilities, maps of its models): 0 is the null model, then loci, then pairs."""
@@ -140,15 +231,16 @@ def _units(got: dict, loci: list, pairs: bool):
             yield 1 + len(loci) + at, x, (np.eye(q), _collapse(k1, q // k1)[2])
 
 
-def _shapes(t: dict, kind: str, loci: list, pairs: bool, a: int, c: int) -> dict[tuple[int, int], int]:
-    """Count of coefficients of each (unit, model)."""
+def _matrices(t: dict, kind: str, loci: list, pairs: bool) -> dict[tuple[int, int], np.ndarray]:
+    """(classes, columns) of each (unit, model), as ``_units`` has them."""
     k = [chains.n_states(kind, t[name].chrtype) for name, _ in loci]
-    out = {(0, 0): a + c} | {(1 + j, 0): k[j] * a + c for j in range(len(loci))}
+    out = {(0, 0): np.ones((1, 1))} | {(1 + j, 0): np.eye(k[j]) for j in range(len(loci))}
     if pairs:
+        both = {(i, j): (np.eye(i * j), _collapse(i, j)[2]) for i in set(k) for j in set(k)}
         at = 1 + len(loci)
         for i in range(len(loci)):
             for j in range(i + 1, len(loci)):
-                out[at, 0], out[at, 1] = k[i] * k[j] * a + c, (k[i] + k[j] - 1) * a + c
+                out[at, 0], out[at, 1] = both[k[i], k[j]]
                 at += 1
     return out
 
@@ -203,12 +295,12 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
     else:
         own = own.withColumn("z", F.array().cast("array<double>"))
     own = materialise(own, "trait")
-    n, share = own.agg(F.count(F.lit(1)), F.avg("y")).first()
+    q, at_inter = len(names), [names.index(x) for x in inter]
+    n, share, spread, *most = own.agg(F.count(F.lit(1)), F.avg("y"), F.stddev_pop("y"), *(F.max(F.abs(F.col("z")[j])) for j in at_inter)).first()
     if family.binary and n and own.where("y NOT IN (0, 1)").limit(1).count():
         raise ValueError("a binary trait is 0 or 1")
     if not n:
         return {}, loci, t, 0
-    q, at_inter = len(names), [names.index(x) for x in inter]
     values = index = deal = shared = None
     if n_perm:
         index, deal = one_locus.numbered(own, strata, seed)
@@ -217,8 +309,11 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
             values = spark.sparkContext.broadcast(np.column_stack([got["y"].to_numpy(float), np.array(got["z"].tolist(), float).reshape(n, q)]))
         elif not q:
             shared = one_locus.kinds_of(cross, index, deal, n, n_perm)
-    if not n_perm:  # individuals that are alike are one row
-        rows = sequences(cross).join(own, "ind").groupBy("m", "g", "y", "z").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    summed = not n_perm and n > MOST_PEOPLE and family.method == "em" and not family.binary and 0 < spread < math.inf
+    if summed:
+        rows = sequences(cross).join(own, "ind").select("m", "g", "y", "z")
+    elif not n_perm:
+        rows = _alike(sequences(cross).join(own, "ind"))
     elif shared and family.binary:
         rows = _shared_rows(index, deal, shared, n_perm)
     elif shared:
@@ -228,8 +323,11 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
     else:
         rows = sequences(cross).join(one_locus.redealt(index, deal, n_perm), "ind")
     rows = materialise(rows, "people")
+    panels = Panels(rows, share, 4 * spread) if summed else None
     reps = max(1, n_perm)
-    shapes = _shapes(t, kind[0], loci, pairs, 1 + len(inter), q)
+    matrices = _matrices(t, kind[0], loci, pairs)
+    shapes = {key: x.shape[1] * (1 + len(inter)) + q for key, x in matrices.items()}
+    most = np.array([1.0, *most])
 
     def dealt(b: pa.RecordBatch, r: int):
         """Which rows, trait, covariates of a replicate."""
@@ -252,16 +350,37 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
         if not open_:
             break
         now = spark.sparkContext.broadcast({key: state[key] for key in open_})
+        places = {key: panels.place(family.steepness(matrices[key[:2]], state[key], most)) for key in open_} if panels else {}
+        use = spark.sparkContext.broadcast(places)
+
+        def out(sums):
+            held = list(sums.rows())
+            if held:
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in held], pa.int32()) for j in range(3)), pa.array([x[3] for x in held], pa.list_(pa.float64()))], names=["unit", "model", "rep", "s"])
+
+        def at_points(batches, level, mean, width, now=now, use=use):
+            sums, mine = TaskSums(), {key: now.value[key] for key, x in use.value.items() if x[0] == level}
+            for b in (b.slice(i, SLICE // NODES) for b in batches for i in range(0, len(b), SLICE // NODES)):
+                got, z = _chromosomes(b, t, kind, error, map_function), b.column("z").flatten().to_numpy().reshape(len(b), q)
+                points = {}
+                for unit, x, maps in _units(got, loci, pairs):
+                    for m, matrix in enumerate(maps):
+                        if (unit, m, 0) not in mine:
+                            continue
+                        p = use.value[unit, m, 0][1]
+                        if p not in points:
+                            v = np.repeat(z, p, axis=0)
+                            points[p] = *(a.ravel() for a in _traits(b, mean, width, p)), np.concatenate([np.ones((len(v), 1)), v[:, at_inter]], axis=1), v
+                        y, times, u, v = points[p]
+                        sums.add((unit, m, 0), family.equations(np.repeat(x, p, axis=0), matrix, y, u, v, mine[unit, m, 0], times))
+                if sums.full:
+                    yield from out(sums)
+            yield from out(sums)
 
-        def task(batches, now=now):
-            sums, mine = TaskSums(), now.value
+        def task(batches, level=None, now=now, use=use):
+            sums, mine = TaskSums(), now.value if level is None else {key: now.value[key] for key, x in use.value.items() if x[0] == level}
             wanted = {key[0] for key in mine}
 
-            def out():
-                held = list(sums.rows())
-                if held:
-                    yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in held], pa.int32()) for j in range(3)), pa.array([x[3] for x in held], pa.list_(pa.float64()))], names=["unit", "model", "rep", "s"])
-
             if kinds:
                 parts = ((b.column("y").to_numpy(), _numbers(b.column("k"), n_perm)) for b in batches if b.num_rows)
                 got = _chromosomes(shared.batch, t, kind, error, map_function)
@@ -273,7 +392,7 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                                 if (unit, m, r) in mine:
                                     sums.add((unit, m, r), family.kind_equations(x, matrix, y, k[r], mine[unit, m, r]))
                     if sums.full:
-                        yield from out()
+                        yield from out(sums)
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -289,8 +408,8 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                                 u = np.concatenate([np.ones((len(y), 1)), z[:, at_inter]], axis=1)
                                 sums.add((unit, m, r), family.equations(x[some], matrix, y, u, z, mine[unit, m, r], times[some]))
                 if sums.full:
-                    yield from out()
-            yield from out()
+                    yield from out(sums)
+            yield from out(sums)
 
         def solve(batches, now=now):
             for pdf in batches:
@@ -299,7 +418,13 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                     out.append((unit, m, r, family.solved(np.asarray(s), shapes[unit, m], n, now.value[unit, m, r]), float(s[-1])))
                 yield pd.DataFrame(out, columns=["unit", "model", "rep", "state", "ll"])
 
-        part = rows.mapInArrow(task, "unit int, model int, rep int, s array<double>")
+        schema, parts = "unit int, model int, rep int, s array<double>", []
+        for level in sorted({x[0] for x in places.values()}):
+            alone, many = panels.tables(level)
+            parts.append(alone.mapInArrow(partial(task, level=level), schema))
+            if many is not None:
+                parts.append(many.mapInArrow(partial(at_points, level=level, mean=panels.mean, width=panels.width / 4**level), schema))
+        part = reduce(DataFrame.unionAll, parts) if panels else rows.mapInArrow(task, schema)
         got = added(part, ["unit", "model", "rep"], "s").mapInPandas(solve, "unit int, model int, rep int, state array<double>, ll double").collect()
         for x in got:
             key, new = (x["unit"], x["model"], x["rep"]), np.array(x["state"])
@@ -316,6 +441,7 @@ def _fit(cross: Cross, trait: str, family: Family, pairs: bool, covar, addcovar,
                 ll[key], best[key] = max(x["ll"], ll.get(key, -1e300)), state[key]
             state[key] = new
         now.unpersist()
+        use.unpersist()
     if open_:
         warnings.warn(f"scan: {len(open_)} of {len(state)} models not settled after {maxit} rounds", stacklevel=3)
     return ll, loci, t, reps
